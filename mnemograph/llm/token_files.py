@@ -20,6 +20,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -147,7 +148,7 @@ class WordCache:
     the library gets all others as they stand.
     """
 
-    def __init__(self, tokenizer_path: str, most: int = 400_000):
+    def __init__(self, tokenizer_path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(tokenizer_path)
@@ -156,37 +157,56 @@ class WordCache:
         self._most = most
         self._have: dict[str, bytes] = {}
 
+        self._ends = np.zeros(self._library.get_vocab_size(), bool)
+        for token, i in self._library.get_vocab().items():
+            self._ends[i] = token.endswith("</w>")
+
+    def _ask(self, keys: list[str], at_once: int = 500) -> None:
+        """Letters of Latin-1 alone are one piece each, whose last token ends a word: many share a call."""
+        have, encode = self._have, self._library.encode_batch_fast
+        plain = [k for k in keys if k.isalpha() and max(k) < "\u0100"]
+        for i in range(0, len(plain), at_once):
+            part = plain[i : i + at_once]
+            ids = np.array(encode([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self._ends[ids]) + 1
+            if len(cuts) != len(part):
+                raise ValueError("the vocabulary does not end each word of letters once")
+            have.update(zip(part, (x.tobytes() for x in np.split(ids, cuts[:-1]))))
+        rest = [k for k in keys if k not in have]
+        for i in range(0, len(rest), at_once):
+            part = rest[i : i + at_once]
+            have.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in encode(part, add_special_tokens=False))))
+
     def _fill(self, words: set[str]) -> None:
         have = self._have
-        asked: dict[str, None] = {}
         parts: dict[str, tuple[str, str]] = {}
         for w in words:
             base = w.lower() if w.isascii() and "<" not in w else w
             stem, mark = (base[:-1], base[-1]) if len(base) > 1 and base[-1] in ".," and base[:-1].isalpha() else (base, "")
             parts[w] = stem, mark
-            if stem not in have:
-                asked[stem] = None
-            if mark and mark not in have:
-                asked[mark] = None
-        keys = list(asked)
-        got = {k: np.array(e.ids, "<u4").tobytes() for k, e in zip(keys, self._library.encode_batch_fast(keys, add_special_tokens=False))} if keys else {}
-        have.update(got)
+        self._ask([k for k in {x for pair in parts.values() for x in pair if x} if k not in have])
         for w, (stem, mark) in parts.items():
             have[w] = have[stem] + (have[mark] if mark else b"")
 
-    def encode(self, batch: list[str | None], end_id: int | None) -> Iterator[np.ndarray]:
-        split = [_words(t or "") for t in batch]
-        end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        missing = set().union(*split) if split else set()
-        missing = {w for w in missing if w not in self._have}
-        if len(self._have) + 2 * len(missing) > self._most:
-            missing = set().union(*split)
+    def encode(self, texts: list[str | None], end_id: int | None) -> Iterator[np.ndarray]:
+        split = [_words(t or "") for t in texts]
+        if len(self._have) + sum(map(len, split)) > 2 * self._most:
             self._have.clear()
-        if missing:
-            self._fill(missing)
-        get = self._have.__getitem__
+        have = self._have
+        end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         for words in split:
-            yield np.frombuffer(b"".join(map(get, words)) + end, "<u4")
+            try:
+                ids = b"".join([have[w] for w in words])
+            except KeyError:
+                self._fill(set().union(*split).difference(have))
+                ids = b"".join([have[w] for w in words])
+            yield np.frombuffer(ids + end, "<u4")
+
+
+@lru_cache(maxsize=2)
+def _word_cache(tokenizer_path: str) -> WordCache:
+    """A Python worker keeps it for its later tasks."""
+    return WordCache(tokenizer_path)
 
 
 def _file_system(path: str):
@@ -208,7 +228,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, *, end_id
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, words, seq, rows = TaskContext.get().partitionId(), WordCache(tokenizer_path), 0, []
+        part, words, seq, rows = TaskContext.get().partitionId(), _word_cache(tokenizer_path), 0, []
         store, folder = _file_system(path)
         writer = out = name = None
 
@@ -218,7 +238,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, *, end_id
             rows.append((part, seq, name, writer.n_docs, writer.n_ids))
 
         for batch in batches:
-            for a, b in common.chunks(batch.column(1)):
+            for a, b in common.chunks(batch.column(1), 2 << 20):
                 piece = batch.slice(a, b - a)
                 for doc_id, ids in zip(piece.column(0).to_pylist(), words.encode(piece.column(1).to_pylist(), end_id)):
                     if writer is None:
