@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from .bpe import op3_bpe
+from .secrets import op8_secrets
 from .token_files import op10_token_files
 
-QUERIES = {"op3_bpe": op3_bpe, "op10_token_files": op10_token_files}
+QUERIES = {"op3_bpe": op3_bpe, "op8_secrets": op8_secrets, "op10_token_files": op10_token_files}
 ORACLES: dict[str, str] = {}
