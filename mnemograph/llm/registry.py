@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from .bpe import op3_bpe
+from .quality import op4_quality
 from .secrets import op8_secrets
 from .token_files import op10_token_files
 
-QUERIES = {"op3_bpe": op3_bpe, "op8_secrets": op8_secrets, "op10_token_files": op10_token_files}
+QUERIES = {"op3_bpe": op3_bpe, "op4_quality": op4_quality, "op8_secrets": op8_secrets, "op10_token_files": op10_token_files}
 ORACLES: dict[str, str] = {}
