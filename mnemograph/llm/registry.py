@@ -3,9 +3,16 @@
 from __future__ import annotations
 
 from .bpe import op3_bpe
+from .near_dup import OP1_SQL, op1_near_dup
 from .quality import op4_quality
 from .secrets import op8_secrets
 from .token_files import op10_token_files
 
-QUERIES = {"op3_bpe": op3_bpe, "op4_quality": op4_quality, "op8_secrets": op8_secrets, "op10_token_files": op10_token_files}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_near_dup": op1_near_dup,
+    "op3_bpe": op3_bpe,
+    "op4_quality": op4_quality,
+    "op8_secrets": op8_secrets,
+    "op10_token_files": op10_token_files,
+}
+ORACLES = {"op1_near_dup": OP1_SQL}
