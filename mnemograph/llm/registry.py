@@ -7,12 +7,14 @@ from .near_dup import OP1_SQL, op1_near_dup
 from .quality import op4_quality
 from .secrets import op8_secrets
 from .token_files import op10_token_files
+from .top_k import OP2_SQL, op2_top_k
 
 QUERIES = {
     "op1_near_dup": op1_near_dup,
+    "op2_top_k": op2_top_k,
     "op3_bpe": op3_bpe,
     "op4_quality": op4_quality,
     "op8_secrets": op8_secrets,
     "op10_token_files": op10_token_files,
 }
-ORACLES = {"op1_near_dup": OP1_SQL}
+ORACLES = {"op1_near_dup": OP1_SQL, "op2_top_k": OP2_SQL}
