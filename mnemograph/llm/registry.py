@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from .bpe import op3_bpe
+from .decontaminate import op6_decontaminate
+from .licences import op7_licences
 from .near_dup import OP1_SQL, op1_near_dup
 from .quality import op4_quality
+from .quote_links import OP5_SQL, op5_quote_links
 from .secrets import op8_secrets
 from .token_files import op10_token_files
 from .top_k import OP2_SQL, op2_top_k
@@ -14,7 +17,10 @@ QUERIES = {
     "op2_top_k": op2_top_k,
     "op3_bpe": op3_bpe,
     "op4_quality": op4_quality,
+    "op5_quote_links": op5_quote_links,
+    "op6_decontaminate": op6_decontaminate,
+    "op7_licences": op7_licences,
     "op8_secrets": op8_secrets,
     "op10_token_files": op10_token_files,
 }
-ORACLES = {"op1_near_dup": OP1_SQL, "op2_top_k": OP2_SQL}
+ORACLES = {"op1_near_dup": OP1_SQL, "op2_top_k": OP2_SQL, "op5_quote_links": OP5_SQL}
