@@ -1,11 +1,67 @@
-"""The document pipeline."""
+"""The document pipeline: quality, near duplicates, benchmark leaks, secrets, tokens.
 
-STAGES: list = []
+Every stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept; all but the last return the
+columns of docs. run() writes each stage's rows to the shared folder and reads them back for the next.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mnemograph.llm import bpe, common, decontaminate, near_dup, quality, secrets
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without the rows of these doc_ids, which are written and counted before they may be broadcast."""
+    ids = common.written(ids.select("doc_id").filter("doc_id is not null").distinct())
+    return docs.join(common.sized(ids, ids.count()), "doc_id", "left_anti").select(docs.columns)
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the quality ranker rejects."""
+    return quality.keep_good(docs, quality.fit(docs, common.table(spark, sf_dir, "labels")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of each group of near duplicates: five-word shingles, similarity of 0.8 or more."""
+    return _without(docs, near_dup.near_duplicates(docs).filter("not kept"))
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    return _without(docs, decontaminate.leaks(docs, common.table(spark, sf_dir, "benchmark")))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets by a mark; n_chars is the new length where a text was changed."""
+    found = secrets.scan(docs)
+    changed = F.size("spans") > 0
+    masked = found.withColumn("text", secrets.redacted(F.col("text"), F.col("spans")))
+    if "n_chars" in docs.columns:
+        masked = masked.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return masked.select(docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of their decoded text."""
+    return bpe.encode_digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("benchmark decontamination", drop_benchmark_leaks),
+    ("secret scans", mask_secrets),
+    ("BPE encoding and decoding", encode),
+]
+#: SQL has no model fit, no index search and no tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = common.written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
