@@ -9,6 +9,7 @@ from .near_dup import OP1_SQL, op1_near_dup
 from .quality import op4_quality
 from .quote_links import OP5_SQL, op5_quote_links
 from .secrets import op8_secrets
+from .substring_dedup import OP9_SQL, op9_substring_dedup
 from .token_files import op10_token_files
 from .top_k import OP2_SQL, op2_top_k
 
@@ -21,6 +22,12 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_licences": op7_licences,
     "op8_secrets": op8_secrets,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_token_files": op10_token_files,
 }
-ORACLES = {"op1_near_dup": OP1_SQL, "op2_top_k": OP2_SQL, "op5_quote_links": OP5_SQL}
+ORACLES = {
+    "op1_near_dup": OP1_SQL,
+    "op2_top_k": OP2_SQL,
+    "op5_quote_links": OP5_SQL,
+    "op9_substring_dedup": OP9_SQL,
+}
