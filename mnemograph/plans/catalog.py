@@ -1,7 +1,8 @@
 """All queries: importing this module registers those of every query module."""
 
+from mnemograph.plans import evidence_queries, memory_queries
 from mnemograph.plans.registry import ORACLES, QUERIES
 
-FLAGSHIP = ""
+FLAGSHIP = "temporal_forward"
 
-__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "evidence_queries", "memory_queries"]
