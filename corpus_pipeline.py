@@ -14,9 +14,9 @@ from mnemograph.llm import bpe, common, decontaminate, near_dup, quality, secret
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows of these doc_ids, which are written and counted before they may be broadcast."""
+    """docs without the rows of these doc_ids, which are written and measured before they may be broadcast."""
     ids = common.written(ids.select("doc_id").filter("doc_id is not null").distinct())
-    return docs.join(common.sized(ids, ids.count()), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(common.sized(ids), "doc_id", "left_anti").select(docs.columns)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,8 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most rows of ids that a join may broadcast; larger sides are shuffled.
-BROADCAST_ROWS = 500_000
+#: Most bytes of a side that a join may broadcast; larger sides are shuffled.
+BROADCAST_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,9 +55,10 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sized(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df, to be broadcast only if its counted rows are within the limit."""
-    return F.broadcast(df) if rows <= limit else df
+def sized(df: DataFrame, payload: str = "0", limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df, to be broadcast only if its rows, measured now, are within the limit; payload: SQL for a row's bytes besides its keys."""
+    found = df.agg(F.count("*").alias("n"), F.sum(F.expr(payload)).alias("b")).first()
+    return F.broadcast(df) if 32 * found.n + (found.b or 0) <= limit else df
 
 
 def chunks(column: pa.Array, most_bytes: int = 8 << 20) -> Iterator[tuple[int, int]]:

@@ -88,13 +88,13 @@ def sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """class and sorted shingle hashes of the wanted documents (doc_id, counted before they are broadcast)."""
+    """class and sorted shingle hashes of the wanted documents (doc_id, measured before they are broadcast)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_hashes(t, words).tobytes() for t in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in sets], pa.binary()), pa.array(sets, pa.binary())], names=["class", "hashes"])
 
-    some = common.texts(docs).join(common.sized(wanted, wanted.count()), "doc_id", "left_semi")
+    some = common.texts(docs).join(common.sized(wanted), "doc_id", "left_semi")
     return some.mapInArrow(common.by_batch(lambda: run), "class binary, hashes binary")
 
 

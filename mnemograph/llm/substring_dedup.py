@@ -183,7 +183,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _occurrences(docs: DataFrame, window: int) -> DataFrame:
-    """(doc_id, h, m): a row for each run of windows with one minimiser, and one more if its words occur twice in the document."""
+    """doc_id, h and ms: the minimiser of each run of windows with one, and once more if its words occur twice in the document."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = []
@@ -196,7 +196,7 @@ def _occurrences(docs: DataFrame, window: int) -> DataFrame:
             found.append(np.concatenate([m, again[np.isin(again, m)]]).view(np.int64))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "h", "ms"])
 
-    return _keyed(docs).mapInArrow(common.by_batch(lambda: run), "doc_id long, h long, ms array<long>").select("doc_id", "h", F.explode("ms").alias("m"))
+    return _keyed(docs).mapInArrow(common.by_batch(lambda: run), "doc_id long, h long, ms array<long>")
 
 
 def _segments(docs: DataFrame, wanted: DataFrame, window: int, most_held: int = 200_000) -> DataFrame:
@@ -297,10 +297,10 @@ def repeated_passages(docs: DataFrame, window: int = 20, index_words: int = 1_00
     """doc_id, h (hash of the text), starts and sizes (words) of what repeated windows cover in each document."""
     if window % 4 or window < 2 * RUN:
         raise ValueError("the window must be a multiple of four, twelve words at least")
-    found = _occurrences(docs, window)
+    found = _occurrences(docs, window).select("doc_id", "h", F.explode("ms").alias("m"))
     twice = found.groupBy("m").agg(F.count("*").alias("n")).filter("n > 1").select("m")
     wanted = common.written(found.join(twice, "m", "left_semi").groupBy("doc_id", "h").agg(F.collect_set("m").alias("ms")))
-    segments = _segments(docs, common.sized(wanted, wanted.count()), window)
+    segments = _segments(docs, common.sized(wanted, "8 * size(ms)"), window)
     covered = _covered(segments, window, index_words)
     return covered.groupBy("doc_id", "h").agg(F.collect_list("start").alias("starts"), F.collect_list("size").alias("sizes"))
 
@@ -325,7 +325,7 @@ def remove_repeated(docs: DataFrame, window: int = 20) -> DataFrame:
             rows.append((doc_id, len(words), len(words) - len(left), b" ".join(left).decode()))
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
-    joined = common.texts(docs).withColumn("h", F.xxhash64("text")).join(common.sized(covered, covered.count()), ["doc_id", "h"], "left")
+    joined = common.texts(docs).withColumn("h", F.xxhash64("text")).join(common.sized(covered, "8 * size(starts)"), ["doc_id", "h"], "left")
     return joined.select("doc_id", "text", "starts", "sizes").mapInArrow(common.by_batch(lambda: run), "doc_id long, n_words long, n_removed long, kept string")
 
 
