@@ -75,7 +75,7 @@ def code(fragments: DataFrame) -> DataFrame:
     fenced = F.col("span.kind") == "fenced_code"
     named = F.lower(F.regexp_extract("span.raw", fence, 1))
     alias = F.create_map(*(F.lit(x) for pair in (("py", "python"), ("rs", "rust"), ("js", "javascript"), ("ts", "typescript"), ("sh", "bash"), ("shell", "bash")) for x in pair))
-    body = F.when(fenced, F.trim(F.regexp_extract("span.raw", fence, 2))).otherwise(F.regexp_replace("span.raw", "^`|`$", ""))
+    body = F.when(fenced, F.regexp_replace(F.regexp_extract("span.raw", fence, 2), r"^\s+|\s+$", "")).otherwise(F.regexp_replace("span.raw", "^`|`$", ""))
     guess = F.when(body.rlike(r"\bdef \w+\(|\bimport \w+"), "python").when(body.rlike(r"\bfn \w+\(|\blet mut\b"), "rust").when(body.rlike(r"(?i)\bselect\b.+\bfrom\b"), "sql").when(body.rlike(r"^\s*[{\[]"), "json").otherwise("unknown")
     return found.select("ref_id", F.col("nth").cast("long").alias("nth"), F.when(fenced & (named != ""), F.coalesce(F.try_element_at(alias, named), named)).otherwise(guess).alias("language"), body.alias("body"))
 
