@@ -144,7 +144,7 @@ class WordCache:
     """Ids of texts by the tokenizers library, which sees each distinct white-space word once while the cache holds it.
 
     White space separates tokens and is dropped by this vocabulary's own rules, so a text's ids are its words' ids in
-    order. ASCII words are looked up lower-cased, and letters with a full stop or comma behind are split before that mark;
+    order. ASCII words are looked up lower-cased, and Latin-1 letters with a full stop or comma behind are split before that mark;
     the library gets all others as they stand.
     """
 
@@ -155,7 +155,7 @@ class WordCache:
         self._library.no_truncation()
         self._library.no_padding()
         self._most = most
-        self._have: dict[str, bytes] = {}
+        self._have: dict[str, bytes] = {"": b""}
 
         self._ends = np.zeros(self._library.get_vocab_size(), bool)
         for token, i in self._library.get_vocab().items():
@@ -182,7 +182,7 @@ class WordCache:
         parts: dict[str, tuple[str, str]] = {}
         for w in words:
             base = w.lower() if w.isascii() and "<" not in w else w
-            stem, mark = (base[:-1], base[-1]) if len(base) > 1 and base[-1] in ".," and base[:-1].isalpha() else (base, "")
+            stem, mark = (base[:-1], base[-1]) if len(base) > 1 and base[-1] in ".," and base[:-1].isalpha() and max(base) < "\u0100" else (base, "")
             parts[w] = stem, mark
         self._ask([k for k in {x for pair in parts.values() for x in pair if x} if k not in have])
         for w, (stem, mark) in parts.items():
@@ -191,7 +191,7 @@ class WordCache:
     def encode(self, texts: list[str | None], end_id: int | None) -> Iterator[np.ndarray]:
         split = [_words(t or "") for t in texts]
         if len(self._have) + sum(map(len, split)) > 2 * self._most:
-            self._have.clear()
+            self._have = {"": b""}
         have = self._have
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         for words in split:
