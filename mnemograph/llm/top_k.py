@@ -8,7 +8,7 @@ leaves at most k rows a query, and a window over those gives the result.
 
 Null vectors and those with a null, NaN or infinite component take no part. Only vectors of equal length are compared;
 empty ones score 0. Of rows that repeat a vec_id, none is a candidate for a query of that vec_id; as candidates of
-others, equal ones count once. A null vec_id takes no part. An empty table gives an empty result. Other columns are not
+others, equal ones count once. Scores beyond 64 bits are returned as the nearest 64-bit integer. A null vec_id takes no part. An empty table gives an empty result. Other columns are not
 read.
 """
 
@@ -127,7 +127,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: float = 10
     chosen = [r.v for r in vectors.select("v", F.xxhash64("vec_id", "v").alias("h")).orderBy("h").limit(pivots).collect()]
     dims = [len(x) for x in chosen]
     usual = max(set(dims), key=lambda d: (dims.count(d), d)) if dims else 0
-    table = whole(np.array([x for x in chosen if len(x) == usual], float).reshape(-1, usual), scale).astype(float)
+    table = whole(np.array([x for x in chosen if len(x) == usual], float), scale).astype(float) if usual else np.empty((0, 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searcher = Searcher(table, k, scale)
@@ -135,8 +135,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: float = 10
 
         def ints(side: str, raw: bytes, dim: int) -> np.ndarray:
             if side not in read or read[side][0] != raw:
-                n = len(raw) // 8
-                read[side] = raw, whole(np.frombuffer(raw).reshape(-1 if dim else 0, dim), scale) if n else np.zeros((0, dim))
+                read[side] = raw, whole(np.frombuffer(raw).reshape(-1, dim), scale)
             return read[side][1]
 
         for batch in batches:
