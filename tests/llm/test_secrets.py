@@ -1,0 +1,60 @@
+"""Operator 8 against re, on planted secrets and odd rows."""
+
+import hashlib
+import math
+import re
+from collections import Counter
+
+from mnemograph.llm import secrets
+
+SF = "/root/testdata/sf0.01"
+ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
+
+
+def base(text):
+    spans = [(m.start(), 0, m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+    spans += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    spans += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(spans))
+
+
+def scanned(spark, *texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 as at", "2 as `out`", "3 as base")
+    got = secrets.scan(df).select("doc_id", secrets.written_spans(secrets.F.col("base")).alias("b"), secrets.written_spans(secrets.F.col("spans")).alias("s"), secrets.redacted(secrets.F.col("text"), secrets.F.col("spans")).alias("r"))
+    return {r.doc_id: r for r in got.collect()}
+
+
+def test_base_spans(spark):
+    texts = ["", "secret=token:abcdefghijkl", "PassWord = 'abcdefghijkl' api_key:x", "é漢😀 token=abcdefghijklm.", "AKIA" + "A" * 13, "AKIA" + "A" * 14 + "é", "0123456789abcde", "0123456789abcdef" * 2 + "g", "token: 0123456789abcdef0123", "tokentoken=abcdefghijkl=", "secret\t=abcdefghijklm", "ſecret=abcdefghijklm token=abcdefghijkl token=abcdefghijkl", "x" * 100000 + " token=abcdefghijkl"]
+    got = scanned(spark, *texts)
+    assert {i: r.b for i, r in got.items()} == {i: base(t) for i, t in enumerate(texts)}
+
+
+def test_entropy(spark):
+    random_key = "9fKq2LzX7vBn4TyRw8Pm"
+    got = scanned(spark, f"key {random_key} end", "123e4567-e89b-12d3-a456-426614174000", "2024-01-02_2024-01-03_2024", "thereationingedtionly12", "zzzzzzzzzzzzzzzzzzzz1111", f"token={random_key}", f"x{random_key.upper()}x é{random_key}", None)
+    assert got[0].s == "entropy:4:24" and got[0].r == "key [SECRET] end"
+    assert got[1].s == got[2].s == got[3].s == got[4].s == ""
+    assert got[5].s == "assign:0:26" and got[5].r == "[SECRET]"
+    assert got[6].s.endswith("entropy:24:44")
+    assert got[7].s == "" and got[7].r is None
+
+
+def test_window_entropy(spark):
+    for s, w in (("abcdefghij0123456789zz", 20), ("aabbccddeeff001122334455", 20), ("a" * 30 + "bcdefghijklmnopqrstuvw1", 20)):
+        best = max(-sum(c / w * math.log2(c / w) for c in Counter(s[i : i + w]).values()) for i in range(len(s) - w + 1))
+        got = spark.range(1).select(secrets.best_window_bits(secrets.F.lit(s), w)).first()[0]
+        assert abs(got - best) < 1e-9
+
+
+def test_tables(spark):
+    got = secrets.op8_secrets(spark, SF)
+    plan = got._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in got.collect():
+        b = base(docs[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(b.encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x.startswith(k) for x in b.split(",")) for k in ("assign", "access", "hex"))
+        assert set(filter(None, b.split(","))) <= set(r.spans.split(","))
+    assert secrets.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
