@@ -61,7 +61,7 @@ def sized(df: DataFrame, payload: str = "0", limit: int = BROADCAST_BYTES) -> Da
     return F.broadcast(df) if 32 * found.n + (found.b or 0) <= limit else df
 
 
-def chunks(column: pa.Array, most_bytes: int = 8 << 20) -> Iterator[tuple[int, int]]:
+def chunks(column: pa.Array, most_bytes: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of a string column that hold about so many bytes each; a longer text stands alone."""
     if not len(column):
         return
@@ -75,14 +75,14 @@ def chunks(column: pa.Array, most_bytes: int = 8 << 20) -> Iterator[tuple[int, i
     yield start, len(sizes)
 
 
-def by_batch(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> Callable:
+def by_batch(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], most_bytes: int = 2 << 20) -> Callable:
     """A function for mapInArrow that calls make() once in each task, and what it returns for each slice of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            for a, b in chunks(batch.column(at)) if at >= 0 else [(0, batch.num_rows)]:
+            for a, b in chunks(batch.column(at), most_bytes) if at >= 0 else [(0, batch.num_rows)]:
                 yield f(batch.slice(a, b - a))
 
     return run

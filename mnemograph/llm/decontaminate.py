@@ -198,7 +198,7 @@ def _query(docs: DataFrame, index: Index, width: int, least: float, question: fl
                     found.append((ids[d], ix.items[item], score, x, y))
         return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t.type) for i, t in enumerate(schema)], schema=schema)
 
-    return common.texts(docs).mapInArrow(common.by_batch(lambda: run), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
+    return common.texts(docs).mapInArrow(common.by_batch(lambda: run, 1 << 20), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 One hash of each shingle fills `bands * rows` bins with their smallest hash; an empty bin takes the value of the first
 filled bin in an order of its own (optimal densification). Each band of bins gives a bucket. Documents with equal
-shingle sets form a class, and only its smallest document goes on. In each bucket one class is the hub of a star, and
-its candidate edges to the others are confirmed on full sets. Then the hub leaves the bucket; a bucket ends when what
-is left of it belongs to one component, since links inside a component change nothing. While some do not end, further
-rounds take twice as many hubs of each, those of its smallest components first. So no pair that could join two
-components is left out, and copies and large groups give one edge a member.
+shingle sets form a class, and only its smallest document goes on. In each bucket the class that shares most buckets
+with others is the hub of a star, and its candidate edges to the others are confirmed on full sets. A bucket whose
+members are then in one component is done, since links inside a component change nothing. In the others, pairs of
+different components are left; a shingle that no other of these sets has cannot be in an intersection, which bounds a
+pair's similarity, and only pairs whose bound reaches the threshold are confirmed. So no pair of a bucket that could
+join two components is left out, while copies and large groups of edited copies give an edge a member.
 
 Words are runs of bytes other than 0x20 and 0x09 to 0x0D, A-Z lower-cased. Null and empty texts have an empty set and
 no links, as does a row whose doc_id is null: its component_id is its own doc_id, and kept is true. Rows that repeat a
@@ -24,7 +25,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from . import common
 
@@ -68,6 +68,10 @@ def band_hashes(sig: np.ndarray, bands: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _class(hashes: bytes) -> bytes:
+    return hashlib.blake2b(hashes, digest_size=16).digest()
+
+
 _SKETCH = "doc_id long, n_shingles long, class binary, bands array<long>"
 
 
@@ -80,7 +84,7 @@ def sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
         for text in batch.column(1).to_pylist():
             h = shingle_hashes(text, words)
             sizes.append(len(h))
-            classes.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
+            classes.append(_class(h.tobytes()) if len(h) else None)
             sigs.append(band_hashes(signature(h, bands * rows), bands) if len(h) else None)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))], schema=schema)
 
@@ -92,14 +96,14 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_hashes(t, words).tobytes() for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in sets], pa.binary()), pa.array(sets, pa.binary())], names=["class", "hashes"])
+        return pa.RecordBatch.from_arrays([pa.array([_class(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], names=["class", "hashes"])
 
     some = common.texts(docs).join(common.sized(wanted), "doc_id", "left_semi")
-    return some.mapInArrow(common.by_batch(lambda: run), "class binary, hashes binary")
+    return some.mapInArrow(common.by_batch(lambda: run), "class binary, hashes binary").dropDuplicates(["class"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """The pairs (a, b, class_a, class_b) whose sets have 100 * intersection >= share * union."""
+    """a, b of the pairs (a, b, class_a, class_b) whose sets have 100 * intersection >= share * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,6 +120,19 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def _own_shingles(sets: DataFrame) -> DataFrame:
+    """class and alone: how many of its shingles no other of these sets has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64()))], names=["class", "hashes"])
+
+    flat = sets.mapInArrow(run, "class binary, hashes array<long>").select("class", F.explode("hashes").alias("hash"))
+    single = flat.groupBy("hash").agg(F.count("*").alias("n"), F.min("class").alias("class")).filter("n = 1")
+    return single.groupBy("class").agg(F.count("*").alias("alone"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and the smallest node of its component, of edges (a, b).
 
@@ -134,67 +151,65 @@ def components(edges: DataFrame) -> DataFrame:
         labels = moved.select("node", "label")
 
 
-def _size_fits(share: int):
-    """Sets of such sizes can be similar enough."""
-    return 100 * F.least("n_a", "n_b") >= share * F.greatest("n_a", "n_b")
-
-
-def near_duplicates(docs: DataFrame, words: int = 5, share: int = 80, bands: int = 40, rows: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, share: int = 80, bands: int = 40, rows: int = 6) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document; links have a similarity of share percent or more."""
     found = common.written(sketches(docs, words, bands, rows))
     real = found.filter(F.col("class").isNotNull() & F.col("doc_id").isNotNull())
-    reps = real.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"))
-    buckets = real.select("class", "doc_id", F.posexplode("bands").alias("band", "hash")).join(reps, ["class", "doc_id"]).select("band", "hash", "class", "doc_id", "n").distinct()
-    hubs = buckets.groupBy("band", "hash").agg(F.min(F.struct("doc_id", "class", "n")).alias("hub"), F.count("*").alias("size")).filter("size > 1").select("band", "hash", "hub")
-    members = common.written(buckets.join(hubs, ["band", "hash"]))
-    pairs = (
-        members.filter("class <> hub.class")
-        .select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("hub.class").alias("class_a"), F.col("class").alias("class_b"), F.col("hub.n").alias("n_a"), F.col("n").alias("n_b"))
-        .filter(_size_fits(share))
-        .select("a", "b", "class_a", "class_b")
-        .distinct()
-    )
-    sets = common.written(_sets(docs, members.select("doc_id").distinct(), words).dropDuplicates(["class"]))
-    links = common.written(_confirmed(pairs, sets, share))
-    # Texts of one doc_id are one node; so are the smallest documents of classes.
+    reps = real.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+    firsts = real.join(reps, ["class", "doc_id"], "left_semi").dropDuplicates(["class"])
+    # A band's number is part of its hash, so the hash names the bucket; `node` names a class in eight bytes.
+    buckets = firsts.select("doc_id", F.xxhash64("class").alias("node"), F.col("n_shingles").cast("int").alias("n"), F.explode("bands").alias("bucket"))
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    members = common.written(buckets.join(shared, "bucket"))
+    known = common.written(members.groupBy("doc_id", "node").agg(F.sum("size").alias("central"), F.first("n").alias("n")))
+    classes = firsts.select("doc_id", F.xxhash64("class").alias("node"), "class").join(known, ["doc_id", "node"])
+    classes = common.written(classes)
+    # The hub is the member that shares most buckets with others: in a group of edited copies, the one nearest to all.
+    hub = members.join(known.select("doc_id", "node", "central"), ["doc_id", "node"]).groupBy("bucket").agg(F.max(F.struct("central", (-F.col("doc_id")).alias("less"), "doc_id", "node", "n")).alias("h"))
+    fits = 100 * F.least("n_a", "n_b") >= share * F.greatest("n_a", "n_b")
+    star = members.join(hub, "bucket").select(F.col("h.doc_id").alias("a"), F.col("h.node").alias("node_a"), F.col("h.n").alias("n_a"), F.col("doc_id").alias("b"), F.col("node").alias("node_b"), F.col("n").alias("n_b"))
+    pairs = star.filter(((F.col("a") != F.col("b")) | (F.col("node_a") != F.col("node_b"))) & fits).select("a", "node_a", "b", "node_b").distinct()
+    sets = common.written(_sets(docs, known.select("doc_id").distinct(), words))
+
+    def confirmed(some: DataFrame) -> DataFrame:
+        side = lambda x: classes.select(F.col("doc_id").alias(x), F.col("node").alias(f"node_{x}"), F.col("class").alias(f"class_{x}"))
+        return _confirmed(some.join(side("a"), ["a", "node_a"]).join(side("b"), ["b", "node_b"]).select("a", "b", "class_a", "class_b"), sets, share)
+
+    links = common.written(confirmed(pairs))
     labels = components(links)
-    left = members.filter("class <> hub.class").select("band", "hash", "class", "doc_id", "n")
-    hubs_each = 1
-    while True:
-        # What is left of the buckets, with components; those of one component end.
-        named = left.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("part", F.coalesce("label", "doc_id")).drop("label")
-        mixed = named.groupBy("band", "hash").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("band", "hash")
-        open_ = common.written(named.join(mixed, ["band", "hash"]))
-        if open_.isEmpty():
-            break
-        sized = open_.join(open_.groupBy("band", "hash", "part").agg(F.count("*").alias("part_size")), ["band", "hash", "part"])
-        ranked = common.written(sized.withColumn("rank", F.row_number().over(Window.partitionBy("band", "hash").orderBy("part_size", "doc_id", "class"))))
-        hub = ranked.filter(F.col("rank") <= hubs_each).select("band", "hash", F.col("rank").alias("hub_rank"), F.col("doc_id").alias("a"), F.col("class").alias("class_a"), F.col("n").alias("n_a"), F.col("part").alias("part_a"))
-        more = (
-            ranked.withColumnsRenamed({"doc_id": "b", "class": "class_b", "n": "n_b"})
-            .join(hub, ["band", "hash"])
-            .filter((F.col("rank") > F.col("hub_rank")) & (F.col("part") != F.col("part_a")) & _size_fits(share))
-            .select("a", "b", "class_a", "class_b")
-            .distinct()
-        )
-        links = common.written(links.union(_confirmed(more, sets, share)))
-        labels = components(links)
-        left = ranked.filter(F.col("rank") > hubs_each).select("band", "hash", "class", "doc_id", "n")
-        hubs_each *= 2
+    # Buckets whose members are still in several components: their other pairs. A pair's intersection has none of the
+    # shingles that only one of these sets has, which bounds its similarity from above.
+    part = labels.withColumnRenamed("node", "doc_id")
+    named = members.join(part, "doc_id", "left").select("bucket", "doc_id", "node", "n", F.coalesce("label", "doc_id").alias("part"))
+    mixed = named.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("bucket")
+    left = common.written(named.join(mixed, "bucket"))
+    if not left.isEmpty():
+        unsettled = classes.join(left.select("doc_id", "node").distinct(), ["doc_id", "node"], "left_semi").select("doc_id", "node", "class")
+        alone = _own_shingles(sets.join(unsettled.select("class"), "class", "left_semi"))
+        counted = common.written(unsettled.join(alone, "class", "left").select("doc_id", "node", F.coalesce("alone", F.lit(0)).alias("alone")))
+        open_ = common.written(left.join(counted, ["doc_id", "node"]).withColumn("most", F.col("n") - F.col("alone")).filter(100 * F.col("most") >= share * F.col("n")))
+        side = lambda x: open_.select("bucket", F.col("doc_id").alias(x), F.col("node").alias(f"node_{x}"), F.col("n").alias(f"n_{x}"), F.col("most").alias(f"most_{x}"), F.col("part").alias(f"part_{x}"))
+        both = F.least("most_a", "most_b")
+        close = 100 * both >= share * (F.col("n_a") + F.col("n_b") - both)
+        more = side("a").join(side("b"), "bucket").filter((F.col("part_a") < F.col("part_b")) & close).select("a", "node_a", "b", "node_b").distinct()
+        found_more = common.written(confirmed(more))
+        links = links.union(found_more)
+        if not found_more.isEmpty():
+            labels = components(links)
     own = real.select("class", "doc_id").distinct()
-    linked = own.join(reps.select("class", F.col("doc_id").alias("rep")), "class").filter("doc_id <> rep")
     if not own.groupBy("doc_id").count().filter("count > 1").isEmpty():
         # A doc_id of several texts joins their classes.
-        every = links.union(linked.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
+        same = own.join(reps.select("class", F.col("doc_id").alias("rep")), "class").filter("doc_id <> rep")
+        every = links.union(same.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
         to = components(every).withColumnRenamed("node", "doc_id")
         named = found.join(to, "doc_id", "left")
     else:
         named = found.join(reps.select("class", F.col("doc_id").alias("rep")), "class", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    return named.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("label", "doc_id"), F.lit(True)).alias("kept"))
+    return named.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("label", "doc_id"), F.lit(True)).alias("kept"))
 
 
 def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(common.table(spark, sf_dir, "documents"), words=3, share=85)
+    return near_duplicates(common.table(spark, sf_dir, "documents"), words=3, share=85, rows=8)
 
 
 OP1_SQL = r"""

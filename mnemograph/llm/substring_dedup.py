@@ -297,7 +297,7 @@ def repeated_passages(docs: DataFrame, window: int = 20, index_words: int = 1_00
     """doc_id, h (hash of the text), starts and sizes (words) of what repeated windows cover in each document."""
     if window % 4 or window < 2 * RUN:
         raise ValueError("the window must be a multiple of four, twelve words at least")
-    found = _occurrences(docs, window).select("doc_id", "h", F.explode("ms").alias("m"))
+    found = common.written(_occurrences(docs, window)).select("doc_id", "h", F.explode("ms").alias("m"))
     twice = found.groupBy("m").agg(F.count("*").alias("n")).filter("n > 1").select("m")
     wanted = common.written(found.join(twice, "m", "left_semi").groupBy("doc_id", "h").agg(F.collect_set("m").alias("ms")))
     segments = _segments(docs, common.sized(wanted, "8 * size(ms)"), window)

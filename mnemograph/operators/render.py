@@ -108,3 +108,32 @@ def rendered(sections: DataFrame) -> DataFrame:
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "content"))), lambda x: x["content"]), "\n\n")
     got = sections.groupBy("request_id").agg(text.alias("content"), F.count("*").alias("sections"))
     return got.select("request_id", "sections", "content", tokens(F.col("content")).alias("tokens"), F.concat(F.lit("render:"), F.sha2("content", 256)).alias("content_hash"))
+
+
+def classified(nodes: DataFrame, edges: DataFrame, roots: DataFrame, resume: bool = False) -> DataFrame:
+    """request_id, item and tier of nodes and edges (source > target, type).
+
+    The root and explanatory edges are in tier 1, the rest in 2. For a resumption nodes on such edges are in tier 1 as
+    well, and the rest is left out.
+    """
+    explains = F.col("semantic_class").isin(*scalars.TIER_CLASSES)
+    key = F.concat(F.col("source"), F.lit(" > "), F.col("target"), F.lit(", "), F.col("relation_type"))
+    e = edges.select("request_id", key.alias("item"), F.when(explains, 1).otherwise(2).alias("tier"))
+    causal = edges.filter(explains).select("request_id", F.explode(F.array("source", "target")).alias("node_id")).distinct()
+    first = roots.select("request_id", F.col("root").alias("node_id"))
+    first = first.union(causal).distinct() if resume else first
+    n = nodes.select("request_id", "node_id").distinct().join(first.withColumn("top", F.lit(1)), ["request_id", "node_id"], "left")
+    out = n.select("request_id", F.col("node_id").alias("item"), F.when(F.col("top") == 1, 1).otherwise(2).alias("tier")).union(e)
+    return out.filter("tier = 1") if resume else out
+
+
+def summary(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """request_id and a line of its objective, status, blocker (first constraint) and next step (most salient reason)."""
+    root = roots.join(nodes.withColumnRenamed("node_id", "root"), ["request_id", "root"]).select("request_id", "title", "status")
+    late = F.coalesce("sequence", F.lit(2**62))
+    reason = F.concat(F.col("source"), F.lit(" > "), F.col("target"))
+    block = F.min(F.when(F.col("semantic_class") == "constraint", F.struct(late.alias("s"), "source", "target", reason.alias("r"))))
+    step = F.min(F.when(F.col("semantic_class").isin("causal", "motivational"), F.struct(scalars.salience(F.col("semantic_class")).alias("k"), late.alias("s"), "source", "target", reason.alias("r"))))
+    got = edges.groupBy("request_id").agg(block.alias("b"), step.alias("n"))
+    text = F.concat(F.lit("Objective: "), F.col("title"), F.lit(". Status: "), F.col("status"), F.coalesce(F.concat(F.lit(". Blocker: "), F.col("b.r")), F.lit("")), F.coalesce(F.concat(F.lit(". Next: "), F.col("n.r")), F.lit("")))
+    return root.join(got, "request_id", "left").select("request_id", text.alias("summary"))
