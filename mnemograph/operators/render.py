@@ -128,8 +128,11 @@ def classified(nodes: DataFrame, edges: DataFrame, roots: DataFrame, resume: boo
 
 
 def summary(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """request_id and a line of its objective, status, blocker (first constraint) and next step (most salient reason)."""
-    root = roots.join(nodes.withColumnRenamed("node_id", "root"), ["request_id", "root"]).select("request_id", "title", "status")
+    """request_id and a line of its objective, status, blocker (first constraint) and next step (most salient reason).
+
+    nodes has a row for each node_id, whatever the request.
+    """
+    root = roots.join(nodes.select(F.col("node_id").alias("root"), "title", "status"), "root").select("request_id", "title", "status")
     late = F.coalesce("sequence", F.lit(2**62))
     reason = F.concat(F.col("source"), F.lit(" > "), F.col("target"))
     block = F.min(F.when(F.col("semantic_class") == "constraint", F.struct(late.alias("s"), "source", "target", reason.alias("r"))))
