@@ -16,8 +16,8 @@ def iso_date(x: Column) -> Column:
 
 def chunks(text: Column, most: int = 1800) -> Column:
     """Numbered fact lines if there are two or more, else paragraphs if there are, else words packed to so many characters."""
-    facts = F.filter(F.transform(F.split(text, r"\n"), F.trim), lambda x: x.rlike(r"^\d+\s*\..+$"))
-    paragraphs = F.filter(F.transform(F.split(text, r"\n\s*\n"), F.trim), lambda x: x != "")
+    facts = F.filter(F.transform(F.split(text, r"\n"), lambda x: F.trim(x)), lambda x: x.rlike(r"^\d+\s*\..+$"))
+    paragraphs = F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda x: F.trim(x)), lambda x: x != "")
 
     def step(acc: Column, w: Column) -> Column:
         last = F.element_at(acc, -1)
