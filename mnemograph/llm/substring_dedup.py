@@ -8,6 +8,8 @@ window is repeated if the smallest position in its suffix-array interval is not
 All occurrences of a window meet in one shard: a window's minimiser is the smallest hash of its six-word runs, and the
 words around runs of windows with one minimiser are sent to the minimiser's shard. Only minimisers that occur twice
 take part. A task sends equal segments once and reports their copies itself, and a shard indexes equal segments once.
+A minimiser whose segments may hold more words than an index, as at the borders of a passage that many documents hold,
+has its windows sent one by one, each to the shard of its own hash: equal windows share it, and no shard outgrows an index.
 Words stand in segments as 40-bit hashes, next to the 64-bit hash of the minimiser.
 
 Words are runs of bytes other than 0x20 and 0x09 to 0x0D. Null and empty texts have no words. A row whose doc_id is
@@ -183,24 +185,26 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _occurrences(docs: DataFrame, window: int) -> DataFrame:
-    """doc_id, h and ms: the minimiser of each run of windows with one, and once more if its words occur twice in the document."""
+    """doc_id, h and ms: the minimiser of each run of windows with one, once for each `window - RUN + 1` windows, and once more if its words occur twice in the document."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = []
         for text in batch.column(2).to_pylist():
             words = _hashes(text)
             m = _minimisers(words, window)
-            m = m[_runs(m)[0]]
+            starts, ends = _runs(m)
+            m = m[starts]
             grams = np.sort(common.gram_hashes(words, RUN)) if len(m) else m
             again = np.unique(grams[1:][grams[1:] == grams[:-1]])
-            found.append(np.concatenate([m, again[np.isin(again, m)]]).view(np.int64))
+            each = np.repeat(m, -(-(ends - starts) // (window - RUN + 1)))
+            found.append(np.concatenate([each, again[np.isin(again, m)]]).view(np.int64))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "h", "ms"])
 
     return _keyed(docs).mapInArrow(common.by_batch(lambda: run), "doc_id long, h long, ms array<long>")
 
 
 def _segments(docs: DataFrame, wanted: DataFrame, window: int, most_held: int = 200_000) -> DataFrame:
-    """route, doc_id, h, start, words of the runs of windows that have a wanted minimiser.
+    """route, doc_id, h, start, words of the runs of windows that have a wanted minimiser; of each window, if it is one of `many`.
 
     Equal segments of a task are sent once, for the first of their documents; the others come as rows without words.
     """
@@ -218,29 +222,40 @@ def _segments(docs: DataFrame, wanted: DataFrame, window: int, most_held: int =
             return out(rows)
 
         for batch in batches:
-            copies = []
-            for doc_id, h, text, ms in zip(*(c.to_pylist() for c in batch.columns)):
+            copies: list[tuple] = []
+
+            def copied(doc_id: int, h: int, start: int, size: int) -> None:
+                if copies and copies[-1][:2] == (doc_id, h) and copies[-1][2] + copies[-1][3] - window + 1 == start:
+                    start, size = copies[-1][2], copies[-1][3] + size - window + 1
+                    copies.pop()
+                copies.append((doc_id, h, start, size))
+
+            for doc_id, h, text, ms, many in zip(*(c.to_pylist() for c in batch.columns)):
                 words = _hashes(text)
                 m = _minimisers(words, window)
                 hit = np.isin(m, np.array(ms, np.int64).view(np.uint64))
-                for a, b in zip(*_runs(m)):
-                    if hit[a]:
-                        body, own, size, route = _pack(words[a : b + window - 1]), (doc_id, h, int(a)), int(b - a + window - 1), int(m[a].view(np.int64))
-                        first = held.get(body)
-                        if first is None:
+                alone = np.isin(m, np.array(many, np.int64).view(np.uint64))
+                whole = common.gram_hashes(words, window) if many else m
+                for first, last in zip(*_runs(m)):
+                    if not hit[first]:
+                        continue
+                    for a, b, route in zip(range(first, last), range(first + 1, last + 1), whole[first:last].view(np.int64).tolist()) if alone[first] else [(first, last, int(m[first].view(np.int64)))]:
+                        body, own, size = _pack(words[a : b + window - 1]), (doc_id, h, int(a)), int(b - a + window - 1)
+                        have = held.get(body)
+                        if have is None:
                             held[body] = route, own, size
-                        elif first[1] < own:
-                            copies.append((route, *own, size, None))
-                        elif own < first[1]:
+                        elif have[1] < own:
+                            copied(*own, size)
+                        elif own < have[1]:
                             held[body] = route, own, size
-                            copies.append((route, *first[1], size, None))
-                if len(held) >= most_held:
-                    yield flush()
+                            copied(*have[1], size)
+                    if len(held) >= most_held:
+                        yield flush()
             # Copies need no shard: any task can pass them on.
-            yield out([(int(common.mix(np.array([r[1] ^ r[3]], np.int64).view(np.uint64))[0].view(np.int64)), *r[1:]) for r in copies])
+            yield out([(int(common.mix(np.array([r[0] ^ r[2]], np.int64).view(np.uint64))[0].view(np.int64)), *r, None) for r in copies])
         yield flush()
 
-    both = _keyed(docs).join(wanted, ["doc_id", "h"]).select("doc_id", "h", "text", "ms")
+    both = _keyed(docs).join(wanted, ["doc_id", "h"]).select("doc_id", "h", "text", "ms", "many")
     return both.mapInArrow(run, "route long, doc_id long, h long, start int, size int, words binary")
 
 
@@ -293,16 +308,38 @@ def _covered(segments: DataFrame, window: int, index_words: int) -> DataFrame:
     return ordered.mapInArrow(run, "doc_id long, h long, start int, size int")
 
 
+def routed(docs: DataFrame, window: int, index_words: int) -> DataFrame:
+    """The segments of all minimisers that occur twice; the distinct ones of a route hold at most index_words words."""
+    found = common.written(_occurrences(docs, window)).select("doc_id", "h", F.explode("ms").alias("m"))
+    # So many windows with one minimiser are a segment of 2 * window - RUN words.
+    most = F.count("*") * (2 * window - RUN)
+    twice = found.groupBy("m").agg(F.count("*").alias("n"), (most > index_words).alias("over")).filter("n > 1").select("m", "over")
+    sets = F.collect_set("m").alias("ms"), F.collect_set(F.when(F.col("over"), F.col("m"))).alias("many")
+    wanted = common.written(found.join(twice, "m").groupBy("doc_id", "h").agg(*sets))
+    return _segments(docs, common.sized(wanted, "8 * (size(ms) + size(many))"), window)
+
+
+def _joined(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The batch with each row's stretches in order, those that overlap or touch as one."""
+    starts, sizes = [], []
+    for a, n in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+        order = np.argsort(a, kind="stable")
+        first, end = np.array(a, np.int64)[order], np.maximum.accumulate(np.add(a, n)[order])
+        cut = np.concatenate([[0], np.flatnonzero(first[1:] > end[:-1]) + 1])
+        first, end = first[cut], end[np.append(cut[1:], len(end)) - 1]
+        starts.append(first)
+        sizes.append(end - first)
+    lists = [pa.array(x, pa.list_(pa.int32())) for x in (starts, sizes)]
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["doc_id", "h", "starts", "sizes"])
+
+
 def repeated_passages(docs: DataFrame, window: int = 20, index_words: int = 1_000_000) -> DataFrame:
     """doc_id, h (hash of the text), starts and sizes (words) of what repeated windows cover in each document."""
     if window % 4 or window < 2 * RUN:
         raise ValueError("the window must be a multiple of four, twelve words at least")
-    found = common.written(_occurrences(docs, window)).select("doc_id", "h", F.explode("ms").alias("m"))
-    twice = found.groupBy("m").agg(F.count("*").alias("n")).filter("n > 1").select("m")
-    wanted = common.written(found.join(twice, "m", "left_semi").groupBy("doc_id", "h").agg(F.collect_set("m").alias("ms")))
-    segments = _segments(docs, common.sized(wanted, "8 * size(ms)"), window)
+    segments = routed(docs, window, index_words)
     covered = _covered(segments, window, index_words)
-    return covered.groupBy("doc_id", "h").agg(F.collect_list("start").alias("starts"), F.collect_list("size").alias("sizes"))
+    return covered.groupBy("doc_id", "h").agg(F.collect_list("start").alias("starts"), F.collect_list("size").alias("sizes")).mapInArrow(common.by_batch(lambda: _joined), "doc_id long, h long, starts array<int>, sizes array<int>")
 
 
 def remove_repeated(docs: DataFrame, window: int = 20) -> DataFrame:

@@ -86,3 +86,18 @@ def test_sql(spark):
     d.execute("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
     want = sorted(d.execute(s.OP9_SQL).fetchall())
     assert sorted(map(tuple, s.op9_substring_dedup(spark, "/root/testdata/sf0.001").collect())) == want
+
+
+def test_popular_passage_with_different_borders_stays_within_an_index(spark):
+    rng = random.Random(5)
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage = fresh(30)
+    docs = [(i, f"{fresh(18)} {passage} {fresh(18)}") for i in range(150)] + [(150 + i, "again " * (100 + i)) for i in range(10)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    sizes: dict[int, dict[bytes, int]] = {}
+    for r in s.routed(df, 20, 1000).filter("words is not null").collect():
+        sizes.setdefault(r.route, {})[bytes(r.words)] = r["size"]
+    assert max(sum(x.values()) for x in sizes.values()) <= 1000
+    rows = {r.doc_id: r for r in s.repeated_passages(df, index_words=1000).collect()}
+    want = {i: n for i, _, n, _ in brute(docs) if n}
+    assert {i: len({k for a, n in zip(r.starts, r.sizes) for k in range(a, a + n)}) for i, r in rows.items()} == want
