@@ -3,18 +3,19 @@
 A line's quote level is the number of > marks that open it. Consecutive lines of one level are a passage. The whole of
 a passage, and each of its lines of eight characters or more, is normalised (lower case, letters and digits only, one
 space) and hashed; so are each message's own text and lines. The first turn of a conversation that has a quoted hash is
-the original. A message replies to the latest original among its passages of the lowest level, or else to the turn
-before it. In the order (reply_to, turn), nulls first, every message stands behind the one it replies to; this needs no
-window over a conversation.
+the original. A message replies to the latest original among its passages of the lowest level, or else to the last
+turn of its conversation before it. In the order (reply_to, turn), nulls first, every message stands behind the one it
+replies to; a message's position is its place in that order, from 1, by a window over its conversation.
 
-Null and empty texts have no lines, no quotes and an empty body. A null conv_id or turn links to nothing. Rows that
+Null and empty texts have no lines, no quotes and an empty body. A null conv_id or turn links to nothing, and a null
+conv_id is no conversation: it has no position. Rows that
 repeat a turn are each returned, and are one original. An empty table gives an empty result. Other columns are not
 read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -58,6 +59,13 @@ def _units(text: Column) -> Column:
     return F.array_distinct(F.transform(F.concat(whole, lines), lambda x: F.xxhash64(x)))
 
 
+def _gaps(read: DataFrame) -> DataFrame:
+    """conv_id, turn and before (the last turn before it, or null) where that is not the number before the turn."""
+    turns = read.filter("conv_id is not null and turn is not null").select("conv_id", "turn").distinct()
+    before = turns.withColumn("before", F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn")))
+    return before.filter("not (before <=> case when turn > 0 then turn - 1 end)").withColumn("gap", F.lit(True))
+
+
 def link_replies(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, body, quote_levels, linked, reply_to of every message."""
     read = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
@@ -82,8 +90,17 @@ def link_replies(messages: DataFrame) -> DataFrame:
     # Only messages that quote can be linked; the others take no part in the join.
     linked = parsed.filter(F.size("passages") > 0).join(found, ["conv_id", "turn"], "left").withColumn("quote_levels", levels)
     plain = parsed.filter(F.size("passages") == 0).withColumns({"origin": F.lit(None).cast("long"), "quote_levels": F.lit(0).cast("long")})
-    before = F.when(F.col("turn") > 0, F.col("turn") - 1)
-    return plain.unionByName(linked).select("conv_id", "turn", "role", "body", "quote_levels", F.col("origin").isNotNull().alias("linked"), F.coalesce("origin", before).alias("reply_to"))
+    # Turns without gaps need no join: the side of the gaps is small or empty.
+    every = plain.unionByName(linked).join(common.sized(_gaps(read)), ["conv_id", "turn"], "left")
+    before = F.when(F.col("gap"), F.col("before")).when(F.col("conv_id").isNotNull() & (F.col("turn") > 0), F.col("turn") - 1)
+    return every.select("conv_id", "turn", "role", "body", "quote_levels", F.col("origin").isNotNull().alias("linked"), F.coalesce("origin", before).alias("reply_to"))
+
+
+def in_reply_order(linked: DataFrame, tie: str) -> DataFrame:
+    """linked (conv_id, turn, reply_to) with position: the place in the conversation's reply order; of one turn's rows by `tie`."""
+    order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("reply_to"), F.asc_nulls_first("turn"), tie)
+    placed = linked.filter("conv_id is not null").withColumn("position", F.row_number().over(order).cast("long"))
+    return placed.unionByName(linked.filter("conv_id is null").withColumn("position", F.lit(None).cast("long")))
 
 
 def chat_text(role: Column, body: Column) -> Column:
@@ -103,3 +120,19 @@ SELECT conv_id, turn, role, CASE WHEN turn > 0 THEN turn - 1 END AS reply_to, fa
   sha256('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || chr(10)) AS chat_sha256
 FROM conversations
 """
+
+
+def op5_reply_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = link_replies(common.table(spark, sf_dir, "conversations"))
+    said = linked.select("conv_id", "turn", "reply_to", F.sha2(chat_text(F.col("role"), F.col("body")), 256).alias("chat_sha256"))
+    return in_reply_order(said, "chat_sha256")
+
+
+#: As above; the turns of the tables have no gaps.
+OP5_ORDER_SQL = """
+WITH said AS (
+  SELECT conv_id, turn, CASE WHEN turn > 0 THEN turn - 1 END AS reply_to,
+    sha256('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || chr(10)) AS chat_sha256
+  FROM conversations)
+SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY reply_to NULLS FIRST, turn NULLS FIRST, chat_sha256) AS position FROM said
+"""

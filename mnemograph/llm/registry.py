@@ -7,7 +7,7 @@ from .decontaminate import op6_decontaminate
 from .licences import op7_licences
 from .near_dup import OP1_SQL, op1_near_dup
 from .quality import op4_quality
-from .quote_links import OP5_SQL, op5_quote_links
+from .quote_links import OP5_ORDER_SQL, OP5_SQL, op5_quote_links, op5_reply_order
 from .secrets import op8_secrets
 from .substring_dedup import OP9_SQL, op9_substring_dedup
 from .token_files import op10_token_files
@@ -19,6 +19,7 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_quality": op4_quality,
     "op5_quote_links": op5_quote_links,
+    "op5_reply_order": op5_reply_order,
     "op6_decontaminate": op6_decontaminate,
     "op7_licences": op7_licences,
     "op8_secrets": op8_secrets,
@@ -29,5 +30,6 @@ ORACLES = {
     "op1_near_dup": OP1_SQL,
     "op2_top_k": OP2_SQL,
     "op5_quote_links": OP5_SQL,
+    "op5_reply_order": OP5_ORDER_SQL,
     "op9_substring_dedup": OP9_SQL,
 }

@@ -50,3 +50,18 @@ def test_sql(spark):
     assert sorted(map(tuple, got.collect()), key=str) == want
     plan = got._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_gaps_and_positions(spark):
+    rows = [(1, 0, "user", "the first thing"), (1, 3, "user", "the second thing"), (1, 7, "user", "> the first thing\nyes"), (1, 8, "user", "no"), (2, 5, "user", "starts late"), (2, 5, "user", "again"), (2, 9, "user", "more"), (2, None, "user", "x"), (None, 4, "user", "y")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = quote_links.in_reply_order(quote_links.link_replies(df), "body").collect()
+    want = {"the first thing": (None, 1), "the second thing": (0, 2), "yes": (0, 3), "no": (7, 4), "x": (None, 1), "again": (None, 2), "starts late": (None, 3), "more": (5, 4), "y": (None, None)}
+    assert {r.body: (r.reply_to, r.position) for r in got} == want and len(got) == len(rows)
+
+
+def test_order_sql(spark):
+    d = duckdb.connect()
+    d.execute("create view conversations as select * from '/root/testdata/sf0.001/conversations.parquet'")
+    want = sorted(d.execute(quote_links.OP5_ORDER_SQL).fetchall(), key=str)
+    assert sorted(map(tuple, quote_links.op5_reply_order(spark, "/root/testdata/sf0.001").collect()), key=str) == want
