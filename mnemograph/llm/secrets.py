@@ -3,10 +3,11 @@
 Everything is one projection of built-in functions: no shuffle, no Python on the executors. A pattern's matches come
 from regexp_extract_all and the pieces between them from split, so that positions are running sums of code points.
 
-Entropy: a candidate is a maximal run of a character class that holds a digit. A window slides over it by one
+Entropy: a candidate is a maximal run of a character class, with digits or without. A window slides over it by one
 character; the counts of its characters and the sum of c log2 c change by the character that enters and the one that
 leaves. A candidate whose best window reaches the class's bits is a span of kind `entropy`, unless an allow-list
-pattern matches the candidate or a pattern's span covers part of it.
+pattern matches the candidate or a pattern's span covers part of it. A candidate of so few characters that no window
+can reach the bits is not slid over.
 
 Null texts are empty: no spans. doc_id may be null or repeat: a row in, a row out. Other columns are not read.
 """
@@ -52,7 +53,7 @@ ENTROPY = (EntropyClass("A-Fa-f0-9", 24, 24, 3.0), EntropyClass("A-Za-z0-9+/_=-"
 ALLOWED = (
     r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
     r"^[0-9][0-9/_=+-]*$",
-    r"^[A-Za-z]*(?:[-_/][A-Za-z]+)*[-_/]?[0-9]{1,4}$",
+    r"^[a-z]*(?:[-_/][a-z]+)*[-_/]?[0-9]{1,4}$",
 )
 
 
@@ -109,11 +110,12 @@ def _entropy_spans(text: Column, base: Column, classes: tuple[EntropyClass, ...]
             ok = ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
             for a in allowed:
                 ok = ok & ~x["raw"].rlike(a)
+            ok = ok & (F.size(F.array_distinct(F.split(x["raw"], ""))) >= 2.0**c.bits - 1e-9)
             return F.when(ok, best_window_bits(x["raw"], c.window) >= c.bits).otherwise(F.lit(False))
 
         return check
 
-    groups = [F.filter(_matches(text, f"(?=[{c.characters}]*?[0-9])[{c.characters}]{{{c.least},}}", 0, c.least), secret(c)) for c in classes]
+    groups = [F.filter(_matches(text, f"[{c.characters}]{{{c.least},}}", 0, c.least), secret(c)) for c in classes]
     spans = _placed(F.concat(*groups), len(KINDS), "entropy")
     return F.array_distinct(spans)
 

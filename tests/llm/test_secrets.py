@@ -58,3 +58,10 @@ def test_tables(spark):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x.startswith(k) for x in b.split(",")) for k in ("assign", "access", "hex"))
         assert set(filter(None, b.split(","))) <= set(r.spans.split(","))
     assert secrets.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_entropy_of_letters(spark):
+    key, named = "QwXzRtYpLkJhGfDsVbNm", "QwXzRtYpLkJhGfDsVbNm7"
+    got = scanned(spark, f"key {key} end", f"key {named} end", "internationalization", "correct-horse-battery", "lowercase-names-of/hosts_and-files-12", "x" * 100000)
+    assert [got[i].s for i in range(6)] == ["entropy:4:24", "entropy:4:25", "", "", "", ""]
+    assert got[0].r == got[1].r == "key [SECRET] end"
