@@ -1,6 +1,6 @@
 """Operator 7: licences recognised by the sentences of their notices.
 
-A text is cut into units at line ends and behind . ; : ! ?, and a run of up to `most_lines` units is a sentence if its
+A text is cut into units at line ends and behind . ; : ! ?, and a run of units, as long as the longest known sentence at most, is a sentence if its
 normal form (lower case, letters and digits, one space) is in the table of known sentences; the longest run wins. That
 gives a sequence of sentence identifiers. A licence's rule is an ordered sequence of identifiers: it is met where they
 follow each other in that order, with no more than `gap` units between two. Rules that lie inside the span of a longer
@@ -73,13 +73,13 @@ def normal(text: str) -> str:
 
 
 class Recogniser:
-    def __init__(self, sentences: dict[str, str] = SENTENCES, rules: tuple = RULES, gap: int = 4, most_lines: int = 12):
+    def __init__(self, sentences: dict[str, str] = SENTENCES, rules: tuple = RULES, gap: int = 4):
         self.known = {normal(v): k for k, v in sentences.items()}
         # A text with a known sentence has one of these words; each sentence has the longest of its own.
         self.words = sorted({max(n.split(), key=lambda w: (len(w), w)) for n in self.known})
         self.begins = {w[:2] for n in self.known for w in [tuple(n.split())]}
         self.longest = max(map(len, self.known))
-        self.rules, self.gap, self.most_lines = rules, gap, most_lines
+        self.rules, self.gap = rules, gap
 
     def sequence(self, text: str) -> list[tuple[int, int, str]]:
         """First unit, last unit and identifier of the known sentences of a text, in order."""
@@ -92,7 +92,7 @@ class Recogniser:
             best = None
             if tuple(units[i].split(" ", 2)[:2]) in self.begins or " " not in units[i]:
                 run = ""
-                for j in range(i, min(len(units), i + self.most_lines)):
+                for j in range(i, len(units)):
                     run = f"{run} {units[j]}" if run else units[j]
                     if len(run) > self.longest:
                         break

@@ -1,5 +1,7 @@
 """Operator 7 on planted notices and against a plain search."""
 
+import textwrap
+
 from mnemograph.llm import licences
 
 SF = "/root/testdata/sf0.001"
@@ -42,3 +44,9 @@ def test_tables(spark):
     got = {r.doc_id: r.licences for r in licences.op7_licences(spark, SF).collect()}
     assert got == want and want
     assert licences.licence_scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_notice_in_narrow_columns(spark):
+    s = licences.SENTENCES
+    wrapped = lambda n: "\n".join(f"# {line}" for x in ("mit-grant", "mit-notice") for line in textwrap.wrap(s[x], n))
+    assert {k: v[0] for k, v in found(spark, *(wrapped(n) for n in (80, 38, 34, 20))).items()} == {0: "MIT", 1: "MIT", 2: "MIT", 3: "MIT"}
