@@ -5,14 +5,16 @@ filled bin in an order of its own (optimal densification). Each band of bins giv
 shingle sets form a class, and only its smallest document goes on. In each bucket the class that shares most buckets
 with others is the hub of a star, and its candidate edges to the others are confirmed on full sets. A bucket whose
 members are then in one component is done, since links inside a component change nothing. In the others, pairs of
-different components are left; a shingle that no other of these sets has cannot be in an intersection, which bounds a
-pair's similarity, and only pairs whose bound reaches the threshold are confirmed. So no pair of a bucket that could
-join two components is left out, while copies and large groups of edited copies give an edge a member.
+different components are left. What a member has and its hub lacks, or the other way round, is a small set, and two
+members are linked exactly if those two sets overlap enough; pairs are found by the rarest elements of them, by a
+prefix filter, and confirmed (_open_pairs). So no pair of a bucket that could join two components is left out, while
+copies and large groups of edited copies give about an edge a member.
 
 Words are runs of bytes other than 0x20 and 0x09 to 0x0D, A-Z lower-cased. Null and empty texts have an empty set and
 no links, as does a row whose doc_id is null: its component_id is its own doc_id, and kept is true. Rows that repeat a
-doc_id are one document of several texts, linked if any of them is, and each row is returned. Other columns are not
-read.
+doc_id are one document of several texts, linked if any of them is, and each row is returned. An empty table gives an
+empty result. A text of any length is one set; hubs of equal rank are taken by the smaller doc_id. Other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -120,17 +122,47 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _own_shingles(sets: DataFrame) -> DataFrame:
-    """class and alone: how many of its shingles no other of these sets has."""
+def _differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """hub, node and diff (hashes that one of the two sets has and the other lacks) of the pairs (hub, node, class_h, class_x)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64()))], names=["class", "hashes"])
-
-    flat = sets.mapInArrow(run, "class binary, hashes array<long>").select("class", F.explode("hashes").alias("hash"))
-    single = flat.groupBy("hash").agg(F.count("*").alias("n"), F.min("class").alias("class")).filter("n = 1")
-    return single.groupBy("class").agg(F.count("*").alias("alone"))
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                lists = [np.setxor1d(np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64), assume_unique=True) for x, y in zip(part.column(2), part.column(3))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lists, pa.list_(pa.int64()))], names=["hub", "node", "diff"])
+
+    first = sets.select(F.col("class").alias("class_h"), F.col("hashes").alias("hashes_h"))
+    second = sets.select(F.col("class").alias("class_x"), F.col("hashes").alias("hashes_x"))
+    both = pairs.join(second, "class_x").join(first, "class_h").select("hub", "node", "hashes_h", "hashes_x")
+    return both.mapInArrow(run, "hub long, node long, diff array<long>")
+
+
+def _open_pairs(left: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """Pairs (a, node_a, b, node_b) of different components that the stars leave possible.
+
+    left: hub, class_h, node, doc_id, class, n, part of the members of buckets with several components. With D(x) the
+    size of x's difference from the hub, x and y are linked exactly if their differences have at least
+    (S(x) + S(y)) / (2 * (100 + share)) hashes in common, where S(x) = (100 + share) * D(x) - (100 - share) * n(x). No
+    member has a smaller S than the hub, so two members that need nothing in common are both linked to the hub, and of
+    all others those hashes bring them together: each member is found by its rarest ones, as many as must hold one of
+    any sufficient overlap (a prefix filter). Hashes of one component alone count for nothing.
+    """
+    up, down = 100 + share, 100 - share
+    measured = common.written(_differences(left.select("hub", "node", "class_h", F.col("class").alias("class_x")), sets).join(left.select("hub", "node", "doc_id", "n", "part"), ["hub", "node"]).withColumn("s", up * F.size("diff") - down * F.col("n")))
+    flat = measured.select("hub", "node", "part", F.explode("diff").alias("hash"))
+    live = flat.groupBy("hub", "hash").agg(F.count("*").alias("times"), F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("hub", "hash", "times")
+    rare_first = F.transform(F.sort_array(F.collect_list(F.struct("times", "hash"))), lambda x: x["hash"])
+    lists = flat.join(live, ["hub", "hash"]).groupBy("hub", "node").agg(rare_first.alias("rare"))
+    best = measured.groupBy("hub").agg(F.min(F.struct("s", "part")).alias("best"), F.max("n").alias("most_n"))
+    second = measured.join(best, "hub").filter("part <> best.part").groupBy("hub").agg(F.min("s").alias("second"))
+    other = F.when(F.col("part") == F.col("best.part"), F.col("second")).otherwise(F.col("best.s"))
+    need = F.greatest(F.lit(1), F.ceil((F.col("s") + other) / (2 * up)), F.ceil((F.col("s") - down * F.col("most_n")) / up)).cast("int")
+    known = measured.select("hub", "node", "doc_id", "part", "s").join(lists, ["hub", "node"]).join(best.join(second, "hub"), "hub").withColumn("need", need).filter(F.size("rare") >= F.col("need"))
+    keys = common.written(known.select("hub", "node", "doc_id", "part", "s", F.size("rare").alias("live"), F.explode(F.slice("rare", F.lit(1), F.size("rare") - F.col("need") + 1)).alias("hash")))
+    side = lambda x: keys.select("hub", "hash", F.col("doc_id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("node", "part", "s", "live")))
+    enough = 2 * up * F.least("live_a", "live_b") >= F.col("s_a") + F.col("s_b")
+    return side("a").join(side("b"), ["hub", "hash"]).filter((F.col("part_a") < F.col("part_b")) & enough).select("a", "node_a", "b", "node_b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -177,21 +209,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, share: int = 80, bands: int
 
     links = common.written(confirmed(pairs))
     labels = components(links)
-    # Buckets whose members are still in several components: their other pairs. A pair's intersection has none of the
-    # shingles that only one of these sets has, which bounds its similarity from above.
+    # Buckets whose members are still in several components: pairs whose differences from the hub overlap enough.
     part = labels.withColumnRenamed("node", "doc_id")
     named = members.join(part, "doc_id", "left").select("bucket", "doc_id", "node", "n", F.coalesce("label", "doc_id").alias("part"))
     mixed = named.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("bucket")
-    left = common.written(named.join(mixed, "bucket"))
+    centres = hub.join(mixed, "bucket").select("bucket", F.col("h.node").alias("hub"), F.col("h.doc_id").alias("hub_doc"))
+    left = common.written(named.join(centres, "bucket").select("hub", "hub_doc", "doc_id", "node", "n", "part").distinct())
     if not left.isEmpty():
-        unsettled = classes.join(left.select("doc_id", "node").distinct(), ["doc_id", "node"], "left_semi").select("doc_id", "node", "class")
-        alone = _own_shingles(sets.join(unsettled.select("class"), "class", "left_semi"))
-        counted = common.written(unsettled.join(alone, "class", "left").select("doc_id", "node", F.coalesce("alone", F.lit(0)).alias("alone")))
-        open_ = common.written(left.join(counted, ["doc_id", "node"]).withColumn("most", F.col("n") - F.col("alone")).filter(100 * F.col("most") >= share * F.col("n")))
-        side = lambda x: open_.select("bucket", F.col("doc_id").alias(x), F.col("node").alias(f"node_{x}"), F.col("n").alias(f"n_{x}"), F.col("most").alias(f"most_{x}"), F.col("part").alias(f"part_{x}"))
-        both = F.least("most_a", "most_b")
-        close = 100 * both >= share * (F.col("n_a") + F.col("n_b") - both)
-        more = side("a").join(side("b"), "bucket").filter((F.col("part_a") < F.col("part_b")) & close).select("a", "node_a", "b", "node_b").distinct()
+        of_hub = classes.select(F.col("doc_id").alias("hub_doc"), F.col("node").alias("hub"), F.col("class").alias("class_h"))
+        more = _open_pairs(left.join(classes.select("doc_id", "node", "class"), ["doc_id", "node"]).join(of_hub, ["hub", "hub_doc"]), sets, share)
         found_more = common.written(confirmed(more))
         links = links.union(found_more)
         if not found_more.isEmpty():

@@ -25,7 +25,7 @@ def brute(docs, words=3, share=85):
     ids = sorted(sets)
     for a in ids:
         for b in ids:
-            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= share * len(sets[a] | sets[b]):
+            if a < b and sets[a] and 100 * (both := len(sets[a] & sets[b])) >= share * (len(sets[a]) + len(sets[b]) - both):
                 x, y = sorted((root(a), root(b)))
                 up[y] = x
     return sorted((i, len(sets[i]), root(i), root(i) == i) for i in ids)
@@ -63,6 +63,45 @@ def test_chain_whose_hub_is_far(spark):
     assert sorted(map(tuple, got.collect())) == brute(rows)
 
 
+def test_large_group_of_edited_copies(spark):
+    """Replaced, dropped and doubled words, many at the same places: most pairs are near the threshold."""
+    rng = random.Random(11)
+    base = [f"{rng.choice('abcdef')}{rng.randrange(60)}" for _ in range(90)]
+    rows = []
+    for i in range(1000):
+        w = list(base)
+        for _ in range(rng.choice((0, 1, 1, 2, 2, 3, 4, 5, 6))):
+            at, kind = rng.randrange(len(w)), rng.randrange(3)
+            w[at : at + 1] = [[], [w[at], w[at]], [f"x{rng.randrange(9)}"]][kind]
+        rows.append((i, " ".join(w)))
+    got = near_dup.near_duplicates(docs_of(spark, rows), words=3, share=85, rows=8)
+    assert sorted(map(tuple, got.collect())) == brute(rows)
+
+
+def test_open_pairs_find_every_link_between_components(spark):
+    """Every pair that is linked and lies in different components is returned, with any labels of components."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(160):
+        w = list(base)
+        for _ in range(rng.randrange(7)):
+            at = rng.randrange(len(w))
+            w[at : at + 1] = rng.choice(([], [w[at], w[at]], [f"x{rng.randrange(3)}"]))
+        texts.append(" ".join(w))
+    sets = [near_dup.shingle_hashes(t, 3) for t in dict.fromkeys(texts)]
+    similar = lambda p, q: 100 * len(set(p) & set(q)) >= 85 * len(set(p) | set(q))
+    hub = 0
+    part = [0 if similar(s, sets[hub]) else i for i, s in enumerate(sets)]
+    rows = [(hub, i, i, len(s), part[i], near_dup._class(sets[hub].tobytes()), near_dup._class(s.tobytes())) for i, s in enumerate(sets)]
+    left = spark.createDataFrame(rows, "hub long, node long, doc_id long, n int, part long, class_h binary, class binary")
+    known = spark.createDataFrame([(near_dup._class(s.tobytes()), bytearray(s.tobytes())) for s in sets], "class binary, hashes binary")
+    got = {tuple(sorted((r.a, r.b))) for r in near_dup._open_pairs(left, known, 85).collect()}
+    want = {(j, i) for i, p in enumerate(sets) for j, q in enumerate(sets[:i]) if part[i] != part[j] and similar(p, q)}
+    assert want and want <= got
+    assert len(got) < len(sets) * (len(sets) - 1) / 4
+
+
 def test_odd_rows(spark):
     rows = [(5, None), (4, ""), (3, " \t\n"), (2, "One two"), (1, "one TWO"), (None, "one two"), (7, "É a b"), (8, "é a b")]
     df = docs_of(spark, rows).withColumn("n_shingles", F.lit("clash")).withColumn("kept", F.lit(1))
