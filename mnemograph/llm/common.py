@@ -21,17 +21,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession, most_bytes: int = 4 << 20) -> None:
+    """Has Spark cut the batches that it sends to Python by bytes too, where the session does not say how; texts may be long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(most_bytes))
+
+
 def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The two columns that the text operators read; any other columns are pruned from the scan."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under the one that the cluster names in spark.checkpoint.dir; where it is unset, as in tests, a temporary one."""
+    """A new folder under the one that the cluster names in spark.checkpoint.dir; where it is unset and the master is local, as in tests, a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster needs a shared folder in spark.checkpoint.dir")
         base = f"file://{tempfile.mkdtemp(prefix='mnemograph-')}"
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/mnemograph-{uuid.uuid4().hex}"
