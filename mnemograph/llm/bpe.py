@@ -3,12 +3,13 @@
 A tokenization of bytes is the merge list's own exactly if each two neighbouring tokens are (no merge of lower rank
 joins across their border). So the last token of every prefix is unique: the token that ends there and agrees with the
 last token of the prefix before it. The encoder keeps those last tokens for the positions that are still open, and
-emits a token as soon as the paths back from every position that can still begin a token have met: nothing that
-follows can change it. How far a merge can look to its right is computed from the merge list (BpeModel.lookahead);
-stability is tried once for each stretch of that length, so state stays constant however long a piece is.
+emits a token once so many bytes stand behind it as a merge can look to its right, a bound that is computed from the
+merge list (BpeModel.lookahead), and the paths back from every position that can still begin a token have met behind it:
+nothing that follows can change it. So state stays constant however long a piece is. A piece that is shorter than the
+bound is emitted at its end. Every piece goes through this transducer; the tokens of short ones are remembered.
 
-Null texts are empty; an empty text has no tokens. doc_id may be null or repeat: a row in, a row out. Other columns are
-not read.
+Null texts are empty; an empty text has no tokens. Texts of any length are read in windows. doc_id may be null or
+repeat: a row in, a row out. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from typing import Any
@@ -30,6 +32,26 @@ from . import common
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _PIECES = regex.compile(PATTERN)
+
+
+def _first_256() -> re.Pattern:
+    """The pattern for texts of the first 256 characters alone, its classes spelled out."""
+    of = lambda c: "".join(re.escape(chr(i)) for i in range(256) if regex.match(c, chr(i)))
+    letters, numbers, spaces = of(r"\p{L}"), of(r"\p{N}"), of(r"\s")
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{spaces}{letters}{numbers}]+|[{spaces}]+(?![^{spaces}])|[{spaces}]+")
+
+
+_PIECES_256 = _first_256()
+
+
+def _pieces_of(text: str) -> Any:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _PIECES
+    return _PIECES_256
+
+
 #: A piece is final if it ends so many characters before the end of what has been read: longest contraction and one.
 _HOLD = 4
 _RUNS = [regex.compile(p) for p in (r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+")]
@@ -57,6 +79,8 @@ class BpeModel:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for k, v in self.special.items():
             self.table[v] = k.encode()
+        #: Bytes that begin a token, with the tokens that they end with, longest first (found when first asked for).
+        self.begins: dict[bytes, tuple[tuple[int, int], ...] | None] = dict.fromkeys(k[:i] for k in self.ids for i in range(1, len(k) + 1))
         self.special_pattern = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.rank: dict[tuple[int, int], int] = {}
         self.made: dict[int, tuple[int, int, int]] = {}
@@ -66,7 +90,8 @@ class BpeModel:
             self.rank.setdefault(pair, r)
             self.made.setdefault(self.ids[a + b], (r, *pair))
         self.longest = max(map(len, self.ids))
-        self.agrees = lru_cache(maxsize=1 << 18)(self._agrees)
+        self._borders: dict[int, bool] = {}
+        self._wholes: dict[int, bool] = {}
         self.lookahead = self._lookahead()
 
     def _lookahead(self) -> int:
@@ -87,6 +112,16 @@ class BpeModel:
             far[a] = max(far.get(a, 0), len(self.table[b]) + reach)
         return max(far.values(), default=1)
 
+    def agrees(self, a: int, b: int, most: int = 1 << 20) -> bool:
+        """_agrees, remembered for a number of pairs."""
+        key = a << 32 | b
+        found = self._borders.get(key)
+        if found is None:
+            if len(self._borders) >= most:
+                self._borders.clear()
+            found = self._borders[key] = self._agrees(a, b)
+        return found
+
     def _agrees(self, a: int, b: int) -> bool:
         """Whether the merge list leaves a border between tokens a and b: undoes merges at the border, latest first."""
         made, rank = self.made, self.rank
@@ -103,37 +138,37 @@ class BpeModel:
                 # Left to right, equal ranks: a merge at the left of the border comes first.
                 before, b = rb + (ra < rb), made[b][1]
 
-    def last_token(self, data: bytes | bytearray, last: list[int], first: int | None = None) -> int:
-        """The last token of data; last[i] is that of its prefix of i + 1 bytes, first the token before data."""
-        end = len(data)
-        for start in range(max(0, end - self.longest), end):
-            token = self.ids.get(bytes(data[start:end]))
-            if token is not None:
-                before = last[start - 1] if start else first
-                if before is None or self.agrees(before, token):
-                    return token
-        raise ValueError("the vocabulary lacks a byte")
-
-    def encode_piece(self, data: bytes) -> list[int]:
-        """Tokens of one piece that is at hand as a whole."""
-        token = self.ids.get(data)
-        if token is not None and self._whole(token):
-            return [token]
-        last: list[int] = []
-        for end in range(1, len(data) + 1):
-            last.append(self.last_token(data[:end], last))
-        out, end = [], len(data)
-        while end:
-            out.append(last[end - 1])
-            end -= len(self.table[last[end - 1]])
-        return out[::-1]
+    def ends(self, data: bytes) -> tuple[tuple[int, int], ...]:
+        """The tokens that data, the beginning of a token, ends with, and their lengths, longest first."""
+        if not data:
+            raise ValueError("the vocabulary lacks a byte")
+        found = self.begins[data]
+        if found is None:
+            tokens = ((self.ids.get(data[i:], -1), len(data) - i) for i in range(len(data)))
+            found = tuple((t, n) for t, n in tokens if t >= 0 and self._whole(t))
+            self.begins[data] = found
+        return found
+
+    def encode_pieces(self, pieces: Iterable[bytes]) -> Iterator[list[int]]:
+        """Tokens of pieces that are at hand as a whole; what a piece begins with like the one before it is read once."""
+        stream, before = PieceStream(self), b""
+        for data in pieces:
+            same = 0
+            if before[:3] == data[:3]:
+                same = next((i for i, (x, y) in enumerate(zip(before, data)) if x != y), min(len(before), len(data)))
+            if not stream.back_to(same):
+                stream, same = PieceStream(self), 0
+            out = stream.feed(data[same:])
+            yield out + stream.rest()
+            before = data
 
     def _whole(self, token: int) -> bool:
         """Whether the token's bytes, alone, are merged to it."""
-        if token not in self.made:
-            return True
-        _, a, b = self.made[token]
-        return self._whole(a) and self._whole(b) and self._joins(a, b, token)
+        found = self._wholes.get(token)
+        if found is None:
+            _, a, b = self.made.get(token, (0, -1, -1))
+            found = self._wholes[token] = a < 0 or self._whole(a) and self._whole(b) and self._joins(a, b, token)
+        return found
 
     def _joins(self, a: int, b: int, token: int) -> bool:
         made, rank, before = self.made, self.rank, self.made[token][0]
@@ -153,40 +188,83 @@ class PieceStream:
     """Tokens of one piece whose bytes arrive in parts; holds the open positions only."""
 
     def __init__(self, model: BpeModel):
-        self.model, self._data, self._last, self._open = model, bytearray(), [], 0
-        self._every = max(64, model.lookahead, model.longest)
-        self._tried = 0
+        self.model, self._data, self._last = model, b"", []
+        self._deep: list[int] = []  # where the longest end of each prefix that begins a token starts
         self._first: int | None = None  # the token before what is held
+        self._due = 2 * max(model.lookahead, model.longest)
+
+    def feed(self, data: bytes) -> list[int]:
+        """Takes the next bytes; returns the tokens that they make final."""
+        out: list[int] = []
+        for at in range(0, len(data), self._due):
+            self._read(data[at : at + self._due])
+            if len(self._data) > self._due:
+                out += self._stable()
+        return out
+
+    def _read(self, more: bytes) -> None:
+        """The last token of each further prefix: the longest that agrees with the last token before it."""
+        model, last, data, deeps = self.model, self._last, self._data + more, self._deep
+        deep = deeps[-1] if deeps else 0
+        begins, borders, first = model.begins, model._borders, self._first
+        for end in range(len(last) + 1, len(data) + 1):
+            while (held := data[deep:end]) not in begins and deep < end:
+                deep += 1
+            for token, size in begins.get(held) or model.ends(held):
+                before = last[end - size - 1] if size < end else first
+                if before is None:
+                    break
+                fits = borders.get(before << 32 | token)
+                if model.agrees(before, token) if fits is None else fits:
+                    break
+            else:
+                raise ValueError("the vocabulary lacks a byte")
+            last.append(token)
+            deeps.append(deep)
+        self._data = data
 
-    def feed(self, data: bytes) -> Iterator[int]:
-        model = self.model
-        for byte in data:
-            self._data.append(byte)
-            self._last.append(model.last_token(self._data, self._last, self._first))
-            if len(self._data) - self._tried >= self._every:
-                yield from self._stable()
-                self._tried = len(self._data)
-
-    def _stable(self) -> Iterator[int]:
-        """Emits what lies before the position where the paths from all open positions meet."""
+    def _stable(self) -> list[int]:
+        """Tokens with the lookahead behind them, if the paths from all open positions have met there."""
         size, end = [len(self.model.table[t]) for t in self._last], len(self._data)
-        at = set(range(max(0, end - self.model.longest), end + 1))
-        while len(at) > 1:
-            most = max(at)
-            at.discard(most)
-            at.add(most - size[most - 1])
-        yield from self._emit(at.pop())
-
-    def _emit(self, meet: int) -> list[int]:
-        out, end = [], meet
-        while end:
-            out.append(self._last[end - 1])
-            end -= len(self.model.table[self._last[end - 1]])
-        if out:
-            self._first = out[0]
-            del self._data[:meet], self._last[:meet]
+        marked = [False] * (end + 1)
+        for at in range(max(0, end - self.model.longest), end + 1):
+            marked[at] = True
+        paths, at = sum(marked), end
+        while paths > 1:
+            if marked[at]:
+                before = at - size[at - 1]
+                paths -= marked[before]
+                marked[before] = True
+            at -= 1
+        while not marked[at]:
+            at -= 1
+        while at > end - self.model.lookahead and at:
+            at -= size[at - 1]
+        return self._emit(at)
+
+    def rest(self, end: int | None = None) -> list[int]:
+        """Tokens of what is held, or of what is held before end."""
+        out, at, table, last = [], len(self._data) if end is None else end, self.model.table, self._last
+        while at:
+            out.append(last[at - 1])
+            at -= len(table[last[at - 1]])
         return out[::-1]
 
+    def _emit(self, end: int) -> list[int]:
+        out = self.rest(end)
+        if out:
+            self._first = out[-1]
+            self._data, self._last, self._deep = self._data[end:], self._last[end:], [max(0, d - end) for d in self._deep[end:]]
+        return out
+
+    def back_to(self, n: int) -> bool:
+        """Forgets all but the first n bytes, unless tokens have left since."""
+        if self._first is not None:
+            return False
+        self._data = self._data[:n]
+        del self._last[n:], self._deep[n:]
+        return True
+
     def finish(self) -> list[int]:
         return self._emit(len(self._data))
 
@@ -207,18 +285,14 @@ class Encoder:
         long: dict[str, Any] = {}
         if len(have) + len(pieces) > self._most:
             have.clear()
-        for p in set(pieces).difference(have):
-            data = p.encode()
-            if len(data) > self._short:
-                stream = PieceStream(self.model)
-                long[p] = self.view([*stream.feed(data), *stream.finish()])
-            else:
-                have[p] = self.view(self.model.encode_piece(data))
+        new = sorted(set(pieces).difference(have))
+        for p, tokens in zip(new, self.model.encode_pieces(map(str.encode, new))):
+            (have if len(p) <= self._short else long)[p] = self.view(tokens)
         return [have[p] if p in have else long[p] for p in pieces]
 
     def stream(self, text: str) -> Iterator[list]:
         """Views of the pieces' tokens, in order, for one window of the text after another."""
-        if self.model.special_pattern is None or not self.model.special_pattern.search(text):
+        if not any(s in text for s in self.model.special):
             yield from self._plain(text)
             return
         at = 0
@@ -229,12 +303,12 @@ class Encoder:
         yield from self._plain(text[at:])
 
     def _plain(self, text: str) -> Iterator[list]:
-        at, n = 0, len(text)
+        at, n, cut = 0, len(text), _pieces_of(text)
         while n - at > self.window:
             end = at + self.window
             safe = at
             pieces = []
-            for m in _PIECES.finditer(text, at, end):
+            for m in cut.finditer(text, at, end):
                 if m.end() > end - _HOLD:
                     break
                 pieces.append(m[0])
@@ -246,7 +320,7 @@ class Encoder:
             yield self._tokens(pieces)
             at = safe
         if at < n:
-            yield self._tokens(_PIECES.findall(text, at))
+            yield self._tokens(cut.findall(text, at))
 
     def _long(self, text: str, at: int) -> Iterator[list]:
         """A piece longer than the window, fed to the transducer part by part."""
@@ -266,7 +340,7 @@ class Encoder:
             stop = min(end, part + self.window)
             if stop <= part:
                 break
-            yield [self.view(list(stream.feed(text[part:stop].encode())))]
+            yield [self.view(stream.feed(text[part:stop].encode()))]
             part = stop
         yield [self.view(stream.finish())]
         self._ended = part
@@ -296,17 +370,20 @@ def _digester(tokenizer_path: str) -> Callable[[str], tuple[int, str, str]]:
     """Number of ids, digest of the ids and digest of their text, of a text; a Python worker keeps it for its later tasks."""
     model = BpeModel(tokenizer_path)
     table, numbers = model.table, [f"{i}," for i in range(len(model.table))]
-    encoder = Encoder(model, lambda ids: ("".join([numbers[i] for i in ids]), b"".join([table[i] for i in ids]), len(ids)))
+    encoder = Encoder(model, lambda ids: ("".join([numbers[i] for i in ids]), b"".join([table[i] for i in ids])))
 
     def digests(text: str) -> tuple[int, str, str]:
         ids_hash, text_hash, decoder, n, held = hashlib.sha256(), hashlib.sha256(), ByteDecoder(), 0, ""
         for views in encoder.stream(text):
-            ids = held + "".join([v[0] for v in views])
+            if not views:
+                continue
+            numbers_, parts = zip(*views)
+            ids = held + "".join(numbers_)
+            n += ids.count(",") - len(held)
             if ids:
                 held = ids[-1]
                 ids_hash.update(ids[:-1].encode())
-            text_hash.update(decoder.feed(b"".join([v[1] for v in views])).encode())
-            n += sum([v[2] for v in views])
+            text_hash.update(decoder.feed(b"".join(parts)).encode())
         text_hash.update(decoder.finish().encode())
         return n, ids_hash.hexdigest(), text_hash.hexdigest()
 
