@@ -15,6 +15,7 @@ doc_id are kept one after the other. An empty table makes no file and an empty r
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
@@ -24,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -135,71 +137,144 @@ class TokenFileReader:
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
+_SPACES = regex.compile(r"\s+")
+
+
 def _words(text: str) -> list[str]:
-    """Words between white space; Python's own split also takes four separators that the vocabulary's rules keep."""
-    return text.split(" ") if _SEPARATORS.search(text) else text.split()
+    """Words between white space; Python's own split also takes four separators that the tokenizer's rules keep."""
+    return _SPACES.split(text) if _SEPARATORS.search(text) else text.split()
+
+
+class WordRules:
+    """What a tokenizer file says of words, if its ids of a text are those of its words in order; else ValueError.
+
+    Such a file turns white space to spaces, lower-cases, drops what its pattern leaves out, and marks the last token
+    of each piece. Two steps more are known to change no text of the first 256 characters: NFC, and byte letters.
+    """
+
+    def __init__(self, tokenizer_path: str):
+        with open(tokenizer_path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = lambda x, inner: [] if x is None else x[inner] if x["type"] == "Sequence" else [x]
+        space = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+        normal = steps(spec["normalizer"], "normalizers")
+        split, *other = steps(spec["pre_tokenizer"], "pretokenizers") or [{}]
+        letters = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+        model, added = spec["model"], spec["added_tokens"]
+        known = (
+            all(x in (space, {"type": "NFC"}, {"type": "Lowercase"}) for x in normal)
+            and {"type": "Lowercase"} in normal
+            and (split.get("type"), split.get("behavior"), split.get("invert")) == ("Split", "Removed", True)
+            and all({k: x.get(k) for k in letters} == letters for x in other)
+            and model["type"] == "BPE" and model.get("end_of_word_suffix") and not model.get("dropout")
+            and not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in added)
+        )
+        if not known:
+            raise ValueError("the ids of a text are not known to be those of its words")
+        pattern = split["pattern"]["Regex"]
+        if any(regex.search(pattern, c) for c in " \t\n"):
+            raise ValueError("the pattern keeps white space")
+        #: The file's own pattern over words of one line each.
+        self.pieces = regex.compile(f"{pattern}|\n")
+        self.suffix = model["end_of_word_suffix"]
+        self.added = [t["content"] for t in added]
 
 
 class WordCache:
-    """Ids of texts by the tokenizers library, which sees each distinct white-space word once while the cache holds it.
+    """Ids of texts by the tokenizers library.
 
-    White space separates tokens and is dropped by this vocabulary's own rules, so a text's ids are its words' ids in
-    order. ASCII words are looked up lower-cased, and Latin-1 letters with a full stop or comma behind are split before that mark;
-    the library gets all others as they stand.
+    The library encodes every text whole, unless the tokenizer file allows to take a text's words one by one
+    (WordRules). Then it sees each distinct piece of a word once, many in a call, while the cache holds it. Texts that
+    hold an added token, in either case, always go to it whole, and words with characters beyond the first 256 as they
+    stand.
     """
 
-    def __init__(self, tokenizer_path: str, most: int = 600_000):
+    def __init__(self, tokenizer_path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(tokenizer_path)
         self._library.no_truncation()
         self._library.no_padding()
         self._most = most
-        self._have: dict[str, bytes] = {"": b""}
-
-        self._ends = np.zeros(self._library.get_vocab_size(), bool)
-        for token, i in self._library.get_vocab().items():
-            self._ends[i] = token.endswith("</w>")
-
-    def _ask(self, keys: list[str], at_once: int = 500) -> None:
-        """Letters of Latin-1 alone are one piece each, whose last token ends a word: many share a call."""
-        have, encode = self._have, self._library.encode_batch_fast
-        plain = [k for k in keys if k.isalpha() and max(k) < "\u0100"]
-        for i in range(0, len(plain), at_once):
-            part = plain[i : i + at_once]
-            ids = np.array(encode([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(self._ends[ids]) + 1
-            if len(cuts) != len(part):
-                raise ValueError("the vocabulary does not end each word of letters once")
-            have.update(zip(part, (x.tobytes() for x in np.split(ids, cuts[:-1]))))
-        rest = [k for k in keys if k not in have]
-        for i in range(0, len(rest), at_once):
-            part = rest[i : i + at_once]
-            have.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in encode(part, add_special_tokens=False))))
+        self._have: dict[str, bytes] = {}
+        self._pieces: dict[str, bytes] = {}
+        try:
+            self.rules = WordRules(tokenizer_path)
+        except ValueError:
+            self.rules = None
+        else:
+            self._ends = np.zeros(self._library.get_vocab_size(), bool)
+            for token, i in self._library.get_vocab().items():
+                self._ends[i] = token.endswith(self.rules.suffix)
+
+    def _whole(self, texts: list[str]) -> Iterator[bytes]:
+        for e in self._library.encode_batch_fast(texts, add_special_tokens=False):
+            yield np.array(e.ids, "<u4").tobytes()
+
+    def _ask(self, pieces: list[str], at_once: int = 2_000) -> None:
+        """Encodes pieces, separated by spaces; each ends with a token that ends a word."""
+        for i in range(0, len(pieces), at_once):
+            part = pieces[i : i + at_once]
+            ids = np.array(self._library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self._ends[ids]) + 1
+            if len(ends) == len(part):
+                raw, at = ids.tobytes(), 0
+                for p, end in zip(part, (4 * ends).tolist()):
+                    self._pieces[p] = raw[at:end]
+                    at = end
+            else:
+                self._pieces.update(zip(part, self._whole(part)))
 
     def _fill(self, words: set[str]) -> None:
-        have = self._have
-        parts: dict[str, tuple[str, str]] = {}
-        for w in words:
-            base = w.lower() if w.isascii() and "<" not in w else w
-            stem, mark = (base[:-1], base[-1]) if len(base) > 1 and base[-1] in ".," and base[:-1].isalpha() and max(base) < "\u0100" else (base, "")
-            parts[w] = stem, mark
-        self._ask([k for k in {x for pair in parts.values() for x in pair if x} if k not in have])
-        for w, (stem, mark) in parts.items():
-            have[w] = have[stem] + (have[mark] if mark else b"")
+        if len(self._have) + len(words) > self._most:
+            self._have.clear()
+            self._pieces.clear()
+        own = [w for w in words if w.isascii() or max(w) < "\u0100"]
+        other = list(words.difference(own))
+        for i in range(0, len(other), 500):
+            self._have.update(zip(other[i : i + 500], self._whole(other[i : i + 500])))
+        cut = self.rules.pieces.findall("\n".join(own))
+        self._ask([p for p in set(cut).difference(self._pieces) if p != "\n"])
+        pieces, have, held, at = self._pieces, self._have, b"", 0
+        for p in cut:
+            if p == "\n":
+                have[own[at]], held, at = held, b"", at + 1
+            elif held:
+                held += pieces[p]
+            else:
+                held = pieces[p]
+        if own:
+            have[own[at]] = held
+
+    def _by_words(self, text: str) -> list[str] | None:
+        """Words as they are looked up, or None if the text goes to the library whole."""
+        if self.rules is None:
+            return None
+        low = text.lower()
+        if any(a in text or a.lower() in low for a in self.rules.added):
+            return None
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return [w.lower() if w.isascii() or max(w) < "\u0100" else w for w in _words(text)]
+        return _words(low)
 
     def encode(self, texts: list[str | None], end_id: int | None) -> Iterator[np.ndarray]:
-        split = [_words(t or "") for t in texts]
-        if len(self._have) + sum(map(len, split)) > 2 * self._most:
-            self._have = {"": b""}
-        have = self._have
-        end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        for words in split:
-            try:
-                ids = b"".join([have[w] for w in words])
-            except KeyError:
-                self._fill(set().union(*split).difference(have))
-                ids = b"".join([have[w] for w in words])
+        texts = [t or "" for t in texts]
+        split = [self._by_words(t) for t in texts]
+        new = set().union(*(s for s in split if s)).difference(self._have)
+        if new:
+            self._fill(new)
+        have, end = self._have, b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+        for text, words in zip(texts, split):
+            if words is None:
+                ids = next(self._whole([text]))
+            else:
+                try:
+                    ids = b"".join([have[w] for w in words])
+                except KeyError:  # words that a clearing took
+                    self._fill(set(words).difference(have))
+                    ids = b"".join([have[w] for w in words]) if len(set(words)) <= self._most else next(self._whole([text]))
             yield np.frombuffer(ids + end, "<u4")
 
 
@@ -284,7 +359,7 @@ def read_token_files(spark: SparkSession, path: str, manifest: DataFrame) -> Dat
     if manifest.isEmpty():
         return spark.createDataFrame([], schema)
     files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    return files.join(F.broadcast(starts), "file").select("base", "content").mapInArrow(read, schema)
+    return files.join(common.sized(starts, "length(file)"), "file").select("base", "content").mapInArrow(read, schema)
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operator 10: round trips and the library's own ids."""
 
 import io
+import json
 import random
 import zlib
 
@@ -42,6 +43,27 @@ def test_words_have_the_librarys_ids():
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_files_of_other_rules_get_whole_texts(tmp_path):
+    """Rules that keep white space, or that are not known, hand every text to the library whole."""
+    cache = t.WordCache(public_tokenizers.path("byte_bpe_50k.json"))
+    assert cache.rules is None
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["A  b\n", "", "don't stop. Éa"]
+    assert [x.tolist() for x in cache.encode(texts, 7)] == [library.encode(x, add_special_tokens=False).ids + [7] for x in texts]
+    spec = json.load(open(PATH, encoding="utf-8"))
+    spec["pre_tokenizer"]["pretokenizers"][0]["invert"] = False
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError):
+        t.WordRules(str(tmp_path / "other.json"))
+
+
+def test_small_cache():
+    library = Tokenizer.from_file(PATH)
+    cache = t.WordCache(PATH, most=5)
+    texts = ["one two three", "four five six seven eight nine ten", "one two", "a b c d e f g h"]
+    assert [x.tolist() for x in cache.encode(texts, None)] == [library.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_documents(spark):
     library = Tokenizer.from_file(PATH)
     library.no_truncation()
