@@ -2,8 +2,10 @@
 
 Every text is cut into passages of words that overlap by half, twice as long as the longest item, so that an item's
 text lies whole in one of them. A passage queries the inverted index of the items. Postings lie in blocks of items, and
-a block keeps each term's largest impact in it: only blocks whose sum of those reaches the threshold are scored
-(block-max pruning), so every item at or above the threshold is retrieved. Impacts are BM25 weights over the item's own
+a block keeps each term's largest impact in it. Block-max WAND: of a passage's terms in the order of their largest
+impacts, those before the pivot cannot reach the threshold together, so only the pivot and the terms behind it open
+blocks; in those the others are looked up, and only blocks whose sum of largest impacts reaches the threshold are
+scored. All passages of a slice are searched side by side. So every item at or above the threshold is retrieved. Impacts are BM25 weights over the item's own
 score, so that an item's whole text scores 1. A retrieved item counts as a leak if enough of the word shingles of its
 question, and of its answer, stand in the passage.
 
@@ -17,7 +19,7 @@ give an empty result. Other columns are not read.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -50,59 +52,126 @@ def _grams(words: np.ndarray, k: int) -> np.ndarray:
     return np.unique(common.gram_hashes(words, min(k, len(words)))) if len(words) else np.empty(0, np.uint64)
 
 
+@dataclass
+class Lists:
+    """Arrays of one type, one after the other."""
+
+    first: np.ndarray
+    values: np.ndarray
+
+    @classmethod
+    def of(cls, parts: Iterable[np.ndarray]) -> Lists:
+        parts = list(parts)
+        return cls(np.concatenate([[0], np.cumsum([len(x) for x in parts], dtype=np.int64)]), np.concatenate([*parts, np.empty(0, np.uint64)]))
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.values[self.first[i] : self.first[i + 1]]
+
+
 @dataclass
 class Index:
-    """Impacts of the terms of a group of items, by term and item, and by term and block of items."""
+    """Inverted index of a group of items: postings by term and item, in blocks of items with each term's largest impact."""
 
-    items: list[int]
-    questions: list[np.ndarray]
-    answers: list[np.ndarray]
+    items: list[int | None]
+    questions: Lists
+    answers: Lists
     terms: np.ndarray
-    first: np.ndarray
+    term_most: np.ndarray  # a term's largest impact
+    blocks: int
+    block_key: np.ndarray  # term * blocks + block of every block that has postings, ascending
+    block_most: np.ndarray
+    block_first: np.ndarray  # its first posting; the next one's ends it
+    term_first: np.ndarray  # a term's first block
     item: np.ndarray
     impact: np.ndarray
-    block_first: np.ndarray
-    block: np.ndarray
-    block_most: np.ndarray
-    block_items: int
 
     @classmethod
-    def build(cls, items: list[int], questions: list[np.ndarray], answers: list[np.ndarray], rows: np.ndarray, block_items: int) -> Index:
-        """rows: (term, item position, impact)."""
-        rows = rows[np.lexsort((rows["item"], rows["term"]))]
-        terms, first = np.unique(rows["term"], return_index=True)
-        key = np.searchsorted(terms, rows["term"]) * (len(items) // block_items + 1) + rows["item"] // block_items
+    def build(cls, items: list[int | None], questions: Lists, answers: Lists, term: np.ndarray, item: np.ndarray, impact: np.ndarray, block_items: int) -> Index:
+        order = np.lexsort((item, term))
+        term, item, impact = term[order], item[order], impact[order]
+        terms, which = np.unique(term, return_inverse=True)
+        blocks = len(items) // block_items + 1
+        key = which * blocks + item // block_items
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
-        most = np.maximum.reduceat(rows["impact"], starts) if len(key) else np.empty(0)
-        at = np.searchsorted(terms, rows["term"][starts])
-        return cls(items, questions, answers, terms, np.append(first, len(rows)), rows["item"].copy(), rows["impact"].copy(), np.searchsorted(at, np.arange(len(terms) + 1)), rows["item"][starts] // block_items, most, block_items)
-
-    def search(self, windows: np.ndarray, terms: np.ndarray, n_windows: int, least: float) -> Iterator[tuple[int, int, float]]:
-        """(window, item position, score) of all that reach the threshold; windows and terms are distinct pairs."""
-        blocks = len(self.items) // self.block_items + 1
-        at_once = max(1, 4_000_000 // blocks)
-        cuts = np.searchsorted(windows, np.arange(0, n_windows + at_once, at_once))
-        for part, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-            w, t = windows[a:b] - part * at_once, terms[a:b]
-            pair, entry = _spread(self.block_first, t)
-            bound = np.bincount(w[pair] * blocks + self.block[entry], self.block_most[entry], min(at_once, n_windows) * blocks)
-            open_ = bound >= least - 1e-9
-            hot = np.flatnonzero(open_.reshape(-1, blocks).any(1)[w])
-            pair, entry = _spread(self.first, t[hot])
-            key = w[hot][pair]
-            live = open_[key * blocks + self.item[entry] // self.block_items]
-            keys, where = np.unique(key[live] * len(self.items) + self.item[entry][live], return_inverse=True)
-            score = np.bincount(where, self.impact[entry][live], len(keys))
-            for k in np.flatnonzero(score >= least - 1e-9).tolist():
-                yield int(keys[k] // len(self.items)) + part * at_once, int(keys[k] % len(self.items)), float(score[k])
+        most = np.maximum.reduceat(impact, starts) if len(key) else np.empty(0)
+        first = np.searchsorted(key[starts], np.arange(len(terms) + 1) * blocks)
+        term_most = np.maximum.reduceat(most, first[:-1]) if len(terms) else np.empty(0)
+        return cls(items, questions, answers, terms, term_most, blocks, key[starts], most, np.append(starts, len(key)), first, item, impact)
+
+    def search(self, windows: np.ndarray, terms: np.ndarray, least: float, at_once: int = 500_000) -> Iterator[tuple[int, int, float]]:
+        """(window, item position, score) of all that reach the threshold; windows and terms are distinct pairs, by window."""
+        order = np.lexsort((self.term_most[terms], windows))
+        w, t = windows[order], terms[order]
+        if not len(w):
+            return
+        # The terms of least weight that together stay below the threshold find no item: a window's pivot is the first
+        # term with which they could reach it, and only that and the following ones open blocks.
+        starts = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+        sums = np.cumsum(self.term_most[t])
+        sums -= np.repeat(sums[starts] - self.term_most[t[starts]], np.diff(np.append(starts, len(w))))
+        opens = sums >= least - 1e-6  # the running sums are rounded
+        size = np.where(opens, self.term_first[t + 1] - self.term_first[t], 0)
+        done = np.cumsum(size)
+        for a, b in _cuts(starts, len(w), done, at_once):
+            yield from self._search(w[a:b], t[a:b], opens[a:b], least)
+
+    def _search(self, w: np.ndarray, t: np.ndarray, opens: np.ndarray, least: float) -> Iterator[tuple[int, int, float]]:
+        names, first, which = np.unique(w, return_index=True, return_inverse=True)
+        last = np.append(first[1:], len(w))
+        below = np.bincount(which[~opens], self.term_most[t[~opens]], len(names))
+        pair, entry = _spread(self.term_first, t[opens])
+        if not len(pair):
+            return
+        key, where = np.unique(which[opens][pair] * self.blocks + self.block_key[entry] % self.blocks, return_inverse=True)
+        bound = np.bincount(where, self.block_most[entry])
+        on = bound + below[key // self.blocks] >= least - 1e-9
+        key, bound = key[on], bound[on]
+        # Blocks that are still possible: the terms before the pivot are looked up in those alone.
+        pivot = first + np.bincount(which[~opens], minlength=len(names))
+        row, pair = _ranges(first[key // self.blocks], pivot[key // self.blocks])
+        entry, found = self._entries(t[pair], key[row] % self.blocks)
+        bound += np.bincount(row[found], self.block_most[entry], len(key))
+        key = key[bound >= least - 1e-9]
+        row, pair = _ranges(first[key // self.blocks], last[key // self.blocks])
+        entry, found = self._entries(t[pair], key[row] % self.blocks)
+        at, posting = _spread(self.block_first, entry)
+        pairs, where = np.unique(key[row[found][at]] // self.blocks * len(self.items) + self.item[posting], return_inverse=True)
+        score = np.bincount(where, self.impact[posting], len(pairs))
+        for k in np.flatnonzero(score >= least - 1e-9).tolist():
+            yield int(names[pairs[k] // len(self.items)]), int(pairs[k] % len(self.items)), float(score[k])
+
+    def _entries(self, terms: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The block entries of those terms and blocks that have one, and which those are."""
+        key = terms * self.blocks + blocks
+        at = np.minimum(np.searchsorted(self.block_key, key), len(self.block_key) - 1)
+        found = np.flatnonzero(self.block_key[at] == key)
+        return at[found], found
+
+
+def _cuts(starts: np.ndarray, n: int, done: np.ndarray, at_once: int) -> Iterator[tuple[int, int]]:
+    """Ranges of whole windows with about at_once block entries each, and no more than a fifth as many terms."""
+    a = 0
+    while a < n:
+        before = done[a - 1] if a else 0
+        end = min(int(np.searchsorted(done, before + at_once, side="right")), a + at_once // 5)
+        k = int(np.searchsorted(starts, end, side="right")) - 1
+        b = n if end >= n else int(starts[k])
+        if b <= a:  # one window is more
+            b = int(starts[k + 1]) if k + 1 < len(starts) else n
+        yield a, b
+        a = b
+
+
+def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ranges low to high: the number of the range and the place, of all their places."""
+    counts = high - low
+    row = np.repeat(np.arange(len(low)), counts)
+    return row, np.arange(len(row)) + np.repeat(low - np.cumsum(counts) + counts, counts)
 
 
 def _spread(first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For lists that start at first[r], first[r + 1] apart: the place in rows and the entry, of all their entries."""
-    counts = first[rows + 1] - first[rows]
-    pair = np.repeat(np.arange(len(rows)), counts)
-    start = np.repeat(first[rows] - np.concatenate([[0], np.cumsum(counts)[:-1]]) if len(rows) else np.empty(0, np.int64), counts)
-    return pair, np.arange(len(pair)) + start
+    return _ranges(first[rows], first[rows + 1])
 
 
 def _impacts(items: DataFrame, k1: float, b: float) -> DataFrame:
@@ -145,15 +214,16 @@ def leaks(docs: DataFrame, items: DataFrame, *, least: float = 0.5, question: fl
     out = docs.sparkSession.createDataFrame([], schema)
     groups = -(-n // index_items)
     for g in range(groups):
-        rows = table.filter(F.pmod(F.xxhash64("row"), F.lit(groups)) == g).orderBy("row").collect()
-        if not rows:
+        rows = table.filter(F.pmod(F.xxhash64("row"), F.lit(groups)) == g).orderBy("row").toArrow()
+        if not rows.num_rows:
             continue
-        flat = np.array([(x.term, i, x.w) for i, r in enumerate(rows) for x in r.ws], [("term", "i8"), ("item", "i8"), ("impact", "f8")])
-        own = np.bincount(flat["item"], flat["impact"], len(rows))
-        flat["impact"] /= own[flat["item"]]
-        terms = flat["term"].view(np.uint64) if flat["term"].flags["C_CONTIGUOUS"] else flat["term"].copy().view(np.uint64)
-        flat = np.rec.fromarrays([terms, flat["item"], flat["impact"]], names="term,item,impact")
-        index = Index.build([r.item_id for r in rows], [_grams(words_of(r.question), shingle) for r in rows], [_grams(words_of(r.answer), shingle) for r in rows], flat, block_items)
+        ws = rows["ws"].combine_chunks()
+        item = np.repeat(np.arange(len(ws)), np.diff(ws.offsets.to_numpy()))
+        flat = ws.flatten()
+        term, impact = flat.field("term").to_numpy().view(np.uint64), flat.field("w").to_numpy()
+        impact = impact / np.bincount(item, impact, len(ws))[item]
+        grams = lambda c: Lists.of(_grams(words_of(x), shingle) for x in rows[c].to_pylist())
+        index = Index.build(rows["item_id"].to_pylist(), grams("question"), grams("answer"), term, item, impact, block_items)
         out = out.union(_query(docs, index, 2 * longest, least, question, answer, shingle))
     return out.groupBy("doc_id", "item_id").agg(F.max(F.struct("question_overlap", "answer_overlap", "score")).alias("x")).select("doc_id", "item_id", "x.score", "x.question_overlap", "x.answer_overlap")
 
@@ -185,7 +255,7 @@ def _query(docs: DataFrame, index: Index, width: int, least: float, question: fl
             # A word is in the passage that starts with its half, and in the one before.
             earlier = half > base[doc]
             pairs = np.unique(np.concatenate([half * len(ix.terms) + term[at], (half[earlier] - 1) * len(ix.terms) + term[at][earlier]]))
-            for window, item, score in ix.search(pairs // len(ix.terms), pairs % len(ix.terms), int(base[-1]), least):
+            for window, item, score in ix.search(pairs // len(ix.terms), pairs % len(ix.terms), least):
                 d = int(np.searchsorted(base, window, side="right") - 1)
                 a = (window - int(base[d])) * step
                 part = texts[d][a : a + width]

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from mnemograph.llm import decontaminate as d
 
@@ -23,25 +24,29 @@ def test_planted(spark):
     got = {(r.doc_id, r.item_id) for r in d.leaks(df.selectExpr("*", "1 as item_id", "2 as score"), bench).collect()}
     assert got == {(i, i) for i in range(40)} | {(None, 0), (302, 3)}
     assert d.leaks(df.limit(0), bench).count() == 0 and d.leaks(df, bench.limit(0)).count() == 0
+    # An item without an id is found as such.
+    assert {(r.doc_id, r.item_id) for r in d.leaks(df, bench.limit(1).selectExpr("cast(null as long) as item_id", "text")).collect()} == {(0, None), (None, None)}
     # An index of few items at a time finds the same.
     assert {(r.doc_id, r.item_id) for r in d.leaks(df, bench, index_items=7).collect()} == got
 
 
-def test_search_is_exact():
+@pytest.mark.parametrize("least, at_once", [(3.0, 500_000), (0.4, 60), (1.5, 7), (9.0, 500)])
+def test_search_is_exact(least, at_once):
     rng = np.random.default_rng(6)
     n_items, vocabulary = 90, 60
-    rows = sorted({(int(t), int(i)) for t, i in zip(rng.integers(0, vocabulary, 1500), rng.integers(0, n_items, 1500))})
-    table = np.rec.fromarrays([np.array([t for t, _ in rows], np.uint64), np.array([i for _, i in rows]), rng.random(len(rows))], names="term,item,impact")
-    index = d.Index.build(list(range(n_items)), [], [], table, 8)
+    pairs = sorted({(int(t), int(i)) for t, i in zip(rng.integers(0, vocabulary, 1500) ** 2 // vocabulary, rng.integers(0, n_items, 1500))})
+    term, item = (np.array(x) for x in zip(*pairs))
+    impact = rng.random(len(pairs)) ** 3
+    index = d.Index.build(list(range(n_items)), d.Lists.of([]), d.Lists.of([]), term.astype(np.uint64), item, impact, 8)
     windows = np.sort(rng.choice(50 * vocabulary, 900, replace=False))
     at = {t: k for k, t in enumerate(index.terms.tolist())}
-    pairs = [(w, t) for w, t in zip((windows // vocabulary).tolist(), (windows % vocabulary).tolist()) if t in at]
+    asked = [(w, t) for w, t in zip((windows // vocabulary).tolist(), (windows % vocabulary).tolist()) if t in at]
     want = Counter()
-    for w, t in pairs:
-        for r in table[table["term"] == t]:
-            want[w, int(r["item"])] += float(r["impact"])
-    got = {(w, i): s for w, i, s in index.search(np.array([w for w, _ in pairs]), np.array([at[t] for _, t in pairs]), 50, 3.0)}
-    assert got.keys() == {k for k, s in want.items() if s >= 3.0}
+    for w, t in asked:
+        for i, x in zip(item[term == t].tolist(), impact[term == t].tolist()):
+            want[w, i] += x
+    got = {(w, i): s for w, i, s in index.search(np.array([w for w, _ in asked]), np.array([at[t] for _, t in asked]), least, at_once)}
+    assert got.keys() == {k for k, s in want.items() if s >= least}
     assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
 
 
