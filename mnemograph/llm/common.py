@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most bytes of a side that a join may broadcast; larger sides are shuffled.
@@ -65,6 +65,11 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f's lambdas use it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def sized(df: DataFrame, payload: str = "0", limit: int = BROADCAST_BYTES) -> DataFrame:
     """df, to be broadcast only if its rows, measured now, are within the limit; payload: SQL for a row's bytes besides its keys."""
     found = df.agg(F.count("*").alias("n"), F.sum(F.expr(payload)).alias("b")).first()
@@ -94,6 +99,7 @@ def by_batch(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], mos
             at = batch.schema.get_field_index("text")
             for a, b in chunks(batch.column(at), most_bytes) if at >= 0 else [(0, batch.num_rows)]:
                 yield f(batch.slice(a, b - a))
+        pa.default_memory_pool().release_unused()  # the worker may stay for other tasks
 
     return run
 

@@ -4,12 +4,14 @@ Everything is one projection of built-in functions: no shuffle, no Python on the
 from regexp_extract_all and the pieces between them from split, so that positions are running sums of code points.
 
 Entropy: a candidate is a maximal run of a character class, with digits or without. A window slides over it by one
-character; the counts of its characters and the sum of c log2 c change by the character that enters and the one that
-leaves. A candidate whose best window reaches the class's bits is a span of kind `entropy`, unless an allow-list
+character; the sum of c log2 c over the counts of its characters changes by those of the character that enters and of
+the one that leaves. A candidate whose best window reaches the class's bits is a span of kind `entropy`, unless an allow-list
 pattern matches the candidate or a pattern's span covers part of it. A candidate of so few characters that no window
 can reach the bits is not slid over.
 
-Null texts are empty: no spans. doc_id may be null or repeat: a row in, a row out. Other columns are not read.
+Null texts are empty: no spans. doc_id may be null or repeat: a row in, a row out. Matches of a kind never overlap;
+spans of different kinds may, and each stays. Very long texts and runs take time in proportion to their length. An
+empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -57,47 +59,72 @@ ALLOWED = (
 )
 
 
+def _folded(items: Column, start: Column, step: Callable[[Column, Column], tuple[Column, Column]], out: str, part: int = 64) -> Column:
+    """Outputs (of type out) of a fold whose step returns the next state and an output; in parts, so that no long array is copied at each step."""
+    none = F.expr(f"cast(array() as array<{out}>)")
+
+    def one(acc: Column, x: Column) -> Column:
+        state, made = step(acc["state"], x)
+        return F.struct(state.alias("state"), F.concat(acc["out"], F.array(made)).alias("out"))
+
+    def many(acc: Column, some: Column) -> Column:
+        inner = F.aggregate(some, F.struct(acc["state"].alias("state"), none.alias("out")), one)
+        return common.bound(inner, lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    def whole(x: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(x) - 1) / part).cast("int"))), lambda k: F.slice(x, k * part + 1, F.lit(part)))
+        return F.aggregate(parts, F.struct(start.alias("state"), F.expr(f"cast(array() as array<array<{out}>>)").alias("out")), many, lambda acc: F.flatten(acc["out"]))
+
+    return common.bound(items, whole)
+
+
+_SPAN = "struct<start:int,end:int,raw:string,value:string>"
+
+
 def _matches(text: Column, pattern: str, group: int, least: int) -> Column:
-    """Array of (start, end, match) of the matches whose group is long enough."""
+    """Array of (start, end, raw, value) of the matches whose group is long enough."""
     p = F.lit(pattern)
     found = F.arrays_zip(
         F.regexp_extract_all(text, p, F.lit(0)).alias("whole"),
         F.regexp_extract_all(text, p, F.lit(group)).alias("value"),
         F.slice(F.split(text, pattern, -1), 1, F.size(F.regexp_extract_all(text, p, F.lit(0)))).alias("gap"),
     )
-    empty = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,raw:string,value:string>>)").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + F.length(x["gap"])
         end = start + F.length(x["whole"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["whole"].alias("raw"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        return end, F.struct(start.alias("start"), end.alias("end"), x["whole"].alias("raw"), x["value"].alias("value"))
+
+    kept = F.filter(_folded(found, F.lit(0), step, _SPAN), lambda x: F.length(x["value"]) >= least)
+    return F.when(text.rlike(pattern), kept).otherwise(F.expr(f"cast(array() as array<{_SPAN}>)"))
+
 
-    spans = F.aggregate(found, empty, step, lambda acc: acc["out"])
-    kept = F.filter(spans, lambda x: F.length(x["value"]) >= least)
-    return F.when(text.rlike(pattern), kept).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,raw:string,value:string>>)"))
+def best_window_bits(s: Column, window: int, part: int = 256) -> Column:
+    """Highest Shannon entropy, in bits a character, of the windows of an ASCII string; 0 if it is shorter.
 
+    The string is read in parts that overlap by a window, since the place of a character in a long string is found by
+    counting. In a part, the window moves by a character; counts of the two characters that change, taken in what the
+    windows before and after have in common, change the sum of c log2 c.
+    """
+    parts = F.regexp_extract_all(s, F.lit(f"(?s).{{1,{part}}}"), F.lit(0))
+    overlapping = lambda ps: F.transform(ps, lambda x, i: F.concat(x, F.coalesce(F.substring(F.get(ps, i + 1), 1, window - 1), F.lit(""))))
 
-def best_window_bits(s: Column, window: int) -> Column:
-    """Highest Shannon entropy, in bits a character, of the windows of an ASCII string."""
+    def gain(c: Column, shared: Column) -> Column:
+        n = F.length(shared) - F.length(F.replace(shared, c, F.lit("")))
+        return (n + 1) * F.log2(n + 1) - F.when(n > 0, n * F.log2(n)).otherwise(F.lit(0.0))
 
-    def weight(c: Column) -> Column:
-        return F.when(c > 0, c * F.log2(c)).otherwise(F.lit(0.0))
+    def best(x: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            shared = F.substring(x, F.greatest(F.lit(1), i - window + 1), F.least(i - 1, F.lit(window - 1)))
+            gone = F.when(i > window, gain(F.substring(x, i - window, F.lit(1)), shared)).otherwise(F.lit(0.0))
+            total = acc["total"] - gone + gain(F.substring(x, i, F.lit(1)), shared)
+            bits = F.log2(F.lit(float(window))) - total / window
+            return F.struct(total.alias("total"), F.when(i >= window, F.greatest(acc["most"], bits)).otherwise(acc["most"]).alias("most"))
 
-    def step(acc: Column, i: Column) -> Column:
-        new = F.ascii(F.substring(s, i, F.lit(1)))
-        old = F.when(i > window, F.ascii(F.substring(s, i - window, F.lit(1)))).otherwise(F.lit(-1))
-        counts = F.transform(acc["counts"], lambda c, k: c + (k == new).cast("int") - (k == old).cast("int"))
-        n = F.get(acc["counts"], new)
-        m = F.when(old >= 0, F.get(acc["counts"], old)).otherwise(F.lit(0))
-        moved = weight(n + 1) - weight(n) - F.when(old >= 0, weight(m) - weight(m - 1)).otherwise(F.lit(0.0))
-        total = acc["total"] + F.when(new == old, F.lit(0.0)).otherwise(moved)
-        bits = F.log2(F.lit(float(window))) - total / window
-        most = F.when(i >= window, F.greatest(acc["most"], bits)).otherwise(acc["most"])
-        return F.struct(counts.alias("counts"), total.alias("total"), most.alias("most"))
+        start = F.struct(F.lit(0.0).alias("total"), F.lit(0.0).alias("most"))
+        return F.aggregate(F.sequence(F.lit(1), F.length(x)), start, step, lambda acc: acc["most"])
 
-    start = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("most"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(s)), start, step, lambda acc: acc["most"])
+    return F.array_max(F.transform(common.bound(parts, overlapping), best))
 
 
 def _placed(spans: Column, place: int, kind: str) -> Column:
@@ -136,14 +163,12 @@ def written_spans(spans: Column) -> Column:
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """The text with each span, or group of spans that overlap, replaced by a mark."""
 
-    def step(acc: Column, x: Column) -> Column:
-        fresh = x["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        piece = F.concat(F.substring(text, at + 1, x["start"] - at), F.lit(mark))
+        return F.greatest(at, x["end"]), F.when(x["start"] >= at, piece).otherwise(F.lit(""))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    whole = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    rest = F.substring(text, F.array_max(F.transform(spans, lambda x: x["end"])) + 1, F.length(text))
+    return F.when(F.size(spans) > 0, F.concat(F.array_join(_folded(spans, F.lit(0), step, "string"), ""), rest)).otherwise(text)
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

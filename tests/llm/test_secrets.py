@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import random
 import re
+import time
 from collections import Counter
 
 from mnemograph.llm import secrets
@@ -65,3 +67,42 @@ def test_entropy_of_letters(spark):
     got = scanned(spark, f"key {key} end", f"key {named} end", "internationalization", "correct-horse-battery", "lowercase-names-of/hosts_and-files-12", "x" * 100000)
     assert [got[i].s for i in range(6)] == ["entropy:4:24", "entropy:4:25", "", "", "", ""]
     assert got[0].r == got[1].r == "key [SECRET] end"
+
+
+def entropy_spans(text):
+    """Kind entropy by plain loops over every run, window and pattern."""
+    taken = [tuple(map(int, x.split(":")[1:])) for x in base(text).split(",") if x]
+    out = set()
+    for c in secrets.ENTROPY:
+        for m in re.finditer(f"[{c.characters}]{{{c.least},}}", text):
+            run, (a, b) = m[0], m.span()
+            if any(x < b and a < y for x, y in taken) or any(re.search(p, run) for p in secrets.ALLOWED):
+                continue
+            best = max(-sum(n / c.window * math.log2(n / c.window) for n in Counter(run[i : i + c.window]).values()) for i in range(len(run) - c.window + 1))
+            if best >= c.bits:
+                out.add((a, b))
+    return out
+
+
+def test_entropy_spans_by_brute_force(spark):
+    rng = random.Random(8)
+    parts = ["abcdefgh", "Zq9", "0123456789", "deadbeef", "--", "/", "_a", "é", " ", " ", "\n", "token=", "AKIA", "x" * 30, "9fKq2LzX7vBn4TyRw8Pm", "2024-01-02", "123e4567-e89b-12d3-a456-426614174000", "hostname-with-parts-7"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(60))) for _ in range(400)]
+    texts.append("".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789") for _ in range(1500)))
+    got = scanned(spark, *texts)
+    for i, text in enumerate(texts):
+        spans = {tuple(map(int, x.split(":")[1:])) for x in got[i].s.split(",") if x.startswith("entropy")}
+        assert spans == entropy_spans(text), text
+        mask, at = [], 0
+        for a, b in sorted(tuple(map(int, x.split(":")[1:])) for x in got[i].s.split(",") if x):
+            mask += [text[at:a], "[SECRET]"] if a >= at else []
+            at = max(at, b)
+        assert got[i].r == "".join(mask) + text[at:]
+
+
+def test_long_runs_and_many_matches(spark):
+    start = time.monotonic()
+    got = scanned(spark, "x" * 1_000_000, "=" * 1_000_000, "Ab1" * 300_000, "token=abcdefghijkl " * 20_000)
+    assert got[0].s == got[1].s == got[2].s == "" and got[3].s.count("assign") == 20_000
+    assert got[3].r == "[SECRET] " * 20_000
+    assert time.monotonic() - start < 120
