@@ -9,7 +9,8 @@ replies to; a message's position is its place in that order, from 1, by a window
 
 Null and empty texts have no lines, no quotes and an empty body. A null conv_id or turn links to nothing, and a null
 conv_id is no conversation: it has no position. Rows that
-repeat a turn are each returned, and are one original. An empty table gives an empty result. Other columns are not
+repeat a turn are each returned, and are one original; of originals with one hash the first turn counts. A text of any
+length is one row, and takes time in proportion to its lines. An empty table gives an empty result. Other columns are not
 read.
 """
 
@@ -35,18 +36,20 @@ def parse(messages: DataFrame) -> DataFrame:
     marks = lambda line: F.regexp_extract(line, r"^((?:[ \t]*>)+)", 1)
     lines = F.transform(F.split(text, "\r?\n"), lambda x: F.struct(F.length(F.regexp_replace(marks(x), "[^>]", "")).alias("level"), F.regexp_replace(x, r"^(?:[ \t]*>)+[ \t]?", "").alias("text")))
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(x["level"].alias("level"), F.concat(last["text"], F.lit("\n"), x["text"]).alias("text"))))
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["level"] == x["level"]), joined).otherwise(F.concat(acc, F.array(x)))
-
     none = F.expr("cast(array() as array<struct<level:int,text:string>>)")
     has = text.rlike(_QUOTED)
-    runs = F.aggregate("lines", none, step)
+
+    def runs(xs: Column) -> Column:
+        level = lambda i: F.get(xs, i)["level"]
+        first = F.filter(F.sequence(F.lit(0), F.size(xs) - 1), lambda i: (i == 0) | (level(i) != level(F.greatest(i - 1, F.lit(0)))))
+        joined = lambda a, b: F.array_join(F.transform(F.slice(xs, a + 1, b - a), lambda x: x["text"]), "\n")
+        passage = lambda at: lambda a, k: common.bound(F.coalesce(F.get(at, k + 1), F.size(xs)), lambda b: F.struct(level(a).alias("level"), F.when(level(a) > 0, joined(a, b)).otherwise("").alias("text")))
+        return F.filter(common.bound(first, lambda at: F.transform(at, passage(at))), lambda x: x["level"] > 0)
+
     own = F.array_join(F.transform(F.filter("lines", lambda x: (x["level"] == 0) & ~x["text"].rlike(_ATTRIBUTION)), lambda x: x["text"]), "\n")
     return (
         messages.withColumn("lines", F.when(has, lines).otherwise(none))
-        .withColumn("passages", F.when(has, F.filter(runs, lambda x: x["level"] > 0)).otherwise(none))
+        .withColumn("passages", F.when(has, common.bound(F.col("lines"), runs)).otherwise(none))
         .withColumn("body", F.when(has, F.regexp_replace(own, r"^\s+|\s+$", "")).otherwise(text))
         .drop("lines")
     )

@@ -1,5 +1,9 @@
 """Operator 5 on planted quotes."""
 
+import random
+import re
+import time
+
 import duckdb
 
 from mnemograph.llm import quote_links
@@ -65,3 +69,41 @@ def test_order_sql(spark):
     d.execute("create view conversations as select * from '/root/testdata/sf0.001/conversations.parquet'")
     want = sorted(d.execute(quote_links.OP5_ORDER_SQL).fetchall(), key=str)
     assert sorted(map(tuple, quote_links.op5_reply_order(spark, "/root/testdata/sf0.001").collect()), key=str) == want
+
+
+def passages(text):
+    """Levels and texts of the quoted runs, and the body, by a plain loop over the lines."""
+    runs, body = [], []
+    for line in re.split("\r?\n", text):
+        marks = re.match(r"^((?:[ \t]*>)*)", line)[0]
+        level, rest = marks.count(">"), re.sub(r"^(?:[ \t]*>)+[ \t]?", "", line)
+        if runs and runs[-1][0] == level:
+            runs[-1][1].append(rest)
+        else:
+            runs.append((level, [rest]))
+        if level == 0 and not re.match(quote_links._ATTRIBUTION.replace("(?i)", "(?i:") + ")", rest):
+            body.append(rest)
+    return [(n, "\n".join(x)) for n, x in runs if n], "\n".join(body).strip()
+
+
+def test_nested_quotes_by_brute_force(spark):
+    rng = random.Random(3)
+    parts = ["> ", ">> ", "> > ", " >", "", "", "\t> "]
+    words = ["alpha beta gamma", "delta", "", "On Monday, x wrote:", "epsilon zeta eta theta", "> no"]
+    texts = ["\n".join(rng.choice(parts) + rng.choice(words) for _ in range(rng.randrange(1, 14))) for _ in range(500)]
+    texts = [t for t in texts if re.search(r"(?m)^[ \t]*>", t)]
+    df = spark.createDataFrame(list(enumerate(texts)), "turn long, text string")
+    for r in quote_links.parse(df).collect():
+        runs, body = passages(texts[r.turn])
+        assert [(p.level, p.text) for p in r.passages] == runs, texts[r.turn]
+        assert r.body == body
+
+
+def test_many_lines(spark):
+    start = time.monotonic()
+    quoted = "\n".join(f"> line number {i} of the quoted text" for i in range(100_000))
+    steps = "\n".join(f"{'>' * (1 + i % 2)} line {i} here" for i in range(20_000))
+    df = spark.createDataFrame([(1, 0, "u", "line number 7 of the quoted text"), (1, 1, "v", quoted + "\nanswer"), (1, 2, "u", steps)], "conv_id long, turn long, role string, text string")
+    got = {r.turn: r for r in quote_links.link_replies(df).collect()}
+    assert got[1].linked and got[1].body == "answer" and got[2].quote_levels == 2
+    assert time.monotonic() - start < 60
