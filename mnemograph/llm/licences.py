@@ -7,11 +7,13 @@ follow each other in that order, with no more than `gap` units between two. Rule
 rule that is met are not reported.
 
 Null and empty texts have no sentences. A null doc_id is kept; rows that repeat a doc_id each give a row. Texts without
-a known sentence give no row. An empty table gives an empty result. Other columns are not read.
+a known sentence give no row. Of sentences that begin together the longest counts, and rules of equal span are each
+returned. A text of any length takes time in proportion to its units. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -44,7 +46,32 @@ SENTENCES = {
     "cc0-dedicated": "Dedicated to the public domain under CC0 1.0.",
     "mpl2-terms": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "rights-reserved": "All rights reserved.",
+    "mit-warranty": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+    "apache2-unless": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    "apache2-title": "Apache License Version 2.0, January 2004",
+    "apache2-terms": "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+    "bsd-warranty": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "gpl2-redistribute": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "gpl-merchantability": "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "library-free": "This library is free software;",
+    "lgpl21-redistribute": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "library-hope": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;",
+    "lgpl3-redistribute": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl3-redistribute": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "isc-warranty": "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+    "unlicense-free": "This is free and unencumbered software released into the public domain.",
+    "unlicense-anyone": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "boost-grant": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
+    "boost-distributed": "Distributed under the Boost Software License, Version 1.0.",
+    "epl2-available": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
+    "mpl2-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at",
+    "zlib-asis": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
 }
+#: Identifiers of licences that lines of the form "SPDX-License-Identifier: name" may give.
+SPDX = ("MIT", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Unlicense", "BSL-1.0", "EPL-2.0", "MPL-2.0", "Zlib", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0")
+SENTENCES |= {f"spdx-{x.lower()}": f"SPDX-License-Identifier: {x}" for x in SPDX}
 #: Licences by ordered rules of identifiers; a licence may have several.
 RULES = (
     ("MIT", ("mit-released",)),
@@ -62,6 +89,24 @@ RULES = (
     ("CC0-1.0", ("cc0-dedicated",)),
     ("MPL-2.0", ("mpl2-terms",)),
     ("Proprietary", ("rights-reserved",)),
+    ("MIT", ("mit-grant", "mit-notice", "mit-warranty")),
+    ("Apache-2.0", ("apache2-header", "apache2-use", "apache2-copy", "apache2-unless")),
+    ("Apache-2.0", ("apache2-title", "apache2-terms")),
+    ("BSD-2-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-warranty")),
+    ("BSD-3-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-name", "bsd-warranty")),
+    ("GPL-2.0", ("gpl-free", "gpl2-redistribute", "gpl-hope", "gpl-merchantability")),
+    ("GPL-3.0", ("gpl-free", "gpl3-redistribute", "gpl-hope", "gpl-merchantability")),
+    ("LGPL-2.1", ("library-free", "lgpl21-redistribute", "library-hope", "gpl-merchantability")),
+    ("LGPL-3.0", ("gpl-free", "lgpl3-redistribute", "gpl-hope", "gpl-merchantability")),
+    ("AGPL-3.0", ("gpl-free", "agpl3-redistribute", "gpl-hope", "gpl-merchantability")),
+    ("ISC", ("isc-grant", "isc-warranty")),
+    ("Unlicense", ("unlicense-free", "unlicense-anyone")),
+    ("BSL-1.0", ("boost-grant", "mit-warranty")),
+    ("BSL-1.0", ("boost-distributed",)),
+    ("EPL-2.0", ("epl2-available",)),
+    ("MPL-2.0", ("mpl2-terms", "mpl2-copy")),
+    ("Zlib", ("zlib-asis", "zlib-grant")),
+    *((x, (f"spdx-{x.lower()}",)) for x in SPDX),
 )
 
 _CUT = re.compile(r"(?<=[.;:!?])\s+|\n+")
@@ -108,21 +153,30 @@ class Recogniser:
 
     def licences(self, sequence: list[tuple[int, int, str]]) -> list[tuple[str, int, int]]:
         """Licence, first unit and last unit of the rules that the sequence meets."""
-        met = []
+        at: dict[str, list[int]] = {}
+        for k, (_, _, name) in enumerate(sequence):
+            at.setdefault(name, []).append(k)
+        met = set()
         for name, rule in self.rules:
-            for at in range(len(sequence)):
-                k, end = at, sequence[at][1]
-                if sequence[at][2] != rule[0]:
-                    continue
+            for k in at.get(rule[0], ()):
+                first, end = sequence[k][0], sequence[k][1]
                 for step in rule[1:]:
-                    k = next((m for m in range(k + 1, len(sequence)) if sequence[m][2] == step and sequence[m][0] - end <= self.gap + 1), None)
-                    if k is None:
+                    places = at.get(step, [])
+                    next_ = bisect.bisect_right(places, k)
+                    if next_ == len(places) or sequence[places[next_]][0] - end > self.gap + 1:
                         break
+                    k = places[next_]
                     end = sequence[k][1]
                 else:
-                    met.append((name, sequence[at][0], end))
-        inside = lambda m, o: o[1] <= m[1] and m[2] <= o[2] and o[2] - o[1] > m[2] - m[1]
-        return sorted({m for m in met if not any(inside(m, o) for o in met)}, key=lambda m: (m[1], m[2], m[0]))
+                    met.add((name, first, end))
+        # From left to right, the longer first: a rule lies inside one that began before and reaches as far, or that began with it and reaches further.
+        kept, far, same = [], -1, (-1, -1)
+        for m in sorted(met, key=lambda m: (m[1], -m[2], m[0])):
+            if m[1] != same[0]:
+                far, same = max(far, same[1]), (m[1], m[2])
+            if far < m[2] and same[1] <= m[2]:
+                kept.append(m)
+        return sorted(kept, key=lambda m: (m[1], m[2], m[0]))
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("licences", pa.string()), ("spans", pa.string()), ("sentences", pa.string())])
@@ -133,7 +187,7 @@ def licence_scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Recogniser(sentences, rules)
-        for batch in batches:
+        for batch in (b.slice(i, j - i) for b in batches for i, j in common.chunks(b.column(1))):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if text and (found := seen.sequence(text)):
