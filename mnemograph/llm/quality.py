@@ -8,7 +8,8 @@ mapped to (0, 1) so that the threshold becomes 0.7.
 The fit uses at most fit_rows labelled rows, those with the smallest hash of doc_id, and fit_pairs preferences among
 them; scoring reads every text. Rows that repeat a doc_id, in either table, are used as they stand; null labels and
 labels other than 0 and 1 are not used. If the labels hold one class only, or none, every score is 0.7. Null texts are
-empty; an empty text has the features of no words. A null doc_id is not held out. Other columns are not read.
+empty; an empty text has the features of no words. A text of any length has ten figures. Rows with equal figures are
+taken by their label, so that ties do not depend on the order of arrival. An empty table gives an empty result. A null doc_id is not held out. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +27,8 @@ from . import common
 _UPPER = bytes(range(0x41, 0x5B))
 _DIGIT = bytes(range(0x30, 0x3A))
 _NOT_SYMBOL = bytes([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100), *range(0x21), 0x2C, 0x2E, 0x7F])
-FEATURES = ("log_words", "word_length", "symbols", "capitals", "digits", "distinct_words", "distinct_lines", "short_words", "one_sign_words", "stops")
+FEATURES = ("log_words", "word_length", "symbols", "capitals", "digits", "distinct_words", "distinct_lines", "short_words", "sign_words", "stops")
+_LETTERS = frozenset(bytes([b]) for b in (*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)))
 #: The score of a document at the threshold.
 CUT = 0.7
 
@@ -47,7 +48,7 @@ def features(text: str) -> list[float]:
         len(set(words)) / n,
         len(set(lines)) / len(lines),
         sum([k <= 3 for k in lengths]) / n,
-        words.count(b"|") / n,
+        sum([k == 1 and w not in _LETTERS for k, w in zip(lengths, words)]) / n,
         data.count(b".") / n,
     ]
 
@@ -124,8 +125,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, fit_pairs: i
 
     rows = common.texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").mapInArrow(figures, "x array<double>, quality int").limit(2 * fit_rows).toArrow()
     x = np.array(rows["x"].to_pylist(), float).reshape(-1, len(FEATURES))
-    order = np.lexsort(x.T)
-    return fit_ranker(x[order], rows["quality"].to_numpy()[order], fit_pairs)
+    y = rows["quality"].to_numpy(zero_copy_only=False)
+    order = np.lexsort((y, *x.T))  # the fit does not depend on the order of arrival
+    return fit_ranker(x[order], y[order], fit_pairs)
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
@@ -135,7 +137,7 @@ def score(docs: DataFrame, ranker: Ranker) -> DataFrame:
     """doc_id and score of every whole text; higher is better, 0.7 is the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, j - i) for b in batches for i, j in common.chunks(b.column(1))):
             x = [features(t or "") for t in batch.column(1).to_pylist()]
             s = ranker.score(np.array(x, float).reshape(-1, len(FEATURES)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], schema=_SCHEMA)
@@ -146,12 +148,14 @@ def score(docs: DataFrame, ranker: Ranker) -> DataFrame:
 def keep_good(docs: DataFrame, ranker: Ranker) -> DataFrame:
     """The rows of docs, all columns, whose score reaches the threshold."""
 
-    @F.pandas_udf("double")
-    def of(text: pd.Series) -> pd.Series:
-        x = [features(t or "") for t in text]
-        return pd.Series(ranker.score(np.array(x, float).reshape(-1, len(FEATURES))))
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x = [features(t or "") for t in batch.column(at).cast(pa.string()).to_pylist()]
+        return batch.filter(pa.array(ranker.score(np.array(x, float).reshape(-1, len(FEATURES))) >= CUT))
 
-    return docs.filter(of(F.col("text")) >= CUT)
+    at = docs.columns.index("text")
+    common.bounded_batches(docs.sparkSession)
+    named = docs.toDF(*("text" if i == at else f"c{i}" for i in range(len(docs.columns))))
+    return named.mapInArrow(common.by_batch(lambda: run), named.schema).toDF(*docs.columns)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
