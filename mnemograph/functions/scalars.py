@@ -128,3 +128,33 @@ def soft_coverage(expected: Column, observed: Column) -> Column:
     text = answer(observed)
     leaves = F.filter(F.transform(expected, answer), lambda x: x != "")
     return F.when(F.size(leaves) > 0, F.size(F.filter(leaves, lambda x: F.contains(text, x))) / F.size(leaves))
+
+
+def looks_like_identifier(x: Column) -> Column:
+    """Eight characters or more without spaces, letters, digits, - and _ alone, with a digit."""
+    compact = F.replace(x, F.lit(" "), F.lit(""))
+    return (F.length(compact) >= 8) & compact.rlike("^[A-Za-z0-9_-]+$") & compact.rlike("[0-9]")
+
+
+def text_contains_answer(text: Column, expected: Column) -> Column:
+    """Whether a text is the expected answer, or holds it where that looks like an identifier."""
+    wanted = answer(expected)
+    found = answers_match(expected, text) | (looks_like_identifier(wanted) & F.contains(answer(text), wanted))
+    return F.coalesce((F.trim(expected) != "") & found, F.lit(False))
+
+
+def answer_hit(expected: Column, observed: Column) -> Column:
+    """K3: whether the expected answer, normalised, stands in the observed one; an empty one never does."""
+    wanted = answer(expected)
+    return F.coalesce((wanted != "") & F.contains(answer(observed), wanted), F.lit(False))
+
+
+def memory_id(key: Column) -> Column:
+    """The id of the memory of an idempotency key."""
+    return F.concat(F.lit("memory:"), F.regexp_replace(key, "^ingest:", ""))
+
+
+def civil_day(year: Column, month: Column, day: Column) -> Column:
+    """Days from 1970-01-01; null for a day that does not exist."""
+    text = F.format_string("%04d-%02d-%02d", year.cast("int"), month.cast("int"), day.cast("int"))
+    return F.unix_date(F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date")).cast("long")

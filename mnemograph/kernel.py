@@ -81,11 +81,11 @@ class Memory:
         return node.join(edges, "request_id", "left").fillna({"incoming": 0, "outgoing": 0})
 
     def session(self, requests: DataFrame, roles: DataFrame, budget: int, depth: int = 2) -> DataFrame:
-        """One load for all roles; roles (role) are a short list from the caller."""
+        """One load for all roles (role) of the caller; every one of them gets a row for each request."""
         if roles.isEmpty():
             raise ValueError("a session needs a role")
-        names = [r.role for r in roles.distinct().orderBy("role").limit(64).collect()]
-        return self.context(requests, budget, depth).withColumn("role", F.explode(F.array(*(F.lit(n) for n in names))))
+        names = roles.agg(F.array_sort(F.collect_set("role")).alias("roles"))
+        return self.context(requests, budget, depth).withColumn("role", F.explode(names.scalar()))
 
     @staticmethod
     def validate_scope(asked: DataFrame, found: DataFrame) -> DataFrame:

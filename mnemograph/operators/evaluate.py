@@ -116,3 +116,44 @@ def forbidden(texts: DataFrame, patterns: list[str]) -> DataFrame:
 def argmax(scores: DataFrame) -> DataFrame:
     """request_id and the index of the highest score, the lowest of equal ones."""
     return scores.groupBy("request_id").agg(F.max_by("idx", F.struct("score", -F.col("idx"))).alias("idx"))
+
+
+def evidence_hits(expected: DataFrame, observed: DataFrame) -> DataFrame:
+    """Question and hit: full, partial, missing, or not applicable without expected references or with abstention.
+
+    expected: question, abstention, ref_id (null: none); observed: question, ref_id.
+    """
+    both = expected.join(observed.distinct().withColumn("seen", F.lit(1)), ["question", "ref_id"], "left")
+    judged = both.groupBy("question").agg(F.max("abstention").alias("abstention"), F.count("ref_id").alias("wanted"), F.count(F.when(F.col("ref_id").isNotNull(), F.col("seen"))).alias("found"))
+    hit = F.when(F.col("abstention") | (F.col("wanted") == 0), "not applicable").when(F.col("wanted") == F.col("found"), "full").when(F.col("found") > 0, "partial").otherwise("missing")
+    return judged.select("question", hit.alias("hit"))
+
+
+def validated(expected: DataFrame, observed: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys and fault of observed rows that nothing expects, of expected ones that are missing, and of repeated ones."""
+    e = expected.groupBy(*keys).agg(F.count("*").alias("expected"))
+    o = observed.groupBy(*keys).agg(F.count("*").alias("observed"))
+    both = e.join(o, keys, "full_outer")
+    fault = F.when(F.col("expected").isNull(), "not expected").when(F.col("observed").isNull(), "missing").when(F.col("expected") > 1, "expected twice").when(F.col("observed") > 1, "observed twice")
+    return both.select(*keys, fault.alias("fault")).filter("fault is not null")
+
+
+def by_task_type(tasks: DataFrame) -> DataFrame:
+    """Tasks, successes, rates and mean process score of each task type; tasks: task_type, success, process_score."""
+    return tasks.groupBy("task_type").agg(F.count("*").alias("tasks"), F.count_if("success").alias("successes"), F.avg(F.col("success").cast("double")).alias("success_rate"), F.avg("process_score").alias("process_score"))
+
+
+def response_quality(edges: DataFrame, nodes: DataFrame, details: DataFrame) -> DataFrame:
+    """Nodes, relationships, details, detail_coverage and causal_density of each request.
+
+    edges: request_id, source, target, semantic_class; nodes and details: request_id, node_id. Ends that are empty are
+    no nodes; ratios over nothing are 0.
+    """
+    ends = edges.withColumn("end", F.explode(F.array("source", "target"))).filter(F.col("end") != "").groupBy("request_id").agg(F.count_distinct("end").alias("relation_nodes"))
+    causal = F.col("semantic_class").isin(*scalars.DENSITY_CLASSES)
+    counts = edges.groupBy("request_id").agg(F.count("*").alias("relationships"), F.count_if(causal).alias("causal"))
+    n = nodes.groupBy("request_id").agg(F.count_distinct("node_id").alias("nodes"))
+    d = details.groupBy("request_id").agg(F.count_distinct("node_id").alias("details"))
+    every = n.join(counts, "request_id", "full_outer").join(ends, "request_id", "left").join(d, "request_id", "left").fillna(0)
+    ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
+    return every.select("request_id", "nodes", "relationships", "relation_nodes", "details", ratio("details", "nodes").alias("detail_coverage"), ratio("causal", "relationships").alias("causal_density"))

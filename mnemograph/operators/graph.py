@@ -1,7 +1,8 @@
 """Bounded traversal over edges (G1 to G10), for a batch of requests at once.
 
 requests: request_id, root. edges: source, target, relation_type. Depth is at most 25, so hops are a short loop of
-equi-joins; each hop's frontier is written to the checkpoint folder, which cuts lineage and survives lost executors.
+equi-joins over the edges' distinct ends, which are written once, dealt by their source. Each hop's frontier is written
+to the checkpoint folder, which cuts lineage and survives lost executors; one of few rows is broadcast.
 """
 
 from __future__ import annotations
@@ -10,6 +11,9 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
+
+from mnemograph.functions import scalars
 
 #: Depth of a traversal that names none, and the deepest one.
 DEFAULT_DEPTH, MOST_DEPTH = 10, 25
@@ -21,23 +25,40 @@ def depth_of(asked: Column) -> Column:
     return F.when(asked == 0, DEFAULT_DEPTH).otherwise(F.greatest(F.lit(1), F.least(asked, F.lit(MOST_DEPTH))))
 
 
+#: Most rows of a frontier that a hop broadcasts.
+FEW = 100_000
+
+
 def _kept(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not sc.getCheckpointDir():
-        sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='mnemograph-')}")
+    shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not sc.getCheckpointDir():
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("a cluster needs a shared folder in spark.checkpoint.dir")
+        sc.setCheckpointDir(shared or f"file://{tempfile.mkdtemp(prefix='mnemograph-')}")
     return df.checkpoint()
 
 
+def _steps(edges: DataFrame) -> DataFrame:
+    """node and next of the distinct ends of edges, dealt by node."""
+    return _kept(edges.select(F.col("source").alias("node"), F.col("target").alias("next")).repartition("node").distinct())
+
+
+def _met(frontier: DataFrame, rows: int, steps: DataFrame) -> DataFrame:
+    return (F.broadcast(frontier) if rows <= FEW else frontier).join(steps, "node")
+
+
 def reach(edges: DataFrame, requests: DataFrame, depth: int) -> DataFrame:
     """G1: request_id, node, hops of the nodes that a request's root reaches in 1 to depth hops, without the root."""
-    steps = edges.select(F.col("source").alias("node"), "target").distinct()
-    frontier = requests.select("request_id", F.col("root").alias("node"), F.lit(0).alias("hops")).distinct()
+    steps = _steps(edges)
+    frontier = _kept(requests.select("request_id", F.col("root").alias("node"), F.lit(0).alias("hops")).distinct())
     seen = frontier
     for hop in range(1, depth + 1):
-        ahead = frontier.join(steps, "node").select("request_id", F.col("target").alias("node")).distinct()
-        frontier = _kept(ahead.join(seen, ["request_id", "node"], "left_anti").withColumn("hops", F.lit(hop)))
-        if frontier.isEmpty():
+        rows = frontier.count()
+        if not rows:
             break
+        ahead = _met(frontier, rows, steps).select("request_id", F.col("next").alias("node")).distinct()
+        frontier = _kept(ahead.join(seen.select("request_id", "node"), ["request_id", "node"], "left_anti").withColumn("hops", F.lit(hop)))
         seen = seen.unionByName(frontier)
     return seen.filter("hops > 0")
 
@@ -53,23 +74,28 @@ def induced(edges: DataFrame, reached: DataFrame, requests: DataFrame) -> DataFr
 def shortest_paths(edges: DataFrame, requests: DataFrame, depth: int = MOST_DEPTH) -> DataFrame:
     """request_id and path (array of nodes) from root to target; of equal lengths, the smallest path.
 
-    requests: request_id, root, target. A request without a path, or from a node to itself, gives no row.
+    requests: request_id, root, target. A request without a path, or from a node to itself, gives no row. The graph is
+    walked once for each distinct root, until the last of its targets is found, and requests are joined at the end.
     """
-    steps = edges.select(F.col("source").alias("node"), F.col("target").alias("next")).distinct()
-    frontier = requests.select("request_id", "target", F.col("root").alias("node"), F.array("root").alias("path"))
-    seen = frontier.select("request_id", "node")
-    found = None
+    steps = _steps(edges)
+    open_ = _kept(requests.filter("root <> target").select("root", "target").distinct())
+    level = _kept(open_.select("root").distinct().select("root", F.col("root").alias("node"), F.array("root").alias("path")))
+    seen, found = level.select("root", "node"), None
     for _ in range(depth):
-        ahead = frontier.join(steps, "node").select("request_id", "target", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"))
-        best = ahead.groupBy("request_id", "target", "node").agg(F.min("path").alias("path"))
-        level = _kept(best.join(seen, ["request_id", "node"], "left_anti").select("request_id", "target", "node", "path"))
-        if level.isEmpty():
+        rows = level.count()
+        if not rows or open_.isEmpty():
             break
-        hit = level.filter("node = target").select("request_id", "path")
-        found = hit if found is None else found.union(hit)
-        seen = seen.union(level.select("request_id", "node"))
-        frontier = level.join(hit.select("request_id"), "request_id", "left_anti").select("request_id", "target", "node", "path")
-    return found if found is not None else requests.select("request_id", F.array("root").alias("path")).limit(0)
+        ahead = _met(level, rows, steps).select("root", F.col("next").alias("node"), "path")
+        fresh = ahead.join(seen, ["root", "node"], "left_anti").groupBy("root", "node").agg(F.min("path").alias("path"))
+        level = _kept(fresh.withColumn("path", F.concat("path", F.array("node"))))
+        ends = level.withColumnRenamed("node", "target")
+        hit = _kept(ends.join(open_, ["root", "target"], "left_semi"))
+        found = hit if found is None else found.unionByName(hit)
+        open_ = _kept(open_.join(hit.select("root", "target"), ["root", "target"], "left_anti"))
+        seen = seen.union(level.select("root", "node"))
+    if found is None:
+        return requests.select("request_id", F.array("root").alias("path")).limit(0)
+    return requests.join(found, ["root", "target"]).select("request_id", "path")
 
 
 def context_paths(edges: DataFrame, requests: DataFrame, depth: int) -> DataFrame:
@@ -100,8 +126,13 @@ def merged(bundles: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def without_placeholders(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """F8: nodes that are no placeholders, and the edges between such."""
-    bad = nodes.filter((F.col("node_kind") == "placeholder") | (F.col("status") == "PLACEHOLDER")).select("node_id")
+    """F8: nodes that are no placeholders by their kind, a label or a property, and the edges between such."""
+    is_bad = F.col("node_kind") == "placeholder"
+    if "labels" in nodes.columns:
+        is_bad = is_bad | F.coalesce(F.array_contains("labels", "placeholder"), F.lit(False))
+    if "properties" in nodes.columns:
+        is_bad = is_bad | F.coalesce(F.col("properties")["placeholder"] == "true", F.lit(False))
+    bad = nodes.filter(is_bad).select("node_id")
     kept = nodes.join(bad, "node_id", "left_anti")
     clean = edges.join(bad.withColumnRenamed("node_id", "source"), "source", "left_anti").join(bad.withColumnRenamed("node_id", "target"), "target", "left_anti")
     return kept, clean.select(edges.columns)
@@ -115,3 +146,36 @@ def broken(nodes: DataFrame, edges: DataFrame, details: DataFrame) -> DataFrame:
     loose = ends.join(ids, "node_id", "left_anti").select(F.lit("edge outside").alias("fault"), "key").distinct()
     stray = details.join(ids, "node_id", "left_anti").select(F.lit("detail outside").alias("fault"), F.col("node_id").alias("key"))
     return twice.union(loose).union(stray)
+
+
+def ordered(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Place of each node of a request by (node_id, kind, title), and of each edge by (source, target, type)."""
+    first = Window.partitionBy("request_id").orderBy("node_id", "node_kind", "title")
+    second = Window.partitionBy("request_id").orderBy(*EDGE_KEY)
+    return nodes.withColumn("place", F.row_number().over(first).cast("long")), edges.withColumn("place", F.row_number().over(second).cast("long"))
+
+
+def conflicts(edges: DataFrame) -> DataFrame:
+    """request_id, place and text of the edges that contradict, each text once at its first place.
+
+    edges: request_id, place, source, target, relation_type, and rationale and evidence where they are known.
+    """
+    said = [F.when(F.trim(c) != "", F.concat(F.lit(": "), F.trim(c))) for c in ("rationale", "evidence") if c in edges.columns]
+    relation = scalars.relation_type(F.col("relation_type"))
+    text = F.concat(F.concat_ws(" ", F.col("source"), relation, F.col("target")), F.coalesce(*said, F.lit("")))
+    said = edges.filter(relation == "contradicts").select("request_id", "place", text.alias("text"))
+    return said.groupBy("request_id", "text").agg(F.min("place").alias("place")).select("request_id", "place", "text")
+
+
+def existing(edges: DataFrame, requests: DataFrame) -> DataFrame:
+    """request_id, refs (sorted array of what the root's edges name, root included)."""
+    out = requests.join(edges.select(F.col("source").alias("root"), F.col("target").alias("ref")), "root")
+    into = requests.join(edges.select(F.col("target").alias("root"), F.col("source").alias("ref")), "root")
+    every = out.select("request_id", "ref").union(into.select("request_id", "ref")).union(requests.select("request_id", "root"))
+    return every.groupBy("request_id").agg(F.array_sort(F.collect_set("ref")).alias("refs"))
+
+
+def touched(edges: DataFrame, selected: DataFrame) -> DataFrame:
+    """edges of a request with an end among its selected nodes (request_id, node)."""
+    ends = edges.withColumn("node", F.explode(F.array_distinct(F.array("source", "target"))))
+    return ends.join(selected.distinct(), ["request_id", "node"], "left_semi").drop("node").distinct()

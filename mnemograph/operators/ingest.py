@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mnemograph.functions import scalars
-from mnemograph.operators import graph
+from mnemograph.operators import graph, projection
 
 _TEXT = T.StringType()
 
@@ -57,19 +57,21 @@ def mutations(memories: DataFrame) -> DataFrame:
     edges has_dimension, records, contains_entry (one for each coordinate's scope), has_evidence, supports and its own.
     """
     m = memories
-    empty = lambda t="string": F.lit(None).cast(t)
     scope = lambda d: scalars.dimension_identity(F.col("about"), d)
 
     def shaped(df: DataFrame, op: str, **have: Column) -> DataFrame:
-        types = {"seq": "long", "revision": "long"}
-        names = ("seq", "node_id", "node_kind", "title", "status", "source", "target", "relation_type", "semantic_class", "detail", "revision")
-        return df.select(F.lit(op).alias("op"), *(have.get(n, F.col("seq") if n == "seq" else empty(types.get(n, "string"))).alias(n) for n in names))
+        return df.select("seq", projection.mutation(op, **have).alias("m")).select("seq", "m.*")
 
     def nodes(df: DataFrame, key: Column, kind: Column, title: Column) -> DataFrame:
-        return shaped(df, "node", node_id=key, node_kind=kind, title=title, status=F.lit("ACTIVE"))
+        have = {"node_kind": kind, "title": title, "status": F.lit("ACTIVE")}
+        return shaped(df, "node", node_id=key, node=F.struct(*(have.get(n, F.lit(None)).alias(n) for n in projection.NODE_VALUES)))
 
     def edges(df: DataFrame, source: Column, target: Column, relation: Column, cls: Column) -> DataFrame:
-        return shaped(df, "edge", source=source, target=target, relation_type=relation, semantic_class=cls)
+        explanation = F.struct(*((cls if n == "semantic_class" else F.lit(None)).alias(n) for n in projection.EXPLANATION.names))
+        return shaped(df, "edge", source=source, target=target, relation_type=relation, explanation=explanation)
+
+    def details(df: DataFrame, key: Column, text: Column, revision: Column) -> DataFrame:
+        return shaped(df, "detail", node_id=key, detail=F.struct(text.alias("detail"), F.lit(None).alias("content_hash"), revision.alias("revision")))
 
     d = m.select("seq", "about", F.explode("dimensions").alias("d"))
     e = m.select("seq", "about", F.explode("entries").alias("e"))
@@ -83,12 +85,12 @@ def mutations(memories: DataFrame) -> DataFrame:
         nodes(d, scope(x("d.id")), F.lit("memory_dimension"), F.coalesce("d.title", "d.id")),
         edges(d, x("about"), scope(x("d.id")), F.lit("has_dimension"), structural),
         nodes(e, x("e.id"), x("e.kind"), scalars.truncated(x("e.text"))),
-        shaped(e, "detail", node_id=x("e.id"), detail=x("e.text"), revision=F.lit(1).cast("long")),
+        details(e, x("e.id"), x("e.text"), F.lit(1).cast("long")),
         edges(e, x("about"), x("e.id"), F.lit("records"), structural),
         edges(c, scope(x("c.dimension")), x("e.id"), F.lit("contains_entry"), structural),
         edges(r, x("r.source"), x("r.target"), scalars.relation_type(x("r.rel")), x("r.class")),
         nodes(v, x("v.id"), F.lit("evidence"), scalars.truncated(x("v.text"))),
-        shaped(v, "detail", node_id=x("v.id"), detail=x("v.text"), revision=F.lit(1).cast("long")),
+        details(v, x("v.id"), x("v.text"), F.lit(1).cast("long")),
         edges(v, x("about"), x("v.id"), F.lit("has_evidence"), evidential),
         edges(s, x("v.id"), x("s"), F.lit("supports"), evidential),
     ]

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
+from mnemograph.operators.graph import _kept as kept
+
 EXPLANATION = T.StructType([T.StructField(n, T.StringType()) for n in ("semantic_class", "rationale", "motivation", "method", "decision_id", "caused_by_node_id", "evidence", "confidence")] + [T.StructField("sequence", T.LongType())])
 NODE_EVENT = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("node_id", "node_kind", "title", "summary", "status")]
@@ -22,41 +24,71 @@ DETAIL_EVENT = T.StructType([T.StructField(n, T.StringType()) for n in ("node_id
 SUBJECTS = {"graph.node.materialized": "node", "graph.relation.materialized": "edge", "node.detail.materialized": "detail"}
 
 
+def _read(events: DataFrame) -> DataFrame:
+    """events with kind and with data parsed by its subject alone."""
+    of = lambda name, schema: F.when(F.col("subject") == {v: k for k, v in SUBJECTS.items()}[name], F.from_json("data", schema)).alias(name)
+    parsed = events.select("*", of("node", NODE_EVENT), of("edge", EDGE_EVENT), of("detail", DETAIL_EVENT))
+    kind = F.when(F.col("node.node_id").isNotNull(), "node").when(F.col("edge.source_node_id").isNotNull(), "edge").when(F.col("detail.node_id").isNotNull(), "detail").otherwise("refused")
+    return parsed.withColumn("kind", kind)
+
+
 def routed(events: DataFrame) -> dict[str, DataFrame]:
     """IO12: events (subject, data, seq) by kind with data parsed; the rest, and data that cannot be parsed, in 'refused'."""
-    parsed = events.withColumns({"node": F.from_json("data", NODE_EVENT), "edge": F.from_json("data", EDGE_EVENT), "detail": F.from_json("data", DETAIL_EVENT)})
-    kind = F.lit("refused")
-    for subject, name in SUBJECTS.items():
-        key = F.col(f"{name}.source_node_id") if name == "edge" else F.col(f"{name}.node_id")
-        kind = F.when((F.col("subject") == subject) & key.isNotNull(), name).otherwise(kind)
-    named = parsed.withColumn("kind", kind)
+    named = _read(events)
     return {k: named.filter(F.col("kind") == k) for k in ("node", "edge", "detail", "refused")}
 
 
+#: What a mutation sets, by kind, after its key.
+NODE_VALUES = ("node_kind", "title", "summary", "status", "labels", "properties")
+DETAIL_VALUES = ("detail", "content_hash", "revision")
+_MUTATION = "struct<op:string,node_id:string,source:string,target:string,relation_type:string,node:struct<node_kind:string,title:string,summary:string,status:string,labels:array<string>,properties:map<string,string>>,explanation:" + EXPLANATION.simpleString() + ",detail:struct<detail:string,content_hash:string,revision:bigint>>"
+
+
+def mutation(op: str, **values: Column) -> Column:
+    """One mutation: op with its key (node_id, or source, target and relation_type) and a struct node, explanation or detail."""
+    names = ("node_id", "source", "target", "relation_type", "node", "explanation", "detail")
+    return F.struct(F.lit(op).alias("op"), *(values.get(n, F.lit(None)).alias(n) for n in names)).cast(_MUTATION)
+
+
+#: A node that an edge names before it is materialised.
+PLACEHOLDER = {
+    "node_kind": "placeholder",
+    "title": "[unmaterialized node]",
+    "summary": "Referenced by relation before node materialization",
+    "status": "UNMATERIALIZED",
+    "labels": ["placeholder"],
+    "properties": {"placeholder": "true", "placeholder_reason": "relation_materialized_before_node", "placeholder_created_by_subject": "graph.relation.materialized"},
+}
+
+
 def mutations(events: DataFrame) -> DataFrame:
-    """Seq, op and the columns of each mutation that the events ask for, in their order."""
-    by = routed(events)
-    none = lambda n, t="string": F.lit(None).cast(t).alias(n)
-    shape = lambda op, seq, node, kind, title, status, source, target, relation, cls, detail, revision: [F.lit(op).alias("op"), seq.alias("seq"), node.alias("node_id"), kind.alias("node_kind"), title.alias("title"), status.alias("status"), source.alias("source"), target.alias("target"), relation.alias("relation_type"), cls.alias("semantic_class"), detail.alias("detail"), revision.alias("revision")]
-    n, s = lambda: none("x"), F.col("seq")
-    nodes = by["node"].select(*shape("node", s, F.col("node.node_id"), F.col("node.node_kind"), F.col("node.title"), F.col("node.status"), n(), n(), n(), n(), n(), none("x", "long")))
-    related = by["node"].select("seq", F.col("node.node_id").alias("from"), F.explode("node.related_nodes").alias("r")).select(*shape("edge", s, n(), n(), n(), n(), F.col("from"), F.col("r.node_id"), F.col("r.relation_type"), F.col("r.explanation.semantic_class"), n(), none("x", "long")))
-    edges = by["edge"].select(*shape("edge", s, n(), n(), n(), n(), F.col("edge.source_node_id"), F.col("edge.target_node_id"), F.col("edge.relation_type"), F.col("edge.explanation.semantic_class"), n(), none("x", "long")))
-    details = by["detail"].select(*shape("detail", s, F.col("detail.node_id"), n(), n(), n(), n(), n(), n(), n(), F.col("detail.detail"), F.col("detail.revision")))
-    return nodes.unionByName(related).unionByName(edges).unionByName(details)
+    """Seq and the mutations that the events ask for: op, the key (node_id, or source, target and relation_type),
+    and the values of a node, an explanation or a detail. Each event is parsed once."""
+    part = lambda name, fields: F.struct(*(F.col(f"{name}.{f}") for f in fields))
+    related = F.transform(F.coalesce("node.related_nodes", F.array()), lambda r: mutation("edge", source=F.col("node.node_id"), target=r["node_id"], relation_type=r["relation_type"], explanation=r["explanation"]))
+    node = F.concat(F.array(mutation("node", node_id=F.col("node.node_id"), node=part("node", NODE_VALUES))), related)
+    edge = F.array(mutation("edge", source=F.col("edge.source_node_id"), target=F.col("edge.target_node_id"), relation_type=F.col("edge.relation_type"), explanation=F.col("edge.explanation")))
+    detail = F.array(mutation("detail", node_id=F.col("detail.node_id"), detail=part("detail", DETAIL_VALUES)))
+    asked = F.when(F.col("kind") == "node", node).when(F.col("kind") == "edge", edge).when(F.col("kind") == "detail", detail)
+    return _read(events).select("seq", F.explode(asked).alias("m")).select("seq", "m.*")
 
 
 def fold(changes: DataFrame) -> dict[str, DataFrame]:
     """Nodes, edges and details after all mutations; the last of a key wins, by seq.
 
-    An edge whose end has no node makes a placeholder there. All three are aggregates with a partial step.
+    One aggregate with a partial step folds all three, and is written to the checkpoint folder. An edge whose end has no
+    node makes a placeholder there.
     """
-    last = lambda *cols: F.max_by(F.struct(*cols), "seq").alias("x")
-    known = changes.filter("op = 'node'").groupBy("node_id").agg(last("node_kind", "title", "status")).select("node_id", "x.*")
-    edges = changes.filter("op = 'edge'").groupBy("source", "target", "relation_type").agg(last("semantic_class")).select("source", "target", "relation_type", "x.*")
-    details = changes.filter("op = 'detail'").groupBy("node_id").agg(last("detail", "revision")).select("node_id", "x.*")
+    keys = ["op", "node_id", "source", "target", "relation_type"]
+    folded = kept(changes.groupBy(*keys).agg(F.max_by(F.struct("node", "explanation", "detail"), "seq").alias("x")))
+    known = folded.filter("op = 'node'").select("node_id", "x.node.*")
+    edges = folded.filter("op = 'edge'").select("source", "target", "relation_type", "x.explanation.*")
+    details = folded.filter("op = 'detail'").select("node_id", "x.detail.*")
     ends = edges.select(F.explode(F.array("source", "target")).alias("node_id")).distinct().join(known, "node_id", "left_anti")
-    holes = ends.select("node_id", F.lit("placeholder").alias("node_kind"), F.col("node_id").alias("title"), F.lit("PLACEHOLDER").alias("status"))
+    texts = {k: F.lit(v) for k, v in PLACEHOLDER.items() if isinstance(v, str)}
+    labels = F.array(*map(F.lit, PLACEHOLDER["labels"]))
+    properties = F.create_map(*(F.lit(x) for pair in PLACEHOLDER["properties"].items() for x in pair))
+    holes = ends.select("node_id", *(v.alias(k) for k, v in texts.items()), labels.alias("labels"), properties.alias("properties"))
     return {"nodes": known.unionByName(holes), "edges": edges, "details": details}
 
 

@@ -49,12 +49,16 @@ def _met(found: DataFrame, requests: DataFrame, where: Column) -> DataFrame:
     return found.join(cursor, ["about", "axis"]).filter(where)
 
 
+def where(direction: str) -> Column:
+    """Which positions of a cursor's axis lie in a direction."""
+    return {"goto": F.col("key") <= F.col("cursor"), "rewind": F.col("key") < F.col("cursor"), "forward": F.col("key") > F.col("cursor")}[direction]
+
+
 def move(found: DataFrame, requests: DataFrame, direction: str, limit: int | None = None) -> DataFrame:
     """Goto (to the cursor, with it), rewind (before it) or forward (behind it): the nearest positions, in order."""
-    where = {"goto": F.col("key") <= F.col("cursor"), "rewind": F.col("key") < F.col("cursor"), "forward": F.col("key") > F.col("cursor")}[direction]
     most = limit or (GOTO_LIMIT if direction == "goto" else STEP_LIMIT)
     keys = order() if direction == "forward" else [c.desc() for c in order()]
-    near = _met(found, requests, where).withColumn("nth", F.row_number().over(Window.partitionBy("request_id").orderBy(*keys))).filter(F.col("nth") <= most)
+    near = _met(found, requests, where(direction)).withColumn("nth", F.row_number().over(Window.partitionBy("request_id").orderBy(*keys))).filter(F.col("nth") <= most)
     return near.drop("cursor", "nth")
 
 
@@ -77,8 +81,7 @@ def refs(selected: DataFrame) -> DataFrame:
 
 def page(found: DataFrame, requests: DataFrame, direction: str, limit: int | None = None) -> DataFrame:
     """Returned, total, has_more and next_cursor of a move."""
-    every = move(found, requests, direction, 2**31 - 1)
-    total = every.groupBy("request_id").agg(F.count_distinct("ref_id").alias("total"))
+    total = _met(found, requests, where(direction)).groupBy("request_id").agg(F.count_distinct("ref_id").alias("total"))
     got = refs(move(found, requests, direction, limit))
     end = F.max_by("ref_id", "place") if direction == "forward" else F.min_by("ref_id", "place")
     shown = got.groupBy("request_id").agg(F.count("*").alias("returned"), end.alias("end"))
@@ -126,3 +129,15 @@ def leak_check(allowed: DataFrame, observed: DataFrame, answers: DataFrame) -> D
     judged = both.join(answers.select(*keys, "ref_id").distinct().withColumn("w", F.lit(1)), [*keys, "ref_id"], "left")
     unexpected = F.count_if(F.col("a").isNull())
     return judged.groupBy(*keys).agg(unexpected.alias("unexpected"), F.count_if(F.col("o").isNull()).alias("missing"), (F.count_if((F.col("w") == 1) & (F.col("o") == 1)) > 0).alias("leaked"), (unexpected == 0).alias("clean"))
+
+
+def coordinates(selected: DataFrame) -> DataFrame:
+    """Each reference's distinct coordinates (axis, key, dimension, scope_id), in order."""
+    every = F.array_sort(F.collect_set(F.struct("axis", "key", "dimension", "scope_id")))
+    return selected.groupBy("request_id", "ref_id").agg(every.alias("coordinates"))
+
+
+def missing_positions(found: DataFrame, requests: DataFrame) -> DataFrame:
+    """request_id and missing: whether the request's subject has no position on the cursor's axis."""
+    have = found.select("about", "axis").distinct().withColumn("here", F.lit(True))
+    return requests.join(have, ["about", "axis"], "left").select("request_id", F.col("here").isNull().alias("missing"))

@@ -41,7 +41,7 @@ SELECT * FROM e""",
 )
 def memory_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = _memories(spark, sf_dir)
-    return projection.fold(ingest.mutations(good))["edges"]
+    return projection.fold(ingest.mutations(good))["edges"].select("source", "target", "relation_type", "semantic_class")
 
 
 @query("memory_faults", f"WITH {_TURNS} SELECT conv_id AS seq, 'an entry has no text' AS errors FROM t GROUP BY 1 HAVING count(*) FILTER (trim(text) = '' OR text IS NULL) > 0")

@@ -21,7 +21,7 @@ _LINES = "SELECT 'line:' || l_orderkey || ':' || l_linenumber || ':' || l_partke
 
 def _paid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts such as: Paid $1,200.50 for hardware and another 30 EUR for shipping."""
-    line = views.table(spark, sf_dir, "lineitem")
+    line = views.spread(views.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"))
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
     price = F.format_string("%d.%02d", F.floor(cents / 100).cast("long"), cents % 100)
     return line.select(_line_ref().alias("ref_id"), F.concat(F.lit("Paid $"), price, F.lit(" for part "), F.col("l_partkey").cast("string"), F.lit(" and another "), F.col("l_quantity").cast("long").cast("string"), F.lit(" EUR for shipping. See `$5` and https://example.org/p?a=$7.")).alias("text"))

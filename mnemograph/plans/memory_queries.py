@@ -187,11 +187,13 @@ def temporal_leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Traversal.
 
 
-def _roots(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(f"r{i}", f"nation:{i}") for i in range(0, 25, 5)], "request_id string, root string")
+def _roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request for every nation."""
+    n = F.col("n_nationkey").cast("string")
+    return views.table(spark, sf_dir, "nation").select(F.concat(F.lit("r"), n).alias("request_id"), F.concat(F.lit("nation:"), n).alias("root"))
 
 
-_ROOTS_SQL = "roots AS (SELECT 'r' || i AS request_id, 'nation:' || i AS root FROM range(0, 25, 5) t(i))"
+_ROOTS_SQL = "roots AS (SELECT 'r' || n_nationkey AS request_id, 'nation:' || n_nationkey AS root FROM nation)"
 _REACH_SQL = f"""
 WITH RECURSIVE {EDGES_SQL}, {_ROOTS_SQL},
 walk(request_id, node, hops) AS (SELECT request_id, root, 0 FROM roots UNION SELECT w.request_id, e.target, w.hops + 1 FROM walk w JOIN edges e ON e.source = w.node WHERE w.hops < 3),
@@ -200,24 +202,25 @@ reached AS (SELECT request_id, node, min(hops) AS hops FROM walk GROUP BY 1, 2)"
 
 @query("neighborhood_bfs", _REACH_SQL + " SELECT request_id, node, CAST(hops AS INTEGER) AS hops FROM reached WHERE hops > 0")
 def neighborhood_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.reach(views.edges(spark, sf_dir), _roots(spark), 3)
+    return graph.reach(views.edges(spark, sf_dir), _roots(spark, sf_dir), 3)
 
 
 @query("induced_subgraph", _REACH_SQL + " SELECT a.request_id, e.source, e.target, e.relation_type FROM edges e JOIN reached a ON e.source = a.node JOIN reached b ON e.target = b.node AND a.request_id = b.request_id")
 def induced_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, r = views.edges(spark, sf_dir), _roots(spark)
+    e, r = views.edges(spark, sf_dir), _roots(spark, sf_dir)
     return graph.induced(e, graph.reach(e, r, 3), r).select("request_id", "source", "target", "relation_type")
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = views.table(spark, sf_dir, "lineitem").filter("l_orderkey % 100 = 1 AND l_linenumber = 1").groupBy("l_orderkey").agg(F.min("l_partkey").alias("p"))
+    """A request for every order: from one region to the order's first part."""
+    o = views.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("p"))
     return o.select(F.concat(F.lit("q"), F.col("l_orderkey").cast("string")).alias("request_id"), F.lit("region:0").alias("root"), F.concat(F.lit("part:"), F.col("p").cast("string")).alias("target"))
 
 
 _PATHS_SQL = f"""
 WITH RECURSIVE {EDGES_SQL},
 steps AS (SELECT DISTINCT source, target FROM edges),
-pairs AS (SELECT 'q' || l_orderkey AS request_id, 'region:0' AS root, 'part:' || min(l_partkey) AS target FROM lineitem WHERE l_orderkey % 100 = 1 AND l_linenumber = 1 GROUP BY l_orderkey),
+pairs AS (SELECT 'q' || l_orderkey AS request_id, 'region:0' AS root, 'part:' || min(l_partkey) AS target FROM lineitem GROUP BY l_orderkey),
 walk(node, path, hops) AS (SELECT 'region:0', ['region:0'], 0 UNION ALL SELECT s.target, list_append(w.path, s.target), w.hops + 1 FROM walk w JOIN steps s ON s.source = w.node WHERE w.hops < 4),
 best AS (SELECT node, min((hops, path)) AS b FROM (SELECT node, hops, path FROM walk) GROUP BY node)"""
 
@@ -241,7 +244,7 @@ def context_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {EDGES_SQL}, {_ROOTS_SQL} SELECT request_id, 'outgoing' AS direction, source, target, relation_type FROM roots JOIN edges ON source = root UNION ALL SELECT request_id, 'incoming', source, target, relation_type FROM roots JOIN edges ON target = root",
 )
 def node_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.relationships(views.edges(spark, sf_dir), _roots(spark)).select("request_id", "direction", "source", "target", "relation_type")
+    return graph.relationships(views.edges(spark, sf_dir), _roots(spark, sf_dir)).select("request_id", "direction", "source", "target", "relation_type")
 
 
 @query(
@@ -260,7 +263,7 @@ def merge_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("placeholder_filter", f"WITH {NODES_SQL}, {EDGES_SQL} SELECT relation_type, count(*) AS edges FROM edges WHERE source NOT IN (SELECT node_id FROM nodes WHERE status = 'P') AND target NOT IN (SELECT node_id FROM nodes WHERE status = 'P') GROUP BY 1")
 def placeholder_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = views.nodes(spark, sf_dir).withColumn("status", F.when(F.col("status") == "P", "PLACEHOLDER").otherwise(F.col("status")))
+    n = views.nodes(spark, sf_dir).withColumn("labels", F.when(F.col("status") == "P", F.array(F.lit("placeholder"))))
     return graph.without_placeholders(n, views.edges(spark, sf_dir))[1].groupBy("relation_type").agg(F.count("*").alias("edges"))
 
 
@@ -275,22 +278,24 @@ def bundle_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as an envelope of node events: each user's node takes the type of its last event."""
-    e = views.table(spark, sf_dir, "events")
-    data = F.to_json(F.struct(F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("node_id"), F.lit("user").alias("node_kind"), F.col("event_type").alias("title"), F.lit("ACTIVE").alias("status"), F.array(F.struct(F.concat(F.lit("kind:"), F.col("event_type")).alias("node_id"), F.lit("did").alias("relation_type"), F.struct(F.lit("causal").alias("semantic_class")).alias("explanation"))).alias("related_nodes")))
+    e = views.spread(views.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"))
+    data = F.to_json(F.struct(F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("node_id"), F.lit("user").alias("node_kind"), F.col("event_type").alias("title"), F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("summary"), F.lit("ACTIVE").alias("status"), F.array("event_type").alias("labels"), F.create_map(F.lit("last"), F.col("event_id").cast("string")).alias("properties"), F.array(F.struct(F.concat(F.lit("kind:"), F.col("event_type")).alias("node_id"), F.lit("did").alias("relation_type"), F.struct(F.lit("causal").alias("semantic_class"), F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("rationale"), F.col("event_id").alias("sequence")).alias("explanation"))).alias("related_nodes")))
     return e.select(F.col("event_id").alias("seq"), F.lit("graph.node.materialized").alias("subject"), data.alias("data"))
 
 
 @query(
     "projection_fold",
-    "SELECT 'user:' || user_id AS node_id, 'user' AS node_kind, arg_max(event_type, event_id) AS title, 'ACTIVE' AS status FROM events GROUP BY user_id UNION ALL SELECT DISTINCT 'kind:' || event_type, 'placeholder', 'kind:' || event_type, 'PLACEHOLDER' FROM events",
+    "SELECT 'user:' || user_id AS node_id, 'user' AS node_kind, arg_max(event_type, event_id) AS title, 'event ' || max(event_id) AS summary, 'ACTIVE' AS status, arg_max(event_type, event_id) AS labels, CAST(max(event_id) AS VARCHAR) AS last FROM events GROUP BY user_id UNION ALL SELECT DISTINCT 'kind:' || event_type, 'placeholder', '[unmaterialized node]', 'Referenced by relation before node materialization', 'UNMATERIALIZED', 'placeholder', NULL FROM events",
 )
 def projection_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return projection.fold(projection.mutations(_stream(spark, sf_dir)))["nodes"]
+    nodes = projection.fold(projection.mutations(_stream(spark, sf_dir)))["nodes"]
+    return nodes.select("node_id", "node_kind", "title", "summary", "status", F.array_join("labels", ",").alias("labels"), F.col("properties")["last"].alias("last"))
 
 
-@query("projection_edges", "SELECT DISTINCT 'user:' || user_id AS source, 'kind:' || event_type AS target, 'did' AS relation_type, 'causal' AS semantic_class FROM events")
+@query("projection_edges", "SELECT 'user:' || user_id AS source, 'kind:' || event_type AS target, 'did' AS relation_type, 'causal' AS semantic_class, 'event ' || max(event_id) AS rationale, CAST(max(event_id) AS BIGINT) AS sequence FROM events GROUP BY user_id, event_type")
 def projection_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return projection.fold(projection.mutations(_stream(spark, sf_dir)))["edges"]
+    edges = projection.fold(projection.mutations(_stream(spark, sf_dir)))["edges"]
+    return edges.select("source", "target", "relation_type", "semantic_class", "rationale", "sequence")
 
 
 def _consumed(spark: SparkSession, sf_dir: str) -> DataFrame:

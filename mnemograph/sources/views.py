@@ -13,6 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores where its files give fewer splits than there are: for costly work on each row. Larger tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """node_id, node_kind, title, summary, status."""
 
@@ -44,17 +50,19 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     flag = F.col("l_returnflag")
+    kind = F.when(flag.isin("R", "A"), flag).otherwise("")
+    # Grouped by the numbers; the names are made of what is left.
     lines = (
         table(spark, sf_dir, "lineitem")
+        .groupBy("l_orderkey", "l_partkey", kind.alias("kind"))
+        .agg(F.max("l_linenumber").alias("sequence"))
         .select(
             F.concat(F.lit("order:"), F.col("l_orderkey").cast("string")).alias("source"),
             F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("target"),
-            F.when(flag == "R", "contradicts").when(flag == "A", "depends_on").otherwise("records").alias("relation_type"),
-            F.when(flag == "R", "evidential").when(flag == "A", "causal").otherwise("structural").alias("semantic_class"),
-            F.col("l_linenumber").cast("long").alias("sequence"),
+            F.when(F.col("kind") == "R", "contradicts").when(F.col("kind") == "A", "depends_on").otherwise("records").alias("relation_type"),
+            F.when(F.col("kind") == "R", "evidential").when(F.col("kind") == "A", "causal").otherwise("structural").alias("semantic_class"),
+            F.col("sequence").cast("long").alias("sequence"),
         )
-        .groupBy("source", "target", "relation_type", "semantic_class")
-        .agg(F.max("sequence").alias("sequence"))
     )
     return inside("nation", "nation", "n_nationkey", "region", "n_regionkey").unionByName(inside("customer", "customer", "c_custkey", "nation", "c_nationkey")).unionByName(inside("orders", "order", "o_orderkey", "customer", "o_custkey")).unionByName(lines)
 

@@ -68,8 +68,8 @@ def test_fold(spark):
     node = '{"node_id": "n", "node_kind": "k", "title": "%s", "status": "S", "related_nodes": [{"node_id": "m", "relation_type": "t"}]}'
     events = spark.createDataFrame([(1, "graph.node.materialized", node % "old"), (2, "graph.node.materialized", node % "new"), (3, "node.detail.materialized", '{"node_id": "n", "detail": "d", "revision": 5}'), (4, "node.detail.materialized", '{"node_id": "n", "detail": "e", "revision": 1}'), (5, "other", "{}"), (6, "graph.node.materialized", "broken")], "seq long, subject string, data string")
     model = projection.fold(projection.mutations(events))
-    assert rows(model["nodes"].select("node_id", "title", "status")) == [("m", "m", "PLACEHOLDER"), ("n", "new", "S")]
-    assert rows(model["details"]) == [("n", "e", 1)]  # the last to arrive wins, whatever its revision
+    assert rows(model["nodes"].select("node_id", "title", "status")) == [("m", "[unmaterialized node]", "UNMATERIALIZED"), ("n", "new", "S")]
+    assert rows(model["details"].select("node_id", "detail", "revision")) == [("n", "e", 1)]  # the last to arrive wins, whatever its revision
     assert projection.routed(events)["refused"].count() == 2
 
 
@@ -104,3 +104,24 @@ def test_verbs(spark, edges):
     got = m.context(asked, 1000).orderBy("request_id").collect()
     assert got[0].content.startswith("Node A (claim)\n\nRelationship a") and got[1].content == "Node Z (claim)"
     assert rows(m.inspect(asked).select("request_id", "incoming", "outgoing")) == [("r", 1, 2), ("t", 1, 1)]
+
+
+def test_days_that_do_not_exist(spark):
+    from mnemograph.functions import scalars
+
+    found = spark.range(1).select(scalars.civil_day(F.lit(2023), F.lit(2), F.lit(30)), scalars.civil_day(F.lit(1970), F.lit(1), F.lit(2)), scalars.civil_day(F.lit(1969), F.lit(12), F.lit(31)))
+    assert tuple(found.first()) == (None, 1, -1)
+
+
+def test_every_role_of_a_session(spark):
+    memory = Memory(spark.createDataFrame([("a", "k", "t", "s", "ACTIVE")], "node_id string, node_kind string, title string, summary string, status string"), spark.createDataFrame([], "source string, target string, relation_type string, semantic_class string, sequence long"), spark.createDataFrame([], "node_id string, detail string"))
+    requests = spark.createDataFrame([("r", "a")], "request_id string, root string")
+    roles = spark.createDataFrame([(f"role{i}",) for i in range(150)], "role string")
+    assert memory.session(requests, roles, 100).select("role").distinct().count() == 150
+
+
+def test_paths_from_several_roots(spark):
+    edges = spark.createDataFrame([("a", "b", "r"), ("a", "c", "r"), ("b", "d", "r"), ("c", "d", "r"), ("d", "e", "r"), ("x", "e", "r"), ("e", "a", "r")], "source string, target string, relation_type string")
+    asked = [("1", "a", "e"), ("2", "x", "e"), ("3", "x", "b"), ("4", "a", "a"), ("5", "e", "none"), ("6", "a", "e")]
+    got = graph.shortest_paths(edges, spark.createDataFrame(asked, "request_id string, root string, target string"))
+    assert sorted((r.request_id, ">".join(r.path)) for r in got.collect()) == [("1", "a>b>d>e"), ("2", "x>e"), ("3", "x>e>a>b"), ("6", "a>b>d>e")]
