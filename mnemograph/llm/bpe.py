@@ -19,7 +19,6 @@ import hashlib
 import json
 import re
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
 from typing import Any
 
 import pyarrow as pa
@@ -365,9 +364,8 @@ def decode(model: BpeModel, ids: Iterable[int]) -> str:
     return "".join([decoder.feed(model.table[i]) for i in ids]) + decoder.finish()
 
 
-@lru_cache(maxsize=2)
 def _digester(tokenizer_path: str) -> Callable[[str], tuple[int, str, str]]:
-    """Number of ids, digest of the ids and digest of their text, of a text; a Python worker keeps it for its later tasks."""
+    """Number of ids, digest of the ids and digest of their text, of a text; a Python worker keeps it for its tasks of a stage."""
     model = BpeModel(tokenizer_path)
     table, numbers = model.table, [f"{i}," for i in range(len(model.table))]
     encoder = Encoder(model, lambda ids: ("".join([numbers[i] for i in ids]), b"".join([table[i] for i in ids])))
@@ -397,7 +395,7 @@ def encode_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digests = _digester(tokenizer_path)
+        digests = common.kept(_digester, tokenizer_path)
         for batch in batches:
             for a, b in common.chunks(batch.column(1)):
                 piece = batch.slice(a, b - a)

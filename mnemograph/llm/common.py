@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,10 +91,31 @@ def chunks(column: pa.Array, most_bytes: int = 2 << 20) -> Iterator[tuple[int, i
     yield start, len(sizes)
 
 
+_KEPT: dict[tuple, object] = {}
+
+
+def forget() -> None:
+    """Drops what this worker keeps of other stages than the task's; every Python task of an operator begins with it."""
+    task = TaskContext.get()
+    for key in [k for k in _KEPT if task is None or k[0] != task.stageId()]:
+        del _KEPT[key]
+
+
+def kept(make: Callable, *args: str) -> object:
+    """make(*args), called once by a worker for all its tasks of a stage."""
+    forget()
+    task = TaskContext.get()
+    key = (task.stageId() if task else None, make.__qualname__, *args)
+    if key not in _KEPT:
+        _KEPT[key] = make(*args)
+    return _KEPT[key]
+
+
 def by_batch(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], most_bytes: int = 2 << 20) -> Callable:
     """A function for mapInArrow that calls make() once in each task, and what it returns for each slice of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         f = make()
         for batch in batches:
             at = batch.schema.get_field_index("text")

@@ -119,6 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, fit_pairs: i
     )
 
     def figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.forget()
         for batch in batches:
             x = [features(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(2)], names=["x", "quality"])
@@ -137,6 +138,7 @@ def score(docs: DataFrame, ranker: Ranker) -> DataFrame:
     """doc_id and score of every whole text; higher is better, 0.7 is the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.forget()
         for batch in (b.slice(i, j - i) for b in batches for i, j in common.chunks(b.column(1))):
             x = [features(t or "") for t in batch.column(1).to_pylist()]
             s = ranker.score(np.array(x, float).reshape(-1, len(FEATURES)))

@@ -21,7 +21,6 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -278,9 +277,8 @@ class WordCache:
             yield np.frombuffer(ids + end, "<u4")
 
 
-@lru_cache(maxsize=2)
 def _word_cache(tokenizer_path: str) -> WordCache:
-    """A Python worker keeps it for its later tasks."""
+    """A Python worker keeps it for its tasks of a stage."""
     return WordCache(tokenizer_path)
 
 
@@ -303,7 +301,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, *, end_id
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, words, seq, rows = TaskContext.get().partitionId(), _word_cache(tokenizer_path), 0, []
+        part, words, seq, rows = TaskContext.get().partitionId(), common.kept(_word_cache, tokenizer_path), 0, []
         store, folder = _file_system(path)
         writer = out = name = None
 

@@ -64,3 +64,26 @@ def test_digests(spark, library):
         want.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert got == sorted(want, key=str)
     assert bpe.encode_digests(df.limit(0), PATH).count() == 0
+
+
+def test_a_worker_keeps_things_for_one_stage(monkeypatch):
+    from types import SimpleNamespace
+
+    from mnemograph.llm import common
+
+    made = []
+
+    def make(name):
+        made.append(name)
+        return object()
+
+    at = SimpleNamespace(stageId=lambda: 1)
+    monkeypatch.setattr(common.TaskContext, "get", classmethod(lambda cls: at))
+    first = common.kept(make, "a")
+    assert common.kept(make, "a") is first and common.kept(make, "b") is not first
+    at = SimpleNamespace(stageId=lambda: 2)
+    common.forget()
+    assert not common._KEPT
+    assert common.kept(make, "a") is not first and made == ["a", "b", "a"]
+    monkeypatch.undo()
+    common.forget()
