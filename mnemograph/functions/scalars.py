@@ -158,3 +158,16 @@ def civil_day(year: Column, month: Column, day: Column) -> Column:
     """Days from 1970-01-01; null for a day that does not exist."""
     text = F.format_string("%04d-%02d-%02d", year.cast("int"), month.cast("int"), day.cast("int"))
     return F.unix_date(F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date")).cast("long")
+
+
+def fact_line(line: Column) -> Column:
+    """Struct of the number before a line's first point and the whole line, trimmed; null if it does not begin so."""
+    number = F.regexp_extract(line, r"^\s*(\d+)\s*\.(.*\S.*)$", 1)
+    return F.when(number != "", F.struct(number.try_cast("long").alias("number"), F.trim(line).alias("text")))
+
+
+def inline_math(body: Column) -> Column:
+    """Whether what stands between two dollar signs reads as mathematics and not as an amount of money."""
+    x = F.trim(body)
+    likely = x.rlike(r"[\\=+\-*/^_{}<>]") | x.rlike(r"^[0-9.,\s]+$") | (x.rlike("^[A-Za-z0-9]+$") & x.rlike("[A-Za-z]"))
+    return F.coalesce((x != "") & ~x.contains("\n") & (F.octet_length(x) <= 120) & likely, F.lit(False))

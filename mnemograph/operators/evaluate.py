@@ -157,3 +157,12 @@ def response_quality(edges: DataFrame, nodes: DataFrame, details: DataFrame) ->
     every = n.join(counts, "request_id", "full_outer").join(ends, "request_id", "left").join(d, "request_id", "left").fillna(0)
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
     return every.select("request_id", "nodes", "relationships", "relation_nodes", "details", ratio("details", "nodes").alias("detail_coverage"), ratio("causal", "relationships").alias("causal_density"))
+
+
+def ref_differences(expected: DataFrame, observed: DataFrame, keys: list[str]) -> DataFrame:
+    """K2: the keys and sorted arrays missing and extra of references (ref_id) that only one side has; equal rows count once."""
+    a = expected.select(*keys, "ref_id").distinct().withColumn("expected", F.lit(True))
+    b = observed.select(*keys, "ref_id").distinct().withColumn("observed", F.lit(True))
+    both = a.join(b, [*keys, "ref_id"], "full_outer")
+    only = lambda c: F.array_sort(F.collect_list(F.when(F.col(c).isNull(), F.col("ref_id"))))
+    return both.groupBy(*keys).agg(only("observed").alias("missing"), only("expected").alias("extra"))

@@ -140,3 +140,45 @@ def summary(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
     got = edges.groupBy("request_id").agg(block.alias("b"), step.alias("n"))
     text = F.concat(F.lit("Objective: "), F.col("title"), F.lit(". Status: "), F.col("status"), F.coalesce(F.concat(F.lit(". Blocker: "), F.col("b.r")), F.lit("")), F.coalesce(F.concat(F.lit(". Next: "), F.col("n.r")), F.lit("")))
     return root.join(got, "request_id", "left").select("request_id", text.alias("summary"))
+
+
+def raw_dump(roots: DataFrame, nodes: DataFrame, edges: DataFrame, details: DataFrame) -> DataFrame:
+    """request_id and the same bundle as flat text: a line for the root, its other nodes by id, and its edges in their order.
+
+    roots: request_id, root; details: request_id, node_id, detail. Reasons are read where edges have columns for them.
+    A null text reads as empty; null reasons leave no part.
+    """
+    said = lambda c: F.coalesce(F.col(c), F.lit(""))
+    part = lambda name, c: F.coalesce(F.concat(F.lit(f" {name}: "), F.col(c), F.lit(".")), F.lit(""))
+    own = nodes.join(details.select("request_id", "node_id", "detail"), ["request_id", "node_id"], "left").join(roots.select("request_id", "root"), "request_id")
+    node = F.concat(F.lit("Node: "), "node_id", F.lit(". Kind: "), said("node_kind"), F.lit(". Summary: "), said("summary"), F.lit("."), part("Detail", "detail"))
+    nothing = F.lit(None).cast("long")
+    lines = own.select("request_id", F.struct(F.when(F.col("node_id") == F.col("root"), 0).otherwise(1).alias("phase"), nothing.alias("s"), F.col("node_id").alias("a"), F.lit("").alias("b"), F.lit("").alias("c"), node.alias("line")).alias("x"))
+    reasons = {"Rationale": "rationale", "Motivation": "motivation", "Method": "method", "Decision": "decision_id", "Caused by": "caused_by_node_id"}
+    edge = F.concat(F.lit("Relationship: "), "source", F.lit(" connects to "), "target", F.lit(" via "), "relation_type", F.lit(". Semantic class: "), "semantic_class", F.lit("."), *(part(n, c) for n, c in reasons.items() if c in edges.columns))
+    late = F.coalesce(F.col("sequence"), F.lit(2**62)).cast("long")
+    lines = lines.union(edges.select("request_id", F.struct(F.lit(2).alias("phase"), late.alias("s"), F.col("source").alias("a"), F.col("target").alias("b"), F.col("relation_type").alias("c"), edge.alias("line")).alias("x")))
+    return lines.groupBy("request_id").agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n"), F.lit("\n")).alias("dump"))
+
+
+def compression(dumps: DataFrame, rendered: DataFrame) -> DataFrame:
+    """A5: request_id, raw_tokens and compression_ratio of a dump to its rendering (request_id, tokens); 1 for an empty rendering."""
+    raw = dumps.select("request_id", tokens(F.col("dump")).alias("raw_tokens")).join(rendered.select("request_id", "tokens"), "request_id")
+    return raw.select("request_id", "raw_tokens", F.when(F.col("tokens") > 0, F.col("raw_tokens") / F.col("tokens")).otherwise(F.lit(1.0)).alias("compression_ratio"))
+
+
+def shown(sections: DataFrame, tiers: DataFrame, first: int = 5) -> DataFrame:
+    """request_id, summary and current_state of rendered sections (request_id, ord, content) and tiers (request_id, tier, content).
+
+    The summary is the first tier that is not blank, else the first section that is not. The state is what is not blank
+    among the first sections; if all of those are, the whole rendering.
+    """
+    blank = F.trim(F.coalesce("content", F.lit(""))) == ""
+    top = tiers.filter(~blank).groupBy("request_id").agg(F.min_by("content", "tier").alias("tier"))
+    listed = sections.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.coalesce("content", F.lit("")).alias("content")))).alias("xs"))
+    text = F.transform("xs", lambda x: x["content"])
+    full = lambda xs: F.filter(xs, lambda x: F.trim(x) != "")
+    whole = F.array_join(text, "\n\n")
+    state = full(F.slice(text, 1, first))
+    state = F.when((F.size(state) == 0) & (F.size(full(text)) > 0), F.array(whole)).otherwise(state)
+    return listed.join(top, "request_id", "left").select("request_id", F.coalesce("tier", F.get(full(text), F.lit(0)), whole).alias("summary"), state.alias("current_state"))

@@ -141,3 +141,32 @@ def missing_positions(found: DataFrame, requests: DataFrame) -> DataFrame:
     """request_id and missing: whether the request's subject has no position on the cursor's axis."""
     have = found.select("about", "axis").distinct().withColumn("here", F.lit(True))
     return requests.join(have, ["about", "axis"], "left").select("request_id", F.col("here").isNull().alias("missing"))
+
+
+def about_roots(roots: Column, current: Column) -> Column:
+    """the distinct roots that are not blank, in order, the current one before the others."""
+    clean = F.array_sort(F.array_distinct(F.filter(F.transform(roots, lambda x: F.trim(x)), lambda x: x != "")))
+    at = F.trim(F.coalesce(current, F.lit("")))
+    return F.when(F.array_contains(clean, at), F.concat(F.array(at), F.filter(clean, lambda x: x != at))).otherwise(clean)
+
+
+def requested_scopes(requests: DataFrame) -> DataFrame:
+    """request_id and the scopes that a selection asks for, by their full names.
+
+    requests: request_id, current, mode (all, only, except), scope_mode (current, abouts, all), and arrays dimensions,
+    abouts, roots and scope_ids. Named scopes win: each is resolved under each about, those of other abouts fall out,
+    and the rest is distinct and sorted. Without any, only the mode "only" asks for scopes: its dimensions under its
+    abouts, in their order.
+    """
+    abouts = F.when(F.col("scope_mode") == "current", F.array("current")).when(F.col("scope_mode") == "abouts", F.col("abouts")).otherwise(F.col("roots"))
+
+    def under(about: Column, scope: Column) -> Column:
+        named = scalars.scope_about(scope)
+        return F.when(named.isNull() & (F.trim(scope) != ""), scalars.dimension_identity(about, F.trim(scope))).when(named == about, scalars.dimension_identity(about, scalars.scope_dimension(scope)))
+
+    named = F.array_sort(F.array_distinct(F.flatten(F.transform(abouts, lambda a: F.array_compact(F.transform("scope_ids", lambda s: under(a, s)))))))
+    kinds = F.filter("dimensions", lambda d: F.trim(d) != "")
+    asked = F.flatten(F.transform(abouts, lambda a: F.transform(kinds, lambda d: scalars.dimension_identity(a, F.trim(d)))))
+    none = F.expr("cast(array() as array<string>)")
+    scopes = F.when(F.size("scope_ids") > 0, named).when(F.col("mode") == "only", asked).otherwise(none)
+    return requests.select("request_id", F.coalesce(scopes, none).alias("scopes"))
