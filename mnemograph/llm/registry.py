@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op3_bpe
+from .centroids import OP11_SQL, op11_centroids
 from .decontaminate import op6_decontaminate
 from .licences import op7_licences
 from .near_dup import OP1_SQL, op1_near_dup
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_token_files": op10_token_files,
+    "op11_centroids": op11_centroids,
 }
 ORACLES = {
     "op1_near_dup": OP1_SQL,
@@ -32,4 +34,5 @@ ORACLES = {
     "op5_quote_links": OP5_SQL,
     "op5_reply_order": OP5_ORDER_SQL,
     "op9_substring_dedup": OP9_SQL,
+    "op11_centroids": OP11_SQL,
 }
