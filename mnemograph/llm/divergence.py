@@ -47,6 +47,7 @@ def _indexer(most_bytes: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         postings: dict[tuple[str, bytes, str], list[int]] = {}
+        names: dict[str, str] = {}
         held = 0
 
         def spilled() -> Iterator[pa.RecordBatch]:
@@ -58,6 +59,7 @@ def _indexer(most_bytes: int) -> Callable:
 
         for batch in batches:
             for lang, source, text in zip(*(c.to_pylist() for c in batch.columns)):
+                lang, source = names.setdefault(lang, lang), names.setdefault(source, source)
                 for term, n in [(b"", 0), *term_counts(text).items()]:
                     have = postings.get((lang, term, source))
                     if have is None:
@@ -109,11 +111,6 @@ def _merger(least_docs: int) -> Callable:
     return run
 
 
-def shares(counts: list[int], total: int) -> np.ndarray:
-    """1 + floor(UNIT * (count + 1) / total), exactly."""
-    return np.array([1 + UNIT * (c + 1) // total for c in counts], np.int64)
-
-
 def excess(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """floor((p - q)^2 / q); p and q are at most UNIT + 1, so the square fits."""
     return (p - q) ** 2 // q
@@ -154,13 +151,13 @@ def _corrections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from spilled()
 
 
-def _share(count: Column, total: Column) -> Column:
-    """The share of a count as SQL, by decimals of 38 digits."""
-    return F.floor(F.lit(UNIT).cast("decimal(10,0)") * (count + 1).cast("decimal(18,0)") / total.cast("decimal(18,0)")).cast("long") + 1
+def _div(a: Column, b: Column) -> Column:
+    return F.call_function("div", a, b)
 
 
-def _value(p: Column, q: Column) -> Column:
-    return F.expr(f"(({p}) - ({q})) * (({p}) - ({q})) div ({q})") if isinstance(p, str) else F.call_function("div", (p - q) * (p - q), q)
+def _share(count: Column, total: Column) -> Column:
+    """1 + floor(UNIT * (count + 1) / total); whole-number division of decimals is exact."""
+    return _div(F.lit(UNIT).cast("decimal(10,0)") * (count + 1).cast("decimal(18,0)"), total.cast("decimal(18,0)")) + 1
 
 
 def kept_terms(docs: DataFrame, least_docs: int = 3, most_bytes: int = 96 << 20) -> tuple[DataFrame, DataFrame]:
@@ -191,16 +188,17 @@ def audit(docs: DataFrame, least_docs: int = 3, top: int = 200) -> DataFrame:
     more = placed.select("lang", at.alias("at"), "counts", "totals").mapInArrow(_corrections, "lang string, a int, b int, more long").groupBy("lang", "a", "b").agg(F.sum("more").alias("more"))
     side = lambda x: langs.select("lang", "v", F.posexplode(F.arrays_zip("every", "totals")).alias(x, f"x_{x}"))
     pairs = side("a").join(side("b").drop("v"), "lang").filter("a <> b").join(more, ["lang", "a", "b"], "left")
-    lacks = lambda total: F.call_function("div", F.lit(UNIT).cast("long"), F.greatest(total, F.lit(1).cast("long"))) + 1
+    lacks = lambda total: _div(F.lit(UNIT).cast("long"), F.greatest(total, F.lit(1).cast("long"))) + 1
     both = pairs.select("lang", F.col("x_a.every").alias("source"), F.col("x_b.every").alias("item"), "v", "more", lacks(F.col("x_a.totals")).alias("p"), lacks(F.col("x_b.totals")).alias("q"))
-    value = F.when(F.col("v") > 0, F.col("v") * F.call_function("div", (F.col("p") - F.col("q")) * (F.col("p") - F.col("q")), F.col("q")) + F.coalesce("more", F.lit(0))).otherwise(0)
+    far = _div((F.col("p") - F.col("q")) * (F.col("p") - F.col("q")), F.col("q"))
+    value = F.when(F.col("v") > 0, F.col("v") * far + F.coalesce("more", F.lit(0))).otherwise(0)
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pair = both.select("lang", "source", "item", value.cast("long").alias("value")).withColumn("rank", F.row_number().over(order))
 
     spread = placed.select("lang", "term", "every", "totals", (F.col("n") + F.col("v")).alias("whole"), F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x).alias("count"), F.explode(F.arrays_zip("sources", "counts")).alias("x"))
     own = F.get("totals", (F.array_position("every", F.col("x.sources")) - 1).cast("int"))
     shared = spread.select("lang", F.col("x.sources").alias("source"), F.col("term").alias("item"), _share(F.col("x.counts"), own).alias("p"), _share(F.col("count"), F.col("whole")).alias("q"))
-    over = shared.filter("p > q").select("lang", "source", "item", F.call_function("div", (F.col("p") - F.col("q")) * (F.col("p") - F.col("q")), F.col("q")).alias("value"))
+    over = shared.filter("p > q").select("lang", "source", "item", far.alias("value"))
     term = over.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
     columns = lambda df, part: df.select("lang", "source", F.lit(part).alias("part"), "item", "value", F.col("rank").cast("int").alias("rank"))
     return columns(pair, "pair").union(columns(term, "term"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from .bpe import op3_bpe
 from .centroids import OP11_SQL, op11_centroids
 from .decontaminate import op6_decontaminate
+from .divergence import OP12_SQL, op12_divergence
+from .fingerprints import op13_fingerprints
 from .licences import op7_licences
 from .near_dup import OP1_SQL, op1_near_dup
 from .quality import op4_quality
@@ -27,6 +29,8 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_token_files": op10_token_files,
     "op11_centroids": op11_centroids,
+    "op12_divergence": op12_divergence,
+    "op13_fingerprints": op13_fingerprints,
 }
 ORACLES = {
     "op1_near_dup": OP1_SQL,
@@ -35,4 +39,5 @@ ORACLES = {
     "op5_reply_order": OP5_ORDER_SQL,
     "op9_substring_dedup": OP9_SQL,
     "op11_centroids": OP11_SQL,
+    "op12_divergence": OP12_SQL,
 }
