@@ -1,8 +1,8 @@
 """Operator 12: how far the sources of a language differ in their terms, by single-pass in-memory indexing.
 
-Each task reads documents once and builds postings, the count and the number of documents of each term of each (lang,
-source), until they fill their memory; it then spills them as a run in the order of terms and starts anew. The runs are
-rows of a shuffle by a hash of (lang, term): in each shard Spark's sorter merges the runs it was sent, by a heap over
+Each task reads documents once, in blocks that fill the memory meant for them. A block's postings, the documents of each
+term of a language and its count in each source, leave as a run in the order of terms, and the next block starts anew.
+The runs are rows of a shuffle by a hash of (lang, term): in each shard Spark's sorter merges the runs it was sent, by a heap over
 sorted pieces on disk, and one pass over them in that order adds up equal terms and drops those in too few documents. So
 a hot language, source or term costs a row for each run that has it, and no task holds more than one term's sources.
 
@@ -20,12 +20,11 @@ a row for each pair of them, does with their square.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,75 +32,103 @@ from . import common
 
 #: Fixed value: the p of a term is 1 + floor(UNIT * (count + 1) / (N + V)).
 UNIT = 1_000_000_000
-_TERM = re.compile(rb"[a-z\x80-\xff]+")
-_RUN = "lang string, term string, source string, n long, docs long"
-
-
-def term_counts(text: str) -> Counter:
-    """Terms of a text, as UTF-8; bytes.lower() changes A-Z alone, and every byte of a character beyond ASCII is over 0x7F."""
-    return Counter(_TERM.findall(text.encode().lower()))
+_RUN = "lang string, term string, docs long, sources array<string>, counts array<long>"
+_RUN_ARROW = pa.schema([("lang", pa.string()), ("term", pa.string()), ("docs", pa.int64()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+
+
+def _ranked(values: pa.DictionaryArray) -> tuple[pa.Array, np.ndarray]:
+    """The sorted dictionary, and each value's place in it."""
+    order = pc.sort_indices(values.dictionary)
+    rank = np.empty(len(order), np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    return values.dictionary.take(order), rank[values.indices.to_numpy()]
+
+
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All terms of a column of texts, as UTF-8 with A-Z in lower case, and the row of each. Every byte of a character
+    beyond ASCII is over 0x7F."""
+    raw = pa.concat_arrays([texts.cast(pa.binary())])
+    at = np.frombuffer(raw.buffers()[1], np.int32)[: len(raw) + 1]
+    data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[: at[-1]]
+    data = np.where((data >= 65) & (data <= 90), data | np.uint8(32), data)
+    solid = np.concatenate([[False], ((data >= 97) & (data <= 122)) | (data >= 128), [False]])
+    edge = np.zeros(len(data) + 1, bool)
+    edge[at] = True
+    starts = np.flatnonzero(solid[1:] & (~solid[:-1] | edge))
+    ends = np.flatnonzero(solid[:-1] & (~solid[1:] | edge))
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+    found = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[solid[1:-1]])])
+    return found, np.searchsorted(at, starts, side="right") - 1
+
+
+def postings(block: pa.Table) -> Iterator[pa.RecordBatch]:
+    """A run of the documents (lang, source, text): rows of _RUN in the order of (lang, term)."""
+    columns = [pa.concat_arrays(c.chunks) for c in block.columns]
+    found, row = tokens(columns[2])
+    if not len(found):
+        return
+    terms, term = _ranked(found.dictionary_encode())
+    langs, lang = _ranked(columns[0].dictionary_encode())
+    sources, source = _ranked(columns[1].dictionary_encode())
+    pairs, n = np.unique(row * len(terms) + term, return_counts=True)  # a document's terms
+    row, term = pairs // len(terms), pairs % len(terms)
+    keys, at = np.unique((lang[row] * len(terms) + term) * len(sources) + source[row], return_inverse=True)
+    counts = np.bincount(at, n).astype(np.int64)
+    own, first = np.unique(keys // len(sources), return_index=True)
+    docs = np.add.reduceat(np.bincount(at), first)
+    ends = np.append(first[1:], len(keys))
+    for i in range(0, len(own), 20_000):
+        part = slice(i, i + 20_000)
+        low, high = first[i], ends[part][-1]
+        offsets = pa.array(np.append(first[part], high) - low, pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, x) for x in (sources.take(pa.array(keys[low:high] % len(sources))), pa.array(counts[low:high]))]
+        names = langs.take(pa.array(own[part] // len(terms))), terms.take(pa.array(own[part] % len(terms))).cast(pa.string())
+        yield pa.RecordBatch.from_arrays([*names, pa.array(docs[part], pa.int64()), *lists], schema=_RUN_ARROW)
 
 
 def _indexer(most_bytes: int) -> Callable:
-    """Runs of postings (lang, term, source, n, docs) of documents (lang, source, text); each group also has a row without a term."""
+    """Runs of the blocks that fill the memory meant for them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        postings: dict[tuple[str, bytes, str], list[int]] = {}
-        names: dict[str, str] = {}
-        held = 0
-
-        def spilled() -> Iterator[pa.RecordBatch]:
-            order = sorted(postings)
-            for at in range(0, len(order), 10_000):
-                part = order[at : at + 10_000]
-                columns = [pa.array([k[0] for k in part]), pa.array([None if k[1] is None else k[1].decode() for k in part], pa.string()), pa.array([k[2] for k in part])]
-                yield pa.RecordBatch.from_arrays([*columns, *(pa.array([postings[k][i] for k in part], pa.int64()) for i in (0, 1))], names=["lang", "term", "source", "n", "docs"])
-
+        block, held = [], 0
         for batch in batches:
-            for lang, source, text in zip(*(c.to_pylist() for c in batch.columns)):
-                lang, source = names.setdefault(lang, lang), names.setdefault(source, source)
-                for term, n in [(b"", 0), *term_counts(text).items()]:
-                    have = postings.get((lang, term, source))
-                    if have is None:
-                        postings[lang, term, source] = [n, 1]
-                        held += len(term) + 300
-                    else:
-                        have[0] += n
-                        have[1] += 1
-                if held > most_bytes:
-                    yield from spilled()
-                    postings, held = {}, 0
-        yield from spilled()
+            if batch.num_rows:
+                block.append(batch)
+                held += batch.nbytes
+            if held > most_bytes:
+                yield from postings(pa.Table.from_batches(block))
+                block, held = [], 0
+        if block:
+            yield from postings(pa.Table.from_batches(block))
+        pa.default_memory_pool().release_unused()
 
     return run
 
 
 def _merger(least_docs: int) -> Callable:
-    """One row for each kept term of a language, of rows in the order of (lang, term, source): its sources and counts."""
-    schema = pa.schema([("lang", pa.string()), ("term", pa.string()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+    """One row for each kept term of a language, of rows of runs in the order of (lang, term): its sources and counts."""
+    schema = pa.schema([f for f in _RUN_ARROW if f.name != "docs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        key, sources, counts, docs = None, [], [], 0
+        key, docs, counts = None, 0, {}
 
         def done() -> None:
             if key is not None and docs >= least_docs:
-                out.append((*key, sources, counts))
+                out.append((*key, list(counts), list(counts.values())))
 
         def batch_of() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
 
         for batch in batches:
-            for lang, term, source, n, d in zip(*(c.to_pylist() for c in batch.columns)):
+            for lang, term, d, sources, ns in zip(*(c.to_pylist() for c in batch.columns)):
                 if key != (lang, term):
                     done()
-                    key, sources, counts, docs = (lang, term), [], [], 0
-                docs += d
-                if sources and sources[-1] == source:
-                    counts[-1] += n
+                    key, docs, counts = (lang, term), d, dict(zip(sources, ns))
                 else:
-                    sources.append(source)
-                    counts.append(n)
+                    docs += d
+                    for source, n in zip(sources, ns):
+                        counts[source] = counts.get(source, 0) + n
             if len(out) >= 2_000:
                 yield batch_of()
                 out = []
@@ -130,24 +157,40 @@ def _corrections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 x, y = a[i : i + 100_000], b[i : i + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(x)), pa.array(x, pa.int32()), pa.array(y, pa.int32()), pa.array(sums[x, y], pa.int64())], names=["lang", "a", "b", "more"])
 
-    for batch in batches:
-        for lang, at, counts, totals in zip(*(c.to_pylist() for c in batch.columns)):
-            if lang not in held:
-                if sum(x[3].size for x in held.values()) > 4_000_000:
-                    yield from spilled()
-                    held = {}
-                p0 = np.array([1 + UNIT // t for t in totals], np.int64)
-                held[lang] = totals, p0, excess(p0[:, None], p0[None, :]), np.zeros((len(p0), len(p0)), np.int64)
-            totals, p0, base, sums = held[lang]
+    def add(lang: str, terms: list[tuple[list[int], list[int]]]) -> None:
+        totals, p0, base, sums = held[lang]
+        if len(p0) <= 64:  # few sources: a block of terms at once
+            p = np.repeat(p0[None, :], len(terms), 0)
+            for row, (at, counts) in zip(p, terms):
+                row[at] = [1 + UNIT * (c + 1) // totals[i] for i, c in zip(at, counts)]
+            for a in range(len(p0)):
+                sums[a] += excess(p[:, a, None], p).sum(0) - len(terms) * base[a]
+            return
+        for at, counts in terms:
             here = np.array(at, np.int64)
             own = np.array([1 + UNIT * (c + 1) // totals[i] for i, c in zip(at, counts)], np.int64)
             p = p0.copy()
             p[here] = own
             sums[here] += excess(own[:, None], p[None, :]) - base[here]
-            absent = np.ones(len(p0), bool)
-            absent[here] = False
-            rest = np.flatnonzero(absent)
+            rest = np.setdiff1d(np.arange(len(p0)), here)
             sums[np.ix_(rest, here)] += excess(p0[rest][:, None], own[None, :]) - base[np.ix_(rest, here)]
+
+    for batch in batches:
+        blocks: dict[str, list] = {}
+        langs = batch.column(0).to_pylist()
+        for i, (lang, at, counts) in enumerate(zip(langs, batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+            if lang not in held:
+                if sum(x[3].size for x in held.values()) > 4_000_000:
+                    for name, terms in blocks.items():
+                        add(name, terms)
+                    yield from spilled()
+                    held, blocks = {}, {}
+                totals = batch.column(3)[i].as_py()
+                p0 = np.array([1 + UNIT // t for t in totals], np.int64)
+                held[lang] = totals, p0, excess(p0[:, None], p0[None, :]), np.zeros((len(p0), len(p0)), np.int64)
+            blocks.setdefault(lang, []).append((at, counts))
+        for name, terms in blocks.items():
+            add(name, terms)
     yield from spilled()
 
 
@@ -160,15 +203,15 @@ def _share(count: Column, total: Column) -> Column:
     return _div(F.lit(UNIT).cast("decimal(10,0)") * (count + 1).cast("decimal(18,0)"), total.cast("decimal(18,0)")) + 1
 
 
-def kept_terms(docs: DataFrame, least_docs: int = 3, most_bytes: int = 96 << 20) -> tuple[DataFrame, DataFrame]:
+def kept_terms(docs: DataFrame, least_docs: int = 3, most_bytes: int = 16 << 20) -> tuple[DataFrame, DataFrame]:
     """Written tables: lang, term, sources and counts of every kept term; lang, source and n (kept occurrences) of every group."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     common.bounded_batches(docs.sparkSession)
-    runs = common.written(docs.select(text("lang"), text("source"), text("text")).mapInArrow(_indexer(most_bytes), _RUN))
-    shards = runs.filter("term <> ''").repartition("lang", "term").sortWithinPartitions("lang", "term", "source")
+    runs = docs.select(text("lang"), text("source"), text("text")).mapInArrow(_indexer(most_bytes), _RUN)
+    shards = runs.repartition("lang", "term").sortWithinPartitions("lang", "term")
     terms = common.written(shards.mapInArrow(_merger(least_docs), "lang string, term string, sources array<string>, counts array<long>"))
     found = terms.select("lang", F.explode(F.arrays_zip("sources", "counts")).alias("x")).groupBy("lang", F.col("x.sources").alias("source")).agg(F.sum("x.counts").alias("n"))
-    every = runs.filter("term = ''").select("lang", "source").distinct()
+    every = docs.select(text("lang"), text("source")).distinct()
     groups = common.written(every.join(found, ["lang", "source"], "left").fillna({"n": 0}))
     return terms, groups
 
@@ -195,9 +238,11 @@ def audit(docs: DataFrame, least_docs: int = 3, top: int = 200) -> DataFrame:
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pair = both.select("lang", "source", "item", value.cast("long").alias("value")).withColumn("rank", F.row_number().over(order))
 
-    spread = placed.select("lang", "term", "every", "totals", (F.col("n") + F.col("v")).alias("whole"), F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x).alias("count"), F.explode(F.arrays_zip("sources", "counts")).alias("x"))
-    own = F.get("totals", (F.array_position("every", F.col("x.sources")) - 1).cast("int"))
-    shared = spread.select("lang", F.col("x.sources").alias("source"), F.col("term").alias("item"), _share(F.col("x.counts"), own).alias("p"), _share(F.col("count"), F.col("whole")).alias("q"))
+    totals = common.sized(groups.join(sizes, "lang").select("lang", "source", (F.col("n") + F.col("v")).alias("own")), "length(lang) + length(source)")
+    wholes = common.sized(langs.select("lang", (F.col("n") + F.col("v")).alias("whole")), "length(lang)")
+    spread = terms.select("lang", "term", F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x).alias("count"), F.explode(F.arrays_zip("sources", "counts")).alias("x"))
+    joined = spread.select("lang", "term", "count", F.col("x.sources").alias("source"), F.col("x.counts").alias("n")).join(totals, ["lang", "source"]).join(wholes, "lang")
+    shared = joined.select("lang", "source", F.col("term").alias("item"), _share(F.col("n"), F.col("own")).alias("p"), _share(F.col("count"), F.col("whole")).alias("q"))
     over = shared.filter("p > q").select("lang", "source", "item", far.alias("value"))
     term = over.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
     columns = lambda df, part: df.select("lang", "source", F.lit(part).alias("part"), "item", "value", F.col("rank").cast("int").alias("rank"))

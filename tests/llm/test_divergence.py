@@ -52,7 +52,7 @@ def test_random(spark):
     assert run(spark, rows, top=2) == brute(rows, top=2)
 
 
-def test_runs_are_merged(spark, monkeypatch):
+def test_runs_are_merged(spark):
     rng = random.Random(2)
     rows = [(words(rng, 12), "en", f"s{i % 3}") for i in range(200)]
     terms, groups = divergence.kept_terms(spark.createDataFrame([(i, *r, "x", 0.5) for i, r in enumerate(rows)], SCHEMA), most_bytes=1500)
@@ -68,6 +68,12 @@ def test_odd_rows(spark):
     assert run(spark, []) == []
 
 
+def test_many_sources(spark):
+    rng = random.Random(5)
+    rows = [(words(rng, 6), "en", f"s{rng.randrange(90)}") for _ in range(400)]
+    assert run(spark, rows) == brute(rows)
+
+
 def test_sources_alike_differ_by_nothing(spark):
     rows = [("one two three two", "en", s) for s in "ab" for _ in range(5)]
     assert [r for r in run(spark, rows) if r[2] == "pair"] == [("en", "a", "pair", "b", 0, 1), ("en", "b", "pair", "a", 0, 1)]
