@@ -15,7 +15,7 @@ over the length of both less the common. Equal texts have equal fingerprints and
 of the same runs in another order, too, and 0 for texts without a common run. Different spans are taken for equal with a probability of about 2^-60 for each comparison.
 
 The edited text of a document takes the place of its last quarter from the start of the next document. Documents are
-dealt to partitions by ranges of (doc_id, hash of the text), whose borders come from a bounded sample; each range also
+dealt to partitions by ranges of (doc_id, hash of the text), whose borders come from a sample of 64 keys for each partition; each range also
 gets the first document of the next one, so that each partition is one pass over sorted rows that holds two texts.
 
 Null text is empty. A row without a doc_id comes after all others, and rows that repeat one are in the order of their
@@ -214,12 +214,12 @@ def _keys() -> list[Column]:
     return [F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0).cast("long")), F.col("h")]
 
 
-def ranged(docs: DataFrame, parts: int, sample: int = 20_000) -> DataFrame:
+def ranged(docs: DataFrame, parts: int) -> DataFrame:
     """docs (doc_id, text) with h, part and copy, dealt by part and sorted by (doc_id, h) in it; each part ends with a
     copy of the first row of the next part that has any, the last with that of the first."""
     hashed = docs.withColumn("h", F.xxhash64("text"))
     key = F.struct(*(k.alias(f"k{i}") for i, k in enumerate(_keys())))
-    some = [tuple(r.key) for r in hashed.select(key.alias("key")).orderBy(F.xxhash64(F.col("key.k1"), F.col("key.k2"))).limit(sample).collect()]
+    some = [tuple(r.key) for r in hashed.select(key.alias("key")).orderBy(F.xxhash64(F.col("key.k1"), F.col("key.k2"))).limit(64 * parts).collect()]
     some.sort()
     borders = sorted({some[len(some) * i // parts] for i in range(1, parts)}) if some else []
     as_key = lambda b: F.struct(F.lit(b[0]).alias("k0"), F.lit(b[1]).cast("long").alias("k1"), F.lit(b[2]).cast("long").alias("k2"))
@@ -232,7 +232,7 @@ def ranged(docs: DataFrame, parts: int, sample: int = 20_000) -> DataFrame:
     match = (F.col("key.k0") == F.col("k0")) & (F.col("key.k1") == F.col("k1")) & (F.col("key.k2") == F.col("k2"))
     copies = split.join(F.broadcast(heads), match).dropDuplicates(["to"]).select("doc_id", "text", "h", F.col("to").alias("part"), F.lit(True).alias("copy"))
     every = placed.select("doc_id", "text", "h", "part", F.lit(False).alias("copy")).unionByName(copies)
-    return every.repartition(parts, "part").sortWithinPartitions("part", "copy", *_keys())
+    return every.repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part", "copy", *_keys())
 
 
 _RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
