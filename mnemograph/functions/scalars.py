@@ -171,3 +171,34 @@ def inline_math(body: Column) -> Column:
     x = F.trim(body)
     likely = x.rlike(r"[\\=+\-*/^_{}<>]") | x.rlike(r"^[0-9.,\s]+$") | (x.rlike("^[A-Za-z0-9]+$") & x.rlike("[A-Za-z]"))
     return F.coalesce((x != "") & ~x.contains("\n") & (F.octet_length(x) <= 120) & likely, F.lit(False))
+
+
+def canonical_json(text: Column) -> Column:
+    """A JSON text without white space and with the keys of every object in order; null for what is no JSON."""
+    return F.to_json(F.try_parse_json(text))
+
+
+def short_hash(text: Column) -> Column:
+    """Sixteen hexadecimal digits of a text."""
+    return F.substring(F.sha2(text, 256), 1, 16)
+
+
+def entry_ref(about: Column, kind: Column, summary: Column) -> Column:
+    """The reference of an entry that was given none: its summary as a segment, or a hash where nothing of it is left."""
+    return F.concat(about, F.lit(":entry:"), kind, F.lit(":"), F.coalesce(F.nullif(segment(summary), F.lit("")), short_hash(summary)))
+
+
+def idempotency_key(arguments: Column) -> Column:
+    """A key of a call's arguments (JSON): the same whatever the order of their keys, and whether it is a dry run."""
+    pair = "map<string,variant>"
+    options = F.from_json(F.get_json_object(arguments, "$.options"), pair)
+    plain = F.map_concat(F.map_filter(F.from_json(arguments, pair), lambda k, v: k != "options"), F.create_map(F.lit("options"), F.parse_json(F.to_json(F.map_filter(options, lambda k, v: k != "dry_run")))))
+    whole = F.when(options.isNull(), canonical_json(arguments)).otherwise(canonical_json(F.to_json(plain)))
+    return F.concat(F.lit("write:"), short_hash(whole))
+
+
+def logical_digest(about: Column, memory: Column, provenance: Column) -> Column:
+    """SHA-256 of what a caller said: about, memory and provenance (JSON; null if there is none), whatever the order of keys."""
+    zero = F.lit("\x00")
+    tail = F.coalesce(canonical_json(provenance.cast("string")), F.lit(""))
+    return F.sha2(F.concat(about, zero, canonical_json(memory), zero, tail), 256)

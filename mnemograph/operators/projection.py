@@ -1,11 +1,10 @@
-"""Events folded to nodes, edges and details, and the command log."""
+"""Events folded to nodes, edges and details, and heads of logs."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
 
 from mnemograph.operators.graph import _kept as kept
 
@@ -104,31 +103,6 @@ def checkpoints(events: DataFrame) -> DataFrame:
     return events.groupBy("consumer", "stream").agg(F.max_by("event_id", "seq").alias("last_event"), F.max_by("occurred_at", "seq").alias("last_at"), F.count("*").alias("events"))
 
 
-def command_outcomes(commands: DataFrame) -> DataFrame:
-    """P5: outcome and revision of each command (seq, aggregate, idempotency_key, payload_hash, expected_revision).
-
-    First, of a key's commands the one that came first counts; another with the same payload is 'replayed', with a
-    different one 'key conflict'. Of the rest, an aggregate's commands are taken in order: one whose expected revision
-    (null: any) is not the current one is a 'revision conflict', the others are 'accepted' and raise it. That count is
-    sequential for one aggregate, so the fold is a higher-order function over its ordered commands.
-    """
-    by_key = Window.partitionBy("idempotency_key").orderBy("seq")
-    keyed = commands.withColumns({"first_hash": F.first("payload_hash").over(by_key), "nth": F.row_number().over(by_key)})
-    fresh = (F.col("nth") == 1) | F.col("idempotency_key").isNull()
-    repeats = keyed.filter(~fresh).select("seq", "aggregate", F.when(F.col("payload_hash") == F.col("first_hash"), "replayed").otherwise("key conflict").alias("outcome"), F.lit(None).cast("long").alias("revision"))
-    runs = keyed.filter(fresh).groupBy("aggregate").agg(F.array_sort(F.collect_list(F.struct("seq", "expected_revision"))).alias("cs"))
-
-    def step(acc, c):
-        ok = c["expected_revision"].isNull() | (c["expected_revision"] == acc["rev"])
-        rev = acc["rev"] + ok.cast("long")
-        one = F.struct(c["seq"].alias("seq"), F.when(ok, "accepted").otherwise("revision conflict").alias("outcome"), F.when(ok, rev).alias("revision"))
-        return F.struct(rev.alias("rev"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-    start = F.struct(F.lit(0).cast("long").alias("rev"), F.expr("cast(array() as array<struct<seq:bigint,outcome:string,revision:bigint>>)").alias("out"))
-    folded = runs.select("aggregate", F.explode(F.aggregate("cs", start, step, lambda a: a["out"])).alias("o"))
-    return folded.select("o.seq", "aggregate", "o.outcome", "o.revision").unionByName(repeats)
-
-
 def heads(log: DataFrame) -> DataFrame:
     """Aggregate heads: root, role and the content hash of the latest revision."""
     return log.groupBy("root", "role").agg(F.max("revision").alias("revision"), F.max_by("content_hash", "revision").alias("content_hash"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql import Window
 
 from mnemograph.functions import scalars
-from mnemograph.operators import graph, projection, render, temporal
-from mnemograph.sources import views
+from mnemograph.operators import commands, graph, ingest, projection, render, temporal
+from mnemograph.sources import logs, views
 from mnemograph.sources.views import EDGES_SQL, ENTRIES_SQL, NODES_SQL, POSITIONS_SQL
 
 from .registry import query
@@ -314,21 +318,99 @@ def checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A command for each order. Keys repeat within a customer; every third command asks for the revision that it would meet if all were accepted."""
     o = views.table(spark, sf_dir, "orders")
-    return o.select(F.col("o_orderkey").alias("seq"), F.concat(F.lit("c:"), F.col("o_custkey").cast("string")).alias("aggregate"), F.concat(F.lit("k"), F.floor(F.col("o_orderkey") / 2).cast("string")).alias("idempotency_key"), F.col("o_orderstatus").alias("payload_hash"), F.lit(None).cast("long").alias("expected_revision"))
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    return o.select(
+        F.col("o_orderkey").alias("seq"),
+        F.concat(F.lit("c:"), F.col("o_custkey").cast("string")).alias("root"),
+        F.lit("memory").alias("role"),
+        F.when(F.col("o_orderkey") % 4 > 0, F.concat_ws(":", F.lit("k"), "o_custkey", "o_orderpriority")).alias("idempotency_key"),
+        F.col("o_orderstatus").alias("content_hash"),
+        F.when(F.col("o_orderkey") % 3 == 0, place).cast("long").alias("expected_revision"),
+    )
+
+
+_COMMANDS_SQL = """
+WITH RECURSIVE c AS (
+  SELECT o_custkey AS root, o_orderkey AS seq, CASE WHEN o_orderkey % 4 > 0 THEN 'k:' || o_custkey || ':' || o_orderpriority END AS key, o_orderstatus AS hash,
+    CASE WHEN o_orderkey % 3 = 0 THEN row_number() OVER w - 1 END AS asked, row_number() OVER (PARTITION BY o_custkey ORDER BY {order}) AS n
+  FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+r AS (
+  SELECT DISTINCT root, 0::BIGINT AS n, NULL::BIGINT AS seq, 0::BIGINT AS rev, []::VARCHAR[] AS keys, []::VARCHAR[] AS hashes, []::BIGINT[] AS revs, NULL::VARCHAR AS outcome, NULL::BIGINT AS revision FROM c
+  UNION ALL
+  SELECT root, n, seq, rev + ok::INT, CASE WHEN ok THEN list_append(keys, key) ELSE keys END, CASE WHEN ok THEN list_append(hashes, hash) ELSE hashes END, CASE WHEN ok THEN list_append(revs, rev + 1) ELSE revs END,
+    CASE WHEN pos > 0 THEN CASE WHEN hashes[pos] = hash THEN 'replayed' ELSE 'key conflict' END WHEN ok THEN 'accepted' ELSE 'revision conflict' END,
+    CASE WHEN ok THEN rev + 1 WHEN pos > 0 AND hashes[pos] = hash THEN revs[pos] END
+  FROM (
+    SELECT c.*, r.rev, r.keys, r.hashes, r.revs, CASE WHEN c.key IS NULL THEN 0 ELSE coalesce(list_position(r.keys, c.key), 0) END AS pos,
+      (c.key IS NULL OR NOT list_contains(r.keys, c.key)) AND (c.asked IS NULL OR c.asked = r.rev) AS ok
+    FROM r JOIN c ON c.root = r.root AND c.n = r.n + 1))
+SELECT seq, 'c:' || root AS root, 'memory' AS role, outcome, coalesce(revision, 0) AS revision FROM r WHERE n > 0
+"""
+
+
+@query("idempotency_conflicts", _COMMANDS_SQL.format(order="o_orderkey"))
+def idempotency_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P5: replays, conflicts of keys and of revisions, and what was accepted, over an empty log."""
+    return commands.outcomes(_commands(spark, sf_dir)).fillna({"revision": 0})
+
+
+def _as(df: DataFrame, name: str, to: T.DataType) -> Column:
+    """A column in another shape: fields that it lacks are null."""
+    value = F.from_json(F.to_json(F.col(name)), to) if isinstance(to, T.ArrayType) else F.col(name).cast(to)
+    return value.alias(name)
+
+
+def _ledger(spark: SparkSession) -> logs.Ledger:
+    graph._kept(spark.range(1))  # the checkpoint folder is set
+    return logs.Ledger(spark, f"{spark.sparkContext.getCheckpointDir()}/ledger-{uuid.uuid4().hex}")
+
+
+@query("ledger_commits", _COMMANDS_SQL.format(order="o_orderkey % 2, o_orderkey"))
+def ledger_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IO5, V15: the same commands in two commits, orders of even number first: the second is judged against the log that the first has left."""
+    ledger, asked = _ledger(spark), _commands(spark, sf_dir)
+    first = commands.commit(ledger, asked.filter("seq % 2 = 0"))
+    return first.unionByName(commands.commit(ledger, asked.filter("seq % 2 = 1"))).fillna({"revision": 0})
 
 
 @query(
-    "idempotency_conflicts",
+    "memory_writes",
     """
-WITH c AS (SELECT o_orderkey AS seq, 'c:' || o_custkey AS aggregate, o_orderkey // 2 AS k, o_orderstatus AS h FROM orders),
-f AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq) AS nth, first_value(h) OVER (PARTITION BY k ORDER BY seq) AS fh FROM c)
-SELECT seq, aggregate, CASE WHEN nth = 1 THEN 'accepted' WHEN h = fh THEN 'replayed' ELSE 'key conflict' END AS outcome,
-  CASE WHEN nth = 1 THEN count(*) FILTER (nth = 1) OVER (PARTITION BY aggregate ORDER BY seq) ELSE 0 END AS revision FROM f
+WITH l AS (SELECT l_orderkey, 'line:' || l_orderkey || ':' || l_linenumber AS id, l_quantity FROM lineitem),
+m AS (
+  SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 11 = 0 THEN ' ' ELSE 'customer:' || o_custkey END AS about, 'o' || (o_orderkey // 2) AS key, count(l.id) AS entries, count(*) FILTER (l_quantity > 30) AS evidence,
+    o_orderkey % 11 = 0 AS blank, o_orderkey % 13 = 0 AS doubled, count(DISTINCT l.id) < count(l.id) OR bool_or(o_orderkey % 13 = 0) AS repeated, o_custkey
+  FROM orders JOIN l ON o_orderkey = l_orderkey GROUP BY ALL),
+f AS (SELECT *, list_filter([CASE WHEN blank THEN 'about is blank' END, CASE WHEN repeated THEN 'ids repeat' END], lambda x: x IS NOT NULL) AS errors FROM m),
+v AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS nth FROM f WHERE len(errors) = 0),
+a AS (SELECT *, CASE WHEN nth = 1 THEN 'accepted' ELSE 'key conflict' END AS outcome, CASE WHEN nth = 1 THEN count(*) FILTER (nth = 1) OVER (PARTITION BY about ORDER BY seq) END AS revision FROM v)
+SELECT f.seq, 'memory:' || f.key AS memory_id, coalesce(a.outcome, 'invalid') AS outcome, coalesce(a.revision, 0) AS revision, f.entries + (CASE WHEN f.doubled THEN f.entries ELSE 0 END) AS entries, f.evidence, array_to_string(f.errors, '; ') AS errors
+FROM f LEFT JOIN a ON a.seq = f.seq
 """,
 )
-def idempotency_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return projection.command_outcomes(_commands(spark, sf_dir)).fillna({"revision": 0})
+def memory_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V1: a memory for each order, its lines as entries and the larger ones as evidence; some without a subject, some that repeat their entries."""
+    o = views.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    line = F.concat_ws(":", F.lit("line"), "l_orderkey", "l_linenumber")
+    coordinate = F.array(F.struct(F.lit("order").alias("dimension"), F.col("l_linenumber").cast("long").alias("sequence")))
+    entry = F.struct(line.alias("id"), F.lit("line").alias("kind"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("text"), coordinate.alias("coordinates"))
+    evidence = F.when(F.col("l_quantity") > 30, F.struct(F.concat(F.lit("evidence:"), line).alias("id"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("text"), F.array(line).alias("supports")))
+    rows = views.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(entry)).alias("entries"), F.array_compact(F.array_sort(F.collect_list(evidence))).alias("evidence"))
+    m = o.join(rows, F.col("o_orderkey") == F.col("l_orderkey"))
+    memories = m.select(
+        F.col("o_orderkey").alias("seq"),
+        F.when(F.col("o_orderkey") % 11 == 0, " ").otherwise(F.concat(F.lit("customer:"), F.col("o_custkey").cast("string"))).alias("about"),
+        F.array(F.struct(F.lit("order").alias("id"), F.lit("order").alias("kind"))).alias("dimensions"),
+        F.when(F.col("o_orderkey") % 13 == 0, F.concat("entries", "entries")).otherwise(F.col("entries")).alias("entries"),
+        F.array().alias("relations"),
+        "evidence",
+        F.concat(F.lit("o"), F.floor(F.col("o_orderkey") / 2).cast("string")).alias("idempotency_key"),
+    )
+    shaped = memories.select(*(_as(memories, f.name, f.dataType) for f in ingest.MEMORY), "idempotency_key")
+    out, _ = commands.write(_ledger(spark), shaped)
+    return out.select("seq", "memory_id", "outcome", "revision", "entries", "evidence", F.array_join("errors", "; ").alias("errors")).fillna({"revision": 0})
 
 
 @query("aggregate_heads", "SELECT o_custkey AS root, o_orderpriority AS role, max(o_orderkey) AS revision, arg_max(sha256(CAST(o_orderkey AS VARCHAR)), o_orderkey) AS content_hash FROM orders GROUP BY 1, 2")

@@ -2,22 +2,68 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LOG = T.StructType([T.StructField("sequence", T.LongType()), T.StructField("root", T.StringType()), T.StructField("role", T.StringType()), T.StructField("revision", T.LongType()), T.StructField("content_hash", T.StringType()), T.StructField("idempotency_key", T.StringType()), T.StructField("payload", T.StringType())])
+LOG = T.StructType([T.StructField("sequence", T.LongType()), T.StructField("root", T.StringType()), T.StructField("role", T.StringType()), T.StructField("revision", T.LongType()), T.StructField("content_hash", T.StringType()), T.StructField("idempotency_key", T.StringType()), T.StructField("payload", T.StringType()), T.StructField("logical_digest", T.StringType())])
 #: The bundle format that this version reads and writes.
 FORMAT = 1
 
 
-def append(log: DataFrame, path: str) -> None:
-    """IO5: adds events whose outcome the command fold has accepted; Spark has no conditional append of a row."""
-    log.select([F.col(f.name).cast(f.dataType) for f in LOG]).write.mode("append").parquet(path)
+class Ledger:
+    """IO5: a log whose batches are published one by one, each under the next version, so that a writer that has judged its
+    batch against an older version can not add it.
+
+    A batch's rows are written to a folder of their own, which no reader looks at before the version's manifest names it.
+    The manifest is a small file made only if there is none of its number yet; the file system must refuse to create a
+    file that exists, in one step, as HDFS does. A writer that fails on the way leaves a folder that is never named.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._hadoop = spark.sparkContext._jvm.org.apache.hadoop
+        self._fs = self._at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self._hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def version(self) -> int:
+        """The number of published batches."""
+        folder = self._at("commits")
+        return max((int(f.getPath().getName()) for f in self._fs.listStatus(folder) if f.getPath().getName().isdigit()), default=0) if self._fs.exists(folder) else 0
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """IO6: the events of the first so many versions, or of all."""
+        last = self.version() if version is None else version
+        if not last:
+            return self.spark.createDataFrame([], LOG)
+        names = self.spark.read.schema("number long, folder string").json([str(self._at(f"commits/{n:020d}")) for n in range(1, last + 1)])
+        return self.spark.read.schema(LOG).parquet(*(f"{self.path}/data/{r.folder}" for r in names.collect()))
+
+    def append(self, events: DataFrame, version: int) -> bool:
+        """Publishes events as the batch after `version`; False, and nothing changes, if that batch is already there."""
+        if self.version() != version:
+            return False
+        folder = uuid.uuid4().hex
+        events.select([F.col(f.name).cast(f.dataType) for f in LOG]).write.parquet(f"{self.path}/data/{folder}")
+        try:
+            out = self._fs.create(self._at(f"commits/{version + 1:020d}"), False)
+        except Py4JJavaError as error:
+            if self._fs.exists(self._at(f"commits/{version + 1:020d}")):
+                return False
+            raise error
+        out.write(bytearray(json.dumps({"number": version + 1, "folder": folder}).encode()))
+        out.close()
+        return True
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """IO6: a log; callers order by sequence where they need an order."""
+    """IO6: a log without versions; callers order by sequence where they need an order."""
     return spark.read.schema(LOG).parquet(path)
 
 

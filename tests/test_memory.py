@@ -73,12 +73,6 @@ def test_fold(spark):
     assert projection.routed(events)["refused"].count() == 2
 
 
-def test_commands(spark):
-    data = [(1, "a", "k1", "h", None), (2, "a", "k1", "h", None), (3, "a", "k1", "g", None), (4, "a", "k2", "h", 1), (5, "a", "k3", "h", 1), (6, "a", None, "h", 2), (7, "a", None, "h", None)]
-    out = projection.command_outcomes(spark.createDataFrame(data, "seq long, aggregate string, idempotency_key string, payload_hash string, expected_revision long"))
-    assert [r.outcome for r in out.orderBy("seq").collect()] == ["accepted", "replayed", "key conflict", "accepted", "revision conflict", "accepted", "accepted"]
-
-
 def test_packing(spark):
     s = spark.createDataFrame([("r", i, t, 10) for i, t in enumerate((4, 5, 9, 8, 1), 1)] + [("q", 1, 50, 10), ("q", 2, 1, 10)], "request_id string, ord int, tokens long, budget long")
     assert rows(render.packed(s).select("request_id", "ord")) == [("q", 1), ("r", 1), ("r", 2), ("r", 5)]

@@ -25,7 +25,7 @@ def test_stream_restarts_and_drops_repeats(spark, tmp_path):
 
 
 def test_bundle_round_trip(spark, tmp_path):
-    data = [(i, "r", "agent", i, f"h{i}", None, "{}") for i in (1, 2, 3)]
+    data = [(i, "r", "agent", i, f"h{i}", None, "{}", None) for i in (1, 2, 3)]
     log = spark.createDataFrame(data, logs.LOG)
     logs.export_bundle(log, str(tmp_path / "b"))
     assert sorted(map(tuple, logs.import_bundle(spark, str(tmp_path / "b")).collect())) == sorted(data)
