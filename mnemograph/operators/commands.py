@@ -36,31 +36,43 @@ def shaped(commands: DataFrame) -> DataFrame:
     return commands.select(*(c.alias(n) for n, c in columns.items()))
 
 
-def _judged(owners: DataFrame) -> DataFrame:
-    """seq, accepted, revision of owners (COMMAND with from_revision and from_hash, what the log has for their aggregate).
+def _judged(asked: DataFrame) -> DataFrame:
+    """seq, outcome and revision of commands (COMMAND with from_revision and from_hash, what the log has for their
+    aggregate, local: their key where no other aggregate uses it, and final: whether it is that key's last command).
 
-    A command is judged by what the ones before it in its aggregate have left, so each aggregate is one ordered pass, of
-    which only the revision and the hash of the last accepted command are held. No built-in window has such a state.
+    A command is judged by what the ones before it in its aggregate have left, so each aggregate is one ordered pass. It
+    holds the revision and the hash of the last accepted command, and accepted local keys until their last command. No
+    built-in window has such a state.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = revision = last = None
+        aggregate = revision = last = None
+        held: dict[str, tuple[str, int]] = {}
         for batch in batches:
-            seqs, oks, revisions = [], [], []
-            for root, role, seq, asked, asked_hash, own, start, start_hash in zip(*(c.to_pylist() for c in batch.columns)):
-                if key != (root, role):
-                    key, revision, last = (root, role), start, start_hash
-                ok = (asked is None or asked == revision) and (asked_hash is None or last is None or asked_hash == last)
-                if ok:
+            seqs, found, revisions = [], [], []
+            for root, role, seq, expected, expected_hash, own, start, start_hash, key, digest, final in zip(*(c.to_pylist() for c in batch.columns)):
+                if aggregate != (root, role):
+                    aggregate, revision, last, held = (root, role), start, start_hash, {}
+                first = held.get(key) if key is not None else None
+                if first is not None:
+                    outcome, at = ("replayed", first[1]) if first[0] == digest else ("key conflict", None)
+                elif (expected is None or expected == revision) and (expected_hash is None or last is None or expected_hash == last):
                     revision, last = revision + 1, own
+                    outcome, at = "accepted", revision
+                    if key is not None:
+                        held[key] = digest, revision
+                else:
+                    outcome, at = "revision conflict", None
+                if final:
+                    held.pop(key, None)
                 seqs.append(seq)
-                oks.append(ok)
-                revisions.append(revision if ok else None)
-            yield pa.RecordBatch.from_arrays([pa.array(seqs, pa.int64()), pa.array(oks, pa.bool_()), pa.array(revisions, pa.int64())], names=["seq", "accepted", "revision"])
+                found.append(outcome)
+                revisions.append(at)
+            yield pa.RecordBatch.from_arrays([pa.array(seqs, pa.int64()), pa.array(found, pa.string()), pa.array(revisions, pa.int64())], names=["seq", "outcome", "revision"])
 
-    columns = [*_AGGREGATE, "seq", "expected_revision", "expected_content_hash", "content_hash", "from_revision", "from_hash"]
-    dealt = owners.select(*columns).repartition(*_AGGREGATE).sortWithinPartitions(*_AGGREGATE, "seq")
-    return dealt.mapInArrow(run, "seq long, accepted boolean, revision long")
+    columns = [*_AGGREGATE, "seq", "expected_revision", "expected_content_hash", "content_hash", "from_revision", "from_hash", "local", "digest", "final"]
+    dealt = asked.select(*columns).repartition(*_AGGREGATE).sortWithinPartitions(*_AGGREGATE, "seq")
+    return dealt.mapInArrow(run, "seq long, outcome string, revision long")
 
 
 def outcomes(commands: DataFrame, log: DataFrame | None = None) -> DataFrame:
@@ -69,9 +81,9 @@ def outcomes(commands: DataFrame, log: DataFrame | None = None) -> DataFrame:
     A key that the log has, or that an earlier command was accepted with, makes a command 'replayed' (same digest; with
     the revision of the first) or a 'key conflict'. Keys are not bound to an aggregate. Any other command is refused as a
     'revision conflict' unless its expected revision and content hash, where it has them, are the current ones, or
-    'accepted' and raises the revision. A refused command leaves its key free: so which command owns a key depends on
-    outcomes, and passes over all commands are repeated until none changes; each pass settles at least the first command
-    that was wrong, in practice all but a few at once. Passes are written to the checkpoint folder.
+    'accepted' and raises the revision. A refused command leaves its key free. Where several aggregates use a key, which
+    command owns it depends on outcomes elsewhere: passes over all commands are repeated until none changes; each settles
+    at least the first command that was wrong. Passes are written to the checkpoint folder.
     """
     asked = shaped(commands)
     if log is None:
@@ -89,28 +101,27 @@ def outcomes(commands: DataFrame, log: DataFrame | None = None) -> DataFrame:
         open_ = kept(based.join(stored, "seq", "left_anti"))
     else:
         stored, open_ = None, based
-    refused = open_.select("seq").limit(0)
+    same_key = Window.partitionBy("idempotency_key")
+    named = open_.filter("idempotency_key is not null").withColumns({"wide": F.min(F.struct(*_AGGREGATE)).over(same_key) != F.max(F.struct(*_AGGREGATE)).over(same_key), "final": F.max("seq").over(same_key) == F.col("seq")})
+    every = kept(named.unionByName(open_.filter("idempotency_key is null"), allowMissingColumns=True).withColumn("local", F.when(~F.col("wide"), F.col("idempotency_key"))).fillna({"wide": False, "final": False}))
+    wide = every.filter("wide").select("seq", "idempotency_key")
+    refused = every.select("seq").limit(0)
     while True:
-        # The owner of a key is its first command that the last pass has not refused.
-        left = open_.join(refused.withColumn("lost", F.lit(True)), "seq", "left")
-        by_key = Window.partitionBy("idempotency_key").orderBy(F.col("lost").asc_nulls_first(), "seq")
-        by_seq = Window.partitionBy("idempotency_key").orderBy("seq")
-        shared = left.filter("idempotency_key is not null").withColumns({"owner": F.first(F.when(F.col("lost").isNull(), F.col("seq")), ignorenulls=True).over(by_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "nth": F.row_number().over(by_seq)})
-        # One that comes before the owner was refused, and is judged again; so is the owner.
-        tried = shared.filter(F.col("owner").isNull() | (F.col("seq") <= F.col("owner"))).select(*open_.columns).unionByName(open_.filter("idempotency_key is null"))
-        judged = kept(_judged(tried))
-        now = judged.filter("not accepted").select("seq")
+        # The owner of a wide key is its first command that the last pass has not refused; it and those before it are judged.
+        owned = wide.join(refused.withColumn("lost", F.lit(True)), "seq", "left").groupBy("idempotency_key").agg(F.min(F.when(F.col("lost").isNull(), F.col("seq"))).alias("owner"))
+        late = wide.join(owned, "idempotency_key").filter("seq > owner").select("seq")
+        judged = kept(_judged(every.join(late, "seq", "left_anti")))
+        now = judged.filter("outcome = 'revision conflict'").join(wide.select("seq"), "seq", "left_semi").select("seq")
         changed = now.join(refused, "seq", "left_anti").unionByName(refused.join(now, "seq", "left_anti"))
         if changed.isEmpty():
             break
         refused = now
-    done = judged.select("seq", F.when(F.col("accepted"), "accepted").otherwise("revision conflict").alias("outcome"), "revision")
-    firsts = open_.join(judged.filter("accepted"), "seq").filter("idempotency_key is not null").select("idempotency_key", F.col("digest").alias("first_digest"), F.col("revision").alias("first_revision"))
-    rest = open_.join(judged.select("seq"), "seq", "left_anti").join(firsts, "idempotency_key").select("seq", "first_digest", "first_revision")
+    owners = judged.filter("outcome = 'accepted'").join(every.filter("wide"), "seq").select("idempotency_key", F.col("digest").alias("first_digest"), F.col("revision").alias("first_revision"))
+    rest = wide.join(judged, "seq", "left_anti").join(owners, "idempotency_key").select("seq", "first_digest", "first_revision")
     repeats = rest if stored is None else rest.unionByName(stored)
     same = based.select("seq", "digest").join(repeats, "seq").withColumn("same", F.col("digest").eqNullSafe(F.col("first_digest")))
     again = same.select("seq", F.when(F.col("same"), "replayed").otherwise("key conflict").alias("outcome"), F.when(F.col("same"), F.col("first_revision")).alias("revision"))
-    return asked.select("seq", *_AGGREGATE).join(done.unionByName(again), "seq")
+    return asked.select("seq", *_AGGREGATE).join(judged.unionByName(again), "seq")
 
 
 def commit(ledger: logs.Ledger, commands: DataFrame, payload: DataFrame | None = None, tries: int = 10) -> DataFrame:
