@@ -1,10 +1,14 @@
-"""Typed values found in evidence texts (X1 to X14) and answers derived from them."""
+"""Typed values found in evidence texts (X3 to X12, X14) and answers derived from them."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mnemograph.functions import spans
+
 #: Currencies by sign and by word.
 SIGNS = {"$": "USD", "€": "EUR", "£": "GBP", "¥": "JPY"}
 WORDS = {"usd": "USD", "dollar": "USD", "dollars": "USD", "eur": "EUR", "euro": "EUR", "euros": "EUR", "gbp": "GBP", "pound": "GBP", "pounds": "GBP", "jpy": "JPY", "yen": "JPY"}
@@ -12,23 +16,6 @@ MONTHS = ("january", "february", "march", "april", "may", "june", "july", "augus
 
 _AMOUNT = r"[0-9](?:[0-9,]*[0-9])?(?:\.[0-9]+)?"
 _MONEY = rf"([$€£¥])[ ]?({_AMOUNT})|(?<![\w.,])({_AMOUNT})[ ]+(?i:({'|'.join(sorted(WORDS, key=len, reverse=True))}))(?!\w)|(?<!\w)(?i:(usd|eur|gbp|jpy))[ ]+({_AMOUNT})"
-_URL = r"https?://[^\s<>\"'`]+"
-#: Spans whose text is not read for values: fenced and inline code, display and inline mathematics.
-_PROTECTED = r"(?s)```.*?```|`[^`\n]+`|\$\$.*?\$\$|\\\(.*?\\\)|\\\[.*?\\\]"
-
-
-def protected(text: Column) -> Column:
-    """Array of (kind, raw) of protected spans and URLs, in order of their start."""
-    raw = F.regexp_extract_all(text, F.lit(f"{_PROTECTED}|{_URL}"), F.lit(0))
-    kind = lambda x: F.when(x.startswith("```"), "fenced_code").when(x.startswith("`"), "inline_code").when(x.startswith("http"), "url").otherwise("math")
-    return F.transform(raw, lambda x: F.struct(kind(x).alias("kind"), F.when(kind(x) == "url", F.regexp_replace(x, r"[.,;:!?)]+$", "")).otherwise(x).alias("raw")))
-
-
-def plain(text: Column) -> Column:
-    """The text with protected spans and URLs blanked out."""
-    return F.regexp_replace(text, f"{_PROTECTED}|{_URL}", " ")
-
-
 def amount(raw: Column) -> Column:
     """A number; commas alone with two digits or fewer behind the last are a decimal comma."""
     comma = raw.rlike(r"^[0-9]+,[0-9]{1,2}$")
@@ -37,7 +24,7 @@ def amount(raw: Column) -> Column:
 
 def money(fragments: DataFrame) -> DataFrame:
     """ref_id, nth, raw, currency, amount, amount_minor of amounts with a currency's sign, code or word."""
-    found = fragments.select("ref_id", F.posexplode(F.regexp_extract_all(plain(F.col("text")), F.lit(_MONEY), F.lit(0))).alias("nth", "raw"))
+    found = fragments.select("ref_id", F.posexplode(F.regexp_extract_all(spans.prose(F.col("text")), F.lit(_MONEY), F.lit(0))).alias("nth", "raw"))
     number = F.regexp_extract("raw", _AMOUNT, 0)
     name = F.trim(F.replace("raw", number, F.lit("")))
     names = F.create_map(*(F.lit(x) for pair in {**SIGNS, **WORDS}.items() for x in pair))
@@ -50,7 +37,7 @@ def dates(fragments: DataFrame) -> DataFrame:
     name = "|".join(m for month in MONTHS for m in (month, month[:3])) + "|sept"
     iso, us = r"(?<![\d/-])(\d{4})[-/](\d{1,2})[-/](\d{1,2})(?![\d/-])", r"(?<![\d/-])(\d{1,2})/(\d{1,2})/(\d{4})(?![\d/-])"
     long_a, long_b = rf"(?i)\b({name})\.? (\d{{1,2}}),? (\d{{4}})\b", rf"(?i)\b(\d{{1,2}}) ({name})\.? (\d{{4}})\b"
-    found = fragments.select("ref_id", F.posexplode(F.regexp_extract_all(plain(F.col("text")), F.lit(f"{iso}|{us}|{long_a}|{long_b}"), F.lit(0))).alias("nth", "raw"))
+    found = fragments.select("ref_id", F.posexplode(F.regexp_extract_all(spans.prose(F.col("text")), F.lit(f"{iso}|{us}|{long_a}|{long_b}"), F.lit(0))).alias("nth", "raw"))
     part = lambda p, g: F.regexp_extract("raw", p, g)
     month = lambda x: F.array_position(F.array(*(F.lit(m[:3]) for m in MONTHS)), F.lower(F.substring(x, 1, 3))).cast("string")
     text = (
@@ -62,22 +49,73 @@ def dates(fragments: DataFrame) -> DataFrame:
     return found.select("ref_id", F.col("nth").cast("long").alias("nth"), "raw", text.try_cast("date").alias("date"))
 
 
+def _spans(fragments: DataFrame, kind: str) -> DataFrame:
+    """ref_id, nth and span of the spans of a kind, counted within it."""
+    return fragments.select("ref_id", F.posexplode(F.filter(spans.protected(F.col("text")), lambda x: x["kind"].endswith(kind))).alias("nth", "span")).withColumn("nth", F.col("nth").cast("long"))
+
+
 def urls(fragments: DataFrame) -> DataFrame:
     """ref_id, nth, url."""
-    found = fragments.select("ref_id", F.posexplode(F.regexp_extract_all(F.col("text"), F.lit(_URL), F.lit(0))).alias("nth", "url"))
-    return found.select("ref_id", F.col("nth").cast("long").alias("nth"), F.regexp_replace("url", r"[.,;:!?)]+$", "").alias("url"))
+    return _spans(fragments, "url").select("ref_id", "nth", F.col("span.raw").alias("url"))
+
+
+#: Notations of mathematics by their opening mark.
+NOTATIONS = {"$$": "display_dollar", "\\(": "inline_paren", "\\[": "display_bracket", "$": "inline_dollar"}
+
+
+def math(fragments: DataFrame) -> DataFrame:
+    """ref_id, nth, raw, notation and expression, what stands between the marks; the closing one may be missing."""
+    raw = F.col("span.raw")
+    notation = expression = None
+    for opening, name in NOTATIONS.items():
+        closing = {"\\(": "\\)", "\\[": "\\]"}.get(opening, opening)
+        body = F.substring(raw, len(opening) + 1, 2**30)
+        inner = F.trim(F.when(body.endswith(closing), F.left(body, F.length(body) - len(closing))).otherwise(body))
+        here = raw.startswith(opening)
+        notation = F.when(here, name) if notation is None else notation.when(here, name)
+        expression = F.when(here, inner) if expression is None else expression.when(here, inner)
+    return _spans(fragments, "math").select("ref_id", "nth", raw.alias("raw"), notation.alias("notation"), expression.alias("expression"))
 
 
 def code(fragments: DataFrame) -> DataFrame:
     """ref_id, nth, language, body of fenced and inline code; without a name at the fence, a guess by its words."""
-    found = fragments.select("ref_id", F.posexplode(F.filter(protected(F.col("text")), lambda x: x["kind"].endswith("code"))).alias("nth", "span"))
-    fence = r"(?s)^```([A-Za-z0-9+#_-]*)[^\n]*\n?(.*?)```$"
+    found = _spans(fragments, "code")
+    fence, content = r"^```[ \t]*[`{}.]*([A-Za-z0-9+#_-]*)", r"(?s)^```[^\n]*\n(.*?)(?:```)?$"
     fenced = F.col("span.kind") == "fenced_code"
     named = F.lower(F.regexp_extract("span.raw", fence, 1))
     alias = F.create_map(*(F.lit(x) for pair in (("py", "python"), ("rs", "rust"), ("js", "javascript"), ("ts", "typescript"), ("sh", "bash"), ("shell", "bash")) for x in pair))
-    body = F.when(fenced, F.regexp_replace(F.regexp_extract("span.raw", fence, 2), r"^\s+|\s+$", "")).otherwise(F.regexp_replace("span.raw", "^`|`$", ""))
+    body = F.when(fenced, F.regexp_replace(F.regexp_extract("span.raw", content, 1), r"^\s+|\s+$", "")).otherwise(F.regexp_replace("span.raw", "^`|`$", ""))
     guess = F.when(body.rlike(r"\bdef \w+\(|\bimport \w+"), "python").when(body.rlike(r"\bfn \w+\(|\blet mut\b"), "rust").when(body.rlike(r"(?i)\bselect\b.+\bfrom\b"), "sql").when(body.rlike(r"^\s*[{\[]"), "json").otherwise("unknown")
-    return found.select("ref_id", F.col("nth").cast("long").alias("nth"), F.when(fenced & (named != ""), F.coalesce(F.try_element_at(alias, named), named)).otherwise(guess).alias("language"), body.alias("body"))
+    return found.select("ref_id", "nth", F.when(fenced & (named != ""), F.coalesce(F.try_element_at(alias, named), named)).otherwise(guess).alias("language"), body.alias("body"))
+
+
+def _reader(name: str, find: Callable[[DataFrame], DataFrame], raw: str, value: Callable[[], Column]) -> tuple[str, Callable]:
+    return name, lambda fragments: find(fragments).select("ref_id", "nth", F.col(raw).alias("raw"), value().alias("value"))
+
+
+def default_readers() -> list[tuple]:
+    """Amounts, dates, code, mathematics and URLs."""
+    return [
+        _reader("currency", money, "raw", lambda: F.concat_ws(" ", "currency", F.format_string("%.2f", "amount"))),
+        _reader("date", dates, "raw", lambda: F.col("date").cast("string")),
+        _reader("source_code", code, "body", lambda: F.col("language")),
+        _reader("math", math, "raw", lambda: F.concat_ws(":", "notation", "expression")),
+        _reader("url", urls, "url", lambda: F.col("url")),
+    ]
+
+
+def read(fragments: DataFrame, readers: list[tuple] | None = None) -> DataFrame:
+    """Place and name of the reader, ref_id, nth, raw and value of all mentions that the readers find in fragments
+    (ref_id, text), each in its own way. A reader is a name and a function of fragments; names must differ."""
+    readers = default_readers() if readers is None else readers
+    names = [name for name, _ in readers]
+    if not names or len(set(names)) < len(names):
+        raise ValueError(f"readers need names of their own: {names}")
+    out = None
+    for place, (name, find) in enumerate(readers):
+        found = find(fragments).select(F.lit(place).alias("place"), F.lit(name).alias("reader"), "ref_id", "nth", "raw", "value")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def derive(operands: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemograph.functions import scalars
+from mnemograph.functions import spans
 from mnemograph.operators import evaluate, interpret
 from mnemograph.sources import views
 
@@ -51,13 +52,68 @@ def url_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpret.urls(p.select(F.col("page_id").cast("string").alias("ref_id"), F.concat(F.lit("See "), F.col("url"), F.lit(").")).alias("text")))
 
 
-@query("protected_spans")
+#: Texts that take every state of the scan, by the order's number modulo their count; {k} is the number.
+_SCANNED = (
+    "Cost \\$5 then $x_{k}$ and $$a+{k}",
+    "Paid $5 and $6 today, on 2024-03-0{d}.",
+    "`${k}` then ```py\nx = $1$\n``` end",
+    "See https://e.org/{k}?a=$1$). Or http://x.y/{k}!",
+    "\\(a < {k}\\) and \\[b\\] or $12,5$",
+    "open ```never closed ${k}$",
+    "${k}+1$ `tick and 30 EUR",
+    "plain text {k}",
+)
+#: What is to be found in them: kind and raw of the spans.
+_SPANS = (
+    (("math", "$x_{k}$"), ("math", "$$a+{k}")),
+    (),
+    (("inline_code", "`${k}`"), ("fenced_code", "```py\nx = $1$\n```")),
+    (("url", "https://e.org/{k}?a=$1$"), ("url", "http://x.y/{k}")),
+    (("math", "\\(a < {k}\\)"), ("math", "\\[b\\]"), ("math", "$12,5$")),
+    (("fenced_code", "```never closed ${k}$"),),
+    (("math", "${k}+1$"),),
+    (),
+)
+#: Reader, number in the text, raw and value of the mentions.
+_MENTIONS = (
+    (("currency", 0, "$5", "USD 5.00"), ("math", 0, "$x_{k}$", "inline_dollar:x_{k}"), ("math", 1, "$$a+{k}", "display_dollar:a+{k}")),
+    (("currency", 0, "$5", "USD 5.00"), ("currency", 1, "$6", "USD 6.00"), ("date", 0, "2024-03-0{d}", "2024-03-0{d}")),
+    (("source_code", 0, "${k}", "unknown"), ("source_code", 1, "x = $1$", "python")),
+    (("url", 0, "https://e.org/{k}?a=$1$", "https://e.org/{k}?a=$1$"), ("url", 1, "http://x.y/{k}", "http://x.y/{k}")),
+    (("math", 0, "\\(a < {k}\\)", "inline_paren:a < {k}"), ("math", 1, "\\[b\\]", "display_bracket:b"), ("math", 2, "$12,5$", "inline_dollar:12,5")),
+    (("source_code", 0, "", "never"),),
+    (("currency", 0, "30 EUR", "EUR 30.00"), ("math", 0, "${k}+1$", "inline_dollar:{k}+1")),
+    (),
+)
+
+
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = views.table(spark, sf_dir, "orders").select("o_orderkey")
+    text = F.get(F.array(*map(F.lit, _SCANNED)), (F.col("o_orderkey") % len(_SCANNED)).cast("int"))
+    return o.select(F.col("o_orderkey").cast("string").alias("ref_id"), F.replace(F.replace(text, F.lit("{k}"), F.col("o_orderkey").cast("string")), F.lit("{d}"), (F.col("o_orderkey") % 9 + 1).cast("string")).alias("text"))
+
+
+def _rows_sql(found: tuple) -> str:
+    quoted = lambda x: str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+    return ", ".join(f"({n}, {nth}, {', '.join(map(quoted, row))})" for n, rows in enumerate(found) for nth, row in enumerate(rows))
+
+
+_MADE = "replace(replace({0}, '{{k}}', CAST(o_orderkey AS VARCHAR)), '{{d}}', CAST(o_orderkey % 9 + 1 AS VARCHAR))"
+
+
+@query("protected_spans", f"SELECT CAST(o_orderkey AS VARCHAR) AS ref_id, CAST(nth AS INTEGER) AS nth, kind, {_MADE.format('raw')} AS raw FROM orders JOIN (VALUES {_rows_sql(_SPANS)}) v(n, nth, kind, raw) ON o_orderkey % {len(_SCANNED)} = n")
 def protected_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _paid(spark, sf_dir).select("ref_id", F.posexplode(interpret.protected(F.col("text"))).alias("nth", "span"))
+    found = _scanned(spark, sf_dir).select("ref_id", F.posexplode(spans.protected(F.col("text"))).alias("nth", "span"))
     return found.select("ref_id", "nth", "span.kind", "span.raw")
 
 
-@query("source_code_mentions")
+@query("evidence_mentions", f"SELECT CAST(o_orderkey AS VARCHAR) AS ref_id, reader, CAST(m AS BIGINT) AS nth, {_MADE.format('raw')} AS raw, {_MADE.format('value')} AS value FROM orders JOIN (VALUES {_rows_sql(_MENTIONS)}) v(n, nth, reader, m, raw, value) ON o_orderkey % {len(_SCANNED)} = n")
+def evidence_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all readers find in the same texts."""
+    return interpret.read(_scanned(spark, sf_dir)).drop("place")
+
+
+@query("source_code_mentions", "SELECT CAST(p_partkey AS VARCHAR) AS ref_id, CAST(nth AS BIGINT) AS nth, language, replace(body, '{k}', CAST(p_partkey AS VARCHAR)) AS body FROM part, (VALUES (0, 'sql', 'select p_name from part where p_partkey = {k}'), (1, 'python', 'def f(x)')) v(nth, language, body)")
 def source_code_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = views.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("ref_id"), F.concat(F.lit("Run:\n```sql\nselect p_name from part where p_partkey = "), F.col("p_partkey").cast("string"), F.lit("\n```\nthen `def f(x)`.")).alias("text"))
     return interpret.code(p)

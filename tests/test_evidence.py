@@ -1,7 +1,11 @@
 """Literal cases of extraction, derivation and scorecards."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
+from mnemograph.functions import spans
 from mnemograph.operators import evaluate, interpret
 
 
@@ -25,7 +29,7 @@ def test_dates(spark):
 
 def test_spans_and_code(spark):
     t = texts(spark, "a `x` b ```py\ndef f(): pass\n``` and https://e.org/a). $$y$$")
-    assert [(r.kind, r.raw) for r in t.select(F.explode(interpret.protected(F.col("text"))).alias("s")).select("s.*").collect()] == [("inline_code", "`x`"), ("fenced_code", "```py\ndef f(): pass\n```"), ("url", "https://e.org/a"), ("math", "$$y$$")]
+    assert [(r.kind, r.raw) for r in t.select(F.explode(spans.protected(F.col("text"))).alias("s")).select("s.kind", "s.raw").collect()] == [("inline_code", "`x`"), ("fenced_code", "```py\ndef f(): pass\n```"), ("url", "https://e.org/a"), ("math", "$$y$$")]
     assert rows(interpret.code(t).select("language", "body")) == [("python", "def f(): pass"), ("unknown", "x")]
 
 
@@ -48,3 +52,92 @@ def test_wilson_and_verdict(spark):
     assert tuple(got) == (0.8, 0.4902, 0.9433, "SUPPORTED")
     zero = evaluate.wilson(F.lit(0), F.lit(0))
     assert tuple(spark.range(1).select(*(F.coalesce(x, F.lit(-1.0)) for x in zero)).first()) == (0.0, 0.0, 0.0)
+
+
+def by_characters(text):
+    """The same spans, by looking at every place of the text for every kind."""
+    space = lambda c: c in "\t\n\x0b\x0c\r \x85\xa0\u2003\u2028\u3000"
+
+    def maths(body):
+        x = body.strip()
+        if not x or "\n" in x or len(x.encode()) > 120:
+            return False
+        alone = all(c.isascii() and c.isalnum() for c in x) and any(c.isalpha() for c in x)
+        return any(c in "\\=+-*/^_{}<>" for c in x) or all(c in "0123456789.," or space(c) for c in x) or alone
+
+    found = []
+    for kind, rank, opening, closing in (("fenced_code", 0, "```", "```"), ("math", 1, "$$", "$$"), ("math", 1, "\\(", "\\)"), ("math", 1, "\\[", "\\]")):
+        i = 0
+        while i < len(text):
+            if text[i : i + len(opening)] == opening:
+                j = i + len(opening)
+                while j < len(text) and text[j : j + len(closing)] != closing:
+                    j += 1
+                end = min(len(text), j + len(closing)) if j < len(text) else len(text)
+                found.append((i, rank, end, kind))
+                i = end
+            else:
+                i += 1
+    i = 0
+    while i < len(text):
+        if text[i] == "`":
+            if text[i : i + 3] == "```":
+                i += 3
+                continue
+            j = next((j for j in range(i + 1, len(text)) if text[j] == "`"), None)
+            if j is None:
+                break
+            found.append((i, 0, j + 1, "inline_code"))
+            i = j
+        i += 1
+    i = 0
+    while i < len(text):
+        if text[i] == "$" and text[i : i + 2] != "$$" and not (i and text[i - 1] == "\\"):
+            j = next((j for j in range(i + 1, len(text)) if text[j] == "$"), None)
+            if j is None:
+                break
+            if maths(text[i + 1 : j]):
+                found.append((i, 1, j + 1, "math"))
+                i = j
+        i += 1
+    for prefix in ("https://", "http://"):
+        i = 0
+        while i < len(text):
+            if text[i : i + len(prefix)] == prefix:
+                j = i
+                while j < len(text) and not space(text[j]):
+                    j += 1
+                while j > i and text[j - 1] in ".,;:!?)":
+                    j -= 1
+                found.append((i, 2, j, "url"))
+                i = max(j, i + len(prefix))
+            else:
+                i += 1
+    out = []
+    for start, _, end, kind in sorted(found):
+        if start < end and all(end <= a or b <= start for _, a, b, _ in out):
+            out.append((kind, start, end, text[start:end]))
+    return out
+
+
+def test_spans_of_any_text(spark):
+    rng = random.Random(7)
+    parts = ["$", "$$", "`", "```", "\\", "\\(", "\\)", "\\[", "\\]", "https://a.b/c", "http://", "x", "5", "1,5", " ", "\n", "+", ").", "word", "é", "$5", "$x$"]
+    data = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(3000)]
+    for text in data:
+        assert spans.protected_spans(text) == by_characters(text), text
+    df = spark.createDataFrame([(t,) for t in data[:200]] + [(None,)], "text string")
+    got = df.select("text", spans.protected(F.col("text")).alias("s"), spans.prose(F.col("text")).alias("p")).collect()
+    for r in got:
+        want = by_characters(r.text or "")
+        assert [tuple(s) for s in r.s] == want
+        if not want:
+            assert r.p == r.text
+
+
+def test_composed_reader(spark):
+    found = interpret.read(texts(spark, "Paid $5 + $6 on 2024-01-05, see https://e.org and `x = 1`", "$x+5$ is no amount, 6 EUR is"))
+    assert sorted((r.place, r.reader, r.raw) for r in found.collect()) == [(0, "currency", "6 EUR"), (1, "date", "2024-01-05"), (2, "source_code", "x = 1"), (3, "math", "$5 + $"), (3, "math", "$x+5$"), (4, "url", "https://e.org")]
+    twice = interpret.default_readers()[:1] * 2
+    with pytest.raises(ValueError, match="names of their own"):
+        interpret.read(texts(spark, "x"), twice)
