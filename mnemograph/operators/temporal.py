@@ -1,4 +1,4 @@
-"""Temporal selection over positions (T1 to T13): every request of a batch in one plan.
+"""Temporal selection over positions (T1 to T13), what is known at a step (T15, T16, W1, K17): every request of a batch in one plan.
 
 positions: about, dimension, scope_id, ref_id, axis, key. requests: request_id, about, axis, key (the cursor).
 An empty or missing key gives no position. Requests without a match give no rows.
@@ -110,25 +110,73 @@ def by_scope(found: DataFrame, scopes: list[str]) -> DataFrame:
     return found.filter(F.col("scope_id").isin(*scopes) | F.coalesce(scalars.scope_dimension(F.col("scope_id")).isin(*scopes), F.lit(False))) if scopes else found
 
 
+def first_known(steps: DataFrame) -> DataFrame:
+    """Task, ref_id and the step that first wrote it; steps: task, step, ref_id."""
+    return steps.groupBy("task", "ref_id").agg(F.min("step").alias("first"))
+
+
+def _known(steps: DataFrame, asked: DataFrame) -> DataFrame:
+    """Task, step and known of the steps of asked (task, step)."""
+    new = first_known(steps).groupBy("task", F.col("first").alias("step")).agg(F.count("*").alias("new"))
+    every = new.select("task", "step").union(asked.select("task", "step")).distinct().join(new, ["task", "step"], "left").fillna({"new": 0})
+    before = Window.partitionBy("task").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    summed = every.select("task", "step", F.coalesce(F.sum("new").over(before), F.lit(0)).alias("known"))
+    return summed.join(asked.select("task", "step").distinct(), ["task", "step"], "left_semi")
+
+
 def known_at(steps: DataFrame) -> DataFrame:
-    """Task, step and each reference that was written in an earlier step; steps: task, step, ref_id.
+    """Task, step and how many references were written in earlier steps: a running sum of those first written there.
 
-    A pair for each earlier reference is what the snapshot is; callers join or aggregate it.
+    The references themselves are first_known with first < step; no step lists them, so rows stay as many as steps.
     """
-    later = steps.select("task", F.col("step").alias("at")).distinct()
-    return later.join(steps, "task").filter("step < at").select("task", F.col("at").alias("step"), "ref_id")
+    return _known(steps, steps)
 
 
-def leak_check(allowed: DataFrame, observed: DataFrame, answers: DataFrame) -> DataFrame:
-    """Unexpected, missing, leaked answer and clean of each task and step.
+def leak_check(steps: DataFrame, observed: DataFrame, answers: DataFrame) -> DataFrame:
+    """Unexpected, missing, leaked answer and clean of each task and step with a known or an observed reference.
 
-    allowed, observed: task, step, ref_id; answers: task, step, ref_id of the expected answer.
+    steps, observed: task, step, ref_id; answers: task, step, ref_id of the expected answer. A reference is allowed where
+    an earlier step has written it. Missing ones are counted, not listed: those known less those observed.
     """
     keys = ["task", "step"]
-    both = allowed.distinct().withColumn("a", F.lit(1)).join(observed.distinct().withColumn("o", F.lit(1)), [*keys, "ref_id"], "full_outer")
-    judged = both.join(answers.select(*keys, "ref_id").distinct().withColumn("w", F.lit(1)), [*keys, "ref_id"], "left")
-    unexpected = F.count_if(F.col("a").isNull())
-    return judged.groupBy(*keys).agg(unexpected.alias("unexpected"), F.count_if(F.col("o").isNull()).alias("missing"), (F.count_if((F.col("w") == 1) & (F.col("o") == 1)) > 0).alias("leaked"), (unexpected == 0).alias("clean"))
+    seen = observed.select(*keys, "ref_id").distinct().join(first_known(steps), ["task", "ref_id"], "left")
+    judged = seen.join(answers.select(*keys, "ref_id").distinct().withColumn("w", F.lit(True)), [*keys, "ref_id"], "left")
+    allowed = F.coalesce(F.col("first") < F.col("step"), F.lit(False))
+    got = judged.groupBy(*keys).agg(F.count_if(~allowed).alias("unexpected"), F.count_if(allowed).alias("hits"), F.coalesce(F.bool_or("w"), F.lit(False)).alias("leaked"))
+    asked = _known(steps, steps.select(*keys).union(observed.select(*keys)))
+    both = asked.join(got, keys, "left").fillna({"unexpected": 0, "hits": 0, "leaked": False})
+    shown = both.filter("known > 0 or unexpected + hits > 0")
+    return shown.select(*keys, "unexpected", (F.col("known") - F.col("hits")).alias("missing"), "leaked", (F.col("unexpected") == 0).alias("clean"))
+
+
+def as_of(facts: DataFrame, asks: DataFrame) -> DataFrame:
+    """request_id, key, at and ref, the latest fact of the key before `at`; null if none is known.
+
+    facts: key, at, ref; asks: request_id, key, at. Both are sorted together by key and time, and a running last value
+    passes the facts on; so there is no range join, and a row of either is read once. Of facts at one time the largest
+    ref is the last; a fact at the very time of an ask is not known yet.
+    """
+    both = facts.select("key", "at", F.lit(1).alias("kind"), "ref", F.lit(None).alias("request_id")).unionByName(asks.select("key", "at", F.lit(0).alias("kind"), F.lit(None).alias("ref"), "request_id"))
+    w = Window.partitionBy("key").orderBy("at", "kind", F.col("ref").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    known = both.withColumn("ref", F.last("ref", ignorenulls=True).over(w))
+    return known.filter("kind = 0").select("request_id", "key", "at", "ref")
+
+
+def fact_scores(facts: DataFrame, asks: DataFrame, observed: DataFrame) -> DataFrame:
+    """What each ask's answer did with the facts known at its time: unexpected, missing, clean and current.
+
+    facts: key, at, ref; asks: request_id, key, at; observed: request_id, ref. A reference is allowed if a fact of the
+    ask's key has it at an earlier time; clean without any other; current if the latest known fact is among the observed.
+    """
+    times = facts.groupBy("key", "ref").agg(F.min("at").alias("first"))
+    steps = times.select(F.col("key").alias("task"), F.col("first").alias("step"), F.col("ref").alias("ref_id"))
+    counted = _known(steps, asks.select(F.col("key").alias("task"), F.col("at").alias("step")))
+    seen = observed.select("request_id", "ref").distinct().join(asks, "request_id").join(times, ["key", "ref"], "left")
+    allowed = F.coalesce(F.col("first") < F.col("at"), F.lit(False))
+    got = seen.groupBy("request_id").agg(F.count_if(~allowed).alias("unexpected"), F.count_if(allowed).alias("hits"))
+    last = as_of(facts, asks).join(observed.select("request_id", "ref").distinct().withColumn("seen", F.lit(True)), ["request_id", "ref"], "left").select("request_id", "key", "at", "ref", F.coalesce("seen", F.lit(False)).alias("current"))
+    out = last.join(got, "request_id", "left").fillna({"unexpected": 0, "hits": 0}).join(counted.select(F.col("task").alias("key"), F.col("step").alias("at"), "known"), ["key", "at"])
+    return out.select("request_id", F.col("ref").alias("latest"), "unexpected", (F.col("known") - F.col("hits")).alias("missing"), (F.col("unexpected") == 0).alias("clean"), "current")
 
 
 def coordinates(selected: DataFrame) -> DataFrame:
@@ -156,7 +204,7 @@ def requested_scopes(requests: DataFrame) -> DataFrame:
     requests: request_id, current, mode (all, only, except), scope_mode (current, abouts, all), and arrays dimensions,
     abouts, roots and scope_ids. Named scopes win: each is resolved under each about, those of other abouts fall out,
     and the rest is distinct and sorted. Without any, only the mode "only" asks for scopes: its dimensions under its
-    abouts, in their order.
+    abouts, distinct and sorted too.
     """
     abouts = F.when(F.col("scope_mode") == "current", F.array("current")).when(F.col("scope_mode") == "abouts", F.col("abouts")).otherwise(F.col("roots"))
 
@@ -166,7 +214,8 @@ def requested_scopes(requests: DataFrame) -> DataFrame:
 
     named = F.array_sort(F.array_distinct(F.flatten(F.transform(abouts, lambda a: F.array_compact(F.transform("scope_ids", lambda s: under(a, s)))))))
     kinds = F.filter("dimensions", lambda d: F.trim(d) != "")
-    asked = F.flatten(F.transform(abouts, lambda a: F.transform(kinds, lambda d: scalars.dimension_identity(a, F.trim(d)))))
+    ordered = lambda x: F.array_sort(F.array_distinct(x))
+    asked = F.array_distinct(F.flatten(F.transform(ordered(abouts), lambda a: F.transform(ordered(F.transform(kinds, lambda d: F.trim(d))), lambda d: scalars.dimension_identity(a, d)))))
     none = F.expr("cast(array() as array<string>)")
     scopes = F.when(F.size("scope_ids") > 0, named).when(F.col("mode") == "only", asked).otherwise(none)
     return requests.select("request_id", F.coalesce(scopes, none).alias("scopes"))

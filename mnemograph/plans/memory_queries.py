@@ -169,7 +169,7 @@ def about_index_by_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def known_at_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = views.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("task"), F.col("turn").alias("step"), F.concat_ws(":", F.lit("turn"), "conv_id", "turn").alias("ref_id"))
-    return temporal.known_at(turns).groupBy("task", "step").agg(F.count("*").alias("known"))
+    return temporal.known_at(turns).filter("known > 0")
 
 
 @query(
@@ -185,7 +185,28 @@ def temporal_leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = views.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("task"), F.col("turn").alias("step"), F.col("turn").alias("ref_id"))
     at = turns.select("task", F.col("step").alias("at"))
     seen = at.join(turns, "task").filter((F.col("ref_id") % 3 != 1) & (F.col("ref_id") <= F.col("at") + F.col("task") % 2)).select("task", F.col("at").alias("step"), "ref_id")
-    return temporal.leak_check(temporal.known_at(turns), seen, turns.select("task", "step", (F.col("step") + 1).alias("ref_id")))
+    return temporal.leak_check(turns, seen, turns.select("task", "step", (F.col("step") + 1).alias("ref_id")))
+
+
+@query(
+    "fact_scores",
+    """
+WITH f AS (SELECT user_id AS key, epoch_us(ts) AS at, event_id AS ref FROM events WHERE event_type IN ('purchase', 'signup')),
+a AS (SELECT event_id AS request_id, user_id AS key, epoch_us(ts) AS at FROM events WHERE event_type = 'error'),
+o AS (SELECT a.request_id, f.ref, f.at < a.at AS ok FROM a JOIN f ON f.key = a.key WHERE (f.ref + a.request_id) % 3 = 0 AND f.at <= a.at + 86400000000),
+k AS (SELECT a.request_id, count(f.ref) FILTER (f.at < a.at) AS known, arg_max(f.ref, (f.at, f.ref)) FILTER (f.at < a.at) AS latest FROM a LEFT JOIN f ON f.key = a.key GROUP BY 1),
+s AS (SELECT request_id, count(*) FILTER (NOT ok) AS bad, count(*) FILTER (ok) AS hits, list(ref) AS refs FROM o GROUP BY 1)
+SELECT k.request_id, coalesce(k.latest, -1) AS latest, coalesce(bad, 0) AS unexpected, known - coalesce(hits, 0) AS missing, coalesce(bad, 0) = 0 AS clean, coalesce(list_contains(s.refs, k.latest), false) AS current
+FROM k LEFT JOIN s ON s.request_id = k.request_id
+""",
+)
+def fact_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors as questions about a user's purchases and signups; what they observe reaches a day into the future."""
+    e = views.table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id", "event_type")
+    facts = e.filter("event_type in ('purchase', 'signup')").select("key", "at", F.col("event_id").alias("ref"))
+    asks = e.filter("event_type = 'error'").select(F.col("event_id").alias("request_id"), "key", "at")
+    observed = asks.join(facts.withColumnRenamed("at", "fact_at"), "key").filter("(ref + request_id) % 3 = 0 and fact_at <= at + 86400000000").select("request_id", "ref")
+    return temporal.fact_scores(facts, asks, observed).fillna({"latest": -1})
 
 
 # Traversal.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mnemograph.functions import scalars
 from mnemograph.kernel import Memory
-from mnemograph.operators import evaluate, graph, temporal
+from mnemograph.operators import evaluate, graph, selection, temporal
 from mnemograph.sources import views
 from mnemograph.sources.views import EDGES_SQL, NODES_SQL, POSITIONS_SQL
 
@@ -166,3 +166,97 @@ def verb_inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = views.table(spark, sf_dir, "customer").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("node_id"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("request_id"), F.col("c_mktsegment").alias("detail"))
     memory = Memory(views.nodes(spark, sf_dir), views.edges(spark, sf_dir), c.select("node_id", "detail"))
     return memory.inspect(c.select("request_id", F.col("node_id").alias("root"))).select("request_id", "title", "detail", "incoming", "outgoing")
+
+
+#: Selections by a user's number modulo their count: mode, include, exclude, scope_mode, abouts and scope_ids; {u} is the user.
+_SELECTIONS = (
+    ("all", [], [], "all", [], []),
+    ("only", ["click", "purchase"], [], "current", [], []),
+    ("except", [], ["error"], "abouts", ["user:{u}", "user:1"], []),
+    ("only", ["view", "signup"], [], "current", [], ["signup"]),
+    ("all", [], [], "current", [], ["about:user:{u}:dimension:view", "click"]),
+    ("except", [], ["view"], "abouts", ["user:0"], []),
+    ("only", [], ["view"], "current", ["user:1"], []),
+    ("all", ["view"], [], "abouts", [" "], []),
+    ("except", ["view"], [], "all", ["user:1"], []),
+)
+
+
+def _selections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = views.table(spark, sf_dir, "events").select("user_id").distinct()
+    rule = spark.createDataFrame([(i, *r) for i, r in enumerate(_SELECTIONS)], "n int, mode string, include array<string>, exclude array<string>, scope_mode string, abouts array<string>, scope_ids array<string>")
+    own = lambda c: F.transform(c, lambda x: F.replace(x, F.lit("{u}"), F.col("user_id").cast("string"))).alias(c)
+    root = F.concat(F.lit("user:"), F.col("user_id").cast("string"))
+    made = users.join(F.broadcast(rule), F.col("user_id") % len(_SELECTIONS) == F.col("n"))
+    return made.select(root.alias("request_id"), root.alias("root"), "mode", "include", "exclude", "scope_mode", own("abouts"), own("scope_ids"))
+
+
+@query(
+    "selection_faults",
+    """
+SELECT 'user:' || user_id AS request_id, faults FROM (SELECT DISTINCT user_id FROM events) JOIN (VALUES
+  (6, 'only requires include; only must not set exclude; current must not set abouts'), (7, 'all must not set include or exclude; abouts requires abouts'), (8, 'except requires exclude; except must not set include; all abouts must not set abouts')) v(n, faults)
+ON user_id % 9 = n""",
+)
+def selection_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.faults(_selections(spark, sf_dir)).filter("size(faults) > 0").select("request_id", F.array_join("faults", "; ").alias("faults"))
+
+
+@query(
+    "selected_bundles",
+    """
+WITH e AS (SELECT user_id AS u, 'user:' || user_id AS r, event_type AS dimension, 'about:user:' || (CASE WHEN event_id % 7 = 0 THEN 0 ELSE user_id END) || ':dimension:' || event_type AS scope, 'event:' || event_id AS id, event_id AS n FROM events),
+c AS (
+  SELECT * FROM e WHERE CASE u % 9
+    WHEN 0 THEN true
+    WHEN 1 THEN dimension IN ('click', 'purchase') AND (n % 7 > 0 OR u = 0)
+    WHEN 2 THEN dimension <> 'error' AND (n % 7 > 0 OR u = 0)
+    WHEN 3 THEN dimension = 'signup' AND (n % 7 > 0 OR u = 0)
+    WHEN 4 THEN dimension IN ('view', 'click') AND (n % 7 > 0 OR u = 0)
+    WHEN 5 THEN dimension <> 'view' AND n % 7 = 0 END),
+p AS (SELECT r, 'proof:' || n AS id, n, id AS entry FROM c WHERE n % 5 = 0),
+roots AS (SELECT DISTINCT u, r FROM e WHERE u % 9 < 6),
+items AS (
+  SELECT r, 'node' AS part, r AS item FROM roots UNION SELECT r, 'node', id FROM c UNION SELECT r, 'node', scope FROM c UNION SELECT r, 'node', id FROM p
+  UNION SELECT r, 'edge', scope || ' contains_entry ' || id FROM c UNION SELECT r, 'edge', r || ' records ' || id FROM c UNION SELECT r, 'edge', id || ' supports ' || entry FROM p
+  UNION SELECT r, 'detail', id FROM c WHERE n % 3 = 0)
+SELECT r AS request_id, part, item FROM items
+""",
+)
+def selected_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a bundle for each user, of events with their scopes, evidence and details, cut down by selections of every mode."""
+    e = views.table(spark, sf_dir, "events")
+    root = F.concat(F.lit("user:"), F.col("user_id").cast("string"))
+    about = F.when(F.col("event_id") % 7 == 0, F.lit("user:0")).otherwise(root)
+    id_ = F.concat(F.lit("event:"), F.col("event_id").cast("string"))
+    rows = e.select(root.alias("request_id"), F.col("event_type").alias("dimension"), scalars.dimension_identity(about, F.col("event_type")).alias("scope_id"), id_.alias("entry"), F.concat(F.lit("proof:"), F.col("event_id").cast("string")).alias("proof"), "event_id")
+    proofs = rows.filter("event_id % 5 = 0")
+    node = lambda df, c, kind: df.select("request_id", F.col(c).alias("node_id"), F.lit(kind).alias("node_kind"))
+    nodes = node(rows, "entry", "event").union(node(rows, "scope_id", "memory_dimension").distinct()).union(node(rows, "request_id", "memory_anchor").distinct()).union(node(proofs, "proof", "evidence"))
+    none = F.lit(None).cast("string")
+    edge = lambda df, a, kind, b, *at: df.select("request_id", F.col(a).alias("source"), F.col(b).alias("target"), F.lit(kind).alias("relation_type"), *(at or (none.alias("dimension"), none.alias("scope_id"))))
+    edges = edge(rows, "scope_id", "contains_entry", "entry", F.col("dimension"), F.col("scope_id")).union(edge(rows, "request_id", "records", "entry")).union(edge(proofs, "proof", "supports", "entry"))
+    details = rows.filter("event_id % 3 = 0").select("request_id", F.col("entry").alias("node_id"))
+    good = selection.faults(_selections(spark, sf_dir)).filter("size(faults) = 0").drop("faults")
+    got = selection.selected(nodes.join(good.select("request_id"), "request_id", "left_semi"), edges.join(good.select("request_id"), "request_id", "left_semi"), details.join(good.select("request_id"), "request_id", "left_semi"), good)
+    part = lambda name, item: got[f"{name}s"].select("request_id", F.lit(name).alias("part"), item.alias("item"))
+    return part("node", F.col("node_id")).union(part("edge", F.concat_ws(" ", "source", "relation_type", "target"))).union(part("detail", F.col("node_id")))
+
+
+@query(
+    "selected_abouts",
+    """
+WITH s AS (SELECT DISTINCT user_id AS u, CASE WHEN event_id % 7 = 0 THEN 0 ELSE user_id END AS a FROM events),
+x AS (SELECT u, 'user:' || u AS about, 0 AS step FROM s UNION SELECT u, 'user:' || (u + 1), 1 FROM s UNION SELECT u, 'user:' || a, 2 FROM s),
+o AS (SELECT u, about, min(step) AS step FROM x GROUP BY ALL)
+SELECT 'user:' || u AS request_id, row_number() OVER (PARTITION BY u ORDER BY step, about) - 1 AS place, about FROM o
+""",
+)
+def selected_abouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a user's subjects: its own, another's anchor in its bundle, and those that its scopes name."""
+    e = views.table(spark, sf_dir, "events")
+    name = lambda c: F.concat(F.lit("user:"), c.cast("string"))
+    requests = e.select(name(F.col("user_id")).alias("request_id")).distinct().withColumn("root", F.col("request_id"))
+    anchors = e.select(name(F.col("user_id")).alias("request_id"), F.explode(F.array(name(F.col("user_id")), name(F.col("user_id") + 1))).alias("node_id"), F.lit("memory_anchor").alias("node_kind")).distinct()
+    scopes = e.select(name(F.col("user_id")).alias("request_id"), scalars.dimension_identity(F.when(F.col("event_id") % 7 == 0, F.lit("user:0")).otherwise(name(F.col("user_id"))), F.col("event_type")).alias("scope_id"))
+    return selection.abouts(anchors, requests, scopes)
