@@ -1,4 +1,4 @@
-"""Scorecards and audits."""
+"""Scorecards and audits."""
 
 from __future__ import annotations
 
@@ -166,3 +166,42 @@ def ref_differences(expected: DataFrame, observed: DataFrame, keys: list[str]) -
     both = a.join(b, [*keys, "ref_id"], "full_outer")
     only = lambda c: F.array_sort(F.collect_list(F.when(F.col(c).isNull(), F.col("ref_id"))))
     return both.groupBy(*keys).agg(only("observed").alias("missing"), only("expected").alias("extra"))
+
+
+def cross_tabs(runs: DataFrame, by: list[list[str]], hits: list[str]) -> DataFrame:
+    """For each list of dimensions in `by`, the runs of each of its cells and how many have each flag of hits.
+
+    One pass: all groupings share an expand and an aggregate with a partial step. Dimensions that a grouping leaves out are
+    null, and `level` says which those are, so that a null value of a dimension is told apart.
+    """
+    dims = sorted({d for g in by for d in g})
+    out = runs.groupingSets([[F.col(d) for d in g] for g in by], *(F.col(d) for d in dims)).agg(F.count("*").alias("runs"), *(F.count_if(F.col(h)).alias(h) for h in hits), F.grouping_id().alias("bits"))
+    names = F.filter(F.array(*(F.when((F.col("bits").bitwiseAND(1 << (len(dims) - 1 - i))) == 0, F.lit(d)) for i, d in enumerate(dims))), lambda x: x.isNotNull())
+    return out.select(F.array_join(names, ",").alias("level"), *dims, "runs", *hits)
+
+
+def controlled(runs: DataFrame, factor: str, high: str, low: str, same: list[str], hits: list[str]) -> DataFrame:
+    """For each cell of the dimensions that are held the same, runs and hit rates with the factor high and low, and
+    their difference; cells with runs of one side alone say nothing and are left out."""
+    side = {"high": F.col(factor) == high, "low": F.col(factor) == low}
+    n = [F.count_if(c).alias(f"n_{s}") for s, c in side.items()]
+    k = [F.count_if(c & F.col(h)).alias(f"{h}_{s}") for h in hits for s, c in side.items()]
+    cells = runs.filter(F.col(factor).isin(high, low)).groupBy(*same).agg(*n, *k).filter("n_high > 0 and n_low > 0")
+    gains = [(F.col(f"{h}_high") / F.col("n_high") - F.col(f"{h}_low") / F.col("n_low")).alias(f"{h}_gain") for h in hits]
+    return cells.select(*same, "n_high", "n_low", *gains)
+
+
+def cost_of_success(runs: DataFrame, by: list[str], success: str, tokens: str) -> DataFrame:
+    """Tokens spent for each success, of all runs of a cell; null without a success."""
+    hit = F.count_if(F.col(success))
+    return runs.groupBy(*by).agg(F.count("*").alias("runs"), hit.alias("successes"), F.when(hit > 0, F.sum(tokens) / hit).alias("tokens_per_success"))
+
+
+def differences(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows that the two sides do not have equally often, with by how much more often the left one has them.
+
+    Multisets are compared by one aggregate of signed counts over both, which sees nulls as equal; empty for equal sides.
+    """
+    columns = left.columns
+    both = left.select(*columns, F.lit(1).alias("side")).unionByName(right.select(*columns, F.lit(-1).alias("side")))
+    return both.groupBy(*columns).agg(F.sum("side").alias("more")).filter("more <> 0")

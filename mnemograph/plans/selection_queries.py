@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mnemograph.functions import scalars
 from mnemograph.kernel import Memory
-from mnemograph.operators import evaluate, graph, selection, temporal
+from mnemograph.operators import evaluate, graph, leaves, projection, selection, splits, temporal
 from mnemograph.sources import views
 from mnemograph.sources.views import EDGES_SQL, NODES_SQL, POSITIONS_SQL
 
@@ -260,3 +260,107 @@ def selected_abouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     anchors = e.select(name(F.col("user_id")).alias("request_id"), F.explode(F.array(name(F.col("user_id")), name(F.col("user_id") + 1))).alias("node_id"), F.lit("memory_anchor").alias("node_kind")).distinct()
     scopes = e.select(name(F.col("user_id")).alias("request_id"), scalars.dimension_identity(F.when(F.col("event_id") % 7 == 0, F.lit("user:0")).otherwise(name(F.col("user_id"))), F.col("event_type")).alias("scope_id"))
     return selection.abouts(anchors, requests, scopes)
+
+
+_RUNS = "r AS (SELECT l_returnflag AS mix, l_linestatus AS noise, l_linenumber AS scale, l_quantity > 25 AS task, l_discount > 0.05 AS restart, l_quantity AS tokens FROM lineitem)"
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = views.table(spark, sf_dir, "lineitem")
+    return line.select(F.col("l_returnflag").alias("mix"), F.col("l_linestatus").alias("noise"), F.col("l_linenumber").alias("scale"), (F.col("l_quantity") > 25).alias("task"), (F.col("l_discount") > 0.05).alias("restart"), F.col("l_quantity").alias("tokens"))
+
+
+@query(
+    "cross_tabs",
+    f"""WITH {_RUNS}
+SELECT array_to_string(list_filter([CASE WHEN grouping(mix) = 0 THEN 'mix' END, CASE WHEN grouping(noise) = 0 THEN 'noise' END, CASE WHEN grouping(scale) = 0 THEN 'scale' END], lambda x: x IS NOT NULL), ',') AS level,
+  coalesce(mix, '*') AS mix, coalesce(noise, '*') AS noise, coalesce(scale, 0) AS scale, count(*) AS runs, count(*) FILTER (task) AS task, count(*) FILTER (restart) AS restart
+FROM r GROUP BY GROUPING SETS ((mix, noise, scale), (mix, noise), (mix), (noise), (scale), ())""",
+)
+def cross_tabs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = [["mix", "noise", "scale"], ["mix", "noise"], ["mix"], ["noise"], ["scale"], []]
+    return evaluate.cross_tabs(_runs(spark, sf_dir), by, ["task", "restart"]).fillna({"mix": "*", "noise": "*", "scale": 0})
+
+
+@query(
+    "controlled_gains",
+    f"""WITH {_RUNS}, c AS (SELECT noise, scale, count(*) FILTER (mix = 'R') AS n_high, count(*) FILTER (mix = 'A') AS n_low, count(*) FILTER (mix = 'R' AND task) AS a, count(*) FILTER (mix = 'A' AND task) AS b FROM r GROUP BY ALL)
+SELECT noise, scale, n_high, n_low, a / n_high - b / n_low AS task_gain FROM c WHERE n_high > 0 AND n_low > 0""",
+)
+def controlled_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.controlled(_runs(spark, sf_dir), "mix", "R", "A", ["noise", "scale"], ["task"])
+
+
+@query("cost_of_success", f"WITH {_RUNS} SELECT mix, noise, count(*) AS runs, count(*) FILTER (task) AS successes, sum(tokens) / count(*) FILTER (task) AS tokens_per_success FROM r GROUP BY ALL")
+def cost_of_success(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.cost_of_success(_runs(spark, sf_dir), ["mix", "noise"], "task", "tokens")
+
+
+@query(
+    "bundle_differences",
+    f"""
+WITH {EDGES_SQL}, e AS (SELECT * FROM edges WHERE source LIKE 'nation:%' OR source LIKE 'customer:%'),
+d AS (SELECT source, target, hash FROM (SELECT source, target, CAST(regexp_extract(target, '[0-9]+') AS BIGINT) AS hash FROM e))
+SELECT source, target, 'contains' AS relation_type, 'structural' AS semantic_class, 1 AS more FROM d WHERE hash % 50 IN (1, 2)
+UNION ALL SELECT source, target, 'contains', 'causal', -1 FROM d WHERE hash % 50 = 2
+UNION ALL SELECT target, source, 'contains', 'structural', -1 FROM d WHERE hash % 50 = 3
+""",
+)
+def bundle_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges as they are against what events of them fold to, after some events are lost, changed or new."""
+    e = views.edges(spark, sf_dir).filter(F.col("source").startswith("nation:") | F.col("source").startswith("customer:")).select("source", "target", "relation_type", "semantic_class")
+    number = (F.regexp_extract("target", "[0-9]+", 0).cast("long") % 50).alias("n")
+    sent = e.select("*", number).filter("n <> 1").withColumn("semantic_class", F.when(F.col("n") == 2, "causal").otherwise(F.col("semantic_class")))
+    back = e.select("*", number).filter("n = 3").select(F.col("target").alias("source"), F.col("source").alias("target"), "relation_type", "semantic_class")
+    every = sent.drop("n").unionByName(back)
+    data = F.to_json(F.struct(F.col("source").alias("source_node_id"), F.col("target").alias("target_node_id"), "relation_type", F.struct("semantic_class").alias("explanation")))
+    events = every.select(F.monotonically_increasing_id().alias("seq"), F.lit("graph.relation.materialized").alias("subject"), data.alias("data"))
+    folded = projection.fold(projection.mutations(events))["edges"].select(*e.columns)
+    return evaluate.differences(e, folded)
+
+
+@query(
+    "json_leaves",
+    """
+WITH o AS (SELECT o_orderkey AS id, o_custkey, trim(o_orderstatus) AS s, o_orderpriority AS p FROM orders),
+x AS (
+  SELECT id, unnest([{'path': 1, 'leaf': p}, {'path': 2, 'leaf': CAST(o_custkey AS VARCHAR)}, {'path': 3, 'leaf': s}, {'path': 4, 'leaf': CASE WHEN id % 2 = 0 THEN 'deep ' || id END}, {'path': 5, 'leaf': p}]) AS l FROM o),
+f AS (SELECT id, l.leaf AS leaf, min(l.path) AS path FROM x WHERE l.leaf IS NOT NULL AND l.leaf <> '' GROUP BY ALL)
+SELECT id, row_number() OVER (PARTITION BY id ORDER BY path) AS place, leaf FROM f
+""",
+)
+def json_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested values of orders: texts, numbers, what is no leaf, and repeats."""
+    o = views.table(spark, sf_dir, "orders")
+    deep = F.struct(F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit('"Answer: deep '), F.col("o_orderkey").cast("string"), F.lit('."'))).otherwise("N/A").alias("text"), F.lit(True).alias("true"), F.lit("-").alias("x"))
+    value = F.struct(F.array(F.col("o_orderpriority"), F.col("o_custkey").cast("string")).alias("a"), F.struct(F.col("o_custkey").alias("n"), F.struct(F.array(F.struct(F.concat(F.lit(" "), "o_orderstatus").alias("s")), F.struct(F.lit("").alias("s"))).alias("list")).alias("o")).alias("b"), F.array(F.array(deep)).alias("c"), F.col("o_orderpriority").alias("d"))
+    return leaves.meaningful(o.select(F.col("o_orderkey").alias("id"), F.to_json(value).alias("json")))
+
+
+@query(
+    "covering_groups",
+    """
+WITH RECURSIVE b AS (SELECT 'order:' || l_orderkey AS g, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS r, count(*) FILTER (l_returnflag = 'A') AS a, count(*) FILTER (l_linestatus = 'F' AND l_returnflag = 'N') AS x FROM lineitem GROUP BY 1),
+k AS (
+  SELECT *, list_reduce(list_transform(range(1, strlen(g) + 3), lambda i: ord(substr('"' || g || '"', i, 1))::UBIGINT), lambda s, c: ((xor(s, c)::UHUGEINT * 1099511628211) % 18446744073709551616)::UBIGINT, xor(14695981039346656037::UBIGINT, 7::UBIGINT)) AS h FROM b),
+t AS (SELECT sum(r) AS r, sum(a) AS a, sum(x) AS x FROM k),
+s AS (
+  SELECT 0 AS round, []::VARCHAR[] AS done, 0::HUGEINT AS r, 0::HUGEINT AS a, 0::HUGEINT AS x
+  UNION ALL
+  SELECT round + 1, list_append(done, p.g), r + p.r, a + p.a, x + p.x FROM (
+    SELECT any_value(s.round) AS round, any_value(s.done) AS done, any_value(s.r) AS r, any_value(s.a) AS a, any_value(s.x) AS x,
+      arg_min({'g': k.g, 'r': k.r, 'a': k.a, 'x': k.x}, (
+        -(least(k.r, greatest(12 - s.r, 0)) + least(k.a, greatest(12 - s.a, 0)) + least(k.x, greatest(12 - s.x, 0))),
+        -((k.r > 0 AND s.r < 12)::INT + (k.a > 0 AND s.a < 12)::INT + (k.x > 0 AND s.x < 12)::INT), k.n, k.h, k.g)) AS p
+    FROM s, k, t WHERE NOT list_contains(s.done, k.g) AND t.r - s.r - k.r >= 20 AND t.a - s.a - k.a >= 20 AND t.x - s.x - k.x >= 20
+      AND least(k.r, greatest(12 - s.r, 0)) + least(k.a, greatest(12 - s.a, 0)) + least(k.x, greatest(12 - s.x, 0)) > 0
+    HAVING count(*) > 0))
+SELECT done[round] AS "group", CAST(round AS INTEGER) AS round FROM s WHERE round > 0
+""",
+)
+def covering_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders held out until twelve lines of each of three kinds are among them."""
+    line = views.table(spark, sf_dir, "lineitem")
+    kind = F.when(F.col("l_returnflag").isin("R", "A"), F.col("l_returnflag")).when(F.col("l_linestatus") == "F", "NF")
+    rows = line.select(F.concat(F.lit("order:"), F.col("l_orderkey").cast("string")).alias("group"), kind.alias("capability"))
+    return splits.covering_groups(rows, ["R", "A", "NF"], 12, 20, 7)[0]
