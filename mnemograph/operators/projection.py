@@ -19,8 +19,10 @@ NODE_EVENT = T.StructType(
 )
 EDGE_EVENT = T.StructType([T.StructField(n, T.StringType()) for n in ("source_node_id", "target_node_id", "relation_type")] + [T.StructField("explanation", EXPLANATION)])
 DETAIL_EVENT = T.StructType([T.StructField(n, T.StringType()) for n in ("node_id", "detail", "content_hash")] + [T.StructField("revision", T.LongType())])
-#: The kinds of events by subject.
+#: The kinds of events by subject.
 SUBJECTS = {"graph.node.materialized": "node", "graph.relation.materialized": "edge", "node.detail.materialized": "detail"}
+#: Fixed value: the subject of the notice that a root's bundle has changed.
+OUTBOUND = "context.bundle.generated"
 
 
 def _read(events: DataFrame) -> DataFrame:
@@ -72,14 +74,40 @@ def mutations(events: DataFrame) -> DataFrame:
     return _read(events).select("seq", F.explode(asked).alias("m")).select("seq", "m.*")
 
 
+_KEY = ["op", "node_id", "source", "target", "relation_type"]
+
+
+def latest(changes: DataFrame) -> DataFrame:
+    """The last mutation of each key, by seq, in the shape of mutations: folds of parts can be put together and folded on."""
+    last = changes.groupBy(*_KEY).agg(F.max("seq").alias("seq"), F.max_by(F.struct("node", "explanation", "detail"), "seq").alias("x"))
+    return last.select("seq", *_KEY, "x.*")
+
+
+def outbound(model: DataFrame, changes: DataFrame, roles: tuple[str, ...] = ("agent",)) -> DataFrame:
+    """IO13: an envelope for each root that changes touch: its state after them in model, both in the shape of mutations.
+
+    A root is a node with its detail and the edges that leave it. The revision is the seq of its last change, the watermark
+    that of all changes. The content hash is of the number of a root's rows and the sums of two hashes of each, which do
+    not depend on their order and are added up before the shuffle, however many edges a root has.
+    """
+    root = F.coalesce("node_id", "source").alias("root")
+    touched = changes.select(root).distinct()
+    row = F.to_json(F.struct("op", "target", "relation_type", "node", "explanation", "detail"))
+    big = lambda seed: F.sum(F.xxhash64(F.lit(seed), row).cast("decimal(20,0)")).cast("string")
+    state = model.withColumn("root", root).join(touched, "root", "left_semi").groupBy("root").agg(F.max("seq").alias("revision"), F.sha2(F.concat_ws(":", F.count("*").cast("string"), big(1), big(2)), 256).alias("content_hash"))
+    mark = changes.agg(F.max("seq").cast("string").alias("mark"))
+    data = F.struct(F.col("root").alias("root_node_id"), F.array(*map(F.lit, roles)).alias("roles"), "revision", "content_hash", F.col("mark").alias("projection_watermark"))
+    event = F.concat_ws(":", F.lit(OUTBOUND), "root", F.col("revision").cast("string"))
+    return state.crossJoin(F.broadcast(mark)).select(event.alias("event_id"), F.col("root").alias("aggregate_id"), F.lit("node").alias("aggregate_type"), F.lit(OUTBOUND).alias("subject"), F.to_json(data).alias("data"))
+
+
 def fold(changes: DataFrame) -> dict[str, DataFrame]:
     """Nodes, edges and details after all mutations; the last of a key wins, by seq.
 
     One aggregate with a partial step folds all three, and is written to the checkpoint folder. An edge whose end has no
     node makes a placeholder there.
     """
-    keys = ["op", "node_id", "source", "target", "relation_type"]
-    folded = kept(changes.groupBy(*keys).agg(F.max_by(F.struct("node", "explanation", "detail"), "seq").alias("x")))
+    folded = kept(changes.groupBy(*_KEY).agg(F.max_by(F.struct("node", "explanation", "detail"), "seq").alias("x")))
     known = folded.filter("op = 'node'").select("node_id", "x.node.*")
     edges = folded.filter("op = 'edge'").select("source", "target", "relation_type", "x.explanation.*")
     details = folded.filter("op = 'detail'").select("node_id", "x.detail.*")

@@ -317,6 +317,25 @@ def projection_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.select("node_id", "node_kind", "title", "summary", "status", F.array_join("labels", ",").alias("labels"), F.col("properties")["last"].alias("last"))
 
 
+@query(
+    "outbound_notices",
+    """
+WITH e AS (SELECT user_id AS u, event_id AS n FROM events WHERE event_id % 3 <> 1),
+m AS (SELECT u, max(n) AS revision FROM e GROUP BY u)
+SELECT 'context.bundle.generated:user:' || m.u || ':' || m.revision AS event_id, 'user:' || m.u AS root, m.revision, (SELECT CAST(max(event_id) AS VARCHAR) FROM events WHERE event_id % 3 = 2) AS watermark
+FROM m WHERE m.u IN (SELECT user_id FROM events WHERE event_id % 3 = 2)
+""",
+)
+def outbound_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P9, IO13: the notices of a second batch, events of number 2 modulo 3, over the folded state that the first has left."""
+    events = _stream(spark, sf_dir)
+    first, second = (projection.latest(projection.mutations(events.filter(F.col("seq") % 3 == n))) for n in (0, 2))
+    second = graph._kept(second)
+    told = projection.outbound(projection.latest(first.unionByName(second)), second)
+    data = F.from_json("data", "root_node_id string, revision long, content_hash string, projection_watermark string")
+    return told.select("event_id", data.alias("d")).filter(F.length("d.content_hash") == 64).select("event_id", F.col("d.root_node_id").alias("root"), "d.revision", F.col("d.projection_watermark").alias("watermark"))
+
+
 @query("projection_edges", "SELECT 'user:' || user_id AS source, 'kind:' || event_type AS target, 'did' AS relation_type, 'causal' AS semantic_class, 'event ' || max(event_id) AS rationale, CAST(max(event_id) AS BIGINT) AS sequence FROM events GROUP BY user_id, event_type")
 def projection_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = projection.fold(projection.mutations(_stream(spark, sf_dir)))["edges"]

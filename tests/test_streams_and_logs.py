@@ -1,9 +1,11 @@
 """Streams that restart, and logs that go out and come back."""
 
 import json
+import random
 
 import pytest
 
+from mnemograph.operators import projection
 from mnemograph.sources import logs
 from mnemograph.streaming import projection as stream
 
@@ -24,6 +26,43 @@ def test_stream_restarts_and_drops_repeats(spark, tmp_path):
     assert sorted((r.node_id, r.title) for r in got.collect()) == [("a", "three"), ("b", "two")]
 
 
+def test_a_maintained_projection_equals_a_replay(spark, tmp_path):
+    """Restarts, late events and snapshots; and a batch that runs again after it has left its snapshot."""
+    source, target, checkpoint = tmp_path / "in", tmp_path / "out", tmp_path / "checkpoint"
+    source.mkdir()
+    rng, every = random.Random(9), []
+    edge = lambda i, a, b: json.dumps({"event_id": f"e{i}", "occurred_at": "2024-01-01T00:00:00Z", "subject": "graph.relation.materialized", "seq": i, "data": json.dumps({"source_node_id": a, "target_node_id": b, "relation_type": "t", "explanation": {"rationale": f"r{i}"}})})
+    order = list(range(72))
+    rng.shuffle(order)  # every batch has events that should have come in earlier ones
+    for n in range(6):
+        lines = [event(i, rng.choice("abc"), f"t{i}") if rng.random() < 0.6 else edge(i, rng.choice("abc"), rng.choice("cde")) for i in order[n * 12 : n * 12 + 12]]
+        every += lines
+        (source / f"{n}.json").write_text("\n".join(lines))
+        stream.maintain(stream.events(spark, str(source)), str(target), str(checkpoint), every=2).awaitTermination(120)
+        (tmp_path / "all.json").write_text("\n".join(every))
+        replay = projection.fold(projection.mutations(spark.read.schema(stream.ENVELOPE).json(str(tmp_path / "all.json"))))
+        kept = stream.maintained(spark, str(target))
+        for part in ("nodes", "edges"):
+            assert sorted(map(str, kept[part].collect())) == sorted(map(str, replay[part].collect()))
+        touched = {(d := json.loads(json.loads(x)["data"])).get("node_id") or d["source_node_id"] for x in lines}
+        told = spark.read.json(str(target / "outbound" / f"batch={n}"))
+        assert sorted(r.aggregate_id for r in told.collect()) == sorted(touched)
+    assert {p.name for p in (target / "snapshots").iterdir()} >= {"upto=1", "upto=3", "upto=5"}
+    for name in ("5", ".5.crc"):
+        (checkpoint / "commits" / name).unlink()  # the last batch seems not to have ended, and runs again
+    stream.maintain(stream.events(spark, str(source)), str(target), str(checkpoint), every=2).awaitTermination(120)
+    assert sorted(map(str, stream.maintained(spark, str(target))["nodes"].collect())) == sorted(map(str, replay["nodes"].collect()))
+
+
+def test_notices_follow_the_state(spark):
+    changes = lambda *rows: projection.mutations(spark.createDataFrame([(i, "graph.node.materialized", json.dumps({"node_id": n, "node_kind": "k", "title": t})) for i, n, t in rows], "seq long, subject string, data string"))
+    hashes = lambda model, new: {r.aggregate_id: json.loads(r.data)["content_hash"] for r in projection.outbound(projection.latest(model), new).collect()}
+    one, two = changes((1, "a", "x"), (2, "b", "y")), changes((3, "a", "x2"))
+    first, second = hashes(one, one), hashes(one.unionByName(two), two)
+    assert set(first) == {"a", "b"} and set(second) == {"a"} and first["a"] != second["a"]
+    assert hashes(changes((9, "b", "y"), (8, "a", "x")), one) == first
+
+
 def test_bundle_round_trip(spark, tmp_path):
     data = [(i, "r", "agent", i, f"h{i}", None, "{}", None) for i in (1, 2, 3)]
     log = spark.createDataFrame(data, logs.LOG)
