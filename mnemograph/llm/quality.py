@@ -111,6 +111,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, fit_pairs: int = 100_000) -> Ranker:
+    """A ranker of at most fit_rows labels outside the held-out rows, those with the smallest hashes of doc_id.
+
+    Where doc_ids repeat, at most 2 * fit_rows of the labels' documents fit, those with the smallest hashes of their texts.
+    """
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
         .filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
@@ -122,9 +126,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, fit_pairs: i
         common.forget()
         for batch in batches:
             x = [features(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(2)], names=["x", "quality"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64())), batch.column(2)], names=["h", "x", "quality"])
 
-    rows = common.texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").mapInArrow(figures, "x array<double>, quality int").limit(2 * fit_rows).toArrow()
+    known = common.texts(docs).join(F.broadcast(chosen), "doc_id").select(F.xxhash64("text").alias("h"), "text", "quality")
+    rows = known.mapInArrow(figures, "h long, x array<double>, quality int").orderBy("h", "quality").limit(2 * fit_rows).toArrow()
     x = np.array(rows["x"].to_pylist(), float).reshape(-1, len(FEATURES))
     y = rows["quality"].to_numpy(zero_copy_only=False)
     order = np.lexsort((y, *x.T))  # the fit does not depend on the order of arrival

@@ -160,15 +160,29 @@ def written_spans(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
 
-def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with each span, or group of spans that overlap, replaced by a mark."""
+def redacted(text: Column, spans: Column, mark: str = "[SECRET]", block: int = 1024) -> Column:
+    """The text with each span, or group of spans that overlap, replaced by a mark.
 
-    def step(at: Column, x: Column) -> tuple[Column, Column]:
-        piece = F.concat(F.substring(text, at + 1, x["start"] - at), F.lit(mark))
-        return F.greatest(at, x["end"]), F.when(x["start"] >= at, piece).otherwise(F.lit(""))
+    A place in a long string is found by counting, so the text is cut into blocks once, and what lies between two spans is
+    taken from theirs: a span costs a block, wherever it stands.
+    """
+
+    def cut(blocks: Column) -> Column:
+        def between(a: Column, b: Column) -> Column:
+            i, j = F.floor(a / block).cast("int"), F.floor(b / block).cast("int")
+            head = F.substring(F.get(blocks, i), (a % block + 1).cast("int"), F.least(F.lit(block) - a % block, b - a).cast("int"))
+            middle = F.array_join(F.slice(blocks, i + 2, F.greatest(j - i - 1, F.lit(0))), "")
+            tail = F.when(j > i, F.substring(F.get(blocks, j), F.lit(1), (b % block).cast("int")))
+            return F.concat(F.coalesce(head, F.lit("")), middle, F.coalesce(tail, F.lit("")))
+
+        def step(at: Column, x: Column) -> tuple[Column, Column]:
+            piece = F.concat(between(at, x["start"]), F.lit(mark))
+            return F.greatest(at, x["end"]), F.when(x["start"] >= at, piece).otherwise(F.lit(""))
+
+        last = F.array_max(F.transform(spans, lambda x: x["end"]))
+        return F.concat(F.array_join(_folded(spans, F.lit(0), step, "string"), ""), between(last, F.length(text)))
 
-    rest = F.substring(text, F.array_max(F.transform(spans, lambda x: x["end"])) + 1, F.length(text))
-    return F.when(F.size(spans) > 0, F.concat(F.array_join(_folded(spans, F.lit(0), step, "string"), ""), rest)).otherwise(text)
+    return F.when(F.size(spans) > 0, common.bound(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), F.lit(0)), cut)).otherwise(text)
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
