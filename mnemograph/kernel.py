@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from mnemograph.functions import scalars
 from mnemograph.operators import evaluate, graph, render, temporal
 
 #: Rows that a wake and an answer show.
@@ -31,19 +32,81 @@ class Memory:
         nodes = ids.join(self.nodes, "node_id").select("request_id", *self.nodes.columns)
         return nodes, graph.induced(self.edges, reached, requests), ids.join(self.details, "node_id").select("request_id", *self.details.columns)
 
-    def context(self, requests: DataFrame, budget: int, depth: int = 2) -> DataFrame:
-        """The rendered context of each request within a budget of tokens."""
-        nodes, edges, details = self._loaded(requests, depth)
-        placed = render.salient(edges)
+    def _moded(self, nodes: DataFrame, edges: DataFrame, requests: DataFrame, session: bool) -> DataFrame:
+        """requests with focus, max_tier and mode, which is found out where they name none."""
+        have = set(requests.columns)
+        null = {"focus": "string", "mode": "string", "max_tier": "int", "budget": "long"}
+        asked = requests.select("request_id", "root", *((F.col(c) if c in have else F.lit(None)).cast(t).alias(c) for c, t in null.items()))
+        n = nodes.groupBy("request_id").agg(F.count("*").alias("n"))
+        d = edges.groupBy("request_id").agg(F.avg(F.col("semantic_class").isin(*scalars.DENSITY_CLASSES).cast("int")).alias("d"))
+        known = asked.join(n, "request_id", "left").join(d, "request_id", "left").fillna({"n": 0, "d": 0.0})
+        return known.withColumn("mode", F.coalesce("mode", render.mode(F.col("budget"), F.col("n"), F.col("d"), F.col("focus").isNotNull(), F.lit(session)))).drop("n", "d")
+
+    def _flat(self, nodes: DataFrame, edges: DataFrame, details: DataFrame, asked: DataFrame) -> DataFrame:
+        """The root, its edges (those of the focus first, by salience), the other nodes and the details, with tiers and caps."""
         text = render.edge_text(F.col("source"), F.col("target"), F.col("relation_type"), F.col("semantic_class"), F.col("sequence"))
-        roots = requests.select("request_id", F.col("root").alias("node_id"))
+        roots = asked.select("request_id", F.col("root").alias("node_id"))
         node = render.node_text(F.col("title"), F.col("node_kind"), F.col("summary"))
-        first = nodes.join(roots, ["request_id", "node_id"], "left_semi").select("request_id", F.struct(F.lit(0).alias("phase"), F.lit(0).cast("long").alias("n"), F.col("node_id").alias("id")).alias("ord"), node.alias("content"))
-        middle = placed.select("request_id", F.struct(F.lit(1).alias("phase"), F.col("place").alias("n"), F.col("source").alias("id")).alias("ord"), text.alias("content"))
-        others = nodes.join(roots, ["request_id", "node_id"], "left_anti").select("request_id", F.struct(F.lit(2).alias("phase"), F.lit(0).cast("long").alias("n"), F.col("node_id").alias("id")).alias("ord"), node.alias("content"))
-        last = details.select("request_id", F.struct(F.lit(3).alias("phase"), F.lit(0).cast("long").alias("n"), F.col("node_id").alias("id")).alias("ord"), F.concat(F.lit("Detail "), F.col("node_id"), F.lit(": "), F.col("detail")).alias("content"))
-        sections = first.union(middle).union(others).union(last).withColumn("tokens", render.tokens(F.col("content"))).withColumn("budget", F.lit(budget))
-        return render.rendered(render.packed(sections))
+        place = lambda phase, n, key: F.struct(F.lit(phase).alias("phase"), n.cast("long").alias("n"), key.alias("id")).alias("ord")
+        none, explains = F.lit(0), F.col("semantic_class").isin(*scalars.TIER_CLASSES)
+        first = nodes.join(roots, ["request_id", "node_id"], "left_semi").select("request_id", place(0, none, F.col("node_id")), F.lit(0).alias("tier"), node.alias("content"))
+        middle = render.salient(edges, asked.filter("focus is not null")).select("request_id", place(1, F.col("place"), F.col("source")), F.when(explains, 1).otherwise(2).alias("tier"), text.alias("content"))
+        others = nodes.join(roots, ["request_id", "node_id"], "left_anti").select("request_id", place(2, none, F.col("node_id")), F.lit(2).alias("tier"), node.alias("content"))
+        last = details.join(asked.select("request_id", "focus"), "request_id").select("request_id", place(3, F.when(F.col("node_id").eqNullSafe(F.col("focus")), 0).otherwise(1), F.col("node_id")), F.lit(2).alias("tier"), F.concat(F.lit("Detail "), F.col("node_id"), F.lit(": "), F.col("detail")).alias("content"))
+        sections = first.unionByName(middle).unionByName(others).unionByName(last).withColumn("tokens", render.tokens(F.col("content")))
+        caps = F.array(*(c.cast("long") for c in render.budgets(F.col("budget"), F.col("mode") == "resume_focused"))).alias("caps")
+        return sections.join(asked.select("request_id", "budget", caps), "request_id")
+
+    def _rendered(self, loaded: tuple[DataFrame, DataFrame, DataFrame], requests: DataFrame, session: bool = False) -> DataFrame:
+        nodes, edges, details = loaded
+        asked = self._moded(nodes, edges, requests, session)
+        sections = self._flat(nodes, edges, details, asked)
+        kept = render.packed(sections)
+        out = render.rendered(kept).join(asked.select("request_id", "mode"), "request_id")
+        return out.join(render.truncation(sections, kept), "request_id", "left")
+
+    def context(self, requests: DataFrame, budget: int | None = None, depth: int = 2) -> DataFrame:
+        """The rendered context of each request with its mode and what its budget has cut.
+
+        requests: request_id, root, and where they ask for them focus, mode and budget; a budget given here is that of all.
+        """
+        asked = requests if budget is None else requests.withColumn("budget", F.lit(budget).cast("long"))
+        return self._rendered(self._loaded(requests, depth), asked)
+
+    def tiers(self, requests: DataFrame, depth: int = 2) -> DataFrame:
+        """request_id, tier, content, tokens of the tiers of each request, each within its own budget."""
+        nodes, edges, details = self._loaded(requests, depth)
+        asked = self._moded(nodes, edges, requests, False)
+        caps = F.array(*render.budgets(F.coalesce("budget", F.lit(2**31 - 1)), F.col("mode") == "resume_focused"))
+        sections = render.tier_sections(nodes, edges, details, asked).withColumn("tokens", render.tokens(F.col("content"))).join(asked.select("request_id", caps.alias("caps")), "request_id")
+        fit = render.tiered(sections.withColumn("budget", F.get("caps", F.col("tier"))))
+        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "content"))), lambda x: x["content"]), "\n\n")
+        return fit.groupBy("request_id", "tier").agg(text.alias("content")).withColumn("tokens", render.tokens(F.col("content")))
+
+    def context_path(self, requests: DataFrame, depth: int = 0) -> DataFrame:
+        """As context, over each request's path from root to target and what lies within depth of the target.
+
+        requests: request_id, root, target, and as for context; a request whose target is not reached gives no row. The
+        target is the focus where none is named.
+        """
+        on = graph.context_paths(self.edges, requests, depth)
+        reached = requests.join(on.select("request_id").distinct(), "request_id", "left_semi")
+        nodes = on.select("request_id", F.col("node").alias("node_id")).distinct().join(self.nodes, "node_id").select("request_id", *self.nodes.columns)
+        end = lambda c: on.select("request_id", F.col("node").alias(c)).distinct()
+        edges = end("source").join(self.edges, "source").join(end("target"), ["request_id", "target"], "left_semi").select("request_id", *self.edges.columns)
+        details = on.select("request_id", F.col("node").alias("node_id")).distinct().join(self.details, "node_id").select("request_id", *self.details.columns)
+        focus = F.coalesce("focus", "target") if "focus" in requests.columns else F.col("target")
+        return self._rendered((nodes, edges, details), reached.withColumn("focus", focus).drop("target"))
+
+    def detail(self, requests: DataFrame) -> DataFrame:
+        """request_id, fault, and the node with its detail, which may be null; requests: request_id, node_id.
+
+        A blank node_id and one that is no node are faults.
+        """
+        asked = requests.select("request_id", F.nullif(F.trim("node_id"), F.lit("")).alias("node_id"))
+        found = asked.join(self.nodes.withColumn("known", F.lit(True)), "node_id", "left").join(self.details, "node_id", "left")
+        fault = F.when(F.col("node_id").isNull(), "node_id cannot be empty").when(F.col("known").isNull(), F.concat(F.lit("Node not found: "), F.col("node_id")))
+        return found.select("request_id", "node_id", fault.alias("fault"), *(c for c in self.nodes.columns if c != "node_id"), *(c for c in self.details.columns if c != "node_id"))
 
     def wake(self, requests: DataFrame, depth: int = 2) -> DataFrame:
         """V2: the first edges of each request in edge order, with their place."""
@@ -80,12 +143,22 @@ class Memory:
         node = requests.join(self.nodes.withColumnRenamed("node_id", "root"), "root").join(self.details.withColumnRenamed("node_id", "root"), "root", "left")
         return node.join(edges, "request_id", "left").fillna({"incoming": 0, "outgoing": 0})
 
-    def session(self, requests: DataFrame, roles: DataFrame, budget: int, depth: int = 2) -> DataFrame:
-        """One load for all roles (role) of the caller; every one of them gets a row for each request."""
+    def session(self, requests: DataFrame, roles: DataFrame, budget: int | None = None, depth: int = 2) -> DataFrame:
+        """A rendered context for each role of each request, from one load of its neighbourhood.
+
+        roles: request_id and role, and where a role has its own focus, mode or budget; without request_id every request
+        has all of them. Each role is rendered under its own, with the session's measure of a generous budget.
+        """
         if roles.isEmpty():
             raise ValueError("a session needs a role")
-        names = roles.agg(F.array_sort(F.collect_set("role")).alias("roles"))
-        return self.context(requests, budget, depth).withColumn("role", F.explode(names.scalar()))
+        own = requests.join(roles, "request_id") if "request_id" in roles.columns else requests.crossJoin(F.broadcast(roles))
+        named = own.withColumns({"of": F.col("request_id"), "request_id": F.to_json(F.struct("request_id", "role"))})
+        if budget is not None:
+            named = named.withColumn("budget", F.coalesce("budget", F.lit(budget)).cast("long") if "budget" in named.columns else F.lit(budget).cast("long"))
+        key = named.select("of", F.col("request_id").alias("each"))
+        by_role = [part.withColumnRenamed("request_id", "of").join(key, "of").drop("of").withColumnRenamed("each", "request_id") for part in self._loaded(requests, depth)]
+        out = self._rendered(tuple(by_role), named.drop("of", "role"), session=True)
+        return out.join(named.select("request_id", "of", "role"), "request_id").drop("request_id").withColumnRenamed("of", "request_id")
 
     @staticmethod
     def validate_scope(asked: DataFrame, found: DataFrame) -> DataFrame:

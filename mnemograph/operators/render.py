@@ -1,7 +1,10 @@
-"""Bundles rendered to text under budgets, and their quality."""
+"""Bundles rendered to text under budgets, and their quality."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -60,18 +63,27 @@ def relation_quality(edges: DataFrame) -> DataFrame:
     return got.select("*", (F.col("rich") / F.col("relations")).alias("rich_ratio"), (F.col("anemic") / F.col("relations")).alias("anemic_ratio"))
 
 
-def budgets(total: Column) -> list[Column]:
-    """Tokens of the three tiers."""
+def budgets(total: Column, resume: Column | None = None) -> list[Column]:
+    """Tokens of the three tiers; for a resumption the second takes all that the first leaves."""
+    resume = F.lit(False) if resume is None else resume
     first = F.least(total, F.lit(TIER_CAPS[0]))
-    second = F.least(total - first, F.lit(TIER_CAPS[1]))
+    second = F.when(resume, total - first).otherwise(F.least(total - first, F.lit(TIER_CAPS[1])))
     return [first, second, F.greatest(total - first - second, F.lit(0))]
 
 
-def mode(budget: Column, nodes: Column, density: Column, focus: Column) -> Column:
-    """resume_focused where few tokens fall to a node, or not so few but much of the graph explains."""
+#: Tokens a node from which a budget is generous: of a session, of a path with a focus, and of any other.
+GENEROUS = {"session": 15, "focused": 60, "plain": 30}
+#: Shares of explanatory edges that keep reasons under a tight budget, and below which a generous one is cut too.
+DENSE, SPARSE = 0.5, 0.2
+
+
+def mode(budget: Column, nodes: Column, density: Column, focus: Column, session: Column | None = None) -> Column:
+    """resume_focused where few tokens fall to a node and few edges explain, or where hardly any edge does; without a
+    budget or nodes reason_preserving."""
     each = F.floor(budget / F.greatest(nodes, F.lit(1)))
-    least = F.when(focus, 60).otherwise(30)
-    return F.when(each < least, F.when(density >= 0.2, "resume_focused").otherwise("reason_preserving")).when((each < 2 * least) & (density >= 0.5), "resume_focused").otherwise("reason_preserving")
+    least = F.when(F.lit(False) if session is None else session, GENEROUS["session"]).when(focus, GENEROUS["focused"]).otherwise(GENEROUS["plain"])
+    resume = F.when(each >= least, density < SPARSE).otherwise(density < DENSE)
+    return F.when(budget.isNotNull() & (nodes > 0) & resume, "resume_focused").otherwise("reason_preserving")
 
 
 def tiered(sections: DataFrame) -> DataFrame:
@@ -86,21 +98,80 @@ def tiered(sections: DataFrame) -> DataFrame:
 
 
 def packed(sections: DataFrame) -> DataFrame:
-    """Sections that fit, in order, skipping those that do not; the first always stays.
+    """Sections that fit, in order, skipping those that do not; the first always stays, and a null budget keeps all.
 
-    A skipped section takes no tokens, so this is a fold over a request's ordered sections and no window.
+    sections: request_id, ord, tokens, budget, and where tiers have caps of their own tier (0 to 2) and caps (an array of
+    three). A section must fit its tier's cap and the budget, and a skipped one takes no tokens: what is kept depends on
+    what was kept before, so it is one pass over a request's sorted sections, which holds four sums.
     """
-    rest = F.array_sort(F.collect_list(F.struct("ord", F.col("tokens").cast("long").alias("tokens"))))
-    runs = sections.groupBy("request_id").agg(rest.alias("ss"), F.max("budget").cast("long").alias("budget"))
-
-    def step(acc, s):
-        ok = (F.size(acc["kept"]) == 0) | (acc["used"] + s["tokens"] <= F.col("budget"))
-        return F.struct((acc["used"] + F.when(ok, s["tokens"]).otherwise(F.lit(0).cast("long"))).alias("used"), F.when(ok, F.concat(acc["kept"], F.array(s["ord"]))).otherwise(acc["kept"]).alias("kept"))
-
-    ord_type = dict(sections.dtypes)["ord"]
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.expr(f"cast(array() as array<{ord_type}>)").alias("kept"))
-    kept = runs.select("request_id", F.explode(F.aggregate("ss", start, step, lambda a: a["kept"])).alias("ord"))
-    return sections.join(kept, ["request_id", "ord"], "left_semi")
+    names = sections.columns
+    tiers = "caps" in names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        request, used, total, kept = object(), [0, 0, 0], 0, 0
+        for batch in batches:
+            mask = []
+            have = [batch.column(names.index(c)).to_pylist() for c in ("request_id", "tokens", "budget", *(("tier", "caps") if tiers else ()))]
+            for row in zip(*have):
+                if row[0] != request:
+                    request, used, total, kept = row[0], [0, 0, 0], 0, 0
+                tokens, budget = row[1], row[2]
+                ok = not kept or budget is None or total + tokens <= budget and (not tiers or used[row[3]] + tokens <= row[4][row[3]])
+                if ok:
+                    total, kept = total + tokens, kept + 1
+                    if tiers:
+                        used[row[3]] += tokens
+                mask.append(ok)
+            yield batch.filter(pa.array(mask, pa.bool_()))
+
+    return sections.repartition("request_id").sortWithinPartitions("request_id", "ord").mapInArrow(run, sections.schema)
+
+
+def truncation(sections: DataFrame, kept: DataFrame, estimator: str = "words") -> DataFrame:
+    """What a request's budget has cut: budget_requested, budget_used, total_before_truncation, sections_kept,
+    sections_dropped and token_estimator, of its sections and the kept ones; requests without a budget have none."""
+    before = sections.filter("budget is not null").groupBy("request_id").agg(F.max("budget").alias("budget_requested"), F.sum("tokens").alias("total_before_truncation"), F.count("*").alias("n"))
+    after = kept.groupBy("request_id").agg(F.sum("tokens").alias("budget_used"), F.count("*").alias("sections_kept"))
+    return before.join(after, "request_id").select("request_id", "budget_requested", "budget_used", "total_before_truncation", "sections_kept", (F.col("n") - F.col("sections_kept")).alias("sections_dropped"), F.lit(estimator).alias("token_estimator"))
+
+
+def tier_sections(nodes: DataFrame, edges: DataFrame, details: DataFrame, requests: DataFrame) -> DataFrame:
+    """request_id, ord, tier and content of each request's sections, by tier.
+
+    requests: request_id, root, focus, mode and max_tier (null focus: none; null max_tier: all three). Tier 0 is the
+    summary. Tier 1 has the root, a focus that is another node of the bundle, and the explanatory edges by salience; for a
+    resumption, before those, the other nodes on them, and there is no tier 2. Otherwise tier 2 has the rest of the edges
+    by salience, of the nodes by id, and the details, that of the focus first.
+    """
+    asked = requests.select("request_id", "root", "focus", (F.col("mode") == "resume_focused").alias("resume"), F.coalesce("max_tier", F.lit(2)).alias("max_tier"))
+    rule = asked.select("request_id", "root", "focus", "resume")
+    place = lambda step, n, key: F.struct(F.lit(step).alias("step"), n.cast("long").alias("n"), key.alias("key"))
+    cut = lambda df, step, tier, n, key, content: df.select("request_id", place(step, n, key).alias("ord"), F.lit(tier).alias("tier"), content.alias("content"))
+    none = F.lit(0)
+    node = nodes.join(rule, "request_id").withColumn("text", node_text(F.col("title"), F.col("node_kind"), F.col("summary")))
+    explains = F.col("semantic_class").isin(*scalars.TIER_CLASSES)
+    edge = salient(edges).join(rule, "request_id").withColumn("text", edge_text(F.col("source"), F.col("target"), F.col("relation_type"), F.col("semantic_class"), F.col("sequence")))
+    is_root = F.col("node_id") == F.col("root")
+    is_focus = F.coalesce((F.col("node_id") == F.col("focus")) & ~is_root, F.lit(False))
+    others = node.filter(~is_root & ~is_focus)
+    spine = edges.filter(explains).select("request_id", F.explode(F.array("source", "target")).alias("node_id")).distinct()
+    detail = details.join(rule, "request_id").filter(~F.col("resume"))
+    first = F.when(F.coalesce(F.col("node_id") == F.col("focus"), F.lit(False)), 0).otherwise(1)
+    top = summary(nodes.select("node_id", "title", "status").distinct(), edges, requests.select("request_id", "root"))
+    parts = [
+        cut(top, 0, 0, none, F.lit(""), F.col("summary")),
+        cut(node.filter(is_root), 1, 1, none, F.col("node_id"), F.col("text")),
+        cut(node.filter(is_focus), 2, 1, none, F.col("node_id"), F.col("text")),
+        cut(others.filter("resume").join(spine, ["request_id", "node_id"], "left_semi"), 3, 1, none, F.col("node_id"), F.col("text")),
+        cut(edge.filter(explains), 4, 1, F.col("place"), F.lit(""), F.col("text")),
+        cut(edge.filter(~explains & ~F.col("resume")), 5, 2, F.col("place"), F.lit(""), F.col("text")),
+        cut(others.filter(~F.col("resume")), 6, 2, none, F.col("node_id"), F.col("text")),
+        cut(detail, 7, 2, first, F.col("node_id"), F.concat(F.lit("Detail "), F.col("node_id"), F.lit(": "), F.col("detail"))),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.join(asked.select("request_id", "max_tier"), "request_id").filter("tier <= max_tier").drop("max_tier")
 
 
 def rendered(sections: DataFrame) -> DataFrame:

@@ -548,10 +548,87 @@ def tier_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.table(spark, sf_dir, "orders").select("o_orderkey", *(x.cast("long").alias(f"l{i}") for i, x in enumerate(render.budgets(b))))
 
 
-@query("mode_select", f"WITH {_ORDER_EDGES}, s AS (SELECT request_id, count(*) AS n, avg(CASE WHEN semantic_class IN ('causal', 'motivational', 'evidential') THEN 1 ELSE 0 END) AS d FROM oe GROUP BY 1) SELECT request_id, CASE WHEN 200 // n < 30 THEN CASE WHEN d >= 0.2 THEN 'resume_focused' ELSE 'reason_preserving' END WHEN 200 // n < 60 AND d >= 0.5 THEN 'resume_focused' ELSE 'reason_preserving' END AS mode FROM s")
+@query(
+    "mode_select",
+    f"""WITH {_ORDER_EDGES}, s AS (SELECT request_id, count(*) AS n, avg(CASE WHEN semantic_class IN ('causal', 'motivational', 'evidential') THEN 1 ELSE 0 END) AS d, CAST(substr(request_id, 7) AS BIGINT) AS k FROM oe GROUP BY 1),
+b AS (SELECT *, CASE WHEN k % 7 > 0 THEN k % 7 * 40 END // n AS each, CASE WHEN k % 5 = 0 THEN 15 WHEN k % 3 = 0 THEN 60 ELSE 30 END AS least FROM s)
+SELECT request_id, CASE WHEN each IS NULL THEN 'reason_preserving' WHEN each >= least THEN CASE WHEN d < 0.2 THEN 'resume_focused' ELSE 'reason_preserving' END WHEN d >= 0.5 THEN 'reason_preserving' ELSE 'resume_focused' END AS mode FROM b""",
+)
 def mode_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _order_edges(spark, sf_dir).groupBy("request_id").agg(F.count("*").alias("n"), F.avg(F.col("semantic_class").isin(*scalars.DENSITY_CLASSES).cast("int")).alias("d"))
-    return s.select("request_id", render.mode(F.lit(200), F.col("n"), F.col("d"), F.lit(False)).alias("mode"))
+    """Orders as bundles, some with a focus, some of a session, with budgets from none to 240."""
+    s = _order_edges(spark, sf_dir).groupBy("request_id").agg(F.count("*").alias("n"), F.avg(F.col("semantic_class").isin(*scalars.DENSITY_CLASSES).cast("int")).alias("d")).withColumn("k", F.substring("request_id", 7, 20).cast("long"))
+    budget = F.when(F.col("k") % 7 > 0, F.col("k") % 7 * 40)
+    return s.select("request_id", render.mode(budget, F.col("n"), F.col("d"), F.col("k") % 3 == 0, F.col("k") % 5 == 0).alias("mode"))
+
+
+def _bundles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
+    """Orders as bundles, nodes, edges and details, with requests of every mode, focus and depth of tiers."""
+    e = _order_edges(spark, sf_dir)
+    k = F.substring("request_id", 7, 20).cast("long")
+    ids = e.select("request_id", F.explode(F.array("source", "target")).alias("node_id")).distinct()
+    nodes = ids.join(views.nodes(spark, sf_dir), "node_id").select("request_id", "node_id", "node_kind", "title", "summary", "status")
+    details = ids.filter(F.col("node_id").startswith("part:")).select("request_id", "node_id", F.concat(F.lit("about "), "node_id").alias("detail")).filter(F.substring("node_id", 6, 20).cast("long") % 4 == 0)
+    asked = e.groupBy("request_id").agg(F.min("target").alias("least")).select(
+        "request_id",
+        F.col("request_id").alias("root"),
+        F.when(k % 3 == 0, F.col("least")).when(k % 3 == 1, F.when(k % 2 == 0, "part:none").otherwise(F.col("request_id"))).alias("focus"),
+        F.when(k % 2 == 0, "resume_focused").otherwise("reason_preserving").alias("mode"),
+        F.when(k % 5 < 2, k % 5).cast("int").alias("max_tier"),
+        F.when(k % 11 > 0, 10 + k % 11 * 9).cast("long").alias("budget"),
+    )
+    return nodes, e, details, asked
+
+
+_TIER_SECTIONS = f"""{NODES_SQL}, {_ORDER_EDGES},
+ids AS (SELECT request_id, source AS node_id FROM oe UNION SELECT request_id, target FROM oe),
+asked AS (SELECT request_id, k, CASE k % 3 WHEN 0 THEN least WHEN 1 THEN CASE WHEN k % 2 = 0 THEN 'part:none' ELSE request_id END END AS focus, k % 2 = 0 AS resume, CASE WHEN k % 5 < 2 THEN k % 5 ELSE 2 END AS max_tier,
+  CASE WHEN k % 11 > 0 THEN 10 + k % 11 * 9 END AS budget
+  FROM (SELECT request_id, min(target) AS least, CAST(substr(request_id, 7) AS BIGINT) AS k FROM oe GROUP BY ALL)),
+n AS (SELECT i.request_id, i.node_id, coalesce(i.node_id = a.focus AND i.node_id <> i.request_id, false) AS f, a.resume, 'Node ' || title || ' (' || node_kind || ')' || CASE WHEN trim(summary) <> '' THEN ': ' || summary ELSE '' END AS text, title, status
+  FROM ids i JOIN nodes USING (node_id) JOIN asked a USING (request_id)),
+o AS (SELECT oe.*, a.resume, semantic_class IN ('causal', 'motivational', 'evidential', 'constraint') AS why, row_number() OVER (PARTITION BY request_id ORDER BY {_SALIENCE_CASE}, sequence NULLS LAST, source, target, relation_type) AS place,
+  'Relationship ' || source || ' --' || relation_type || '--> ' || target || ' [' || semantic_class || ']' || coalesce(' step=' || sequence, '') AS text FROM oe JOIN asked a USING (request_id)),
+nxt AS (SELECT request_id, arg_min(source || ' > ' || target, (coalesce(sequence, 4611686018427387904), source, target)) AS r FROM oe WHERE semantic_class = 'causal' GROUP BY 1),
+cut AS (
+  SELECT n.request_id, 0 AS step, 0 AS m, '' AS key, 0 AS tier, 'Objective: ' || title || '. Status: ' || status || coalesce('. Next: ' || r, '') AS content FROM n LEFT JOIN nxt USING (request_id) WHERE node_id = n.request_id
+  UNION ALL SELECT request_id, 1, 0, node_id, 1, text FROM n WHERE node_id = request_id
+  UNION ALL SELECT request_id, 2, 0, node_id, 1, text FROM n WHERE f
+  UNION ALL SELECT request_id, 3, 0, node_id, 1, text FROM n WHERE resume AND NOT f AND node_id <> request_id AND (request_id, node_id) IN (SELECT (request_id, target) FROM o WHERE why)
+  UNION ALL SELECT request_id, 4, place, '', 1, text FROM o WHERE why
+  UNION ALL SELECT request_id, 5, place, '', 2, text FROM o WHERE NOT why AND NOT resume
+  UNION ALL SELECT request_id, 6, 0, node_id, 2, text FROM n WHERE NOT resume AND NOT f AND node_id <> request_id
+  UNION ALL SELECT request_id, 7, CASE WHEN f THEN 0 ELSE 1 END, node_id, 2, 'Detail ' || node_id || ': about ' || node_id FROM n WHERE NOT resume AND node_id LIKE 'part:%' AND CAST(substr(node_id, 6) AS BIGINT) % 4 = 0),
+ts AS (SELECT c.request_id, row_number() OVER (PARTITION BY c.request_id ORDER BY step, m, key) AS place, c.tier, c.content, a.budget, a.resume FROM cut c JOIN asked a USING (request_id) WHERE c.tier <= a.max_tier)"""
+
+
+def _tier_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, e, details, asked = _bundles(spark, sf_dir)
+    return render.tier_sections(nodes, e, details, asked).join(asked.select("request_id", "budget", "mode"), "request_id")
+
+
+@query("tier_sections", f"WITH {_TIER_SECTIONS} SELECT request_id, place, CAST(tier AS INTEGER) AS tier, content FROM ts")
+def tier_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections by tier, for every mode, focus and deepest tier."""
+    place = F.row_number().over(Window.partitionBy("request_id").orderBy("ord")).cast("long")
+    return _tier_sections(spark, sf_dir).select("request_id", place.alias("place"), "tier", "content")
+
+
+@query(
+    "truncation_metadata",
+    f"""WITH RECURSIVE {_TIER_SECTIONS},
+t AS (SELECT *, len(string_split_regex(trim(content), '\\s+')) AS tokens, least(budget, 100) AS c0, CASE WHEN resume THEN budget - least(budget, 100) ELSE least(budget - least(budget, 100), 500) END AS c1 FROM ts WHERE budget IS NOT NULL),
+p AS (
+  SELECT request_id, place, tokens, tier, budget, c0, c1, true AS ok, CASE WHEN tier = 0 THEN tokens ELSE 0 END AS u0, CASE WHEN tier = 1 THEN tokens ELSE 0 END AS u1, CASE WHEN tier = 2 THEN tokens ELSE 0 END AS u2 FROM t WHERE place = 1
+  UNION ALL
+  SELECT request_id, place, tokens, tier, budget, c0, c1, ok, u0 + CASE WHEN ok AND tier = 0 THEN tokens ELSE 0 END, u1 + CASE WHEN ok AND tier = 1 THEN tokens ELSE 0 END, u2 + CASE WHEN ok AND tier = 2 THEN tokens ELSE 0 END
+  FROM (SELECT t.*, p.u0, p.u1, p.u2, p.u0 + p.u1 + p.u2 + t.tokens <= t.budget AND CASE t.tier WHEN 0 THEN p.u0 + t.tokens <= t.c0 WHEN 1 THEN p.u1 + t.tokens <= t.c1 ELSE p.u2 + t.tokens <= t.budget - t.c0 - t.c1 END AS ok FROM p JOIN t ON t.request_id = p.request_id AND t.place = p.place + 1))
+SELECT request_id, any_value(budget) AS budget_requested, CAST(sum(tokens) FILTER (ok) AS BIGINT) AS budget_used, CAST(sum(tokens) AS BIGINT) AS total_before_truncation, count(*) FILTER (ok) AS sections_kept, count(*) FILTER (NOT ok) AS sections_dropped, 'words' AS token_estimator FROM p GROUP BY request_id""",
+)
+def truncation_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same sections packed under the caps of their tiers and the whole budget."""
+    caps = F.array(*(c.cast("long") for c in render.budgets(F.col("budget"), F.col("mode") == "resume_focused")))
+    s = _tier_sections(spark, sf_dir).withColumns({"tokens": render.tokens(F.col("content")), "caps": caps}).filter("budget is not null")
+    return render.truncation(s, render.packed(s))
 
 
 @query("node_lookup", f"WITH {NODES_SQL} SELECT node_id, 'Node ' || title || ' (' || node_kind || ')' || CASE WHEN trim(summary) <> '' THEN ': ' || summary ELSE '' END AS text FROM nodes WHERE node_id IN (SELECT 'order:' || l_orderkey FROM lineitem WHERE l_returnflag = 'R')")

@@ -119,3 +119,27 @@ def test_paths_from_several_roots(spark):
     asked = [("1", "a", "e"), ("2", "x", "e"), ("3", "x", "b"), ("4", "a", "a"), ("5", "e", "none"), ("6", "a", "e")]
     got = graph.shortest_paths(edges, spark.createDataFrame(asked, "request_id string, root string, target string"))
     assert sorted((r.request_id, ">".join(r.path)) for r in got.collect()) == [("1", "a>b>d>e"), ("2", "x>e"), ("3", "x>e>a>b"), ("6", "a>b>d>e")]
+
+
+def test_verbs_under_budgets(spark):
+    """Contexts with budgets, focus and roles of their own, paths, tiers and single nodes."""
+    nodes = [(n, "claim", f"title {n}", "one two three", "ACTIVE") for n in "abcd"]
+    edges = [("a", "b", "leads_to", "causal", 1), ("b", "c", "has", "structural", 2), ("a", "d", "has", "structural", None)]
+    m = Memory(spark.createDataFrame(nodes, "node_id string, node_kind string, title string, summary string, status string"), spark.createDataFrame(edges, "source string, target string, relation_type string, semantic_class string, sequence long"), spark.createDataFrame([("b", "because of it")], "node_id string, detail string"))
+    asked = spark.createDataFrame([("r", "a", 12), ("s", "a", None)], "request_id string, root string, budget long")
+    got = {r.request_id: r for r in m.context(asked).collect()}
+    assert got["s"].sections == 8 and got["s"].budget_requested is None and got["s"].mode == "reason_preserving"
+    assert got["r"].budget_requested == 12 and got["r"].sections_kept + got["r"].sections_dropped == 8 and got["r"].budget_used <= 12
+    assert got["r"].mode == "resume_focused"  # three tokens a node, and few edges explain
+    path = m.context_path(spark.createDataFrame([("p", "a", "c"), ("q", "c", "a")], "request_id string, root string, target string")).collect()
+    found = {r.request_id: r for r in path}
+    assert "title d" not in found["p"].content and found["p"].content.startswith("Node title a")
+    found = {r.request_id: (r.fault, r.detail) for r in m.detail(spark.createDataFrame([("1", " b "), ("2", "c"), ("3", "z"), ("4", " ")], "request_id string, node_id string")).collect()}
+    assert found == {"1": (None, "because of it"), "2": (None, None), "3": ("Node not found: z", None), "4": ("node_id cannot be empty", None)}
+    tiers = {(r.request_id, r.tier): r.content for r in m.tiers(asked).collect()}
+    assert tiers["s", 0].startswith("Objective: title a") and "title b" in tiers["s", 2] and ("r", 2) not in tiers
+    roles = spark.createDataFrame([("r", "agent", None, 1000), ("r", "judge", "c", 20), ("s", "agent", None, None)], "request_id string, role string, focus string, budget long")
+    told = {(r.request_id, r.role): r for r in m.session(asked.drop("budget"), roles).collect()}
+    assert set(told) == {("r", "agent"), ("r", "judge"), ("s", "agent")}
+    assert told["r", "agent"].sections == 8 and told["r", "judge"].sections < 8 and told["r", "judge"].content != told["r", "agent"].content
+    assert told["r", "judge"].content.split("\n\n")[1].startswith("Relationship b")  # its focus comes first
