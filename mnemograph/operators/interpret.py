@@ -1,4 +1,4 @@
-"""Typed values found in evidence texts (X3 to X12, X14) and answers derived from them."""
+"""Typed values found in evidence texts (X3 to X14) and answers derived from them."""
 
 from __future__ import annotations
 
@@ -118,17 +118,46 @@ def read(fragments: DataFrame, readers: list[tuple] | None = None) -> DataFrame:
     return out
 
 
+def operands(fragments: DataFrame) -> DataFrame:
+    """The amounts and dates of labelled fragments as operands: request_id, operation, ord, ref_id, label, role,
+    entity, kind and value.
+
+    fragments: request_id, operation, ord (their place), ref_id (theirs alone), text, label, and role and entity, which
+    may be null. An amount has the kind of its currency, a date its days since 1970 as value; amounts come first. What has
+    no value is no operand.
+    """
+    own = fragments.select("request_id", "operation", "ord", "ref_id", "label", "role", "entity")
+    text = fragments.select("ref_id", "text")
+    amounts = money(text).select("ref_id", "nth", F.concat(F.lit("money:"), "currency").alias("kind"), F.col("amount").alias("value"))
+    days = dates(text).select("ref_id", (F.col("nth") + 500_000).alias("nth"), F.lit("date").alias("kind"), F.unix_date("date").cast("double").alias("value"))
+    found = amounts.unionByName(days).filter("value is not null")
+    return own.join(found, "ref_id").withColumn("ord", F.col("ord") * 1_000_000 + F.col("nth")).select("request_id", "operation", "ord", "ref_id", "label", "role", "entity", "kind", "value")
+
+
+def partitioned(rows: DataFrame) -> DataFrame:
+    """request_id and the references of a request's operands that count (included) and that do not (excluded), each
+    once, in the order of their first operand; every label but exclude counts."""
+    out = F.coalesce(F.col("label") == "exclude", F.lit(False))
+    first = rows.groupBy("request_id", "ref_id", out.alias("out")).agg(F.min("ord").alias("ord"))
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("ord", "ref_id")))), lambda x: x["ref_id"])
+    return first.groupBy("request_id").agg(listed(~F.col("out")).alias("included"), listed(F.col("out")).alias("excluded"))
+
+
 def derive(operands: DataFrame) -> DataFrame:
-    """One answer for each request of operands (request_id, operation, ord, role, entity, kind, value).
+    """One answer for each request of operands (request_id, operation, ord, role, entity, kind, value, and label
+    where some are excluded, which then do not count).
 
-    sum and average need one kind; count takes distinct entities; difference takes the minuend less the subtrahend, or
+    sum and average need one kind, which is not dates; the difference of two dates is in days; count takes distinct entities; difference takes the minuend less the subtrahend, or
     the first of exactly two less the second; max_by names the entity of the largest value, the last of equal ones;
     list joins entities in order. status tells why there is no answer.
     """
+    if "label" in operands.columns:
+        operands = operands.filter(F.coalesce(F.col("label") != "exclude", F.lit(True)))
     name = F.coalesce(F.nullif(F.lower(F.trim("entity")), F.lit("")), F.col("ord").cast("string"))
     got = operands.groupBy("request_id", "operation").agg(
         F.count("*").alias("n"),
         F.count_distinct("kind").alias("kinds"),
+        F.min("kind").alias("kind"),
         F.sum("value").alias("total"),
         F.avg("value").alias("mean"),
         F.count_distinct(name).alias("names"),
@@ -140,10 +169,11 @@ def derive(operands: DataFrame) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "entity"))), lambda x: x["entity"]), ", ").alias("list"),
     )
     op, one_kind = F.col("operation"), F.col("kinds") == 1
+    summable = one_kind & (F.col("kind") != "date")
     pair = F.col("a").isNotNull() & F.col("b").isNotNull()
     number = (
-        F.when((op == "sum") & one_kind, F.col("total"))
-        .when((op == "average") & one_kind, F.col("mean"))
+        F.when((op == "sum") & summable, F.col("total"))
+        .when((op == "average") & summable, F.col("mean"))
         .when(op == "count", F.col("names").cast("double"))
         .when((op == "difference") & one_kind & pair, F.col("a") - F.col("b"))
         .when((op == "difference") & one_kind & (F.col("n") == 2), F.col("first") - F.col("second"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from mnemograph.functions import scalars
 from mnemograph.functions import spans
@@ -119,6 +120,45 @@ def source_code_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpret.code(p)
 
 
+_DATED = """d AS (SELECT o_custkey AS c, o_orderkey AS k, epoch_us(o_orderdate) // 86400000000 AS day, floor(o_totalprice) AS price, o_orderpriority = '5-LOW' AS out FROM orders)"""
+
+
+def _fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each customer a question about its orders: a day or an amount in each sentence; low priorities are excluded."""
+    o = views.table(spark, sf_dir, "orders")
+    day, price = F.date_format("o_orderdate", "yyyy-MM-dd"), F.floor("o_totalprice").cast("long").cast("string")
+    text = F.when(F.col("o_custkey") % 2 == 0, F.concat(F.lit("It was placed on "), day, F.lit("."))).otherwise(F.concat(F.lit("They paid $"), price, F.lit(" for it.")))
+    operation = F.when(F.col("o_custkey") % 4 == 0, "difference").when(F.col("o_custkey") % 4 == 3, "sum").when(F.col("o_custkey") % 4 == 2, "sum").otherwise("max_by")
+    out = F.when(F.col("o_orderpriority") == "5-LOW", "exclude").otherwise("include")
+    by = Window.partitionBy("o_custkey", out).orderBy("o_orderdate", "o_orderkey")
+    last = Window.partitionBy("o_custkey", out).orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
+    role = F.when(F.row_number().over(last) == 1, "minuend").when(F.row_number().over(by) == 1, "subtrahend")
+    return o.select(F.col("o_custkey").alias("request_id"), operation.alias("operation"), F.col("o_orderkey").alias("ord"), F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("ref_id"), text.alias("text"), out.alias("label"), role.alias("role"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("entity"))
+
+
+@query(
+    "derived_from_texts",
+    f"""WITH {_DATED}
+SELECT c AS request_id, CASE c % 4 WHEN 0 THEN 'difference' WHEN 1 THEN 'max_by' ELSE 'sum' END AS operation,
+  CASE c % 4 WHEN 0 THEN CASE WHEN count(*) > 1 THEN arg_max(day, (day, k)) - min(day) END WHEN 2 THEN NULL WHEN 1 THEN max(price) ELSE sum(price) END AS number,
+  CASE WHEN c % 4 = 1 THEN 'order ' || arg_max(k, (price, k)) END AS answer,
+  CASE WHEN c % 4 = 2 OR c % 4 = 0 AND count(*) = 1 THEN 'unknown' ELSE 'derived' END AS status
+FROM d WHERE NOT out GROUP BY c""",
+)
+def derived_from_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers from the amounts and dates in texts; a sum of dates has none."""
+    return interpret.derive(interpret.operands(_fragments(spark, sf_dir)))
+
+
+@query(
+    "operand_partition",
+    f"""WITH {_DATED}
+SELECT c AS request_id, coalesce(string_agg('order:' || k, ',' ORDER BY k) FILTER (NOT out), '') AS included, coalesce(string_agg('order:' || k, ',' ORDER BY k) FILTER (out), '') AS excluded FROM d GROUP BY c""",
+)
+def operand_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpret.partitioned(interpret.operands(_fragments(spark, sf_dir))).select("request_id", F.array_join("included", ",").alias("included"), F.array_join("excluded", ",").alias("excluded"))
+
+
 def _operands(spark: SparkSession, sf_dir: str, operation: str) -> DataFrame:
     line = views.table(spark, sf_dir, "lineitem")
     return line.select(F.concat(F.lit("order:"), F.col("l_orderkey").cast("string")).alias("request_id"), F.lit(operation).alias("operation"), (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("ord"), F.when(F.col("l_linenumber") == 1, "minuend").when(F.col("l_linenumber") == 2, "subtrahend").alias("role"), F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("entity"), F.lit("money:USD").alias("kind"), F.col("l_quantity").alias("value"))

@@ -68,8 +68,8 @@ def requested_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = lambda *xs: F.array(*(F.lit(x) for x in xs))
     own = F.array(F.concat(F.lit(" "), d), F.concat(F.lit("about:"), about, F.lit(":dimension:own")), F.lit("about:other:dimension:x"), F.lit(" "), d)
     requests = views.table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("request_id"), about.alias("current"), F.when(case == 3, "except").otherwise("only").alias("mode"), F.when(case == 1, "abouts").otherwise("current").alias("scope_mode"), F.array(d, F.lit(" "), F.lit("time")).alias("dimensions"),
-        words("a", "b").alias("abouts"), words("n9", " n1", "", "n5", "n1").alias("roots"), F.when(case == 2, own).otherwise(F.expr("cast(array() as array<string>)")).alias("scope_ids"),
+        F.col("c_custkey").alias("request_id"), about.alias("current"), F.when(case == 3, "except").otherwise("only").alias("mode"), F.when(case == 1, "abouts").otherwise("current").alias("scope_mode"), F.array(F.lit("time"), d, F.lit(" "), F.lit("time")).alias("dimensions"),
+        words("b", "a", "b").alias("abouts"), words("n9", " n1", "", "n5", "n1").alias("roots"), F.when(case == 2, own).otherwise(F.expr("cast(array() as array<string>)")).alias("scope_ids"),
     )
     roots = requests.select("request_id", F.array_join(temporal.about_roots(F.col("roots"), F.col("current")), ",").alias("roots"))
     return temporal.requested_scopes(requests).join(roots, "request_id").withColumn("scopes", F.array_join("scopes", ","))
