@@ -125,7 +125,7 @@ def outcomes(commands: DataFrame, log: DataFrame | None = None) -> DataFrame:
 
 
 def commit(ledger: logs.Ledger, commands: DataFrame, payload: DataFrame | None = None, tries: int = 10) -> DataFrame:
-    """V15, IO5: judges commands against the log and appends the accepted ones, in one commit that is published once.
+    """V15, IO5: judges commands against the log, and appends the accepted ones, in one commit that is published once.
 
     If another writer has published in between, the commands are judged again against the log as it is then; so no two
     writers raise the same revision. payload: seq and payload of the events. Fails after so many lost races.
@@ -142,6 +142,13 @@ def commit(ledger: logs.Ledger, commands: DataFrame, payload: DataFrame | None =
     raise RuntimeError(f"another writer was first {tries} times")
 
 
+def warned(judged: DataFrame, changes: DataFrame) -> DataFrame:
+    """Outcomes with warnings; an accepted command without changes (seq, changes) raised the revision and did nothing else."""
+    empty = (F.col("outcome") == "accepted") & (F.coalesce("changes", F.lit(0)) == 0)
+    text = F.when(empty, F.lit("no changes supplied; update was accepted as a no-op"))
+    return judged.join(changes.select("seq", "changes"), "seq", "left").withColumn("warnings", F.array_compact(F.array(text))).drop("changes")
+
+
 def write(ledger: logs.Ledger, memories: DataFrame, dry_run: bool = False) -> tuple[DataFrame, DataFrame]:
     """V1: outcomes of memories (ingest.MEMORY and idempotency_key, expected_revision where they have them) and the mutations
     of the accepted ones.
@@ -158,7 +165,7 @@ def write(ledger: logs.Ledger, memories: DataFrame, dry_run: bool = False) -> tu
     digest = scalars.logical_digest(F.col("about"), F.to_json(F.struct("dimensions", "entries", "relations", "evidence")), F.lit(None))
     judged = kept(ingest.faults(named).withColumns({"key": key, "digest": digest, "asked": asked}))
     sizes = [F.coalesce(F.size(c), F.lit(0)).cast("long").alias(c) for c in ("entries", "relations", "evidence")]
-    base = judged.select("seq", "about", scalars.memory_id(F.col("key")).alias("memory_id"), *sizes, "errors", (F.size("dimensions") + F.size("entries") + F.size("relations") + F.size("evidence") == 0).alias("nothing"))
+    base = judged.select("seq", "about", scalars.memory_id(F.col("key")).alias("memory_id"), *sizes, "errors")
     good = judged.filter(F.size("errors") == 0)
     if dry_run:
         found = good.select("seq", F.lit("valid").alias("outcome"), F.lit(None).cast("long").alias("revision"))
@@ -167,8 +174,7 @@ def write(ledger: logs.Ledger, memories: DataFrame, dry_run: bool = False) -> tu
         commands = good.select("seq", F.col("about").alias("root"), F.lit("memory").alias("role"), F.col("key").alias("idempotency_key"), "digest", F.col("digest").alias("content_hash"), F.col("asked").alias("expected_revision"))
         found = commit(ledger, commands, good.select("seq", said.alias("payload"))).select("seq", "outcome", "revision")
         accepted = good.join(found.filter("outcome = 'accepted'").select("seq"), "seq", "left_semi")
-    empty = F.when(F.col("nothing") & (F.col("outcome") == "accepted"), F.lit("no changes supplied; update was accepted as a no-op"))
     dry = F.lit("dry_run=true; validated memory without writing to the kernel") if dry_run else F.lit(None).cast("string")
-    warnings = F.array_compact(F.array(empty, dry))
+    warnings = F.array_compact(F.array(dry))
     out = base.join(found, "seq", "left").withColumn("outcome", F.coalesce("outcome", F.lit("invalid")))
     return out.select("seq", "about", "memory_id", "outcome", "revision", "entries", "relations", "evidence", warnings.alias("warnings"), "errors"), ingest.mutations(accepted.select(*ingest.MEMORY.names))

@@ -38,6 +38,8 @@ def faults(memories: DataFrame) -> DataFrame:
     coordinates = F.flatten(F.transform("entries", lambda e: F.coalesce(e["coordinates"], F.array())))
     checks = {
         "about is blank": blank(F.col("about")),
+        "there is no dimension": F.coalesce(F.size("dimensions"), F.lit(0)) < 1,
+        "there is no entry": F.coalesce(F.size("entries"), F.lit(0)) < 1,
         "an entry has no id": F.exists("entries", lambda e: blank(e["id"])),
         "an entry has no text": F.exists("entries", lambda e: blank(e["text"])),
         "an entry has no coordinate": F.exists("entries", lambda e: F.coalesce(F.size(e["coordinates"]), F.lit(0)) < 1),

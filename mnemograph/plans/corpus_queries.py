@@ -44,6 +44,48 @@ def memory_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection.fold(ingest.mutations(good))["edges"].select("source", "target", "relation_type", "semantic_class")
 
 
+#: What is wrong with the memory of an order, by its number modulo their count.
+_FAULTS = (
+    "",
+    "about is blank",
+    "an entry has no id",
+    "an entry has no text",
+    "an entry has no coordinate",
+    "ids repeat",
+    "a coordinate names no dimension of the memory",
+    "a relation has no type",
+    "a relation is not structural and has no reason",
+    "a relation has an unknown class",
+    "about is blank; a relation has no type",
+    "there is no dimension; there is no entry",
+)
+
+
+@query("every_memory_fault", f"SELECT o_orderkey AS seq, errors FROM orders JOIN (VALUES {', '.join(f"({i}, '{f}')" for i, f in enumerate(_FAULTS) if f)}) v(n, errors) ON o_orderkey % {len(_FAULTS)} = n")
+def every_memory_fault(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A memory for each order, most of them with one of all faults or with two."""
+    n, key = F.col("o_orderkey") % len(_FAULTS), F.col("o_orderkey").cast("string")
+    if_ = lambda k, bad, good: F.when(n.isin(k) if isinstance(k, int) else n.isin(*k), bad).otherwise(good)
+    text, blank = F.lit, F.lit(" ")
+    null = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in ingest.COORDINATE}
+    at = F.struct(*(if_(6, text("other"), text("work")).alias("dimension") if c == "dimension" else v for c, v in null.items()))
+    none = F.array().cast(f"array<{ingest.COORDINATE.simpleString()}>")
+    entry = lambda i, own: F.struct(i.alias("id"), text("order").alias("kind"), (if_(3, blank, F.col("o_orderpriority")) if own else F.col("o_orderstatus")).alias("text"), (if_(4, none, F.array(at)) if own else F.array(at)).alias("coordinates"))
+    one, two = if_(2, blank, F.concat(text("e:"), key)), F.concat(text("f:"), key)
+    relation = F.struct(one.alias("source"), two.alias("target"), if_((7, 10), blank, text("leads to")).alias("rel"), if_(9, text("odd"), text("causal")).alias("class"), if_(8, blank, text("why")).alias("why"))
+    evidence = F.struct(if_(5, F.concat(text("e:"), key), F.concat(text("v:"), key)).alias("id"), text("proof").alias("text"), F.array(two).alias("supports"))
+    memories = views.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("seq"),
+        if_((1, 10), blank, F.concat(text("c:"), key)).alias("about"),
+        F.array(F.struct(text("work").alias("id"), text("kind").alias("kind"), F.lit(None).cast("string").alias("title"))).alias("dimensions"),
+        F.array(entry(one, True), entry(two, False)).alias("entries"),
+        F.array(relation).alias("relations"),
+        F.array(evidence).alias("evidence"),
+    )
+    bare = {c: F.when(F.col("seq") % len(_FAULTS) == 11, F.array().cast(memories.schema[c].dataType)).otherwise(F.col(c)) for c in ("dimensions", "entries")}
+    return ingest.faults(memories.withColumns(bare)).filter("size(errors) > 0").select("seq", F.array_join("errors", "; ").alias("errors"))
+
+
 @query("memory_faults", f"WITH {_TURNS} SELECT conv_id AS seq, 'an entry has no text' AS errors FROM t GROUP BY 1 HAVING count(*) FILTER (trim(text) = '' OR text IS NULL) > 0")
 def memory_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.faults(_memories(spark, sf_dir)).filter("size(errors) > 0").select("seq", F.array_join("errors", "; ").alias("errors"))

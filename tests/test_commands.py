@@ -72,6 +72,12 @@ def test_a_writer_that_comes_second_is_refused(spark, tmp_path):
     assert plain(commands.commit(two, ask(2))) == [(2, "revision conflict", None)]
 
 
+def test_an_empty_command_is_accepted_with_a_warning(spark):
+    judged = spark.createDataFrame([(1, "accepted"), (2, "accepted"), (3, "revision conflict")], "seq long, outcome string")
+    got = commands.warned(judged, spark.createDataFrame([(1, 0), (2, 4), (3, 0)], "seq long, changes long"))
+    assert {r.seq: r.warnings for r in got.collect()} == {1: ["no changes supplied; update was accepted as a no-op"], 2: [], 3: []}
+
+
 def memory(seq, about, entries, **more):
     at = [("work", None, None, None, None, None, None, seq, None)]
     return (seq, about, [("work", "kind", None)], [(i, "claim", t, at) for i, t in entries], [], [], more.get("key"), more.get("asked"))
