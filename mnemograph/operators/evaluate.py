@@ -38,14 +38,18 @@ def failure_class(known: Column, observed: Column, answered: Column, correct: Co
     return F.when(~known, "temporal_leak").when(~observed, "evidence_not_observed").when(~answered, "no_answer").when(~correct, "wrong_answer").otherwise("success")
 
 
-def candidates(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def candidates(vectors: DataFrame, queries: DataFrame, k: int, parts: int = 16) -> DataFrame:
     """Query, place, ref and score of the k candidates of highest cosine in each query's own group.
 
-    vectors: ref, grp, v; queries: query, grp, v. A query meets its group only, as in the per-item search.
+    vectors: ref, grp, v; queries: query, grp, v. A query meets its group only, as in the per-item search. A group's vectors
+    are dealt to so many parts, each of which gives a query's k best, so that no task holds a whole group.
     """
-    scored = queries.withColumnRenamed("v", "qv").join(vectors, "grp").filter("query <> ref").withColumn("score", scalars.cosine(F.col("qv"), F.col("v")))
-    w = Window.partitionBy("query").orderBy(F.desc("score"), "ref")
-    return scored.withColumn("place", F.row_number().over(w).cast("long")).filter(F.col("place") <= k).select("query", "place", "ref", "score")
+    dealt = vectors.withColumn("part", F.pmod(F.xxhash64("ref"), F.lit(parts)).cast("int"))
+    asked = queries.withColumnRenamed("v", "qv").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    scored = asked.join(dealt, ["grp", "part"]).filter("query <> ref").select("query", "part", "ref", scalars.cosine(F.col("qv"), F.col("v")).alias("score"))
+    best = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "ref")).cast("long")
+    some = scored.withColumn("place", best("query", "part")).filter(F.col("place") <= k).drop("place", "part")
+    return some.withColumn("place", best("query")).filter(F.col("place") <= k).select("query", "place", "ref", "score")
 
 
 def recall(found: DataFrame, gold: DataFrame) -> DataFrame:

@@ -103,34 +103,38 @@ def relation_family(rel: Column, semantic_class: Column) -> Column:
     return F.when((F.trim(semantic_class) == "structural") | name.isin(*STRUCTURAL), "structural").when(name.isin(*SUPPORT), "support").when(name.isin(*OPERAND), "operand").otherwise("other")
 
 
+def _signal(r: Column) -> Column:
+    """A line of a summary."""
+    known = lambda c: F.coalesce(r[c].cast("string"), F.lit("unknown"))
+    short = lambda x, n: scalars.truncated(_trimmed(F.regexp_replace(x, r"\s+", " ")), n)
+    sequence = F.coalesce(F.when(r["sequence"] >= 0, r["sequence"]).cast("string"), F.lit("unknown"))
+    why = F.coalesce(r["why"], r["evidence"], F.lit(""))
+    parts = {"- rel=": known("rel"), " class=": known("class"), " confidence=": known("confidence"), " sequence=": sequence, " from=": short(known("from"), 180), " to=": short(known("to"), 180), " why=": short(why, 320)}
+    return F.concat(*(x for name, value in parts.items() for x in (F.lit(name), value)))
+
+
 def relation_context(answers: DataFrame, focus: DataFrame, most: int = 40) -> DataFrame:
     """K8: request_id, total, structural, support_only, rich and summary of the relations on each answer's path.
 
     focus: request_id, ref_id of what a prompt shows. The summary lists the first `most` operand relations, in the order
     of the path, that have a focus at one end; all do where a request has none. An answer without a path has null counts
-    and no summary, as has one whose content is null.
+    and no summary, as has one whose content is null. Answer and focus of a request meet in one row, by one join.
     """
-    relations = answers.select("request_id", F.posexplode("content.proof.path").alias("ord", "r"))
-    relations = relations.withColumn("family", relation_family(F.coalesce("r.rel", F.lit("")), F.coalesce("r.class", F.lit(""))))
-    counts = relations.groupBy("request_id").agg(F.count("*").alias("total"), *(F.count_if(F.col("family") == f).alias(c) for f, c in (("structural", "structural"), ("support", "support_only"), ("operand", "rich"))))
-    near = focus.select("request_id", "ref_id").distinct()
-    some = near.select("request_id").distinct().withColumn("focused", F.lit(True))
-    ends = relations.filter("family = 'operand'").join(some, "request_id", "left")
-    touched = ends.filter("focused").select("request_id", "ord", F.explode(F.array("r.from", "r.to")).alias("ref_id")).join(near, ["request_id", "ref_id"], "left_semi").select("request_id", "ord").distinct()
-    shown = ends.filter("focused").join(touched, ["request_id", "ord"], "left_semi").unionByName(ends.filter("focused is null"))
-    place = F.row_number().over(Window.partitionBy("request_id").orderBy("ord"))
-    known = lambda c: F.coalesce(F.col(f"r.{c}").cast("string"), F.lit("unknown"))
-    short = lambda x, n: scalars.truncated(_trimmed(F.regexp_replace(x, r"\s+", " ")), n)
-    why = F.coalesce("r.why", "r.evidence", F.lit(""))
-    sequence = F.coalesce(F.when(F.col("r.sequence") >= 0, F.col("r.sequence")).cast("string"), F.lit("unknown"))
-    line = F.concat(F.lit("- rel="), known("rel"), F.lit(" class="), known("class"), F.lit(" confidence="), known("confidence"), F.lit(" sequence="), sequence, F.lit(" from="), short(known("from"), 180), F.lit(" to="), short(known("to"), 180), F.lit(" why="), short(why, 320))
-    lines = shown.withColumn("place", place).filter(F.col("place") <= most).groupBy("request_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
-    number = lambda c: F.coalesce(c, F.lit(0)).cast("string")
-    head = F.concat(F.lit("Graph relation summary: total="), number("total"), F.lit(" structural="), number("structural"), F.lit(" support_only="), number("support_only"), F.lit(" rich_operand_relations="), number("rich"), F.lit("."))
-    tail = F.when(F.coalesce("rich", F.lit(0)) == 0, _NONE_RICH).when(F.col("lines").isNull(), f"{_USE_RICH}\n{_NONE_NEAR}").otherwise(F.concat(F.lit(f"{_USE_RICH}\n{_NEAR}\n"), "lines"))
-    asked = answers.select("request_id", F.col("content.proof.path").isNotNull().alias("has"))
-    whole = asked.join(counts, "request_id", "left").join(lines, "request_id", "left")
-    return whole.select("request_id", *(F.when(F.col("has"), F.coalesce(c, F.lit(0))).alias(c) for c in ("total", "structural", "support_only", "rich")), F.when(F.col("has"), F.concat_ws("\n", head, tail)).alias("summary"))
+    refs = focus.groupBy("request_id").agg(F.collect_set("ref_id").alias("refs"))
+    rows = answers.select("request_id", F.col("content.proof.path").alias("path")).join(refs, "request_id", "left")
+    text = lambda x: F.coalesce(x, F.lit(""))
+    family = F.transform("path", lambda r: F.struct(r.alias("r"), relation_family(text(r["rel"]), text(r["class"])).alias("family")))
+    rows = rows.select("request_id", "refs", family.alias("path"))
+    count = lambda name: F.size(F.filter("path", lambda x: x["family"] == name))
+    held = lambda x: F.coalesce(F.array_contains("refs", x), F.lit(False))
+    near = F.filter("path", lambda x: (x["family"] == "operand") & (F.col("refs").isNull() | held(x["r"]["from"]) | held(x["r"]["to"])))
+    lines = F.array_join(F.transform(F.slice(near, 1, most), lambda x: _signal(x["r"])), "\n")
+    has = F.col("path").isNotNull()
+    counts = {"total": F.size("path"), "structural": count("structural"), "support_only": count("support"), "rich": count("operand")}
+    rows = rows.select("request_id", *(F.when(has, c.cast("long")).alias(n) for n, c in counts.items()), F.when(has, lines).alias("lines"))
+    head = F.concat(F.lit("Graph relation summary: total="), F.col("total").cast("string"), F.lit(" structural="), F.col("structural").cast("string"), F.lit(" support_only="), F.col("support_only").cast("string"), F.lit(" rich_operand_relations="), F.col("rich").cast("string"), F.lit(".\n"))
+    tail = F.when(F.col("rich") == 0, _NONE_RICH).when(F.col("lines") == "", f"{_USE_RICH}\n{_NONE_NEAR}").otherwise(F.concat(F.lit(f"{_USE_RICH}\n{_NEAR}\n"), "lines"))
+    return rows.select("request_id", *counts, F.concat(head, tail).alias("summary"))
 
 
 #: Words of questions about money, of texts about it, and of questions about one's own past.
@@ -349,7 +353,8 @@ CAPABILITIES = {
 
 def observed_capabilities(actions: DataFrame) -> DataFrame:
     """Capability and times: in how many actions (JSON: type, tool, arguments) each can be seen."""
-    a = F.try_parse_json("action")
+    actions = actions.select(F.try_parse_json("action").alias("action"))  # parsed once, used often
+    a = F.col("action")
     kind, tool = _text(a, "$.type"), _text(a, "$.tool")
     call = kind.isin("tool_call", "stop") & tool.isNotNull()
     name = F.regexp_replace(tool, "^kernel_", "")
