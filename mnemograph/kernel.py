@@ -1,4 +1,4 @@
-"""The memory verbs over a set of nodes, edges, details and entries, for batches of requests."""
+"""The memory verbs over a set of nodes, edges, details and entries, for batches of requests (V2 to V14), and what a consumer sees of them."""
 
 from __future__ import annotations
 
@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from mnemograph.functions import scalars
-from mnemograph.operators import evaluate, graph, render, temporal
+from mnemograph.operators import commands, evaluate, graph, render, temporal
+from mnemograph.sources import logs
 
 #: Rows that a wake and an answer show.
 SPINE, STATE, EVIDENCE = 8, 5, 5
@@ -164,3 +165,53 @@ class Memory:
     def validate_scope(asked: DataFrame, found: DataFrame) -> DataFrame:
         """V14."""
         return evaluate.scope_validation(asked, found)
+
+
+#: The contract that a consumer may check before it starts.
+CONTRACT_VERSION = 1
+
+
+@dataclass
+class Consumer:
+    """A memory as a consumer sees it: it recalls, and records where there is a ledger. Requests are those of Memory;
+    a request's root is what it asks about."""
+
+    memory: Memory
+    ledger: logs.Ledger | None = None
+
+    def capabilities(self) -> dict[str, object]:
+        """What this consumer can do, by name, and the version of the contract."""
+        return {"contract_version": CONTRACT_VERSION, "capabilities": ["wake", "ask"] + (["record"] if self.ledger is not None else [])}
+
+    def wake(self, requests: DataFrame, depth: int = 2) -> DataFrame:
+        """request_id, about, content, mode, nodes, relationships, details, snapshot and revision of each request.
+
+        snapshot is a hash of all rows that a recall was made of, in any order: recalls with the same one saw the same
+        memory. revision is the last one that the ledger has for what is asked about, 0 without any.
+        """
+        loaded = self.memory._loaded(requests, depth)
+        out = requests.select("request_id", F.col("root").alias("about"))
+        for name, part in zip(("nodes", "relationships", "details"), loaded):
+            own = [c for c in part.columns if c != "request_id"]
+            seen = part.groupBy("request_id").agg(F.count("*").alias(name), F.bit_xor(F.xxhash64(F.lit(name), *own)).alias(f"{name}_hash"))
+            out = out.join(seen, "request_id", "left").fillna(0, [name, f"{name}_hash"])
+        snapshot = F.lower(F.hex(F.xxhash64("nodes", "nodes_hash", "relationships", "relationships_hash", "details", "details_hash")))
+        text = self.memory._rendered(loaded, requests).select("request_id", "content", "mode")
+        return out.withColumn("snapshot", snapshot).join(text, "request_id", "left").join(self._revisions(), "about", "left").fillna(0, ["revision"]).select("request_id", "about", "content", "mode", "nodes", "relationships", "details", "snapshot", "revision")
+
+    def ask(self, requests: DataFrame, depth: int = 2) -> DataFrame:
+        """wake's columns and the answer of each request, UNKNOWN where nothing is known."""
+        return self.wake(requests, depth).join(self.memory.ask(requests, depth).select("request_id", "answer"), "request_id")
+
+    def record(self, memories: DataFrame) -> DataFrame:
+        """Outcomes of memories (commands.write) with what was accepted of each; ready tells whether it can be read now."""
+        if self.ledger is None:
+            raise ValueError("this consumer has no ledger to record in")
+        found, _ = commands.write(self.ledger, memories)
+        good = F.col("outcome").isin("accepted", "replayed")
+        return found.select("seq", "about", "memory_id", "outcome", "revision", *(F.when(good, F.col(c)).otherwise(0).alias(c) for c in ("entries", "relations", "evidence")), good.alias("ready"), "warnings", "errors")
+
+    def _revisions(self) -> DataFrame:
+        if self.ledger is None:
+            return self.memory.nodes.limit(0).select(F.lit("").alias("about"), F.lit(0).cast("long").alias("revision"))
+        return self.ledger.read().filter("role = 'memory'").groupBy(F.col("root").alias("about")).agg(F.max("revision").alias("revision"))

@@ -1,4 +1,4 @@
-"""Typed values found in evidence texts (X3 to X14) and answers derived from them."""
+"""Typed values found in evidence texts (X3 to X14) and answers derived from them."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from mnemograph.functions import spans
 
@@ -182,3 +183,47 @@ def derive(operands: DataFrame) -> DataFrame:
     text = F.when((op == "max_by") & one_kind, F.col("top.entity")).when(op == "list", F.col("list"))
     status = F.when(number.isNotNull() | text.isNotNull(), "derived").when(~one_kind, "mixed kinds").otherwise("unknown")
     return got.select("request_id", "operation", number.alias("number"), text.alias("answer"), status.alias("status"))
+
+
+#: What a question about amounts, or about dates, must hold to ask for an operation, in the order tried, and
+#: the operands that an operation needs.
+MONEY_ASKED = {"max_by": ("highest-priced", "highest priced", "most expensive", "max price"), "sum": ("total", "combined", "sum", "spent", "budget", "cost altogether"), "difference": ("difference", "how much more", "how much less")}
+DATES_ASKED = {"max_by": ("latest", "most recent", "current"), "difference": ("how long", "elapsed", "duration", "how many days", "how many weeks", "days between", "weeks between", "months between", "time between")}
+NEEDED = 2
+
+
+def asked(question: Column, words: dict[str, tuple[str, ...]]) -> Column:
+    """K4: the operation that a question asks for, by the first of the words that it holds; null without any."""
+    low, out = F.lower(question), F.lit(None).cast("string")
+    for name, some in reversed(words.items()):
+        out = F.when(F.greatest(*(F.contains(low, F.lit(w)) for w in some)), name).otherwise(out)
+    return out
+
+
+def answers_of(questions: DataFrame, fragments: DataFrame) -> DataFrame:
+    """K4, K5: request_id, reader (currency, date), operation, operands, number, answer and status of each question over the
+    amounts, and over the dates, in its fragments.
+
+    questions: request_id, question; fragments: request_id, ord (each its own in a request), text. A question that asks for
+    no operation is 'not asked', one with fewer than two values has 'too few operands'; others are derived (derive). The
+    difference of dates is from the earliest to the latest; the largest value is named by its own text.
+    """
+    named = fragments.select(F.concat_ws(":", F.col("ord").cast("string"), "request_id").alias("ref_id"), "text")
+    place = F.substring_index("ref_id", ":", 1).cast("long") * 1_000_000 + F.col("nth")
+    owner = F.regexp_replace("ref_id", "^[0-9]+:", "")
+    amounts = money(named).select(owner.alias("request_id"), place.alias("ord"), F.col("raw").alias("entity"), F.concat(F.lit("money:"), "currency").alias("kind"), F.col("amount").alias("value"))
+    days = dates(named).select(owner.alias("request_id"), place.alias("ord"), F.col("date").cast("string").alias("entity"), F.lit("date").alias("kind"), F.unix_date("date").cast("double").alias("value"))
+    out = None
+    for reader, words, found in (("currency", MONEY_ASKED, amounts), ("date", DATES_ASKED, days)):
+        wanted = questions.select("request_id", asked(F.col("question"), words).alias("operation"))
+        values = found.filter("value is not null").join(wanted.filter("operation is not null"), "request_id")
+        span = Window.partitionBy("request_id").orderBy("value", "ord")
+        ends = F.when(F.lit(reader == "date") & (F.row_number().over(span) == 1), "subtrahend").when(F.lit(reader == "date") & (F.lead("ord").over(span).isNull()), "minuend")
+        sizes = values.groupBy("request_id").agg(F.count("*").alias("operands"))
+        derived = derive(values.withColumn("role", ends)).drop("operation")
+        every = wanted.join(sizes, "request_id", "left").join(derived, "request_id", "left").fillna({"operands": 0})
+        status = F.when(F.col("operation").isNull(), "not asked").when(F.col("operands") < NEEDED, "too few operands").otherwise(F.col("status"))
+        good = F.col("operands") >= NEEDED
+        part = every.select("request_id", F.lit(reader).alias("reader"), "operation", "operands", F.when(good, F.col("number")).alias("number"), F.when(good, F.col("answer")).alias("answer"), status.alias("status"))
+        out = part if out is None else out.unionByName(part)
+    return out

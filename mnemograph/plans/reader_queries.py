@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from mnemograph.operators import readers
+from mnemograph.operators import interpret, readers
 from mnemograph.sources import views
 
 from .registry import query
@@ -264,3 +264,26 @@ def reconstruction_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = views.table(spark, sf_dir, "orders").join(c, F.col("c_custkey") == F.col("o_custkey"), "left")
     checks = {"explanation": [F.col("o_orderstatus") != "P", F.col("o_totalprice") > 100000, F.col("c_custkey").isNotNull()], "detail": [F.col("c_mktsegment") == "BUILDING"]}
     return readers.check_scores(cases, checks).select("o_orderkey", "explanation", "detail")
+
+
+@query(
+    "question_derivations",
+    f"""WITH {_LINES.replace('l_quantity FROM', 'l_quantity, l_shipdate FROM').replace('l_quantity) AS n', 'l_quantity, l_shipdate) AS n')},
+g AS (
+  SELECT o, count(*) AS n, sum(l_quantity) AS total, first(l_quantity ORDER BY n) - last(l_quantity ORDER BY n) AS gap, max(l_quantity) AS most, max(l_shipdate)::DATE AS late, min(l_shipdate)::DATE AS early FROM lines GROUP BY o),
+a AS (
+  SELECT o, n, 'currency' AS reader, CASE o % 5 WHEN 0 THEN 'sum' WHEN 1 THEN 'difference' WHEN 2 THEN 'max_by' WHEN 3 THEN 'sum' END AS operation,
+    CASE o % 5 WHEN 0 THEN total WHEN 1 THEN CASE WHEN n = 2 THEN gap END WHEN 2 THEN most WHEN 3 THEN total END AS number, CASE WHEN o % 5 = 2 THEN '$' || most::INT END AS answer FROM g
+  UNION ALL SELECT o, n, 'date', CASE o % 5 WHEN 1 THEN 'difference' WHEN 3 THEN 'max_by' END, CASE o % 5 WHEN 1 THEN late - early WHEN 3 THEN late - DATE '1970-01-01' END, CASE WHEN o % 5 = 3 THEN late::VARCHAR END FROM g)
+SELECT 'order:' || o AS request_id, reader, operation, CASE WHEN operation IS NULL THEN 0 ELSE n END AS operands, CASE WHEN n >= 2 THEN number END AS number, CASE WHEN n >= 2 THEN answer END AS answer,
+  CASE WHEN operation IS NULL THEN 'not asked' WHEN n < 2 THEN 'too few operands' WHEN number IS NULL THEN 'unknown' ELSE 'derived' END AS status FROM a""",
+)
+def question_derivations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K4, K5: five questions over the amounts and dates that an order's lines tell."""
+    line = views.table(spark, sf_dir, "lineitem")
+    o, request = F.col("l_orderkey") % 5, F.concat(F.lit("order:"), _text("l_orderkey")).alias("request_id")
+    asked = ("How much was SPENT in total?", "How long was it, and what is the difference?", "Which was the most expensive?", "What is the latest budget?", "Who?")
+    questions = line.select("l_orderkey").distinct().select(request, F.get(F.array(*(F.lit(q) for q in asked)), o.cast("int")).alias("question"))
+    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_LINE, "l_shipdate"))
+    text = F.concat(F.lit("paid $"), F.col("l_quantity").cast("int").cast("string"), F.lit(" on "), F.date_format("l_shipdate", "yyyy-MM-dd"))
+    return interpret.answers_of(questions, line.select(request, n.alias("ord"), text.alias("text")))

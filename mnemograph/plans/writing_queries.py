@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemograph.operators import writing
+from mnemograph.kernel import Consumer, Memory
+from mnemograph.operators import ingest, writing
 from mnemograph.sources import views
 
 from .memory_queries import _ledger
@@ -116,3 +117,26 @@ def writer_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref = F.when((flag == "N") & (F.col("l_linestatus") == "O"), F.concat(F.lit("about:m:dimension:"), n.cast("string"))).otherwise(turn)
     found = views.table(spark, sf_dir, "lineitem").select(o.alias("seq"), entry.alias("entry_ref"), kind.alias("entry_kind"), ref.alias("ref"))
     return writing.ranked_candidates(found).select("seq", "ref", "role", "turn_kind", "priority", "place")
+
+
+@query(
+    "consumer_recall",
+    """SELECT 'nation:' || n_nationkey AS request_id, 'nation:' || n_nationkey AS about, count(c_custkey) + 1 AS nodes, count(c_custkey) AS relationships, 0 AS details, CASE WHEN n_nationkey % 2 = 0 THEN 1 ELSE 0 END AS revision, 'UNKNOWN' AS answer
+FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey""",
+)
+def consumer_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is recorded of every second nation, and what a consumer recalls of all."""
+    roots = views.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("seq"), F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("root"))
+    nodes = views.nodes(spark, sf_dir)
+    consumer = Consumer(Memory(nodes, views.edges(spark, sf_dir), nodes.limit(0).select("node_id", F.lit("").alias("detail"))), _ledger(spark))
+    fields = {
+        "seq": F.col("seq"),
+        "about": F.col("root"),
+        "dimensions": F.array(F.struct(F.lit("d").alias("id"), F.lit("d").alias("kind"), F.lit("d").alias("title"))),
+        "entries": F.from_json(F.to_json(F.array(F.struct(F.concat(F.lit("entry:"), "root").alias("id"), F.lit("note").alias("kind"), F.lit("seen").alias("text"), F.array(F.struct(F.lit("d").alias("dimension"))).alias("coordinates")))), ingest.MEMORY["entries"].dataType),
+        "relations": F.array().cast(ingest.MEMORY["relations"].dataType),
+        "evidence": F.array().cast(ingest.MEMORY["evidence"].dataType),
+    }
+    consumer.record(roots.filter("seq % 2 = 0").select(*(c.alias(n) for n, c in fields.items())))
+    asked = roots.select(F.col("root").alias("request_id"), "root")
+    return consumer.ask(asked, 1).select("request_id", "about", "nodes", "relationships", "details", "revision", "answer")

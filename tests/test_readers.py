@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from mnemograph.operators import readers
+from mnemograph.operators import interpret, readers
 
 TURN = "^turn:[0-9]+$"
 
@@ -214,3 +214,14 @@ def test_metadata_and_checks(spark):
     assert [r.s for r in got] == [None, None, None, None, None, None, "p", "s", None]
     cases = readers.check_scores(df.select("i"), {"low": [F.col("i") < 2, F.col("i") == 0, F.lit(None).cast("boolean")], "none": []})
     assert [round(r.low * 3) for r in cases.orderBy("i").collect()] == [2, 1] + [0] * 7 and cases.columns == ["i", "low"]
+
+
+def test_questions(spark):
+    questions = [("a", "TOTAL cost and how long?"), ("b:1", "the most expensive, the latest"), ("c", "who?"), ("d", "how much more?"), ("e", None), ("f", "sum")]
+    texts = [(r, 1, "$5 on 2024-01-03") for r, _ in questions[:4]] + [(r, 2, "$7.50 and $7.50, 2024-02-30, 2024-01-01") for r, _ in questions[:3]] + [("d", 3, "EUR 4"), ("f", 1, "$1")]
+    df = interpret.answers_of(spark.createDataFrame(questions, "request_id string, question string"), spark.createDataFrame(texts, "request_id string, ord long, text string"))
+    got = {(r.request_id, r.reader): (r.operation, r.operands, r.number, r.answer, r.status) for r in df.collect()}
+    assert got[("a", "currency")] == ("sum", 3, 20.0, None, "derived") and got[("a", "date")] == ("difference", 2, 2.0, None, "derived")
+    assert got[("b:1", "currency")][2:] == (7.5, "$7.50", "derived") and got[("b:1", "date")][3:] == ("2024-01-03", "derived")
+    assert got[("d", "currency")] == ("difference", 2, None, None, "mixed kinds") and got[("f", "currency")] == ("sum", 1, None, None, "too few operands")
+    assert {got[(r, k)][4] for r in "ce" for k in ("currency", "date")} == {"not asked"} and len(got) == 12

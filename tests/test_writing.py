@@ -5,6 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from mnemograph.kernel import Consumer, Memory
 from mnemograph.operators import ingest, writing
 from mnemograph.sources import logs
 
@@ -124,3 +125,20 @@ def test_candidates(spark):
     named = frame(spark, [request(1, links=[("me", "x", "y", "", "", None), ("l", "x", "y", "", "", None)], reads=["r", "me"], ref="me")])
     calls = spark.createDataFrame([(1, '{"from": "f", "around": {"ref": "r2"}}'), (1, "{"), (9, '{"ref": "no"}')], "seq long, arguments string")
     assert sorted(r.ref for r in writing.candidate_refs(named, calls).collect()) == ["f", "l", "r", "r2"]
+
+
+def test_consumer(spark, tmp_path):
+    nodes = spark.createDataFrame([("a", "k", "A", "s", "ACTIVE"), ("b", "evidence", "B", "", "ACTIVE")], "node_id string, node_kind string, title string, summary string, status string")
+    edges = spark.createDataFrame([("a", "b", "supports", "evidential", 1)], "source string, target string, relation_type string, semantic_class string, sequence long")
+    details = spark.createDataFrame([("b", "so it is")], "node_id string, detail string")
+    asked = spark.createDataFrame([("r1", "a"), ("r2", "b"), ("r3", "nowhere")], "request_id string, root string")
+    reader = Consumer(Memory(nodes, edges, details))
+    assert reader.capabilities()["capabilities"] == ["wake", "ask"]
+    got = {r.request_id: r for r in reader.ask(asked).collect()}
+    assert [(got[i].nodes, got[i].relationships, got[i].details, got[i].revision, got[i].answer) for i in ("r1", "r2", "r3")] == [(2, 1, 1, 0, "so it is"), (1, 0, 1, 0, "so it is"), (0, 0, 0, 0, "UNKNOWN")]
+    assert "so it is" in got["r1"].content and got["r3"].content is None
+    writer = Consumer(Memory(nodes, edges.withColumn("sequence", F.lit(2).cast("long")), details), logs.Ledger(spark, f"file://{tmp_path}/log"))
+    plan = writing.plans(frame(spark, [request(1, False, False)])).select("seq", "about", "memory.*")
+    assert [(r.outcome, r.entries, r.ready) for r in writer.record(plan).collect()] == [("accepted", 1, True)] and writer.capabilities()["capabilities"][-1] == "record"
+    again = {r.request_id: r for r in writer.wake(asked).collect()}
+    assert (again["r1"].revision, again["r2"].revision) == (1, 0) and again["r1"].snapshot != got["r1"].snapshot and again["r2"].snapshot == got["r2"].snapshot
