@@ -121,7 +121,7 @@ def writer_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "consumer_recall",
-    """SELECT 'nation:' || n_nationkey AS request_id, 'nation:' || n_nationkey AS about, count(c_custkey) + 1 AS nodes, count(c_custkey) AS relationships, 0 AS details, CASE WHEN n_nationkey % 2 = 0 THEN 1 ELSE 0 END AS revision, 'UNKNOWN' AS answer
+    """SELECT 'nation:' || n_nationkey AS request_id, 'nation:' || n_nationkey AS about, count(c_custkey) + 1 AS nodes, count(c_custkey) AS relationships, CAST(0 AS BIGINT) AS details, CAST(CASE WHEN n_nationkey % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS revision, 'UNKNOWN' AS answer
 FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey""",
 )
 def consumer_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
