@@ -7,8 +7,9 @@ with others is the hub of a star, and its candidate edges to the others are conf
 members are then in one component is done, since links inside a component change nothing. In the others, pairs of
 different components are left. What a member has and its hub lacks, or the other way round, is a small set, and two
 members are linked exactly if those two sets overlap enough; pairs are found by the rarest elements of them, by a
-prefix filter, and confirmed (_open_pairs). So no pair of a bucket that could join two components is left out, while
-copies and large groups of edited copies give about an edge a member.
+prefix filter, and confirmed (_open_pairs). So no pair of a bucket that could join two components is left out. Copies,
+and edited copies whose edits differ, give about an edge a member; where a group's edits are out of a common menu, its
+rarest hashes are shared by many and the open pairs grow with the square of its members.
 
 Words are runs of bytes other than 0x20 and 0x09 to 0x0D, A-Z lower-cased. Null and empty texts have an empty set and
 no links, as does a row whose doc_id is null: its component_id is its own doc_id, and kept is true. Rows that repeat a
