@@ -40,3 +40,28 @@ def test_candidates_make_no_row_for_each_pair(spark):
     assert found.count() == 1200
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "query <> ref" not in plan and "FlatMapCoGroupsInArrow" in plan
+
+
+def test_lone_marks_are_not_sent_to_python(spark):
+    from mnemograph.functions import spans
+
+    texts = ["paid $5 on 2024-01-02", "a ` tick", "plain", "pay $5 and $6", "$$a", "`x`", "``", "\\(a", "see http://x.y", "```a"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    sent = [r[0] for r in df.filter(spans._marked(F.col("text")).isNotNull()).collect()]
+    assert sent == texts[3:]
+    assert not any(spans.protected_spans(t) for t in texts[:3])
+    r = random.Random(5)
+    mixed = ["".join(r.choice(("`", "$", "\\(", "\\)", "a", " ", "1")) for _ in range(r.randrange(8))) for _ in range(500)]
+    unsent = spark.createDataFrame([(t,) for t in mixed], "text string").filter(spans._marked(F.col("text")).isNull())
+    assert not any(spans.protected_spans(r[0]) for r in unsent.collect())
+
+
+def test_answers_are_derived_without_a_row_for_each_distinct_value(spark):
+    from mnemograph.operators import interpret
+
+    questions = spark.createDataFrame([("a", "How much was spent?"), ("b", "What is the total cost?"), ("c", "Who?")], "request_id string, question string")
+    fragments = spark.createDataFrame([("a", 1, "paid $5"), ("a", 2, "and $6"), ("b", 1, "paid $5"), ("b", 2, "or 6 EUR")], "request_id string, ord long, text string")
+    found = interpret.answers_of(questions, fragments)
+    got = {r[0]: (r["operands"], r["number"], r["status"]) for r in found.filter("reader = 'currency'").collect()}
+    assert got == {"a": (2, 11.0, "derived"), "b": (2, None, "mixed kinds"), "c": (0, None, "not asked")}
+    assert "Expand" not in found._jdf.queryExecution().executedPlan().toString()
