@@ -69,36 +69,50 @@ def read_index(requests: DataFrame) -> DataFrame:
     return pairs.groupBy("seq", F.col("p.ref_id").alias("ref_id")).agg(F.array_sort(F.collect_set("p.tool")).alias("tools"))
 
 
-def _diagnosed(link: Column, source: Column, strict: Column, reads: Column, local: Column) -> Column:
-    """A relation with its quality and its first fault, if it has one. local: references that the request itself makes."""
-    rel = scalars.relation_type(link["rel"])
+def _diagnosed(links: Column, source: Column, strict: Column, reads: Column, local: Column) -> Column:
+    """Relations with their quality and their first fault, if they have one. local: references that the request itself makes.
+
+    What a rule asks for more than once is worked out by a step of its own, since the functions that go over arrays
+    evaluate each expression wherever it stands.
+    """
     classes = F.create_map(*(x for name, some in CLASSES.items() for x in (F.lit(name), F.array(*(F.lit(c) for c in some)))))
-    known = rel.isin(*CLASSES)
-    cls, confidence = link["class"], F.coalesce(link["confidence"], F.lit("high"))
-    structural = F.coalesce(cls == "structural", F.lit(False))
-    base = F.when(~known, "suspect").when(rel.isin(*ANEMIC), "anemic").when(rel.isin(*STRUCTURAL), "structural").otherwise("rich")
-    fits = F.when(known, F.array_contains(F.try_element_at(classes, rel), cls)).otherwise(~structural)
-    here = F.array_contains(local, link["ref"])
-    seen = F.when(here, F.array(F.lit("current_request"))).otherwise(F.array_sort(F.array_distinct(F.transform(F.filter(reads, lambda p: p["ref_id"] == link["ref"]), lambda p: p["tool"]))))
-    observed = F.size(seen) > 0
-    proven = structural | (~_blank(link["why"]) & ~_blank(link["evidence"]))
-    error = (
-        F.when(_blank(link["ref"]), "a relation has no target")
-        .when(_blank(link["rel"]), "a relation has no type")
-        .when(~F.coalesce(cls.isin(*scalars.SALIENCE), F.lit(False)), "a relation has an unknown class")
-        .when(~proven, "a relation is not structural and has no reason or evidence")
-        .when(~confidence.isin(*CONFIDENCES), "a relation has an unknown confidence")
-        .when(strict & ~known, "a relation's type is not a writer's")
-        .when(~fits, "a relation's type can not have its class")
-        .when(source == link["ref"], "a relation points to where it comes from")
-        .when(strict & (base == "rich") & ~observed, "a rich relation's target has not been read")
-    )
-    doubted = ~strict & (base == "rich") & (~observed | confidence.isin("low", "unknown"))
-    quality = F.when(doubted, "suspect").otherwise(base)
-    return F.struct(
-        source.alias("source"), link["ref"].alias("target"), rel.alias("rel"), cls.alias("class"), confidence.alias("confidence"), link["why"].alias("why"), link["evidence"].alias("evidence"), quality.alias("quality"),
-        (quality == "anemic").alias("fallback"), ((base == "rich") & ~here).alias("needs_reading"), observed.alias("read"), seen.alias("read_by"), proven.alias("proven"), error.alias("error"),
-    )
+
+    def named(x: Column) -> Column:
+        return F.struct(x.alias("link"), scalars.relation_type(x["rel"]).alias("rel"), F.coalesce(x["confidence"], F.lit("high")).alias("confidence"), F.coalesce(x["class"] == "structural", F.lit(False)).alias("structural"), F.array_contains(local, x["ref"]).alias("here"))
+
+    def met(x: Column) -> Column:
+        rel, link = x["rel"], x["link"]
+        known = rel.isin(*CLASSES)
+        base = F.when(~known, "suspect").when(rel.isin(*ANEMIC), "anemic").when(rel.isin(*STRUCTURAL), "structural").otherwise("rich")
+        seen = F.when(x["here"], F.array(F.lit("current_request"))).otherwise(F.array_sort(F.array_distinct(F.transform(F.filter(reads, lambda p: p["ref_id"] == link["ref"]), lambda p: p["tool"]))))
+        proven = x["structural"] | (~_blank(link["why"]) & ~_blank(link["evidence"]))
+        return F.struct(x.alias("x"), known.alias("known"), base.alias("base"), seen.alias("seen"), proven.alias("proven"))
+
+    def judged(m: Column) -> Column:
+        x, known, base, seen, proven = (m[n] for n in ("x", "known", "base", "seen", "proven"))
+        link, rel, confidence = x["link"], x["rel"], x["confidence"]
+        cls = link["class"]
+        fits = F.when(known, F.array_contains(F.try_element_at(classes, rel), cls)).otherwise(~x["structural"])
+        observed = F.size(seen) > 0
+        error = (
+            F.when(_blank(link["ref"]), "a relation has no target")
+            .when(_blank(link["rel"]), "a relation has no type")
+            .when(~F.coalesce(cls.isin(*scalars.SALIENCE), F.lit(False)), "a relation has an unknown class")
+            .when(~proven, "a relation is not structural and has no reason or evidence")
+            .when(~confidence.isin(*CONFIDENCES), "a relation has an unknown confidence")
+            .when(strict & ~known, "a relation's type is not a writer's")
+            .when(~fits, "a relation's type can not have its class")
+            .when(source == link["ref"], "a relation points to where it comes from")
+            .when(strict & (base == "rich") & ~observed, "a rich relation's target has not been read")
+        )
+        doubted = ~strict & (base == "rich") & (~observed | confidence.isin("low", "unknown"))
+        quality = F.when(doubted, "suspect").otherwise(base)
+        return F.struct(
+            source.alias("source"), link["ref"].alias("target"), rel.alias("rel"), cls.alias("class"), confidence.alias("confidence"), link["why"].alias("why"), link["evidence"].alias("evidence"), quality.alias("quality"),
+            (quality == "anemic").alias("fallback"), ((base == "rich") & ~x["here"]).alias("needs_reading"), observed.alias("read"), seen.alias("read_by"), proven.alias("proven"), error.alias("error"),
+        )
+
+    return F.transform(F.transform(F.transform(links, named), met), judged)
 
 
 def _is(name: str) -> Callable[[Column], Column]:
@@ -148,11 +162,12 @@ def plans(requests: DataFrame) -> DataFrame:
     ref, delta_ref, strict = F.col("ref"), F.col("delta_ref"), F.col("strict")
     local = F.array_compact(F.array(ref, delta_ref))
     link = lambda target, rel: F.struct(target.alias("ref"), F.lit(rel).alias("rel"), F.lit("causal").alias("class"), delta["why"].alias("why"), delta["evidence"].alias("evidence"), F.lit("high").alias("confidence"))
-    direct = F.transform("links", lambda x: _diagnosed(x, ref, strict, F.col("reads"), F.array(ref)))
-    onward = F.array(_diagnosed(link(delta_ref, "updates_state"), ref, strict, F.col("reads"), local))
+    direct = _diagnosed(F.col("links"), ref, strict, F.col("reads"), F.array(ref))
+    onward = _diagnosed(F.array(link(delta_ref, "updates_state")), ref, strict, F.col("reads"), local)
     first = F.get("links", F.lit(0))["ref"]
-    back = F.when(F.size("links") > 0, F.array(_diagnosed(link(first, "semantic_delta_from"), delta_ref, strict, F.col("reads"), local)))
-    tied = F.when(delta.isNull(), direct).when(F.size("links") > 0, F.concat(direct, onward, back)).otherwise(F.concat(direct, onward))
+    back = F.when(F.size("links") > 0, _diagnosed(F.array(link(first, "semantic_delta_from")), delta_ref, strict, F.col("reads"), local))
+    of_delta = F.when(F.size("links") > 0, F.concat(onward, back)).otherwise(onward)
+    tied = F.when(delta.isNull(), direct).otherwise(F.concat(direct, of_delta))
     rows = rows.withColumn("relations", tied)
     read = F.col("read_context")
     named = F.concat(*(_empty(read[n], _TEXTS) for n in _READ), F.flatten(F.transform(_empty(read["trace_paths"], REQUEST["read_context"].dataType["trace_paths"].dataType), lambda t: F.concat(F.array(t["from"], t["to"]), _empty(t["refs"], _TEXTS)))))

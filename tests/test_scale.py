@@ -65,3 +65,11 @@ def test_answers_are_derived_without_a_row_for_each_distinct_value(spark):
     got = {r[0]: (r["operands"], r["number"], r["status"]) for r in found.filter("reader = 'currency'").collect()}
     assert got == {"a": (2, 11.0, "derived"), "b": (2, None, "mixed kinds"), "c": (0, None, "not asked")}
     assert "Expand" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_relation_has_its_type_worked_out_once(spark):
+    from mnemograph.operators import writing
+
+    requests = spark.createDataFrame([], writing.REQUEST)
+    plan = writing.plans(requests).select("relations")._jdf.queryExecution().analyzed().toString()
+    assert 0 < plan.count("lower(") < 100  # 662 where each rule worked the type out again
