@@ -87,3 +87,11 @@ def test_a_relation_has_its_type_worked_out_once(spark):
     requests = spark.createDataFrame([], writing.REQUEST)
     plan = writing.plans(requests).select("relations")._jdf.queryExecution().analyzed().toString()
     assert 0 < plan.count("lower(") < 100  # 662 where each rule worked the type out again
+
+
+def test_spread_tables_give_no_task_more_rows_than_so_many(spark):
+    from mnemograph.sources import views
+
+    assert views.spread(spark.range(0, 1000, 1, 2), most=50).rdd.getNumPartitions() == 20
+    assert views.spread(spark.range(0, 1000, 1, 2)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert views.spread(spark.range(0, 1000, 1, 30), most=50).rdd.getNumPartitions() == 30
