@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from mnemograph.functions import scalars
+from mnemograph.sources import views
 
 #: Depth of a traversal that names none, and the deepest one.
 DEFAULT_DEPTH, MOST_DEPTH = 10, 25
@@ -27,6 +28,8 @@ def depth_of(asked: Column) -> Column:
 
 #: Most rows of a frontier that a hop broadcasts.
 FEW = 100_000
+#: Nodes that a path is thought to have when its rows are dealt to tasks.
+PATH_NODES = 5
 
 
 def _kept(df: DataFrame) -> DataFrame:
@@ -39,25 +42,36 @@ def _kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def _steps(edges: DataFrame) -> DataFrame:
-    """node and next of the distinct ends of edges, dealt by node."""
-    return _kept(edges.select(F.col("source").alias("node"), F.col("target").alias("next")).repartition("node").distinct())
+def written(edges: DataFrame) -> DataFrame:
+    """edges written to the checkpoint folder, for those who read them more than once."""
+    return _kept(edges)
+
+
+def _steps(edges: DataFrame) -> tuple[DataFrame, int]:
+    """node and next of the distinct ends of edges, dealt by node, and how many edges there are."""
+    rows = edges.count()
+    ends = edges.select(F.col("source").alias("node"), F.col("target").alias("next"))
+    return _kept(views.dealt(ends, "node", rows=rows).distinct()), rows
 
 
 def _met(frontier: DataFrame, rows: int, steps: DataFrame) -> DataFrame:
     return (F.broadcast(frontier) if rows <= FEW else frontier).join(steps, "node")
 
 
-def reach(edges: DataFrame, requests: DataFrame, depth: int) -> DataFrame:
-    """G1: request_id, node, hops of the nodes that a request's root reaches in 1 to depth hops, without the root."""
-    steps = _steps(edges)
+def reach(edges: DataFrame, requests: DataFrame, depth: int, steps: tuple[DataFrame, int] | None = None) -> DataFrame:
+    """G1: request_id, node, hops of the nodes that a request's root reaches in 1 to depth hops, without the root.
+
+    steps: what _steps has made of the edges, if that is at hand. A hop is dealt to tasks by the rows of the larger side.
+    """
     frontier = _kept(requests.select("request_id", F.col("root").alias("node"), F.lit(0).alias("hops")).distinct())
     seen = frontier
     for hop in range(1, depth + 1):
         rows = frontier.count()
         if not rows:
             break
-        ahead = _met(frontier, rows, steps).select("request_id", F.col("next").alias("node")).distinct()
+        steps = steps or _steps(edges)
+        ahead = _met(frontier, rows, steps[0]).select("request_id", F.col("next").alias("node"))
+        ahead = views.dealt(ahead, "request_id", "node", rows=max(rows, steps[1])).distinct()
         frontier = _kept(ahead.join(seen.select("request_id", "node"), ["request_id", "node"], "left_anti").withColumn("hops", F.lit(hop)))
         seen = seen.unionByName(frontier)
     return seen.filter("hops > 0")
@@ -67,25 +81,22 @@ def induced(edges: DataFrame, reached: DataFrame, requests: DataFrame) -> DataFr
     """request_id and the edges between a request's nodes, root included; none for a root that reaches nothing."""
     own = reached.select("request_id", "node")
     nodes = own.union(requests.join(own.select("request_id").distinct(), "request_id", "left_semi").select("request_id", "root")).distinct()
-    from_ = edges.join(nodes.withColumnRenamed("node", "source"), "source")
-    return from_.join(nodes.withColumnRenamed("node", "target"), ["request_id", "target"]).select("request_id", *edges.columns)
-
+    rows = edges.count()
+    from_ = views.dealt(edges, "source", rows=rows).join(nodes.withColumnRenamed("node", "source"), "source")
+    return views.dealt(from_, "request_id", "target", rows=rows).join(nodes.withColumnRenamed("node", "target"), ["request_id", "target"]).select("request_id", *edges.columns)
 
-def shortest_paths(edges: DataFrame, requests: DataFrame, depth: int = MOST_DEPTH) -> DataFrame:
-    """request_id and path (array of nodes) from root to target; of equal lengths, the smallest path.
 
-    requests: request_id, root, target. A request without a path, or from a node to itself, gives no row. The graph is
-    walked once for each distinct root, until the last of its targets is found, and requests are joined at the end.
-    """
-    steps = _steps(edges)
+def _found(requests: DataFrame, steps: DataFrame, rows: int, depth: int) -> DataFrame | None:
+    """root, target and path of the pairs of requests that have one."""
     open_ = _kept(requests.filter("root <> target").select("root", "target").distinct())
     level = _kept(open_.select("root").distinct().select("root", F.col("root").alias("node"), F.array("root").alias("path")))
     seen, found = level.select("root", "node"), None
     for _ in range(depth):
-        rows = level.count()
-        if not rows or open_.isEmpty():
+        here = level.count()
+        if not here or open_.isEmpty():
             break
-        ahead = _met(level, rows, steps).select("root", F.col("next").alias("node"), "path")
+        ahead = _met(level, here, steps).select("root", F.col("next").alias("node"), "path")
+        ahead = views.dealt(ahead, "root", "node", rows=max(here, rows))
         fresh = ahead.join(seen, ["root", "node"], "left_anti").groupBy("root", "node").agg(F.min("path").alias("path"))
         level = _kept(fresh.withColumn("path", F.concat("path", F.array("node"))))
         ends = level.withColumnRenamed("node", "target")
@@ -93,22 +104,39 @@ def shortest_paths(edges: DataFrame, requests: DataFrame, depth: int = MOST_DEPT
         found = hit if found is None else found.unionByName(hit)
         open_ = _kept(open_.join(hit.select("root", "target"), ["root", "target"], "left_anti"))
         seen = seen.union(level.select("root", "node"))
+    return found
+
+
+def shortest_paths(edges: DataFrame, requests: DataFrame, depth: int = MOST_DEPTH) -> DataFrame:
+    """request_id and path (array of nodes) from root to target; of equal lengths, the smallest path.
+
+    requests: request_id, root, target. A request without a path, or from a node to itself, gives no row. The graph is
+    walked once for each distinct root, until the last of its targets is found, and requests are joined at the end.
+    """
+    return _joined(requests, requests.count(), _found(requests, *_steps(edges), depth))
+
+
+def _joined(requests: DataFrame, rows: int, found: DataFrame | None) -> DataFrame:
     if found is None:
         return requests.select("request_id", F.array("root").alias("path")).limit(0)
-    return requests.join(found, ["root", "target"]).select("request_id", "path")
+    return views.dealt(requests, "root", "target", rows=rows).join(found, ["root", "target"]).select("request_id", "path")
 
 
 def context_paths(edges: DataFrame, requests: DataFrame, depth: int) -> DataFrame:
     """request_id and node of the path and of the target's subtree; without a path, the target's neighbourhood."""
-    paths = shortest_paths(edges, requests)
-    on_path = paths.select("request_id", F.explode("path").alias("node"))
-    lost = requests.join(paths.select("request_id"), "request_id", "left_anti")
-    below = requests.join(paths.select("request_id"), "request_id", "left_semi").select("request_id", F.col("target").alias("root"))
-    out = on_path
+    steps, rows = _steps(edges), requests.count()
+    found = _found(requests, *steps, MOST_DEPTH)
+    paths = _joined(requests, rows, found)
+    # Nodes of a path are told apart where their request is, so paths are dealt before they are listed.
+    out = views.dealt(paths, "request_id", rows=PATH_NODES * rows).select("request_id", F.explode("path").alias("node"))
+    missed = requests if found is None else views.dealt(requests, "root", "target", rows=rows).join(found, ["root", "target"], "left_anti")
+    missed = _kept(missed.select("request_id", F.col("target").alias("root")))
+    lost = missed if missed.isEmpty() else missed.join(paths.select("request_id"), "request_id", "left_anti")
     if depth:
-        out = out.union(reach(edges, below, min(depth, MOST_DEPTH)).select("request_id", "node"))
-    far = lost.select("request_id", F.col("target").alias("root"))
-    return out.union(far).union(reach(edges, far, DEFAULT_DEPTH).select("request_id", "node")).distinct()
+        below = requests.join(paths.select("request_id"), "request_id", "left_semi").select("request_id", F.col("target").alias("root"))
+        out = out.union(reach(edges, below, min(depth, MOST_DEPTH), steps).select("request_id", "node"))
+    far = lost.union(reach(edges, lost, DEFAULT_DEPTH, steps).select("request_id", "node")).distinct()
+    return out.distinct().union(far)  # a request that has a path is not lost
 
 
 def relationships(edges: DataFrame, requests: DataFrame) -> DataFrame:

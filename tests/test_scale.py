@@ -95,3 +95,36 @@ def test_spread_tables_give_no_task_more_rows_than_so_many(spark):
     assert views.spread(spark.range(0, 1000, 1, 2), most=50).rdd.getNumPartitions() == 20
     assert views.spread(spark.range(0, 1000, 1, 2)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert views.spread(spark.range(0, 1000, 1, 30), most=50).rdd.getNumPartitions() == 30
+
+
+def graph_of(spark, monkeypatch):
+    """Edges and requests of a graph, where a task gets about ten rows; and how often the edges' ends are written."""
+    from mnemograph.operators import graph
+    from mnemograph.sources import views
+
+    dealt, steps, times = views.dealt, graph._steps, []
+    monkeypatch.setattr(views, "dealt", lambda df, *keys, rows=None: dealt(df, *keys, rows=rows, most=10))
+    monkeypatch.setattr(graph, "_steps", lambda edges: times.append(1) or steps(edges))
+    edges = spark.createDataFrame([(f"n{i}", f"n{j}", "t") for i in range(60) for j in (2 * i + 1, 2 * i + 2, i // 3)], "source string, target string, relation_type string")
+    return edges, times
+
+
+def test_tables_are_dealt_by_their_rows(spark):
+    from mnemograph.sources import views
+
+    assert views.dealt(spark.range(1000), "id", most=50).rdd.getNumPartitions() == 20
+    assert views.dealt(spark.range(0), "id", rows=1000, most=50).rdd.getNumPartitions() == 20
+    assert views.dealt(spark.range(1000), "id").count() == 1000
+
+
+def test_a_context_path_walks_over_edges_written_once(spark, monkeypatch):
+    from mnemograph.operators import graph
+
+    edges, times = graph_of(spark, monkeypatch)
+    asked = [("a", "n0", "n37"), ("a", "n0", "n38"), ("b", "n5", "n5"), ("c", "n0", "nowhere"), ("d", "n90", "n1"), ("a", "n0", "none"), ("e", "n0", "n4")]
+    got = graph.context_paths(edges, spark.createDataFrame(asked, "request_id string, root string, target string"), 0)
+    found = {k: {r.node for r in got.filter(f"request_id = '{k}'").collect()} for k in "abcde"}
+    assert len(times) == 1
+    assert found["a"] == {"n0", "n1", "n3", "n8", "n18", "n37", "n38"} and found["e"] == {"n0", "n1", "n4"} and found["c"] == {"nowhere"}
+    assert "n5" in found["b"] and len(found["b"]) > 60 and len(found["d"]) > 60
+    assert got.count() == got.distinct().count()
