@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from mnemograph.functions import scalars
 from mnemograph.operators import graph, projection
+from mnemograph.sources import views
 
 _TEXT = T.StringType()
 
@@ -104,15 +105,17 @@ def mutations(memories: DataFrame) -> DataFrame:
 
 def batch_faults(nodes: DataFrame, edges: DataFrame, roots: DataFrame, depth: int = graph.MOST_DEPTH) -> DataFrame:
     """Fault and key of a graph batch: repeated and blank nodes, edges to nothing or to themselves, nodes that the
-    roots (request_id, root) do not reach."""
-    ids = nodes.select("node_id").distinct()
-    twice = nodes.groupBy("node_id").count().filter("count > 1").select(F.lit("duplicate node").alias("fault"), F.col("node_id").alias("key"))
+    roots (request_id, root) do not reach. Edges are read several times (graph.written keeps them)."""
+    many, links = nodes.count(), edges.count()
+    ids = views.dealt(nodes.select("node_id"), "node_id", rows=many).groupBy("node_id").count()
+    twice = ids.filter("count > 1").select(F.lit("duplicate node").alias("fault"), F.col("node_id").alias("key"))
     blank = nodes.filter(F.trim("title") == "").select(F.lit("blank title"), "node_id")
     own = edges.filter("source = target").select(F.lit("edge to itself"), "source")
-    ends = edges.select(F.explode(F.array("source", "target")).alias("node_id")).distinct().join(ids, "node_id", "left_anti").select(F.lit("unknown node"), "node_id")
-    reached = graph.reach(edges, roots, depth).select(F.col("node").alias("node_id")).union(roots.select("root")).distinct()
-    lost = ids.join(reached, "node_id", "left_anti").select(F.lit("not reached"), "node_id")
-    return twice.union(blank).union(own).union(ends).union(lost)
+    ends = views.dealt(edges.select(F.explode(F.array("source", "target")).alias("node_id")), "node_id", rows=2 * links).distinct()
+    strange = ends.join(ids, "node_id", "left_anti").select(F.lit("unknown node"), "node_id")
+    reached = graph.reach(edges, roots, depth).select(F.col("node").alias("node_id")).union(roots.select("root"))
+    lost = ids.join(views.dealt(reached, "node_id", rows=many), "node_id", "left_anti").select(F.lit("not reached"), "node_id")
+    return twice.union(blank).union(own).union(strange).union(lost)
 
 
 def generated(spark: SparkSession, graphs: int, chain: int, branches: int, prefix: str = "g") -> tuple[DataFrame, DataFrame]:

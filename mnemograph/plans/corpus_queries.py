@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemograph.operators import corpus, ingest, projection, render
+from mnemograph.operators import corpus, graph, ingest, projection, render
 from mnemograph.sources import views
 from mnemograph.sources.views import EDGES_SQL, NODES_SQL
 
@@ -96,7 +96,7 @@ def memory_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {NODES_SQL}, {EDGES_SQL} SELECT 'not reached' AS fault, node_id AS key FROM nodes WHERE node_kind <> 'region' AND node_id NOT IN (SELECT target FROM edges) UNION ALL SELECT 'unknown node', node_id FROM nodes WHERE node_kind = 'part' AND status = 'none'",
 )
 def graph_batch_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, e = views.nodes(spark, sf_dir), views.edges(spark, sf_dir)
+    n, e = views.nodes(spark, sf_dir), graph.written(views.edges(spark, sf_dir).select("source", "target"))
     roots = n.filter("node_kind = 'region'").select(F.lit("batch").alias("request_id"), F.col("node_id").alias("root"))
     return ingest.batch_faults(n, e, roots, 6)
 

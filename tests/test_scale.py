@@ -128,3 +128,14 @@ def test_a_context_path_walks_over_edges_written_once(spark, monkeypatch):
     assert found["a"] == {"n0", "n1", "n3", "n8", "n18", "n37", "n38"} and found["e"] == {"n0", "n1", "n4"} and found["c"] == {"nowhere"}
     assert "n5" in found["b"] and len(found["b"]) > 60 and len(found["d"]) > 60
     assert got.count() == got.distinct().count()
+
+
+def test_faults_of_a_batch_in_small_tasks(spark, monkeypatch):
+    from mnemograph.operators import ingest
+
+    edges, _ = graph_of(spark, monkeypatch)
+    edges = edges.union(spark.createDataFrame([("n7", "n7", "t"), ("n200", "n201", "t")], edges.schema))
+    nodes = spark.createDataFrame([(f"n{i}", " " if i == 9 else "x") for i in [*range(119), 4, 201, 300]], "node_id string, title string")
+    found = ingest.batch_faults(nodes, edges, spark.createDataFrame([("b", "n0")], "request_id string, root string"))
+    want = {("duplicate node", "n4"), ("blank title", "n9"), ("edge to itself", "n0"), ("edge to itself", "n7"), *(("unknown node", f"n{i}") for i in (119, 120, 200)), ("not reached", "n201"), ("not reached", "n300")}
+    assert {(r.fault, r.key) for r in found.collect()} == want and found.count() == len(want)
