@@ -66,10 +66,11 @@ def near(found: DataFrame, requests: DataFrame, before: int = NEAR_BEFORE, after
     """The last positions before the cursor, all at it and the first behind it."""
     side = F.when(F.col("key") < F.col("cursor"), -1).when(F.col("key") > F.col("cursor"), 1).otherwise(0)
     met = _met(found, requests, F.lit(True)).withColumn("side", side)
-    up, down = Window.partitionBy("request_id", "side").orderBy(*order()), Window.partitionBy("request_id", "side").orderBy(*(c.desc() for c in order()))
-    first = met.filter("side = 1").withColumn("nth", F.row_number().over(up)).filter(F.col("nth") <= after)
-    last = met.filter("side = -1").withColumn("nth", F.row_number().over(down)).filter(F.col("nth") <= before)
-    return first.unionByName(last).unionByName(met.filter("side = 0").withColumn("nth", F.lit(0))).drop("cursor", "nth", "side")
+    # One pass in order: so far behind a position another side begins, or so far before it another side ends.
+    w = Window.partitionBy("request_id").orderBy("side", *order())
+    last = (F.col("side") == -1) & (F.coalesce(F.lead("side", before).over(w), F.lit(1)) >= 0)
+    first = (F.col("side") == 1) & (F.coalesce(F.lag("side", after).over(w), F.lit(-1)) <= 0)
+    return met.withColumn("near", last | first | (F.col("side") == 0)).filter("near").drop("cursor", "near", "side")
 
 
 def refs(selected: DataFrame) -> DataFrame:

@@ -155,3 +155,21 @@ def test_the_edges_of_a_request_in_small_tasks(spark, monkeypatch):
         held = {root} | near | {t for s, t, _ in ends if s in near}
         want |= {(request, *e) for e in ends if e[0] in held and e[1] in held}
     assert got == want
+
+def test_near_is_one_join_and_one_pass(spark):
+    from mnemograph.operators import temporal
+
+    r = random.Random(11)
+    held = [(f"a{i % 7}", "d", "s", f"e{i}", r.randrange(2), f"{r.randrange(30):03d}") for i in range(300)]
+    found = spark.createDataFrame(held, "about string, dimension string, scope_id string, ref_id string, axis int, key string")
+    requests = spark.createDataFrame([(f"r{i}", f"a{i % 8}", i % 2, f"{i % 31:03d}") for i in range(40)], "request_id string, about string, axis int, key string")
+    for before, after in ((2, 2), (0, 3), (1, 0), (50, 50)):
+        want = []
+        for request, about, axis, cursor in requests.collect():
+            own = sorted(h for h in held if h[0] == about and h[4] == axis)
+            own.sort(key=lambda h: (h[4], h[5], h[1], h[2], h[3]))
+            less, more = [h for h in own if h[5] < cursor], [h for h in own if h[5] > cursor]
+            want += [(request, h[3]) for h in less[max(0, len(less) - before) :] + [h for h in own if h[5] == cursor] + more[:after]]
+        got = temporal.near(found, requests, before, after)
+        assert sorted(got.select("request_id", "ref_id").collect()) == sorted(want)
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
