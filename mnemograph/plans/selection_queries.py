@@ -331,7 +331,7 @@ SELECT id, row_number() OVER (PARTITION BY id ORDER BY path) AS place, leaf FROM
 )
 def json_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested values of orders: texts, numbers, what is no leaf, and repeats."""
-    o = views.table(spark, sf_dir, "orders")
+    o = views.spread(views.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
     deep = F.struct(F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit('"Answer: deep '), F.col("o_orderkey").cast("string"), F.lit('."'))).otherwise("N/A").alias("text"), F.lit(True).alias("true"), F.lit("-").alias("x"))
     value = F.struct(F.array(F.col("o_orderpriority"), F.col("o_custkey").cast("string")).alias("a"), F.struct(F.col("o_custkey").alias("n"), F.struct(F.array(F.struct(F.concat(F.lit(" "), "o_orderstatus").alias("s")), F.struct(F.lit("").alias("s"))).alias("list")).alias("o")).alias("b"), F.array(F.array(deep)).alias("c"), F.col("o_orderpriority").alias("d"))
     return leaves.meaningful(o.select(F.col("o_orderkey").alias("id"), F.to_json(value).alias("json")))

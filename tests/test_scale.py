@@ -173,3 +173,18 @@ def test_near_is_one_join_and_one_pass(spark):
         got = temporal.near(found, requests, before, after)
         assert sorted(got.select("request_id", "ref_id").collect()) == sorted(want)
         assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+def test_leaves_are_taken_without_rounds_over_levels(spark):
+    import json
+
+    from mnemograph.operators import leaves
+
+    deep = {"a:b": "x", 'k":': {"z": [1, "y\\\"q", {"c": [], "b": "tab\there"}], "m": None}, "n": [[True, "N/A", 2.5, "Answer: deep."]], "é": "x"}
+    docs = [(1, json.dumps(deep)), (2, '"top"'), (3, "[1.10, 1E5, 1.1]"), (4, "nope"), (5, None), (6, json.dumps(["\n" * 20000 + "end"])), (7, "[" * 60 + '"in"' + "]" * 60)]
+    found = leaves.meaningful(spark.createDataFrame(docs, "id long, json string"))
+    got = {}
+    for r in sorted(found.collect()):
+        got.setdefault(r.id, []).append(r.leaf)
+    assert got[1] == ["x", "1", 'y\\"q', "tab\there", "2.5", "deep"]
+    assert got[2] == ["top"] and got[3] == ["1.1", "100000"] and got[6] == ["\n" * 20000 + "end"] and got[7] == ["in"] and set(got) == {1, 2, 3, 6, 7}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate posexplode") == 1
