@@ -353,7 +353,8 @@ CAPABILITIES = {
 
 def observed_capabilities(actions: DataFrame) -> DataFrame:
     """Capability and times: in how many actions (JSON: type, tool, arguments) each can be seen."""
-    actions = actions.select(F.try_parse_json("action").alias("action"))  # parsed once, used often
+    # Equal actions are counted before they are parsed, and each is parsed once.
+    actions = actions.groupBy("action").agg(F.count("*").alias("n")).select(F.try_parse_json("action").alias("action"), "n")
     a = F.col("action")
     kind, tool = _text(a, "$.type"), _text(a, "$.tool")
     call = kind.isin("tool_call", "stop") & tool.isNotNull()
@@ -381,7 +382,7 @@ def observed_capabilities(actions: DataFrame) -> DataFrame:
         F.when(call & ((before > 6) | (entries > 12)), "window:expand"),
         F.when(call & ((before < 6) | (entries < 12)), "window:shrink"),
     ]
-    return actions.select(F.explode(F.array_compact(F.array(*seen))).alias("capability")).groupBy("capability").agg(F.count("*").alias("times"))
+    return actions.select(F.explode(F.array_compact(F.array(*seen))).alias("capability"), "n").groupBy("capability").agg(F.sum("n").alias("times"))
 
 
 def coverage(required: DataFrame, observed: DataFrame) -> DataFrame:

@@ -188,3 +188,12 @@ def test_leaves_are_taken_without_rounds_over_levels(spark):
     assert got[1] == ["x", "1", 'y\\"q', "tab\there", "2.5", "deep"]
     assert got[2] == ["top"] and got[3] == ["1.1", "100000"] and got[6] == ["\n" * 20000 + "end"] and got[7] == ["in"] and set(got) == {1, 2, 3, 6, 7}
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate posexplode") == 1
+
+
+def test_equal_actions_are_parsed_once(spark):
+    from mnemograph.operators import readers
+
+    actions = ['{"type":"stop"}'] * 5 + ['{"type":"tool_call","tool":"kernel_near","arguments":{"around":{"ref":"a"}}}'] * 3 + ["nope", None]
+    found = readers.observed_capabilities(spark.createDataFrame([(a,) for a in actions], "action string"))
+    assert {tuple(r) for r in found.collect()} == {("tool:stop", 5), ("window:stop_sufficient", 5), ("tool:kernel_near", 3), ("cursor:ref", 3)}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2
