@@ -10,6 +10,7 @@ from pyspark.sql import Window
 from mnemograph.functions import scalars
 from mnemograph.operators import leaves
 from mnemograph.operators.ingest import _struct
+from mnemograph.sources import views
 
 #: The content of an answer: what supports it (proof.evidence), the relations it came by (proof.path) and its reasons (because).
 CONTENT = _struct(
@@ -20,8 +21,14 @@ _ITEM = T.ArrayType(_struct("ref_id", "text", "source", "relation", "why", seque
 _WHITE = r"^\s+|\s+$"
 
 
+#: Ends of a line that are no white space to a pattern; white space before one at a text's end goes too.
+_ENDS = ("\x85", "\u2028", "\u2029")
+
+
 def _trimmed(x: Column) -> Column:
-    return F.regexp_replace(x, _WHITE, "")
+    """x without white space at its ends, by the pattern only where that does more than a plain trim."""
+    odd = x.endswith(_ENDS[0]) | x.endswith(_ENDS[1]) | x.endswith(_ENDS[2])
+    return F.when(odd, F.regexp_replace(x, _WHITE, "")).otherwise(F.trim(x, F.lit(" \t\n\x0b\f\r")))
 
 
 def _item(ref: Column, text: Column, source: Column | None = None, sequence: Column | None = None, relation: Column | None = None, why: Column | None = None) -> Column:
@@ -208,6 +215,10 @@ def number_text(value: Column, unit: Column) -> Column:
     return F.when(u.isin("USD", "$", "dollars"), F.concat(F.lit("$"), text)).when(u.isin("", "none", "unknown"), text).otherwise(F.concat_ws(" ", text, u))
 
 
+#: Operands that a task gets.
+OPERANDS = 100_000
+
+
 def labelled_answers(questions: DataFrame, operands: DataFrame) -> DataFrame:
     """request_id, operation, answer, number, included, excluded and error of the operation that a reader chose over
     the operands that it labelled; answer and number are null where there is an error.
@@ -221,19 +232,22 @@ def labelled_answers(questions: DataFrame, operands: DataFrame) -> DataFrame:
     q = F.lower("question")
     op = F.lower(_trimmed(F.col("operation")))
     asked = questions.select("request_id", "unit", F.when(op.isin("max-by", "argmax"), "max_by").otherwise(op).alias("operation"), F.coalesce(q.rlike(_DISTINCT), F.lit(False)).alias("distinct"), F.coalesce(q.rlike(_LONG) & F.lower(_trimmed(F.col("unit"))).isin(*_TIME), F.lit(False)).alias("long"))
-    rows = operands.join(asked.select("request_id", "distinct"), "request_id")
+    n = operands.count()
+    rows = views.dealt(operands, "request_id", rows=n, most=OPERANDS).join(asked.select("request_id", "distinct"), "request_id")
     entity = F.nullif(_trimmed(F.col("entity")), F.lit(""))
     rows = rows.select("request_id", "ord", "distinct", F.lower(_trimmed(F.col("label"))).alias("label"), F.lower(_trimmed(F.col("role"))).alias("role"), entity.alias("entity"), F.coalesce(entity_key(F.col("entity")), F.lit("")).alias("key"), F.col("value").cast("double").alias("value"), F.coalesce("value", F.lit(1.0)).cast("double").alias("weight"))
     rows = rows.withColumn("in", F.coalesce(F.col("label") == "include", F.lit(False)))
+    # How many such operands come before one of the same name; both windows are one sort.
+    before = Window.partitionBy("request_id", "key").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = lambda rule: F.coalesce(F.count_if(rule).over(before), F.lit(0)) > 0
     single = F.col("in") & F.col("distinct") & (F.col("weight") == 1.0) & (F.col("key") != "")
-    again = F.row_number().over(Window.partitionBy("request_id", "key", single).orderBy("ord")) > 1
-    rows = rows.withColumn("counted", F.col("in") & ~(single & again))
-    named = F.col("counted") & F.col("entity").isNotNull()
-    first_name = F.row_number().over(Window.partitionBy("request_id", "key", named).orderBy("ord")) == 1
-    rows = rows.withColumn("name", F.when(named & first_name, F.col("entity")))
+    rows = rows.withColumn("single", single)
+    rows = rows.withColumn("counted", F.col("in") & ~(F.col("single") & earlier(F.col("single"))))
+    rows = rows.withColumn("named", F.col("counted") & F.col("entity").isNotNull())
+    rows = rows.withColumn("name", F.when(F.col("named") & ~earlier(F.col("named")), F.col("entity")))
     of = lambda c, rule: F.when(rule, F.col(c))
     included, minuend, subtrahend = F.col("in"), F.col("in") & (F.col("role") == "minuend"), F.col("in") & (F.col("role") == "subtrahend")
-    in_order = lambda c, rule: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(rule & F.col(c).isNotNull(), F.struct("ord", F.col(c).alias("x"))))), lambda x: x["x"]), ", ")
+    in_order = lambda c, rule: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(rule & F.col(c).isNotNull(), F.struct("ord", F.col(c).alias("x"))))), lambda x: x["x"]), ", ")
     got = rows.groupBy("request_id").agg(
         F.count_if(included).alias("included"),
         F.count_if(F.col("label") == "exclude").alias("excluded"),

@@ -197,3 +197,24 @@ def test_equal_actions_are_parsed_once(spark):
     found = readers.observed_capabilities(spark.createDataFrame([(a,) for a in actions], "action string"))
     assert {tuple(r) for r in found.collect()} == {("tool:stop", 5), ("window:stop_sufficient", 5), ("tool:kernel_near", 3), ("cursor:ref", 3)}
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2
+
+
+def test_operands_are_dealt_by_their_rows(spark, monkeypatch):
+    from mnemograph.operators import readers
+
+    monkeypatch.setattr(readers, "OPERANDS", 2)
+    questions = spark.createDataFrame([("a", "How many different parts?", "count", "none"), ("b", "Which?", "list", "none")], "request_id string, question string, operation string, unit string")
+    held = [(q, i, "l", "include", None, e, 1.0) for q in "ab" for i, e in enumerate(["x", "The X", "y", None, "x", " ", "z"])]
+    found = readers.labelled_answers(questions, spark.createDataFrame(held, "request_id string, ord long, ref_id string, label string, role string, entity string, value double"))
+    assert {r.request_id: r.answer for r in found.collect()} == {"a": "5: x, y, z", "b": "x, The X, y, x, z"}
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plain_trims_are_those_of_the_pattern(spark):
+    from mnemograph.operators import readers
+
+    r = random.Random(13)
+    texts = ["".join(r.choice(" \t\n\x0b\f\r\x85\u2028\u2029\xa0\u3000ab") for _ in range(r.randrange(7))) for _ in range(3000)] + [None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    assert df.filter(~readers._trimmed(F.col("x")).eqNullSafe(F.regexp_replace("x", readers._WHITE, ""))).count() == 0
+    assert readers._ENDS[0] == "\x85"
