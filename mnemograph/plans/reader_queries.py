@@ -15,6 +15,8 @@ from .registry import query
 _LINE = ("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_quantity")
 _LINES = f"lines AS (SELECT l_orderkey AS o, row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(_LINE)}) AS n, {', '.join(_LINE)} FROM lineitem)"
 _LINES_OF = {"source": "CASE WHEN l_linestatus = 'F' THEN 'supplier:' || l_suppkey END", "part": "'part:' || l_partkey", "text": "CASE WHEN l_linenumber = 6 THEN '  ' ELSE ' ' || l_linestatus || l_returnflag END"}
+#: Lines of answers that a task gets: a line makes up to three items, with texts.
+ANSWER_LINES = 100_000
 
 
 def _text(x: str) -> Column:
@@ -22,23 +24,25 @@ def _text(x: str) -> Column:
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """request_id, question_ref, question and content, which has been JSON on its way."""
-    part, order = F.concat(F.lit("part:"), _text("l_partkey")), F.concat(F.lit("order:"), _text("l_orderkey"))
+    """request_id, question_ref, question and content, which has been JSON on its way.
+
+    Lines meet by the request, so that what is asked of a request later needs no other shuffle; only their columns are sent.
+    """
+    request = F.concat(F.lit("order:"), _text("l_orderkey")).alias("request_id")
+    lines = views.dealt(views.table(spark, sf_dir, "lineitem").select(request, *_LINE), "request_id", rows=views.table(spark, sf_dir, "lineitem").count(), most=ANSWER_LINES)
+    part, flag = F.concat(F.lit("part:"), _text("l_partkey")), F.col("l_returnflag")
     said = F.when(F.col("l_linenumber") == 6, "  ").otherwise(F.concat(F.lit(" "), "l_linestatus", "l_returnflag"))
     source = F.when(F.col("l_linestatus") == "F", F.concat(F.lit("supplier:"), _text("l_suppkey")))
-    flag = F.col("l_returnflag")
     rel = F.when(flag == "A", F.when(F.col("l_linenumber") % 2 == 0, "supports").otherwise("contributes-to")).when(flag == "R", F.when(F.col("l_linenumber") % 3 == 0, "follows").otherwise("Corrects")).otherwise("records")
     line = F.struct(
         *_LINE,
         F.struct(F.when(F.col("l_linenumber") % 3 != 0, F.concat(F.lit("line:"), _text("l_linenumber"))).alias("id"), said.alias("text"), source.alias("source"), F.when(flag != "N", F.array(F.lit("odd"), part)).alias("supports")).alias("e"),
-        F.struct(part.alias("from"), order.alias("to"), rel.alias("rel"), F.when(flag == "N", "structural").otherwise("evidential").alias("class"), F.when(flag == "R", F.col("l_linestatus")).alias("why"), said.alias("evidence"), F.col("l_linenumber").alias("sequence")).alias("p"),
+        F.struct(part.alias("from"), F.col("request_id").alias("to"), rel.alias("rel"), F.when(flag == "N", "structural").otherwise("evidential").alias("class"), F.when(flag == "R", F.col("l_linestatus")).alias("why"), said.alias("evidence"), F.col("l_linenumber").alias("sequence")).alias("p"),
         F.struct(F.col("l_returnflag").alias("claim"), F.when(F.col("l_linestatus") == "O", part).alias("ref"), said.alias("evidence")).alias("b"),
     )
-    lines = views.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("x"))
-    of = lambda part: F.transform("x", lambda line: line[part])
-    json = F.to_json(F.struct(F.struct(of("e").alias("evidence"), of("p").alias("path")).alias("proof"), of("b").alias("because")))
-    key = _text("l_orderkey")
-    return lines.select(F.concat(F.lit("order:"), key).alias("request_id"), F.concat(F.lit("question:"), key).alias("question_ref"), F.lit("which?").alias("question"), readers.content(json).alias("content"))
+    lines = lines.groupBy("request_id").agg(F.sort_array(F.collect_list(line)).alias("x"))
+    json = F.to_json(F.struct(F.struct(F.col("x.e").alias("evidence"), F.col("x.p").alias("path")).alias("proof"), F.col("x.b").alias("because")))
+    return lines.select("request_id", F.replace("request_id", F.lit("order:"), F.lit("question:")).alias("question_ref"), F.lit("which?").alias("question"), readers.content(json).alias("content"))
 
 
 def _placed(found: DataFrame) -> DataFrame:
@@ -178,10 +182,11 @@ def labelled_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.get(F.array(*(F.lit(x) for x in ("sum", "average", "difference", "difference", "max-by", "list", " Count "))), op.cast("int"))
     unit = F.get(F.array(*(F.lit(x) for x in ("USD", "kg", "days", "none", "USD", "USD"))), op.cast("int"))
     question = F.concat(F.when(op == 2, "How long").otherwise("How much"), F.when(distinct, " for different parts?").otherwise("?"))
-    questions = line.select("l_orderkey").distinct().select(request, question.alias("question"), name.alias("operation"), unit.alias("unit"))
+    dealt = views.dealt(line.select("l_orderkey", *_LINE), "l_orderkey", most=ANSWER_LINES)
+    questions = dealt.select("l_orderkey").distinct().select(request, question.alias("question"), name.alias("operation"), unit.alias("unit"))
     n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_LINE)).cast("long")
     entity = F.when(F.col("l_linenumber") < 6, F.concat(F.lit("part "), (F.col("l_partkey") % 3).cast("string")))
-    rows = line.withColumn("n", n).select(request, F.col("n").alias("ord"), F.lit("line").alias("ref_id"), F.when(F.col("l_returnflag") == "R", "exclude").otherwise("include").alias("label"), F.when(F.col("n") == 1, " Minuend").when(F.col("n") == 2, "subtrahend").alias("role"), entity.alias("entity"), F.when(F.col("l_linestatus") == "F", F.col("l_quantity")).alias("value"))
+    rows = dealt.withColumn("n", n).select(request, F.col("n").alias("ord"), F.lit("line").alias("ref_id"), F.when(F.col("l_returnflag") == "R", "exclude").otherwise("include").alias("label"), F.when(F.col("n") == 1, " Minuend").when(F.col("n") == 2, "subtrahend").alias("role"), entity.alias("entity"), F.when(F.col("l_linestatus") == "F", F.col("l_quantity")).alias("value"))
     return readers.labelled_answers(questions, rows)
 
 

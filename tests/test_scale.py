@@ -218,3 +218,19 @@ def test_plain_trims_are_those_of_the_pattern(spark):
     df = spark.createDataFrame([(t,) for t in texts], "x string")
     assert df.filter(~readers._trimmed(F.col("x")).eqNullSafe(F.regexp_replace("x", readers._WHITE, ""))).count() == 0
     assert readers._ENDS[0] == "\x85"
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_snippets_take_one_shuffle(spark):
+    from mnemograph.plans import catalog
+
+    assert shuffles(catalog.QUERIES["evidence_snippets"](spark, "/root/testdata/sf0.001")) == 1
+
+
+def test_turn_fragments_take_one_shuffle(spark):
+    from mnemograph.plans import catalog
+
+    assert shuffles(catalog.QUERIES["turn_fragments"](spark, "/root/testdata/sf0.001")) == 1
