@@ -46,6 +46,27 @@ def test_derive(spark):
     }
 
 
+@pytest.mark.parametrize("files", [1, 2])
+def test_lines_of_equal_ord_are_listed_in_the_order_of_the_table(spark, tmp_path, files):
+    """Line 2 of part 5 and line 1 of part 1,000,005 have one ord. One thread of DuckDB keeps such lines as it reads them."""
+    import duckdb
+
+    from mnemograph.plans import catalog
+
+    first, second = [(1, 5, 2), (2, 1_000_005, 1), (3, 5, 2)], [(1, 1_000_005, 1), (2, 5, 2), (3, 9, 1), (4, 7, 3)]
+    parts = [first + second] if files == 1 else [second, first]  # read by name, not by size
+    duck = duckdb.connect(config={"threads": 1})
+    (tmp_path / "lineitem.parquet").mkdir()
+    for n, lines in enumerate(parts):
+        values = ", ".join(map(str, lines))
+        duck.execute(f"COPY (SELECT l_orderkey, l_partkey, l_linenumber, 1.0::DOUBLE AS l_quantity FROM (VALUES {values}) v(l_orderkey, l_partkey, l_linenumber)) TO '{tmp_path}/lineitem.parquet/part-{n}.parquet'")
+    duck.execute(f"CREATE VIEW lineitem AS FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = sorted(duck.execute(f"SELECT request_id, answer FROM ({catalog.ORACLES['derive_list']})").fetchall())
+    ends = ("part:5, part:1000005", "part:1000005, part:5")
+    assert want[:2] == [("order:1", ends[files - 1]), ("order:2", ends[1] if files == 1 else ends[0])]
+    assert rows(catalog.QUERIES["derive_list"](spark, str(tmp_path)).select("request_id", "answer")) == want
+
+
 def test_wilson_and_verdict(spark):
     p, low, high = evaluate.wilson(F.lit(8), F.lit(10))
     got = spark.range(1).select(p, F.round(low, 4), F.round(high, 4), evaluate.verdict(F.lit(0.9), F.lit(0.8))).first()
